@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datastrata.llm import mixing, token_counts, token_output
+from datastrata.llm import decontaminate, mixing, quality, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op7_token_output": token_output.op7_token_output,
     "op8_token_counts": token_counts.op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op2_decontaminate": decontaminate.OP2_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
 }
