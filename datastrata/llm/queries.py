@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datastrata.llm import decontaminate, mixing, quality, secrets, token_counts, token_output
+from datastrata.llm import decontaminate, jaccard_join, mixing, quality, secrets, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_token_output": token_output.op7_token_output,
