@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datastrata.llm import decontaminate, jaccard_join, mixing, quality, secrets, token_counts, token_output
+from datastrata.llm import decontaminate, html_extract, jaccard_join, mixing, quality, secrets, suffix_tree, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_token_output": token_output.op7_token_output,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_lm_score": suffix_tree.op9_lm_score,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {
