@@ -25,6 +25,7 @@ import bisect
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -256,9 +257,15 @@ class Prefixes:
         return self.pieces[i - 1][1] if i else 0
 
 
+@lru_cache(maxsize=1)
+def worker_counter(path: str) -> PrefixCounter:
+    """One counter for all tasks of a Python worker, so its tables live on."""
+    return PrefixCounter(path)
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = worker_counter(path)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = counter.counts([t or b"" for t in texts])

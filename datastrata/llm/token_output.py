@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from datastrata.llm.common import scratch_path, small_batches, table
 
 END_ID = 0
 FILE_IDS = 1 << 19
-PIECES = 1_000_000
+PIECES = 900_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -119,9 +120,15 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker, so its table of pieces lives on."""
+    return PieceEncoder(path)
+
+
 def _pack(path: str, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = worker_encoder(path)
         bits = width(encoder.vocab_size)
         end = np.array([end_id], dtype="<u4").tobytes()
         part, offset, names, chunks, held = TaskContext.get().partitionId(), 0, [], [], 0
