@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datastrata.llm import decontaminate, html_extract, jaccard_join, mixing, quality, secrets, suffix_tree, token_counts, token_output
+from datastrata.llm import decontaminate, html_extract, jaccard_join, mixing, quality, secrets, substring_dedup, suffix_tree, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_token_output": token_output.op7_token_output,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_lm_score": suffix_tree.op9_lm_score,
