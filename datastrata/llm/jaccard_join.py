@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datastrata.llm.common import small_batches, table, written
+from datastrata.llm.common import release, small_batches, table, written
 from datastrata.llm.components import components
 
 SHINGLE = 5
@@ -176,50 +176,55 @@ def _prefixes(order: Broadcast):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in order of (token, n, pos, sid) -> those of lists of two sets or more, with a
-    leader of fitting size. The state between batches is the last entry and its leader."""
-    last: tuple[int, ...] | None = None  # token, sid, n, pos, leader, leader's n, whether given out
+    """Entries in order of (token, n, pos, sid) -> those of lists of two sets or more, each with its
+    leader if the two can reach the overlap from here on, else with itself. A list of two
+    that cannot is dropped. The last entry waits for what follows it, with its leader and
+    the number of entries of its list before it; nothing else is kept between batches."""
+    last: list[np.ndarray] | None = None
+    lead: list[int] = []
+    before = 0
+
+    def out(cols: list[np.ndarray], leader: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c[keep], t) for c, t in zip([*cols, leader], types)], names=["token", "sid", "n", "pos", "lead"]
+        )
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, sid, n, pos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-        given = True
+        cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
         if last is not None:
-            token, sid, n, pos = (np.concatenate([[x], y]) for x, y in zip(last[:4], (token, sid, n, pos)))
-            given = last[6]
-        m = len(token)
-        start = np.concatenate([[True], token[1:] != token[:-1]])
-        run = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        long = np.diff(np.concatenate([first, [m]])) > 1
-        lead, lead_n = sid[first][run], n[first][run]
-        if last is not None:  # the first run goes on under its leader
-            lead[run == 0], lead_n[run == 0] = last[4], last[5]
-        for k in np.unique(run[100 * lead_n < PERCENT * n]):  # outgrown leaders: later ones take over
-            a, b = first[k], first[k + 1] if k + 1 < len(first) else m
-            now, now_n = lead[a], lead_n[a]
+            cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
+        token, sid, n, pos = cols
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.concatenate([first, [len(token)]]))
+        run = np.repeat(np.arange(len(first)), length)
+        leads = [sid[first][run], n[first][run], pos[first][run]]
+        for x, y in zip(leads, lead):  # the first list goes on under its leader
+            x[run == 0] = y
+        length[0] += before
+        for k in np.unique(run[100 * leads[1] < PERCENT * n]):  # outgrown leaders: later ones take over
+            a, b = first[k], first[k + 1] if k + 1 < len(first) else len(token)
+            now = [x[a] for x in leads]
             for i in range(a, b):
-                if 100 * now_n < PERCENT * n[i]:
-                    now, now_n = sid[i], n[i]
-                lead[i], lead_n[i] = now, now_n
-        keep = long[run]
-        if last is not None:
-            keep[run == 0] |= given
-            if given:
-                keep[0] = False
-        # The last list may go on: its last entry waits, unless it has been given out.
-        out_last = bool(keep[-1]) or (m == 1 and last is not None and given)
-        last = (token[-1], sid[-1], n[-1], pos[-1], lead[-1], lead_n[-1], out_last)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(token[keep]),
-                pa.array(sid[keep]),
-                pa.array(n[keep], pa.int32()),
-                pa.array(pos[keep], pa.int32()),
-                pa.array(lead[keep]),
-            ],
-            names=["token", "sid", "n", "pos", "lead"],
-        )
+                if 100 * now[1] < PERCENT * n[i]:
+                    now = [sid[i], n[i], pos[i]]
+                for x, y in zip(leads, now):
+                    x[i] = y
+        can = np.minimum(n - pos, leads[1] - leads[2]) >= least_overlap(n, leads[1])
+        keep = length[run] > 1
+        two = first[:-1][length[:-1] == 2]
+        if before:
+            two = two[two > 0]
+        lost = two[~can[two + 1]]
+        keep[lost] = keep[lost + 1] = False
+        keep[-1] = False
+        yield out(cols, np.where(can, leads[0], sid), keep)
+        last, lead, before = [c[-1:] for c in cols], [int(x[-1]) for x in leads], int(length[-1]) - 1
+    if last is not None and before:
+        can = min(last[2][0] - last[3][0], lead[1] - lead[2]) >= least_overlap(int(last[2][0]), lead[1])
+        yield out(last, np.array([lead[0]]) if can else last[1], np.array([True]))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +254,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact intersection sizes of distinct pairs ``(a, b)``: ``(a, b, common, n_a, n_b)``."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "_id")
+    if pairs.count() <= BROADCAST_IDS // 2:
+        sets = sets.join(F.broadcast(ids), F.col("sid") == F.col("_id"), "left_semi")
     a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("n_a"))
     b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("n_b"))
     # The leaders (b) have many partners: their sets come to the pairs last.
@@ -373,21 +382,30 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
         if not more or len(hot) + len(more) > hot_tokens:
             break
         hot |= {r["token"]: r["k"] for r in more}
-    # Sets of all that are in some list.
-    ids = lists.select("sid").distinct()
-    wanted = written(digest.join(ids, "sid", "left_semi").select("doc_id").distinct(), "wanted")
-    kept = _only(texts, wanted, "left_semi")
-    sets = kept.select("text").mapInArrow(_sets, "sid long, n int, tokens binary")
-    if again:
-        sets = sets.dropDuplicates(["sid"])
-    sets = written(sets.where("n > 0"), "sets")
-    stars = lists.where("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct()
+    release(spark)
+    # Each set with the two leaders that it shares most prefix shingles with; step 5 sees to all others.
+    shared = lists.where("sid <> lead").groupBy("sid", "lead").agg(F.count("*").alias("k"))
+    best = shared.groupBy("sid").agg(
+        F.max_by("lead", F.struct("k", "lead")).alias("b1")
+    )
+    rest = shared.join(best.select("sid", "b1"), "sid").where("lead <> b1").groupBy("sid").agg(F.max_by("lead", F.struct("k", "lead")).alias("b2"))
+    stars = written(best.select("sid", F.col("b1").alias("lead")).unionAll(rest.select("sid", F.col("b2").alias("lead"))), "star-pairs")
+    stars = stars.select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """Hashes of the sets of these ids, read from their texts."""
+        wanted = written(digest.join(ids, "sid", "left_semi").select("doc_id").distinct(), "wanted")
+        found = _only(texts, wanted, "left_semi").select("text").mapInArrow(_sets, "sid long, n int, tokens binary").where("n > 0")
+        return written(found.dropDuplicates(["sid"]) if again else found, name)
+
+    sets = sets_of(stars.select(F.col("a").alias("sid")).unionAll(stars.select(F.col("b").alias("sid"))).distinct(), "sets")
     stars = written(overlaps(stars, sets).where(_similar()), "stars")
+    release(spark)
     roots = components(stars.select("a", "b"))
     # Groups: each set under its smallest similar leader.
     group = stars.groupBy(F.col("a").alias("sid")).agg(F.min_by(F.struct("b", "common"), F.struct("n_b", "b")).alias("g"))
     member = (
-        sets.select("sid", "n")
+        lists.groupBy("sid").agg(F.first("n").alias("n"))
         .join(group, "sid", "left")
         .join(roots.withColumnRenamed("id", "sid"), "sid", "left")
         .select(
@@ -411,8 +429,12 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
         .sortWithinPartitions("token", "low", F.col("reach").desc(), "g")
         .select("token", "g", *[F.col(c).cast("long").alias(c) for c in ("c", "low", "high", "reach")])
     )
-    pairs = ordered.mapInArrow(_group_pairs, "a long, b long").distinct()
-    known = written(overlaps(pairs, sets), "group-pairs")
+    pairs = written(ordered.mapInArrow(_group_pairs, "a long, b long").distinct(), "group-pairs")
+    more = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    more = written(more.join(sets.select("sid"), "sid", "left_anti"), "more-sets")
+    if more.limit(1).count():
+        sets = sets.unionAll(sets_of(more, "sets-of-groups"))
+    known = written(overlaps(pairs, sets), "known")
     links = known.where(_similar()).select("a", "b")
     # What is left: no link of the leaders, but their members may reach.
     groups = member.groupBy("g").agg(F.min("n").alias("low"), F.max("apart").alias("apart"))
