@@ -1,6 +1,639 @@
-"""Queries of the engine's own operators and their SQL oracles."""
+"""Queries of the engine's own operators over the driver's tables, and their SQL oracles.
+
+Derived relations: a blob is a document's text; a directory is a source; versions of an
+artifact are a customer's orders by date; a ref is an order priority; the linear graph is a
+conversation's turns; the tree graph is ``doc_id -> doc_id div 2``; recorded hashes are
+perturbed by modulus. Times are fixed, never the clock's.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from datastrata.functions import hashing, paths, scalars
+from datastrata.operators import diff, freshness, graph, retention, transfer, versions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _blobs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select(
+        "doc_id", "source", "lang", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size")
+    )
+
+
+_BLOBS = "SELECT doc_id, source, lang, md5(text) AS md5, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents"
+
+
+@query(f"SELECT doc_id, md5, size FROM ({_BLOBS})")
+def content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _blobs(spark, sf).select("doc_id", "md5", "size")
+
+
+@query(f"SELECT md5, count(*) AS copies, min(doc_id) AS first_doc FROM ({_BLOBS}) GROUP BY md5 HAVING count(*) > 1")
+def dup_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    groups = _blobs(spark, sf).groupBy("md5").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return groups.where("copies > 1")
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return _blobs(spark, sf).withColumn("relpath", F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+@query(
+    f"""WITH f AS (SELECT *, lang || '/' || doc_id || '.txt' AS relpath FROM ({_BLOBS}))
+SELECT source, md5('[' || string_agg('{{"md5": "' || md5 || '", "relpath": "' || relpath || '"}}', ', ' ORDER BY relpath) || ']') AS md5,
+       count(*) AS nfiles, CAST(sum(size) AS BIGINT) AS size FROM f GROUP BY source"""
+)
+def dir_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return hashing.directory_hashes(_files(spark, sf).select("source", "relpath", "md5", "size"), ["source"])
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    d = _t(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    shape = lambda t: [F.col("doc_id").alias("relpath"), F.md5(t).alias("md5"), F.octet_length(t).cast("long").alias("size")]
+    return d.where("doc_id % 10 <> 3").select(*shape(F.col("text"))), d.where("doc_id % 10 <> 5").select(*shape(text))
+
+
+_SNAPSHOTS = """a AS (SELECT doc_id AS relpath, md5(text) AS md5, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE doc_id % 10 <> 3),
+e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5),
+b AS (SELECT doc_id AS relpath, md5(text) AS md5, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM e)"""
+
+
+@query(
+    f"""WITH {_SNAPSHOTS}
+SELECT coalesce(a.relpath, b.relpath) AS relpath,
+       CASE WHEN a.relpath IS NULL THEN 'added' WHEN b.relpath IS NULL THEN 'removed' ELSE 'modified' END AS status,
+       a.md5 AS old_md5, b.md5 AS new_md5, a.size AS old_size, b.size AS new_size
+FROM a FULL JOIN b ON a.relpath = b.relpath WHERE a.md5 IS DISTINCT FROM b.md5"""
+)
+def manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.manifest_diff(*_snapshots(spark, sf))
+
+
+@query(
+    f"""WITH {_SNAPSHOTS}, a2 AS (SELECT 'v/' || relpath AS path, md5 FROM a),
+b2 AS (SELECT CASE WHEN relpath % 11 = 0 THEN 'w/' ELSE 'v/' END || relpath AS path, md5 FROM b),
+d AS (SELECT coalesce(a2.path, b2.path) AS path, a2.md5 AS om, b2.md5 AS nm,
+  CASE WHEN a2.path IS NULL THEN 'added' WHEN b2.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
+  FROM a2 FULL JOIN b2 ON a2.path = b2.path WHERE a2.md5 IS DISTINCT FROM b2.md5),
+g AS (SELECT om AS md5, min(path) AS from_path FROM d WHERE status = 'deleted' GROUP BY om),
+n AS (SELECT nm AS md5, min(path) AS to_path FROM d WHERE status = 'added' GROUP BY nm),
+m AS (SELECT * FROM g JOIN n USING (md5))
+SELECT path, CAST(NULL AS VARCHAR) AS to_path, status FROM d
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE (d.path = m.from_path OR d.path = m.to_path) AND coalesce(d.om, d.nm) = m.md5)
+UNION ALL SELECT from_path, to_path, 'renamed' FROM m"""
+)
+def version_diff(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _snapshots(spark, sf)
+    name = F.concat(F.when(F.col("relpath") % 11 == 0, "w/").otherwise("v/"), F.col("relpath").cast("string"))
+    old = a.select(F.concat(F.lit("v/"), F.col("relpath").cast("string")).alias("path"), "md5", "size")
+    return diff.version_diff(old, b.select(name.alias("path"), "md5", "size"))
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "orders").select(
+        F.col("o_custkey").alias("path"),
+        F.col("o_orderkey").alias("md5"),
+        F.col("o_orderkey").alias("sha"),
+        F.col("o_orderdate").alias("at"),
+        F.col("o_orderstatus").alias("state"),
+        F.col("o_orderpriority").alias("ref"),
+    )
+
+
+def _now() -> Column:
+    return F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+
+
+@query(
+    """SELECT o_orderkey AS md5, o_custkey AS path FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn > 3"""
+)
+def gc_delete_keep_n(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf)
+    kept = retention.keep_set(h, ["path"], keep=3)
+    return retention.plan(h.select("md5", "path"), kept, h.limit(0))
+
+
+@query("SELECT o_orderkey AS md5, o_custkey AS path FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 900 DAY)")
+def gc_older_than(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf)
+    kept = retention.keep_set(h, ["path"], newer_than=_now() - F.make_dt_interval(days=F.lit(scalars.parse_duration("900d").days)))
+    return retention.plan(h.select("md5", "path"), kept, h.limit(0))
+
+
+@query(
+    """SELECT o_orderkey AS md5, o_custkey AS path FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders)
+WHERE NOT (rn <= 2 OR o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 700 DAY)"""
+)
+def gc_combined(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf)
+    kept = retention.keep_set(h, ["path"], keep=2, newer_than=_now() - F.make_dt_interval(days=F.lit(700)))
+    return retention.plan(h.select("md5", "path"), kept, h.limit(0))
+
+
+@query(
+    """SELECT o_orderkey AS md5, o_custkey AS path FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn > 1"""
+)
+def gc_multi_ref(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf)
+    heads = retention.keep_set(h, ["ref", "path"], keep=1)
+    return retention.plan(h.select("md5", "path"), heads, h.limit(0))
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), k AS (SELECT md5 FROM b WHERE doc_id % 4 = 0 UNION SELECT i.md5 FROM b i JOIN (SELECT DISTINCT source FROM b WHERE doc_id % 50 = 1) s USING (source))
+SELECT DISTINCT md5 FROM b WHERE md5 NOT IN (SELECT md5 FROM k) AND lang = 'en'"""
+)
+def gc_directories(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf)
+    kept = b.where("doc_id % 4 = 0").select("md5").unionAll(b.where("doc_id % 50 = 1").select("source"))
+    entries = b.select(F.col("source").alias("dir_md5"), "md5")
+    return retention.plan(b.select("md5").distinct(), kept, b.limit(0), entries, b.where("lang = 'en'"))
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), p AS (SELECT md5, size FROM b WHERE doc_id % 3 = 0)
+SELECT DISTINCT md5, size FROM p WHERE md5 NOT IN (SELECT md5 FROM b WHERE doc_id % 2 = 0)"""
+)
+def gc_unsafe(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf)
+    return retention.unsafe(b.where("doc_id % 3 = 0").select("md5", "size"), b.where("doc_id % 2 = 0")).distinct()
+
+
+@query(
+    """SELECT o_custkey AS path, o_orderstatus AS md5, min(o_orderdate) AS first_at, arg_min(o_orderkey, {a: o_orderdate, b: o_orderkey}) AS first_sha
+FROM orders GROUP BY o_custkey, o_orderstatus"""
+)
+def version_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.first_seen(_history(spark, sf).withColumn("md5", F.col("state")), ["path"])
+
+
+@query(
+    """SELECT o_custkey AS path, md5, sha, "at" FROM (
+SELECT o_custkey, o_orderkey AS md5, o_orderkey AS sha, o_orderdate AS "at", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30') WHERE rn = 1"""
+)
+def state_at_ref(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.state_at(_history(spark, sf), ["path"], F.lit("1996-06-30").cast("timestamp_ntz"))
+
+
+_LAGGED = """SELECT o_custkey AS path, o_orderstatus AS md5, o_orderkey AS sha, o_orderdate AS "at",
+lag(o_orderstatus) OVER w AS before, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+
+
+@query(f'SELECT path, md5, sha, "at" FROM ({_LAGGED}) WHERE n = 1 OR md5 IS DISTINCT FROM before')
+def change_points(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.change_points(_history(spark, sf).withColumn("md5", F.col("state")).select("path", "md5", "sha", "at"), ["path"])
+
+
+@query(
+    f"""WITH h AS ({_LAGGED}), c AS (SELECT path, md5, sha, "at" FROM h WHERE md5 IS DISTINCT FROM before
+UNION ALL SELECT path, before, sha, "at" FROM h WHERE before IS NOT NULL AND md5 IS DISTINCT FROM before)
+SELECT path, md5, arg_max(sha, {{a: "at", b: sha}}) AS sha FROM c WHERE md5 = 'F' GROUP BY path, md5"""
+)
+def hash_commit(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf).withColumn("md5", F.col("state"))
+    return versions.hash_commit(h, h.where("md5 = 'F'").select("path", "md5").distinct(), ["path"])
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS path, md5(text) AS sha FROM documents WHERE doc_id % 10 <> 3),
+b AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END) AS sha FROM documents WHERE doc_id % 10 <> 5)
+SELECT d.doc_id AS path, a.sha <> b.sha AS changed FROM documents d LEFT JOIN a ON a.path = d.doc_id LEFT JOIN b ON b.path = d.doc_id"""
+)
+def changed_since(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (x.select(F.col("relpath").alias("path"), F.col("md5").alias("sha")) for x in _snapshots(spark, sf))
+    return versions.changed_since(a, b, _t(spark, sf, "documents").select(F.col("doc_id").alias("path")))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN false WHEN event_type = 'error' THEN true
+WHEN event_type = 'click' THEN TIMESTAMP '2024-01-15 12:00:00' >= ts + INTERVAL 1 HOUR
+WHEN event_type = 'purchase' THEN TIMESTAMP '2024-01-15 12:00:00' >= ts + INTERVAL 1 DAY
+ELSE TIMESTAMP '2024-01-15 12:00:00' >= ts + INTERVAL 7 DAY END AS due FROM events"""
+)
+def schedule_due(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_type")
+    schedule = F.when(kind == "view", "manual").when(kind == "click", "hourly").when(kind.isin("purchase", "error"), "daily").otherwise("weekly")
+    last = F.when(kind != "error", F.col("ts"))
+    return _t(spark, sf, "events").select("event_id", scalars.fetch_due(schedule, last, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).alias("due"))
+
+
+def _chain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "conv_id").distinct()
+    edges = c.select((F.col("id") - 1).alias("src"), F.col("id").alias("dst")).join(c.select(F.col("id").alias("src")), "src", "left_semi")
+    return c.select("id"), edges
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations),
+l AS (SELECT id, 0 AS level FROM c WHERE id - 1 NOT IN (SELECT id FROM c) UNION ALL SELECT c.id, l.level + 1 FROM l JOIN c ON c.id = l.id + 1)
+SELECT id, level FROM l"""
+)
+def dag_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.levels(*_chain(spark, sf))
+
+
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    nodes = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.lit("make")).alias("cmd"))
+    return nodes, nodes.where("id > 0").select(F.expr("id div 2").alias("src"), F.col("id").alias("dst"))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id AS root, doc_id // 2 AS id, 1 AS distance FROM documents WHERE doc_id > 0 AND doc_id % 5 = 0
+UNION ALL SELECT root, id // 2, distance + 1 FROM r WHERE id > 0) SELECT root, id, distance FROM r"""
+)
+def dag_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _tree(spark, sf)
+    return graph.ancestors(edges, nodes.where("id % 5 = 0 AND id > 0"))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id // 2 AS root, doc_id AS id, 1 AS distance FROM documents WHERE doc_id > 0 AND doc_id // 2 BETWEEN 1 AND 20
+UNION ALL SELECT root, d.doc_id, distance + 1 FROM r JOIN documents d ON d.doc_id // 2 = r.id WHERE d.doc_id > 0) SELECT root, id, distance FROM r"""
+)
+def dag_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _tree(spark, sf)
+    return graph.descendants(edges, nodes.where("id BETWEEN 1 AND 20"))
+
+
+@query(
+    """SELECT doc_id AS id, 'leaf' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id // 2 FROM documents WHERE doc_id > 0)
+UNION ALL SELECT doc_id, 'root' FROM documents WHERE doc_id = 0"""
+)
+def dag_roots_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _tree(spark, sf)
+    side = lambda d, kind: d.select("id", F.lit(kind).alias("kind"))
+    return side(graph.leaves(nodes, edges), "leaf").unionAll(side(graph.roots(nodes, edges), "root"))
+
+
+@query(
+    """WITH e AS (SELECT doc_id // 2 AS src, doc_id AS dst FROM documents WHERE doc_id > 0)
+SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges, CAST(count(*) FILTER (doc_id NOT IN (SELECT dst FROM e)) AS BIGINT) AS roots,
+CAST(count(*) FILTER (doc_id NOT IN (SELECT src FROM e)) AS BIGINT) AS leaves, CAST(count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS with_cmd FROM documents"""
+)
+def dag_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.stats(*_tree(spark, sf))
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT d.doc_id AS id, CASE WHEN l.toxic = 1 THEN 'stale' WHEN d.doc_id % 17 = 0 THEN 'error' ELSE 'fresh' END AS status
+FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+r AS (SELECT id, id AS via, 0 AS k FROM s WHERE status = 'stale' UNION ALL SELECT s.id, r.id, k + 1 FROM r JOIN s ON s.id // 2 = r.id AND s.id > 0),
+f AS (SELECT id, arg_min(via, {a: k, b: via}) AS via, min(k) AS k FROM r GROUP BY id)
+SELECT id, CASE WHEN status = 'fresh' AND k > 0 THEN 'transitive' ELSE status END AS status,
+CASE WHEN status = 'fresh' AND k > 0 THEN 'upstream stale: ' || via ELSE 'none' END AS reason FROM s LEFT JOIN f USING (id)"""
+)
+def transitive_status(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _tree(spark, sf)
+    toxic = _t(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    state = F.when(F.col("toxic") == 1, "stale").when(F.col("id") % 17 == 0, "error").otherwise("fresh")
+    status = nodes.join(toxic, "id", "left").select("id", state.alias("status"), F.lit("none").alias("reason"))
+    return graph.transitive_status(status, edges)
+
+
+def _stages(spark: SparkSession, sf: str):
+    """Stages from documents: an output each, some lost or changed, and a dependency on ``doc_id div 2``."""
+    b = _blobs(spark, sf)
+    name = F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
+    wrong = F.concat(F.lit("0000"), F.substring("md5", 5, 28))
+    stages = b.select(
+        name.alias("path"),
+        F.when(F.col("doc_id") > 0, "make").alias("cmd"),
+        "md5",
+        F.lit(False).alias("side_effect"),
+        F.when(F.col("doc_id") % 13 == 0, "daily").alias("fetch_schedule"),
+        F.when(F.col("doc_id") % 26 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).otherwise(F.lit("2024-01-15").cast("timestamp_ntz")).alias("fetch_last_run"),
+    )
+    declared = F.when(F.col("doc_id") % 11 == 0, wrong).otherwise(F.col("md5"))
+    outs = b.select(name.alias("stage"), F.lit(0).alias("ord"), name.alias("path"), declared.alias("md5"), "size", F.lit(False).alias("is_dir"))
+    files = b.where("doc_id % 9 <> 4").select(name.alias("path"), "md5", F.lit(None).cast("string").alias("error"))
+    up = b.select(F.col("doc_id").alias("_u"), F.when(F.col("doc_id") % 11 == 0, wrong).otherwise(F.col("md5")).alias("_h"))
+    recorded = F.when(F.col("doc_id") % 6 == 1, F.lit("f" * 32)).otherwise(F.col("_h"))
+    deps = b.where("doc_id > 0").join(up, F.expr("doc_id div 2") == F.col("_u")).select(
+        name.alias("stage"), F.lit(0).alias("ord"), F.concat(F.lit("d/"), F.col("_u").cast("string")).alias("dep_path"), recorded.alias("recorded"), F.lit("dep").alias("kind")
+    )
+    extra = b.where("doc_id % 8 = 3").select(
+        name.alias("stage"), F.lit(1).alias("ord"), F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("dep_path"), F.col("md5").alias("recorded"), F.lit("dep").alias("kind")
+    )
+    return stages, outs, deps.unionAll(extra), files
+
+
+_FRESH = f"""WITH b AS ({_BLOBS}), w AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '0000' || substr(md5, 5) ELSE md5 END AS declared FROM b),
+c AS (SELECT doc_id, 1 AS phase, 0 AS ord, 'stale' AS code, 'fetch schedule due' AS reason FROM w WHERE doc_id % 26 = 0
+UNION ALL SELECT doc_id, 2, 0, 'missing', 'output missing' FROM w WHERE doc_id % 9 = 4
+UNION ALL SELECT doc_id, 2, 0, 'stale', 'data changed (' || substr(declared, 1, 8) || '... vs ' || substr(md5, 1, 8) || '...)' FROM w WHERE doc_id % 9 <> 4 AND md5 <> declared
+UNION ALL SELECT doc_id, 3, 0, 'stale', 'dep changed: d/' || doc_id // 2 FROM w WHERE doc_id > 0 AND doc_id % 6 = 1
+UNION ALL SELECT doc_id, 3, 1, 'missing', 'dep missing: raw/' || doc_id FROM w WHERE doc_id % 8 = 3),
+f AS (SELECT doc_id, arg_min(code, {{p: phase, o: ord, r: reason}}) AS code, arg_min(reason, {{p: phase, o: ord, r: reason}}) AS reason FROM c GROUP BY doc_id),
+st AS (SELECT 'd/' || b.doc_id AS stage, f.doc_id IS NULL AS fresh, coalesce(code, 'fresh') AS status, coalesce(reason, 'up-to-date') AS reason FROM b LEFT JOIN f USING (doc_id))"""
+
+
+@query(_FRESH + " SELECT stage, fresh, status, reason FROM st")
+def freshness_status(spark: SparkSession, sf: str) -> DataFrame:
+    stages, outs, deps, files = _stages(spark, sf)
+    return freshness.freshness(stages, outs, deps, files, now=F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), w AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '0000' || substr(md5, 5) ELSE md5 END AS h, md5 FROM b),
+r AS (SELECT d.doc_id, 0 AS ord, 'd/' || u.doc_id AS p, repeat('f', 32) AS e, u.h AS a FROM w d JOIN w u ON u.doc_id = d.doc_id // 2 WHERE d.doc_id > 0 AND d.doc_id % 6 = 1
+UNION ALL SELECT doc_id, 1, 'raw/' || doc_id, md5, '(missing)' FROM w WHERE doc_id % 8 = 3)
+SELECT 'd/' || doc_id AS stage, string_agg(p || '|' || e || '|' || a, ';' ORDER BY ord) AS listing FROM r GROUP BY doc_id"""
+)
+def changed_deps(spark: SparkSession, sf: str) -> DataFrame:
+    _, outs, deps, files = _stages(spark, sf)
+    return freshness.changed_deps(freshness.resolve_deps(deps, outs, files)).select("stage", "listing")
+
+
+@query(_FRESH + " SELECT s.status, coalesce(n, 0) AS n FROM (VALUES ('stale'), ('missing'), ('transitive'), ('error'), ('fresh')) s(status) LEFT JOIN (SELECT status, count(*) AS n FROM st GROUP BY status) c ON c.status = s.status")
+def status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return freshness.status_counts(freshness_status(spark, sf))
+
+
+@query(_FRESH + " SELECT stage, status, reason, CAST(CASE status WHEN 'stale' THEN 1 ELSE 2 END AS BIGINT) AS rank FROM st WHERE status IN ('stale', 'missing')")
+def status_groups(spark: SparkSession, sf: str) -> DataFrame:
+    shown = freshness.visible(freshness_status(spark, sf), scalars.status_names("s,m"))
+    return freshness.grouped_order(shown).select("stage", "status", "reason", "rank")
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))")
+def missing_remote(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf)
+    remote = b.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return transfer.missing(b.select("doc_id", "md5"), remote)
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), r AS (SELECT DISTINCT md5 FROM b JOIN labels USING (doc_id)),
+s AS (SELECT CASE WHEN doc_id % 40 = 0 THEN NULL ELSE b.md5 END AS md5, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE size END AS size FROM b)
+SELECT CASE WHEN s.md5 IS NULL THEN 'error' WHEN r.md5 IS NOT NULL THEN 'cached' ELSE 'missing' END AS state, count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes
+FROM s LEFT JOIN r ON s.md5 = r.md5 GROUP BY 1"""
+)
+def transfer_totals(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf)
+    remote = b.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    outs = b.select(
+        F.col("doc_id").alias("path"),
+        F.when(F.col("doc_id") % 40 != 0, F.col("md5")).alias("md5"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("size")).alias("size"),
+    )
+    return transfer.totals(transfer.transfer_status(outs, remote))
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), r AS (SELECT DISTINCT md5 FROM b WHERE doc_id % 3 = 0), l AS (SELECT DISTINCT md5 FROM b WHERE doc_id % 4 <> 1)
+SELECT DISTINCT b.md5, CASE WHEN l.md5 IS NULL THEN 'unfillable' ELSE 'upload' END AS action FROM b LEFT JOIN l ON b.md5 = l.md5 WHERE b.md5 NOT IN (SELECT md5 FROM r)"""
+)
+def dir_gap_fill(spark: SparkSession, sf: str) -> DataFrame:
+    b = _files(spark, sf)
+    entry = F.concat(F.lit('{"md5": "'), F.col("md5"), F.lit('", "relpath": "'), F.col("relpath"), F.lit('"}'))
+    dirs = b.groupBy(F.col("source").alias("dir_md5")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ", "), F.lit("]")).alias("manifest"))
+    return transfer.gap_fill(transfer.explode_manifests(dirs), b.where("doc_id % 3 = 0"), b.where("doc_id % 4 <> 1"))
+
+
+_URL = r"regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/$', '')"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT 'web/' || {_URL} || '/index.html' AS path FROM pages),
+t AS (SELECT DISTINCT regexp_extract(path, '^web/[^/]+') AS dir_path FROM p UNION SELECT 'web'),
+a AS (SELECT path, dir_path, row_number() OVER (PARTITION BY path ORDER BY length(dir_path) DESC) AS rn FROM p JOIN t ON starts_with(path, dir_path || '/'))
+SELECT path, dir_path, substr(path, length(dir_path) + 2) AS relpath FROM a WHERE rn = 1"""
+)
+def parent_dir_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    inner = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/$", "")
+    files = _t(spark, sf, "pages").select(F.concat(F.lit("web/"), inner, F.lit("/index.html")).alias("path")).distinct()
+    tracked = files.select(F.regexp_extract("path", "^web/[^/]+", 0).alias("dir_path")).unionAll(spark.createDataFrame([("web",)], "dir_path string"))
+    return transfer.parent_directory(files, tracked)
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}) SELECT source || '/' || lang || '/' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN md5 WHEN doc_id % 3 = 1 THEN 'i' || md5 END AS md5 FROM b"""
+)
+def file_in_dir_hash(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf).withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    own = b.where("doc_id % 3 = 0").select("path", "md5", F.lit(False).alias("is_dir"))
+    dirs = b.select("source").distinct().select(F.col("source").alias("path"), F.concat(F.lit("dir-"), "source").alias("md5"), F.lit(True).alias("is_dir"))
+    entries = b.where("doc_id % 3 <= 1").select(
+        F.concat(F.lit("dir-"), "source").alias("dir_md5"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("relpath"), F.concat(F.lit("i"), "md5").alias("md5")
+    )
+    return transfer.file_hash(b.select("path"), own.unionAll(dirs), entries)
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '/' || lang || '/' || doc_id WHEN 1 THEN lang || '/' || doc_id
+WHEN 2 THEN source || '/' || lang || '/' || doc_id ELSE source || '/x/' || doc_id END AS path FROM documents"""
+)
+def path_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    folder, name = F.concat_ws("/", "source", "lang"), F.col("doc_id").cast("string")
+    k = F.col("doc_id") % 4
+    dep = F.when(k == 0, name).when(k == 1, F.concat(F.lit("/"), "lang", F.lit("/"), name)).when(k == 2, F.concat(folder, F.lit("/"), name)).otherwise(F.concat(F.lit("../x/"), name))
+    return d.select("doc_id", paths.resolve(folder, dep).alias("path"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '/' || lang || '/' || doc_id END AS path FROM documents")
+def path_relativize(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    folder, name = F.concat_ws("/", "source", "lang"), F.col("doc_id").cast("string")
+    dep = F.when(F.col("doc_id") % 2 == 0, F.concat(folder, F.lit("/"), name)).otherwise(F.concat("lang", F.lit("/"), name))
+    return d.select("doc_id", paths.relativize(folder, dep).alias("path"))
+
+
+@query("SELECT source || ' ' || lang AS cmd, min('d/' || doc_id) AS first_path, count(*) AS n_outs FROM documents GROUP BY source, lang")
+def co_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    return transfer.co_outputs(d.select(F.concat_ws(" ", "source", "lang").alias("cmd"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path")))
+
+
+def _orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    edited = o.where("o_orderkey % 9 <> 2").withColumn(
+        "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))
+    ).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 0, F.lit(1.5)).otherwise(F.col("o_totalprice")))
+    return o.where("o_orderkey % 8 <> 3"), edited
+
+
+_ORDERS = """a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 8 <> 3),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+CASE WHEN o_orderkey % 10 = 0 THEN 1.5 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 9 <> 2)"""
+
+
+@query(
+    f"""WITH {_ORDERS}, j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'modified' END AS status,
+concat_ws(',', CASE WHEN a.o_custkey IS DISTINCT FROM b.o_custkey THEN 'o_custkey' END, CASE WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'o_orderstatus' END,
+CASE WHEN a.o_totalprice IS DISTINCT FROM b.o_totalprice THEN 'o_totalprice' END) AS changed FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, status, CASE WHEN status = 'modified' THEN changed ELSE '' END AS changed FROM j WHERE status <> 'modified' OR changed <> ''"""
+)
+def row_diff_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.keyed_row_diff(*_orders(spark, sf), ["o_orderkey"])
+
+
+@query(
+    f"""WITH {_ORDERS}, u AS (SELECT o_custkey, o_orderstatus, -1 AS n FROM a UNION ALL SELECT o_custkey, o_orderstatus, 1 FROM b),
+g AS (SELECT o_custkey, o_orderstatus, sum(n) AS n FROM u GROUP BY ALL HAVING sum(n) <> 0)
+SELECT CASE WHEN n > 0 THEN '+' ELSE '-' END AS side, o_custkey, o_orderstatus, CAST(abs(n) AS BIGINT) AS copies FROM g"""
+)
+def row_diff_multiset(spark: SparkSession, sf: str) -> DataFrame:
+    steps = [lambda d: d.select("o_custkey", "o_orderstatus")]
+    return diff.transformed_diff(*_orders(spark, sf), steps, diff.multiset_row_diff)
+
+
+@query(
+    """SELECT * FROM (VALUES ('o_custkey', 'modified', 'bigint', 'string'), ('o_new', 'added', CAST(NULL AS VARCHAR), 'int'), ('o_totalprice', 'removed', 'double', CAST(NULL AS VARCHAR))) t(column_name, status, old_type, new_type)"""
+)
+def schema_diff(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _orders(spark, sf)
+    return diff.schema_diff(a, b.withColumn("o_custkey", F.col("o_custkey").cast("string")).drop("o_totalprice").withColumn("o_new", F.lit(1)))
+
+
+@query(f"WITH {_ORDERS} SELECT (SELECT count(*) FROM a) AS old_rows, (SELECT count(*) FROM b) AS new_rows, (SELECT count(*) FROM b) - (SELECT count(*) FROM a) AS change")
+def rowcount_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.row_count_diff(*_orders(spark, sf))
+
+
+@query(
+    f"""WITH {_ORDERS} SELECT '-' AS side, v FROM (SELECT DISTINCT o_custkey || o_orderstatus AS v FROM a EXCEPT SELECT o_custkey || o_orderstatus FROM b)
+UNION ALL SELECT '+', v FROM (SELECT DISTINCT o_custkey || o_orderstatus AS v FROM b EXCEPT SELECT o_custkey || o_orderstatus FROM a)"""
+)
+def sorted_uniq_diff(spark: SparkSession, sf: str) -> DataFrame:
+    steps = [lambda d: d.select(F.concat(F.col("o_custkey").cast("string"), "o_orderstatus").alias("v"))]
+    return diff.transformed_diff(*_orders(spark, sf), steps, lambda a, b: diff.sorted_unique_diff(a, b, "v"))
+
+
+@query(
+    f"""WITH {_ORDERS}, x AS (SELECT * FROM a ORDER BY o_orderkey LIMIT 20), y AS (SELECT * FROM b ORDER BY o_orderkey LIMIT 20),
+u AS (SELECT *, -1 AS n FROM x UNION ALL SELECT *, 1 FROM y), g AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, sum(n) AS n FROM u GROUP BY ALL HAVING sum(n) <> 0)
+SELECT CASE WHEN n > 0 THEN '+' ELSE '-' END AS side, o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(abs(n) AS BIGINT) AS copies FROM g"""
+)
+def head_n_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.head_diff(*_orders(spark, sf), ["o_orderkey"], 20)
+
+
+@query(
+    """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE doc_id % 10 <> 3),
+e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3),
+b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM e)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, a.line AS old_line, b.line AS new_line FROM a FULL JOIN b USING (doc_id, line_no) WHERE a.line IS DISTINCT FROM b.line"""
+)
+def line_diff(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").where("doc_id % 10 <> 3")
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return diff.positional_line_diff(d.select("doc_id", "text"), d.select("doc_id", edited.alias("text")), "doc_id")
+
+
+@query(None)
+def line_diff_unified(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return diff.line_diff(d.select("doc_id", F.col("text").alias("old"), edited.alias("new")), "doc_id")
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), h AS (SELECT DISTINCT md5 FROM b WHERE doc_id % 3 <> 0)
+SELECT doc_id AS path, CASE WHEN doc_id % 8 = 0 THEN 'NOT_TRACKED' WHEN h.md5 IS NULL THEN 'CACHE_MISSING' ELSE 'OK' END AS status,
+CASE WHEN doc_id % 8 = 0 THEN NULL ELSE b.md5 END AS md5 FROM b LEFT JOIN h ON b.md5 = h.md5"""
+)
+def diff_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf).withColumnRenamed("doc_id", "path")
+    return diff.resolve_side(b.select("path"), b.where("path % 8 <> 0"), b.where("path % 3 <> 0"))
+
+
+@query(
+    """SELECT 'd/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.dvc' ELSE '' END AS stage,
+CASE WHEN doc_id % 5 = 0 THEN 'always' WHEN doc_id % 5 = 1 THEN 'never' ELSE 'auto' END AS "commit",
+CASE WHEN doc_id % 5 = 1 THEN 'each' ELSE 'never' END AS push FROM documents"""
+)
+def config_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("p"))
+    stages = d.select(F.concat("p", F.when(F.col("doc_id") % 2 == 0, ".dvc").otherwise("")).alias("stage"))
+    k = F.col("doc_id") % 5
+    config = d.where("doc_id % 5 <= 1").select(
+        F.concat("p", F.lit(".dvc")).alias("path"), F.when(k == 0, "always").otherwise("never").alias("commit"), F.when(k == 1, "each").alias("push")
+    )
+    return transfer.stage_policy(stages, config)
+
+
+@query(
+    """SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(*) FILTER (doc_id % 6 = 0 OR (doc_id % 6 <> 0 AND doc_id % 4 = 0)) AS BIGINT) AS to_hash FROM documents"""
+)
+def cache_memo(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    files = d.select(F.col("doc_id").alias("path"), F.col("doc_id").cast("double").alias("mtime"), F.col("n_chars").alias("size"), F.lit(1).alias("nfiles"))
+    memo = d.where("doc_id % 6 <> 0").select(
+        F.col("doc_id").alias("path"),
+        F.col("doc_id").cast("double").alias("mtime"),
+        (F.col("n_chars") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).alias("size"),
+        F.lit(1).alias("nfiles"),
+        F.md5("text").alias("md5"),
+        F.lit(1.0).alias("updated_at"),
+    )
+    _, todo = freshness.reuse_hashes(files, memo)
+    return todo.agg(F.count("*").alias("to_hash")).crossJoin(files.agg(F.count("*").alias("files")))  # one row each
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN s IS NULL THEN '?' WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0)
+WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576.0) ELSE printf('%.1f GB', s / 1073741824.0) END AS label
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey * 3 AS BIGINT) * CAST([1, 97, 10007, 1000003][1 + l_linenumber % 4] AS BIGINT) END AS s FROM lineitem)"""
+)
+def format_size(spark: SparkSession, sf: str) -> DataFrame:
+    scale = F.element_at(F.array(*[F.lit(x) for x in (1, 97, 10007, 1000003)]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    size = F.when(F.col("l_linenumber") != 7, F.col("l_partkey") * 3 * scale)
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", scalars.format_size(size).alias("label"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT doc_id, 'd/' || doc_id AS path, row_number() OVER (ORDER BY 'd/' || doc_id) - 1 AS k FROM documents WHERE doc_id < 100)
+SELECT 'node' AS kind, path AS a, CAST(NULL AS VARCHAR) AS b, '  n' || k || '["' || path || '"]' AS line FROM n
+UNION ALL SELECT 'edge', x.path, y.path, '  n' || x.k || ' --> n' || y.k FROM n x JOIN n y ON y.doc_id > 0 AND y.doc_id // 2 = x.doc_id"""
+)
+def dag_mermaid(spark: SparkSession, sf: str) -> DataFrame:
+    from datastrata.plans import render
+
+    nodes, edges = _named_tree(spark, sf)
+    return render.mermaid_lines(nodes, edges)
+
+
+@query(
+    """SELECT string_agg('{"from":"d/' || doc_id // 2 || '","to":"d/' || doc_id || '"}', ',' ORDER BY 'd/' || doc_id // 2, 'd/' || doc_id) AS edges FROM documents WHERE doc_id > 0 AND doc_id < 100"""
+)
+def dag_json(spark: SparkSession, sf: str) -> DataFrame:
+    from datastrata.plans import render
+
+    _, edges = _named_tree(spark, sf)
+    return render.json_edges(edges)
+
+
+def _named_tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The part of the tree that a picture can hold: drawing is a bounded report."""
+    nodes, edges = _tree(spark, sf)
+    name = lambda c: F.concat(F.lit("d/"), F.col(c).cast("string"))
+    return nodes.where("id < 100").select(name("id").alias("id"), "cmd"), edges.where("dst < 100").select(name("src").alias("src"), name("dst").alias("dst"))
+
+
+@query("SELECT doc_id, sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS sha FROM documents")
+def git_blob_sha(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", hashing.git_blob_sha(F.col("text")).alias("sha"))
