@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ SHARE = 20
 _TO = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_ORIGINAL = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+NORMAL_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ORIGINAL = re.compile(NORMAL_WORD)
 
 Item = tuple[str | None, str | None]
 
@@ -165,24 +167,12 @@ def _hits(block: Broadcast, size: int):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document: counts, items and, with one block, the spans in the text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = blocks(benchmark, block_words)
-    first, second = next(parts), next(parts, None)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if second is None:
-        return d.mapInArrow(
-            _report(spark.sparkContext.broadcast(first), size),
-            "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-            f"items array<string>, spans {_RUNS}",
-        )
-    # Many blocks: a scan for each, then the hits of equal texts united. A document's hits are as large as itself.
-    keyed = d.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = keyed.select("key", "text")
+def unite_hits(texts: DataFrame, blocks_: list[list[Item]], more: Iterator[list[Item]], size: int) -> DataFrame:
+    """``(key, text)`` scanned with each block -> ``(key, n_hit, items)`` of the texts with hits. A
+    text's hits are at most as long as itself."""
+    spark = texts.sparkSession
     found = None
-    for block in (first, second, *parts):
+    for block in chain(blocks_, more):
         part = texts.mapInArrow(_hits(spark.sparkContext.broadcast(block), size), f"key string, runs {_RUNS}, items array<string>")
         part = part.groupBy("key").agg(F.first("runs").alias("runs"), F.first("items").alias("items"))
         found = part if found is None else found.unionAll(part)
@@ -190,19 +180,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    zero = F.lit(0).cast("long")
     covered = F.aggregate(
         "runs",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
+        F.struct(zero.alias("n"), zero.alias("to")),
         lambda a, r: F.struct(
-            (a["n"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(a["to"], r["start"]))).alias("n"),
-            F.greatest(a["to"], r["end"]).alias("to"),
+            (a["n"] + F.greatest(zero, r["end"] - F.greatest(a["to"], r["start"]))).alias("n"), F.greatest(a["to"], r["end"]).alias("to")
         ),
         lambda a: a["n"],
     )
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    out = keyed.select("doc_id", "key", n_words.alias("n_words")).join(
-        united.select("key", covered.alias("n_hit"), "items"), "key", "left"
-    )
+    return united.select("key", covered.alias("n_hit"), "items")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row per document: counts, items and, with one block, the spans in the text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = blocks(benchmark, block_words)
+    first, second = next(parts), next(parts, None)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if second is None:
+        return d.mapInArrow(
+            _report(spark.sparkContext.broadcast(first), size),
+            "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+            f"items array<string>, spans {_RUNS}",
+        )
+    # Many blocks: a scan for each, then the hits of equal texts united.
+    keyed = d.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    united = unite_hits(keyed.select("key", "text"), [first, second], parts, size)
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NORMAL_WORD)).cast("long")
+    out = keyed.select("doc_id", "key", n_words.alias("n_words")).join(united, "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), items.alias("items"))
     return out.select(
@@ -238,10 +245,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     first, second = next(parts), next(parts, None)
     if second is None:
         return docs.mapInArrow(_keep(spark.sparkContext.broadcast(first), docs.columns.index("text"), size), docs.schema)
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    by_text = keyed.select(F.xxhash64("__key").alias("doc_id"), "__key", "text")
-    bad = find_contamination(by_text, benchmark, size, block_words).where("contaminated").select("doc_id").distinct()
-    return keyed.join(bad.withColumnRenamed("doc_id", "__bad"), F.xxhash64("__key") == F.col("__bad"), "left_anti").drop("__key")
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text", packed)
+    united = unite_hits(keyed.select("key", "text"), [first, second], parts, size)
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NORMAL_WORD))
+    joined = keyed.join(united, "key", "left").where(~F.coalesce(F.col("n_hit") * SHARE >= n, F.lit(False)))
+    return joined.select("doc.*")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,12 @@ LABELLED: list[tuple[tuple[float, ...], int]] = [
     ((18, 0, 60, 0, 70, 0, 0, 0, 0, 0), 1), ((11, 0, 90, 0, 45, 0, 0, 0, 0, 0), 1), ((4, 0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), 0),
     ((10, 0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), 0), ((25, 0, 6, 0, 40, 0, 0, 0, 0, 0), 1), ((50, 0, 4, 1.0, 8, 0, 1, 0, 0, 0), 0),
     ((28, 0, 0, 0, 60, 0, 1, 0, 0, 0), 0), ((8, 0, 28, 0, 60, 0, 1, 0, 0, 1), 0),
+    # paragraphs before links, and links after paragraphs
+    ((60, 0, 45, 0, 1, 1.0, 0, 0, 0, 0), 1), ((45, 0, 30, 0, 2, 1.0, 0, 0, 0, 0), 1), ((80, 0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), 1),
+    ((1, 1.0, 60, 0, 0, 0, 0, 0, 0, 0), 0), ((2, 1.0, 45, 0, 3, 1.0, 0, 0, 0, 0), 0), ((1, 1.0, 80, 0, 40, 0, 0, 0, 0, 0), 0),
+    ((4, 0.75, 90, 0, 12, 0, 0, 0, 0, 0), 0), ((20, 0.7, 100, 0, 5, 0, 0, 0, 0, 0), 0), ((40, 0, 20, 0.7, 60, 0, 0, 0, 0, 0), 1),
+    ((70, 0.15, 60, 0, 60, 0, 0, 0, 0, 0), 1), ((50, 0.25, 40, 0.1, 80, 0, 0, 0, 0, 0), 1), ((120, 0.3, 60, 0.2, 30, 0, 0, 0, 0, 0), 1),
+    ((2, 1.0, 30, 0, 40, 0, 0, 1, 0, 0), 1), ((50, 0, 12, 0, 3, 1.0, 0, 1, 0, 0), 1), ((15, 0, 2, 1.0, 4, 1.0, 0, 1, 0, 0), 1),
 ]
 
 

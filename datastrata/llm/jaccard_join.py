@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from datastrata.llm.common import release, small_batches, table, written
@@ -55,6 +56,8 @@ PERCENT = 75
 HOT_TOKENS = 250_000
 HOT_COUNT = 8
 LONG_LIST = 20_000
+#: Rounds of linear linking across components before the exact pass.
+LINK_ROUNDS = 2
 #: Ids to broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -124,7 +127,7 @@ _DIGEST = pa.schema(
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    frequent, held, n_held = Frequent(HOT_TOKENS), [], 0
+    frequent, held, n_held = Frequent(HOT_TOKENS), {}, 0  # equal sets count once
     for batch in batches:
         sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         none = pa.nulls(len(sets), pa.int64())
@@ -132,12 +135,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none],
             schema=_DIGEST,
         )
-        held += sets
+        held.update((s.tobytes(), s) for s in sets if len(s))
         n_held += sum(map(len, sets))
         if n_held > 4_000_000:
-            frequent.add(held)
-            held, n_held = [], 0
-    frequent.add(held)
+            frequent.add(list(held.values()))
+            held, n_held = {}, 0
+    frequent.add(list(held.values()))
     keep = frequent.counts >= 2
     tokens = frequent.tokens[keep]
     none = pa.nulls(len(tokens), pa.int64())
@@ -330,6 +333,31 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
+def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (token, sid, n, pos, c) in order of (token, n, pos, sid) -> each with the entry before it that
+    is of another component, if the two can reach the overlap: a pair per entry at most."""
+    held: list[np.ndarray] = []  # the last entry, and the last one of another component than its own
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+        if held:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        token, sid, n, pos, c = cols
+        m = len(token)
+        at = np.arange(m)
+        turn = np.concatenate([[False], c[1:] != c[:-1]])
+        other = np.maximum.accumulate(np.where(turn, at - 1, -1))  # the last entry of the component run before
+        ok = np.maximum(other, 0)
+        fit = (other >= 0) & (token[ok] == token) & (100 * n[ok] >= PERCENT * n)
+        fit &= np.minimum(n - pos, n[ok] - pos[ok]) >= least_overlap(n, n[ok])
+        fit[: len(held[0]) if held else 0] = False
+        a, b = sid[fit], sid[ok[fit]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        keep = [m - 1] if other[-1] < 0 else [int(other[-1]), m - 1]
+        held = [x[keep] for x in cols]
+
+
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on doc_id; the ids are broadcast only if few."""
     side = ids.select(F.col("doc_id").alias("_id")).distinct()
@@ -401,9 +429,17 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     sets = sets_of(stars.select(F.col("a").alias("sid")).unionAll(stars.select(F.col("b").alias("sid"))).distinct(), "sets")
     stars = written(overlaps(stars, sets).where(_similar()), "stars")
     release(spark)
+    stars, sets = _more_links(lists, stars, sets_of, sets)
     roots = components(stars.select("a", "b"))
-    # Groups: each set under its smallest similar leader.
-    group = stars.groupBy(F.col("a").alias("sid")).agg(F.min_by(F.struct("b", "common"), F.struct("n_b", "b")).alias("g"))
+    # Groups: each set under one similar leader, one with many partners.
+    both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
+    degree = both.groupBy(F.col("b").alias("_d")).agg(F.count("*").alias("degree"))
+    rank = F.struct("degree", "b")
+    mine = degree.select(F.col("_d").alias("a"), F.struct("degree", F.col("_d").alias("b")).alias("own"))
+    led = both.join(degree, F.col("b") == F.col("_d")).join(mine, "a").where(F.struct("degree", "b") > F.col("own"))
+    # Leaders are the sets that no partner outranks; the others join their highest partner that leads.
+    below = led.select(F.col("a").alias("_t")).distinct()
+    group = led.join(below, F.col("b") == F.col("_t"), "left_anti").groupBy(F.col("a").alias("sid")).agg(F.max_by(F.struct("b", "common"), rank).alias("g"))
     member = (
         lists.groupBy("sid").agg(F.first("n").alias("n"))
         .join(group, "sid", "left")
@@ -457,6 +493,28 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     return digest, roots
 
 
+def _more_links(lists: DataFrame, stars: DataFrame, sets_of, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that join components, by rounds of one candidate per entry; step 5 finds what these leave."""
+    spark = lists.sparkSession
+    for k in range(LINK_ROUNDS):
+        roots = components(stars.select("a", "b")).withColumnRenamed("id", "sid")
+        placed = lists.join(roots, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
+        mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
+        ordered = placed.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
+        pairs = ordered.mapInArrow(_cross_links, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
+        # The three partners that share most prefix shingles with a set; the others are not given up, see above.
+        w = W.partitionBy("a").orderBy(F.col("k").desc(), "b")
+        pairs = written(pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b"), "round-pairs")
+        more = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+        sets = sets.unionAll(sets_of(more.join(sets.select("sid"), "sid", "left_anti"), "round-sets"))
+        found = written(overlaps(pairs, sets).where(_similar()), "round-links")
+        release(spark)
+        if not found.limit(1).count():
+            break
+        stars = written(stars.unionAll(found).dropDuplicates(["a", "b"]), "stars")
+    return stars, sets
+
+
 def _member_links(open_pairs: DataFrame, stars: DataFrame, links: DataFrame, member: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of groups whose leaders are not similar."""
     roots = components(stars.select("a", "b").unionAll(links)).cache()
@@ -502,11 +560,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     drop = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "drop")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
     twice = written(kept.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "twice")
-    rest = _only(docs, drop, "left_anti")
-    if not twice.limit(1).count():
-        return rest
-    once = _only(rest, twice, "left_semi").dropDuplicates(["doc_id"])
-    return _only(rest, twice, "left_anti").unionByName(once)
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rest = _only(packed, drop, "left_anti")
+    if twice.limit(1).count():
+        rest = _only(rest, twice, "left_anti").unionAll(_only(rest, twice, "left_semi").dropDuplicates(["doc_id"]))
+    return rest.select("doc.*")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

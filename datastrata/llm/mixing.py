@@ -150,9 +150,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     rows = m.withColumn("_n", (F.col("whole") + (F.col("extra") > 0).cast("long")).cast("int")).where("_n > 0")
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     text = F.when(F.col("_i") <= F.col("whole"), F.col("doc.text")).otherwise(part)
-    return rows.select(
-        *[(text if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
-    ).select(*docs.columns)
+    return rows.select(*[(text if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def _listed(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``found``: spans ``struct<s, k, e, kind>`` in order."""
-    d = docs.withColumn("q_text", F.coalesce("text", F.lit("")))
+    """``(doc_id, text)`` with ``base`` and ``found``: spans ``struct<s, k, e, kind>`` in order."""
+    d = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("q_text"))
     # The value is group 2; a match without a long enough one is used up, but no span.
     value = F.regexp_extract_all("q_text", F.lit(ASSIGN), F.lit(2))
     d = d.withColumn("q_values", value).withColumn("q_assign", _matches(F.col("q_text"), ASSIGN))
@@ -136,11 +136,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     hexes = F.filter("q_runs", lambda x: is_hex(x) & high(x, "hex", F.lower(x["m"])))
     others = F.filter("q_runs", lambda x: ~is_hex(x) & mixed(x) & high(x, "base64", x["m"]))
     found = F.array_sort(F.concat("base", _spans("entropy_hex", hexes), _spans("entropy_base64", others)))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "base", found.alias("found"))
+    return d.select("doc_id", "text", "base", found.alias("found"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return d.select(
         "doc_id",

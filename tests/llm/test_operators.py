@@ -1,0 +1,491 @@
+"""Each operator on a small fixture with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from datastrata.llm import (
+    bitpack,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    mixing,
+    quality,
+    secrets,
+    substring_dedup,
+    suffix_tree,
+    token_counts,
+    token_output,
+)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i * 7 % 1009}" for i in range(6000))
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def vocabulary(rnd, n=300):
+    return ["".join(rnd.choice("abcdeéñ") for _ in range(rnd.randint(2, 8))) for _ in range(n)]
+
+
+def fixture_rows():
+    rnd = random.Random(4)
+    vocab = vocabulary(rnd)
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    base = say(120)
+    rows = [(i, say(rnd.randint(1, 90)) + "\n" + say(5), "en", f"src{i % 3}", 0) for i in range(60)]
+    rows += [(100 + i, base, "en", "src0", 0) for i in range(15)]  # copies
+    for i in range(25):  # near copies
+        w = base.split()
+        w[rnd.randrange(len(w))] = "odd" + str(i)
+        rows.append((200 + i, " ".join(w), "en", "src0", 0))
+    rows += [
+        (300, None, "en", "src1", 0), (301, "", None, None, 0), (302, " \n\t ", "en", "src1", 0), (303, LONG, "en", "src2", 0),
+        (None, say(40), "en", "src2", 0), (304, say(30), "en", None, 0), (304, say(30), "en", None, 0), (305, "tie one", "en", "src1", 0),
+        (305, "tie one", "en", "src1", 0), (306, "a b c d e f g h a b c d e f g h", "en", "src1", 0), (307, "é 😀 ñandú", "es", "src1", 0),
+    ]
+    return rows
+
+
+ROWS = fixture_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    d = spark.createDataFrame(ROWS, SCHEMA).repartition(4)
+    for c in ("size", "taken", "doc", "q_text", "_id", "sid", "key", "words", "rid"):  # clashing names
+        d = d.withColumn(c, F.lit("x"))
+    return d.persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def same(found, wanted):
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, wanted), key=repr)
+
+
+# 1 mixing
+
+
+def test_mix_gives_each_source_its_target(docs):
+    got = mixing.mix(docs).select("doc.doc_id", "doc.source", "doc.text", "size", "source_size", "target", "taken").collect()
+    assert len(got) == len(ROWS)
+    by = collections.defaultdict(list)
+    for r in got:
+        assert r["size"] == len(words(r.text)) and 0 <= r.taken <= 3 * r["size"]
+        by[r.source].append(r)
+    total = sum(len(words(r[1])) for r in ROWS)
+    assert abs(sum(rs[0].target for rs in by.values()) - total) < 1e-6
+    for rs in by.values():
+        assert rs[0].source_size == sum(r["size"] for r in rs)
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 0.5
+    # water-filling by its definition
+    names = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    cap = {s: 3 * by[s][0].source_size for s in names}
+    target, free, rest = {}, set(names), total
+    while True:
+        level = rest / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > cap[s]}
+        if not over:
+            break
+        rest -= sum(cap[s] for s in over)
+        free -= over
+        target |= {s: cap[s] for s in over}
+    target |= {s: weight[s] * level for s in free}
+    assert all(abs(target[s] - by[s][0].target) < 1e-6 for s in names)
+
+
+def test_mixed_rows_hold_the_words_taken(docs):
+    taken = sum(r.taken for r in mixing.mix(docs).select("taken").collect())
+    rows = mixing.mixed_rows(docs)
+    assert rows.columns == docs.columns
+    assert sum(len(words(r.text)) for r in rows.collect()) == taken
+
+
+def test_mix_of_nothing(empty):
+    assert mixing.mix(empty).collect() == []
+
+
+# 2 decontamination
+
+BENCH = [(1, " ".join(f"q{i}" for i in range(20))), (2, "short Item, here"), (3, None), (4, " .,"), (None, "nameless item text"), (2, "short item again")]
+
+
+def brute_contamination(text):
+    rule = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    w = re.findall(rule, lower(text))
+    hit, items = set(), set()
+    for name, item in BENCH:
+        q = re.findall(rule, lower(item))
+        for a in range(max(1, len(q) - 12)) if q else ():
+            k = q[a : a + 13]
+            for i in range(len(w) - len(k) + 1):
+                if w[i : i + len(k)] == k:
+                    hit |= set(range(i, i + len(k)))
+                    items |= {str(name)} - {"None"}
+    ids = ",".join(sorted(items))
+    return len(w), len(hit), len(items), hashlib.sha256(ids.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("block", [40_000, 10])
+def test_contamination(spark, docs, block):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    q = BENCH[0][1]
+    extra = [(900, "so " + q.upper() + " yes"), (901, "Short-item: HERE"), (902, " ".join(q.split()[:12])), (903, q + " " + LONG), (904, "nameless item text"), (905, q + " " + q)]
+    d = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = decontaminate.find_contamination(d, bench, block_words=block)
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    same(got.select(cols).collect(), [(i, *brute_contamination(t)) for i, t in [(r[0], r[1]) for r in ROWS] + extra])
+    kept = decontaminate.drop_contaminated(d, bench, block_words=block)
+    same(kept.collect(), [(i, t) for i, t in [(r[0], r[1]) for r in ROWS] + extra if not brute_contamination(t)[-1]])
+
+
+def test_contamination_spans(spark):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    text = "¿é? Short -- item; (here)!"
+    row = decontaminate.find_contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).first()
+    assert [text[s.start : s.end] for s in row.spans] == ["Short -- item; (here"]
+
+
+def test_contamination_of_empty_tables(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_contamination(empty, none).collect() == []
+    assert not any(r.contaminated for r in decontaminate.find_contamination(docs, none).collect())
+
+
+# 3 Jaccard join
+
+
+def brute_components(rows):
+    sets = []
+    for _, text in rows:
+        w = words(lower(text))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= 75 * len(sets[a] | sets[b]):
+            parent[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_tokens": 20, "long_list": 5}])
+def test_components(docs, options):
+    same(jaccard_join.report(docs, **options).collect(), brute_components([(r[0], r[1]) for r in ROWS]))
+
+
+def test_components_of_chains(spark):
+    """Near copies of near copies: linked only through others, across groups and sizes."""
+    rnd = random.Random(9)
+    vocab = vocabulary(rnd)
+    rows, k = [], 0
+    for _ in range(4):
+        w = [rnd.choice(vocab) for _ in range(60)]
+        for _ in range(25):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 2)] = [rnd.choice(vocab) for _ in range(rnd.randint(0, 2))]
+            rows.append((k, " ".join(w)))
+            k += 1
+    got = jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.collect(), brute_components(rows))
+
+
+def test_one_of_each(docs):
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    wanted = collections.Counter(d for d, n, c in brute_components([(r[0], r[1]) for r in ROWS]) if d == c and n == 0)
+    linked = {d for d, n, c in brute_components([(r[0], r[1]) for r in ROWS]) if d == c and n}
+    assert collections.Counter(r.doc_id for r in got.collect()) == wanted + collections.Counter(linked)
+
+
+def test_components_of_nothing(empty):
+    assert jaccard_join.report(empty).collect() == []
+
+
+# 4 secrets
+
+
+def brute_base(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), 0, m.end(), "assign")] * (len(m[2]) >= 8)
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secrets(spark, docs):
+    rnd = random.Random(3)
+    bits = ["token", "Secret", "password", "API_KEY", "=", ":", " ", '"', "'", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef", "deadbeef", "é", "😀", "x9Zq", "\n", "f47ac10b-58cc-4372-a567-0e02b2c3d479"]
+    texts = [(1000 + i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))) for i in range(300)]
+    d = docs.select("doc_id", "text").unionAll(spark.createDataFrame(texts, "doc_id long, text string"))
+    for r in secrets.find_secrets(d).collect():
+        base = brute_base(r.text)
+        assert [(x.s, x.k, x.e, x.kind) for x in r.base] == base
+        assert set(base) <= {(x.s, x.k, x.e, x.kind) for x in r.found}
+
+
+def test_secret_entropy(spark):
+    key, run = "hK3x9ZqL0pW7vB2nT5yR", "abcdefghijklmnopqrstuvwxyzabc"
+    texts = [f"x {key} y", f"x {run} y", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "0f3A9bC47de21586Fb0c", "antidisestablishmentarianismus", f"token={key}"]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[x.kind for x in r.found] for r in got] == [["entropy_base64"], [], [], ["entropy_hex"], [], ["assign"]]
+
+
+def test_window_entropy_is_the_best_window(spark):
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("0123456789abcdef"[: rnd.randint(2, 16)]) for _ in range(rnd.randint(20, 70))) for _ in range(60)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, e in d.select("t", secrets.window_entropy(F.col("t"), secrets.ALPHABETS["hex"])).collect():
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(t[i : i + 20]).values()) for i in range(len(t) - 19))
+        assert abs(e - best) < 1e-9
+
+
+# 5 quality
+
+
+def test_quality_base(docs):
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.report(docs).collect())
+    wanted = collections.Counter()
+    for d, text, *_ in ROWS:
+        w = words(text)
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        twice = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        wanted[d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(twice), len(w) < 20 or 100 * len(twice) > 30 * len(w)] += 1
+    assert got == wanted
+
+
+def test_quality_line_frequency(spark):
+    rnd = random.Random(2)
+    vocab = vocabulary(rnd)
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    note = "Accept all COOKIES  to read on"
+    rows = [(i, note + "\n" + say(15 if i < 5 else 60), "h") for i in range(40)]
+    rows += [(100 + i, "the same line\n" + say(0) + "one two three " * 1 + say(19), "h") for i in range(1)]
+    copy = "only in copies here\n" + say(18)
+    rows += [(200 + i, copy, "h") for i in range(30)]  # equal texts are one document
+    rows += [(300, "accept all cookies to read on\n" + say(15), "other")]  # another host
+    got = {r.doc_id: r.kept for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == set(range(5))
+
+
+def test_quality_filter_keeps_columns(docs):
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    good = collections.Counter(r.doc_id for r in quality.report(docs).where("kept").collect())
+    assert collections.Counter(r.doc_id for r in kept.collect()) == good
+
+
+def test_quality_of_nothing(empty):
+    assert quality.report(empty).collect() == []
+
+
+# 6 passages
+
+
+def test_passages(spark, docs, empty):
+    rnd = random.Random(8)
+    vocab = vocabulary(rnd, 2000)
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    exact, fuzzy, short = say(60), say(90).split(), say(25)
+    edited = fuzzy.copy()
+    for at in (20, 45, 70):
+        edited[at] = "changed"
+    del edited[30]
+    rows = [(1, say(40) + " " + exact + " " + say(30)), (2, exact + " " + say(80)), (3, say(70) + " " + " ".join(fuzzy)), (4, say(20) + " " + " ".join(edited) + " " + say(50))]
+    rows += [(5, say(50) + " " + short), (6, short + " " + say(50)), (7, say(300)), (8, None), (9, "")]
+    rows += [(20 + i, say(20) + " " + exact + " " + say(20)) for i in range(30)]
+    got = {r.doc_id: r for r in substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4, *range(20, 50)}
+    (p,) = got[1].passages
+    assert abs(p.start - 40) <= 3 and abs(p.end - 100) <= 3
+    (p,) = got[4].passages
+    assert abs(p.start - 20) <= 3 and abs(p.end - 109) <= 4 and got[4].twin_id == 3
+    found = {r.doc_id for r in substring_dedup.find_passages(docs).collect()}
+    assert found == {*range(100, 115), *range(200, 225)}
+    assert substring_dedup.find_passages(empty).collect() == []
+
+
+def test_chains_take_the_best_collinear_matches():
+    i = np.array([0, 10, 20, 30, 12, 25])
+    j = np.array([100, 110, 120, 130, 5, 90])
+    best = substring_dedup.chains(i, j)[0]
+    assert [(int(i[k]), int(j[k])) for k in best] == [(0, 100), (10, 110), (20, 120), (30, 130)]
+
+
+def test_edit_distance():
+    rnd = random.Random(0)
+    for _ in range(100):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(9))] for _ in range(2))
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        assert substring_dedup.edit_distance(np.array(a), np.array(b)) == d[-1][-1]
+
+
+# 7 and 8 tokens
+
+ODD = ["", " ", "a  b", "a\n b", "\n", "don't 'S it's", "x<|endoftext|> y", "日本語 テキスト", "é ́ Å ﬁ İSTANBUL ΣΑΣ", "a\x1cb", "a\x85b", "'re x're", "a\r\nb \n\nc", "😀😀 x"]
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    from tokenizers import Tokenizer
+
+    return {n: Tokenizer.from_file(token_output.tokenizer_path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 20, 31])
+def test_packing_round_trip(bits):
+    rnd = np.random.default_rng(bits)
+    for n in (0, 1, 7, 8, 9, 5000):
+        ids = rnd.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32)
+        data = bitpack.pack(ids, bits)
+        assert len(data) == -(-n * bits // 8) and (bitpack.unpack(data, n, bits) == ids).all()
+
+
+def test_token_file_random_access():
+    ids = np.arange(10_000, dtype=np.uint32) % 50_257
+    f = bitpack.TokenFile(bitpack.encode_file(ids, np.array([10, 10, 9000, 10_000]), [5, None, 7, -1], 16, block=64))
+    assert f.doc_ids == [5, None, 7, -1] and (f.ids(100, 777) == ids[100:777]).all()
+    assert (f.document(2) == ids[10:9000]).all() and len(f.document(1)) == 0
+
+
+def test_token_output(spark, docs, empty, libraries):
+    d = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(2000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
+    got = sorted(map(tuple, token_output.token_output(d).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    library = libraries["byte_bpe_50k.json"]
+    want = collections.Counter()
+    for i, t in [(r[0], r[1]) for r in ROWS] + [(2000 + i, t) for i, t in enumerate(ODD)]:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert collections.Counter(g[1:] for g in got) == want
+    at, last = 0, -1
+    for start, doc, n, _ in got:
+        assert start == at and (-1 if doc is None else doc) >= last
+        at, last = at + n, -1 if doc is None else doc
+    assert token_output.token_output(empty).collect() == []
+
+
+def test_token_counts(spark, docs, libraries):
+    d = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(2000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
+    got = token_counts.count_tokens(d, token_output.tokenizer_path("word_bpe_49k.json")).collect()
+    library = libraries["word_bpe_49k.json"]
+    want = []
+    for i, t in [(r[0], r[1]) for r in ROWS] + [(2000 + i, t) for i, t in enumerate(ODD)]:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 2048))
+    same(got, want)
+    assert any(r.over_limit for r in got)
+
+
+def test_prefix_counts_at_every_prefix(libraries):
+    counter = token_counts.PrefixCounter(token_output.tokenizer_path("word_bpe_49k.json"))
+    library = libraries["word_bpe_49k.json"]
+    rnd = random.Random(5)
+    texts = ODD + ["".join(rnd.choice(" \n'abstedlr12,.é") for _ in range(40)) for _ in range(40)] + [ROWS[0][1]]
+    for t in texts:
+        p = token_counts.Prefixes(counter, t)
+        assert [p.count(k) for k in range(len(t) + 1)] == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert p.count(p.truncate(5)) <= 5
+
+
+# 9 language model
+
+
+def test_lm_scores(docs, empty, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "WORD_SHARE", 2e-3)  # so that some words are rare here
+    monkeypatch.setattr(suffix_tree, "CONTEXT_SHARE", 1e-3)
+    d = docs.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1).alias("held_out"), "text")
+    model, counts = suffix_tree.train(d.where("not held_out"))
+    got = suffix_tree.score(d, model, counts).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    tokens = lambda t: words(lower(t)) + [""]
+    c = collections.Counter(w for i, t, *_ in ROWS if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = collections.Counter()
+    for i, t, *_ in ROWS:
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
+        want[i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base, 6)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    x = np.arange(len(model.root))
+    assert len(model.first.contexts) and abs(model.root.sum() - 1) < 1e-9
+    for s in model.first.contexts:
+        assert abs(model.first.prob(np.full(len(x), s), x, model.root).sum() - 1) < 1e-9
+    for k in model.second.contexts:
+        pair = np.full(len(x), model.pairs[k])
+        assert abs(model.prob(x, pair & ((1 << suffix_tree.BITS) - 1), pair).sum() - 1) < 1e-9
+    model, counts = suffix_tree.train(empty)
+    assert suffix_tree.score(empty.select("doc_id", F.lit(True).alias("held_out"), "text"), model, counts).collect() == []
+
+
+def test_lm_learns_what_follows(spark):
+    rnd = random.Random(6)
+    vocab = [f"v{i}" for i in range(40)]
+    text = lambda: " ".join(f"{x} after_{x}" for x in rnd.choices(vocab, k=60))
+    d = spark.createDataFrame([(i, i % 5 == 1, text()) for i in range(200)], "doc_id long, held_out boolean, text string")
+    model, counts = suffix_tree.train(d.where("not held_out"))
+    held = [r for r in suffix_tree.score(d, model, counts).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
+
+
+# 10 pages
+
+
+def test_html(spark):
+    page = (
+        "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Home</a><li><a>More</a></ul></nav>"
+        "<div class='cookie-notice'>We use cookies</div><article><h1>Head &amp; line</h1><p>First <b>bold</b>\n text.<br>New&nbsp;line"
+        "<p>Second &#233; para.<script>var x='</p>';</script></p><ul><li>item</li></ul><section id='comments'><p>Nice article!</p></section>"
+        "<form>Mail <input></form></article><aside><p>Side</p></aside><footer>&copy; 2024</footer></body></html>"
+    )
+    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "just text"), (None, "u", "<p>" + "word " * 30000), (6, "u", "<<< broken <p <a href='x'>"), (1, "u", page)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
+    by = {r.page_id: r for r in got.collect()}
+    assert by[1].text == "Head & line\nFirst bold text. New line\nSecond é para.\nitem"
+    assert by[2].text == by[3].text == "" and by[4].text == "just text" and by[None].n_chars == 30000 * 5 - 1
+    assert all(r.n_chars == len(r.text) for r in by.values()) and got.count() == len(rows)
+
+
+def test_html_tree_fits_its_table():
+    tree = html_extract.Tree()
+    x = np.array([r[0] for r in html_extract.LABELLED], dtype=float)
+    assert (tree.predict(x) == np.array([bool(r[1]) for r in html_extract.LABELLED])).mean() >= 0.95
+
+
+def test_html_without_article(spark):
+    page = "<div><a>Home</a></div><div><a>About us</a></div><h1>A title of the page</h1><p>" + "many words here " * 20 + "</p><p>" + "more words follow " * 15 + "</p><div><a>Next</a></div>"
+    text = html_extract.main_text(page, html_extract.Tree())
+    assert "many words" in text and "more words" in text and "Home" not in text and "Next" not in text
