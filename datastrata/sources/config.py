@@ -21,9 +21,13 @@ class RunConfig:
         return {"commit": self.commit, "push": self.push} | found
 
 
-def load(root: str) -> RunConfig:
-    """The first that exists of ``.dvx/config.yml`` and ``dvx.yml``; else the defaults."""
-    for name in (".dvx/config.yml", "dvx.yml"):
+#: Where a configuration is looked for; pass other names to read existing repositories.
+NAMES = (".datastrata/config.yml", "run.yml")
+
+
+def load(root: str, names: tuple[str, ...] = NAMES) -> RunConfig:
+    """The first configuration that exists; else the defaults."""
+    for name in names:
         path = os.path.join(root, name)
         if os.path.exists(path):
             import yaml

@@ -220,7 +220,7 @@ def test_transfer(spark):
 
 def test_config(tmp_path):
     assert config.load(str(tmp_path)).of("x") == {"commit": "auto", "push": "never"}
-    (tmp_path / "dvx.yml").write_text("run:\n  commit: always\n  push: end\n  stages:\n    deploy.dvc: {push: each}\n    import: {commit: never}\n")
+    (tmp_path / "run.yml").write_text("run:\n  commit: always\n  push: end\n  stages:\n    deploy.dvc: {push: each}\n    import: {commit: never}\n")
     c = config.load(str(tmp_path))
     assert c.of("deploy") == {"commit": "always", "push": "each"} and c.of("import.dvc") == {"commit": "never", "push": "end"}
 
