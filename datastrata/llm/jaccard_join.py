@@ -57,7 +57,7 @@ HOT_TOKENS = 250_000
 HOT_COUNT = 8
 LONG_LIST = 20_000
 #: Rounds of linear linking across components before the exact pass.
-LINK_ROUNDS = 2
+LINK_ROUNDS = 3
 #: Ids to broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -238,8 +238,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([set_id(s) for s in found], pa.int64()),
                 pa.array([len(s) for s in found], pa.int32()),
                 pa.array([s.tobytes() for s in found], pa.binary()),
+                pa.array([np.sort(s.astype(np.uint16)).tobytes() for s in found], pa.binary()),
             ],
-            names=["sid", "n", "tokens"],
+            names=["sid", "n", "tokens", "short"],
         )
 
 
@@ -255,17 +256,34 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact intersection sizes of distinct pairs ``(a, b)``: ``(a, b, common, n_a, n_b)``."""
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Multiset intersections of tokens cut to 16 bits: equal tokens stay equal, so never less than the real ones."""
+    for batch in batches:
+        most = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            u, k = np.unique(np.frombuffer(x, np.uint16), return_counts=True)
+            v, m = np.unique(np.frombuffer(y, np.uint16), return_counts=True)
+            _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+            most.append(int(np.minimum(k[i], m[j]).sum()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(most, pa.int64()), batch.column(4), batch.column(5)],
+            names=["a", "b", "common", "n_a", "n_b"],
+        )
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame:
+    """Intersection sizes of distinct pairs ``(a, b)``: ``(a, b, common, n_a, n_b)``; if not exact, upper
+    bounds from a quarter of the bytes."""
+    column, how = ("tokens", _overlaps) if exact else ("short", _bounds)
     pairs = written(pairs, "pairs")
     ids = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "_id")
     if pairs.count() <= BROADCAST_IDS // 2:
         sets = sets.join(F.broadcast(ids), F.col("sid") == F.col("_id"), "left_semi")
-    a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("n_a"))
-    b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("n_b"))
+    a = sets.select(F.col("sid").alias("a"), F.col(column).alias("x"), F.col("n").alias("n_a"))
+    b = sets.select(F.col("sid").alias("b"), F.col(column).alias("y"), F.col("n").alias("n_b"))
     # The leaders (b) have many partners: their sets come to the pairs last.
     wide = pairs.join(a, "a").join(b, "b")
-    return wide.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(_overlaps, "a long, b long, common long, n_a int, n_b int")
+    return wide.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(how, "a long, b long, common long, n_a int, n_b int")
 
 
 def _similar() -> Column:
@@ -423,7 +441,7 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         """Hashes of the sets of these ids, read from their texts."""
         wanted = written(digest.join(ids, "sid", "left_semi").select("doc_id").distinct(), "wanted")
-        found = _only(texts, wanted, "left_semi").select("text").mapInArrow(_sets, "sid long, n int, tokens binary").where("n > 0")
+        found = _only(texts, wanted, "left_semi").select("text").mapInArrow(_sets, "sid long, n int, tokens binary, short binary").where("n > 0")
         return written(found.dropDuplicates(["sid"]) if again else found, name)
 
     sets = sets_of(stars.select(F.col("a").alias("sid")).unionAll(stars.select(F.col("b").alias("sid"))).distinct(), "sets")
@@ -470,7 +488,10 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     more = written(more.join(sets.select("sid"), "sid", "left_anti"), "more-sets")
     if more.limit(1).count():
         sets = sets.unionAll(sets_of(more, "sets-of-groups"))
-    known = written(overlaps(pairs, sets), "known")
+    # Bounds first; the exact sizes of what may be similar. The others' bounds are enough for what follows.
+    bound = written(overlaps(pairs, sets, exact=False), "bounds")
+    near = overlaps(bound.where(_similar()).select("a", "b"), sets)
+    known = written(bound.where(~_similar()).unionAll(near), "known")
     links = known.where(_similar()).select("a", "b")
     # What is left: no link of the leaders, but their members may reach.
     groups = member.groupBy("g").agg(F.min("n").alias("low"), F.max("apart").alias("apart"))
@@ -507,7 +528,8 @@ def _more_links(lists: DataFrame, stars: DataFrame, sets_of, sets: DataFrame) ->
         pairs = written(pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b"), "round-pairs")
         more = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
         sets = sets.unionAll(sets_of(more.join(sets.select("sid"), "sid", "left_anti"), "round-sets"))
-        found = written(overlaps(pairs, sets).where(_similar()), "round-links")
+        likely = overlaps(pairs, sets, exact=False).where(_similar()).select("a", "b")
+        found = written(overlaps(likely, sets).where(_similar()), "round-links")
         release(spark)
         if not found.limit(1).count():
             break
