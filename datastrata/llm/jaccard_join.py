@@ -122,7 +122,7 @@ class Frequent:
 
 
 _DIGEST = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64()), ("count", pa.int64())]
+    [("doc_id", pa.int64()), ("text_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64()), ("count", pa.int64())]
 )
 
 
@@ -132,7 +132,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         none = pa.nulls(len(sets), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none],
             schema=_DIGEST,
         )
         held.update((s.tobytes(), s) for s in sets if len(s))
@@ -144,7 +144,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = frequent.counts >= 2
     tokens = frequent.tokens[keep]
     none = pa.nulls(len(tokens), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens), pa.array(frequent.counts[keep])], schema=_DIGEST)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens), pa.array(frequent.counts[keep])], schema=_DIGEST)
 
 
 def _prefixes(order: Broadcast):
@@ -385,13 +385,14 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
-    """``(digest, roots)``: rows ``(doc_id, n, sid)`` of documents, and ``(id, root)`` of the
+    """``(digest, roots)``: rows ``(doc_id, text_id, n, sid)`` of documents, and ``(id, root)`` of the
     sets that are linked with another set and are not the root themselves."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = written(d.mapInArrow(_digest, "doc_id long, n long, sid long, token long, count long"), "digest")
-    digest = both.where("token IS NULL").select("doc_id", "n", "sid")
+    hashed = d.withColumn("text_id", F.xxhash64("text"))
+    both = written(hashed.mapInArrow(_digest, "doc_id long, text_id long, n long, sid long, token long, count long"), "digest")
+    digest = both.where("token IS NULL").select("doc_id", "text_id", "n", "sid")
     # Classes of equal sets: all documents but one drop out.
     classes = digest.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("k"))
     extra = (
@@ -577,15 +578,32 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of every component; wordless ones stay."""
-    found = written(report(docs.select("doc_id", "text"), **options), "components-of-docs")
-    drop = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "drop")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    twice = written(kept.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "twice")
-    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rest = _only(packed, drop, "left_anti")
-    if twice.limit(1).count():
-        rest = _only(rest, twice, "left_anti").unionAll(_only(rest, twice, "left_semi").dropDuplicates(["doc_id"]))
+    """``docs`` with one document of every component: of smallest doc_id, nulls last, then of least text hash.
+
+    A document is a doc_id and a text, so others of the same doc_id, or without one, are untouched. Equal
+    documents are kept once; wordless ones all stay."""
+    digest, roots = find_components(docs.select("doc_id", "text"), **options)
+    placed = digest.where("n > 0").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
+    placed = written(placed.select("doc_id", "text_id", F.coalesce("root", "sid").alias("root")), "placed")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
+    best = placed.groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.doc_id").alias("_d"), F.col("x.text_id").alias("_t"))
+    best = written(best, "best")
+
+    def of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")), how)
+
+    def keys_of(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        found = written(rows.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")), name)
+        n = found.count()
+        return (F.broadcast(found) if n <= BROADCAST_IDS else found), n
+
+    counts = placed.groupBy("doc_id", "text_id").agg(F.count("*").alias("k"))
+    drop, _ = keys_of(of(counts, best, "left_anti"), "drop")
+    twice, again = keys_of(of(counts.where("k > 1"), best, "left_semi"), "twice")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rest = of(packed, drop, "left_anti")
+    if again:
+        rest = of(rest, twice, "left_anti").unionAll(of(rest, twice, "left_semi").dropDuplicates(["doc_id", "text_id"]))
     return rest.select("doc.*")
 
 

@@ -227,6 +227,23 @@ def test_one_of_each(docs):
     assert collections.Counter(r.doc_id for r in got.collect()) == wanted + collections.Counter(linked)
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    rnd = random.Random(12)
+    vocab = vocabulary(rnd)
+    say = lambda: " ".join(rnd.choice(vocab) for _ in range(60))
+    copied, alone, other, near, no_id = say(), say(), say(), say(), say()
+    nearly = near.rsplit(" ", 1)[0] + " odd"
+    rows = [(None, copied), (1, copied), (None, alone), (None, other), (2, say()), (2, nearly), (3, say()), (3, say())]
+    rows += [(1, near), (4, say()), (4, rows[4][1]), (5, None), (5, None), (None, no_id), (None, no_id), (6, "tie"), (6, "TIE")]
+    kept = {i: rows[i] for i in range(len(rows))}
+    for gone in (0, 5, 10, 14):  # a copy of 1; near 1; a copy of 2's; a repeated row
+        del kept[gone]
+    got = collections.Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    ties = [k for k in got if k[0] == 6]
+    assert len(ties) == 1 and got[ties[0]] == 1  # one set, so one of the two
+    assert got - collections.Counter(ties) == collections.Counter(r for r in kept.values() if r[0] != 6)
+
+
 def test_components_of_nothing(empty):
     assert jaccard_join.report(empty).collect() == []
 
