@@ -152,9 +152,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected ones, all columns as they are."""
     packed = docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     # Written before the filter: pushed below the projections it would repeat them many times over.
-    scored = written(base_metrics(packed).drop("text"), "quality-docs").where(~F.col("q_base_failed"))
+    scored = written(base_metrics(packed).drop("text"), "quality-docs")
+    # Frequencies are over all documents, failed ones too, as in the report.
     gone = written(depleted(scored), "quality-depleted")
-    return scored.join(gone, _is(gone), "left_anti").select("doc.*")
+    return scored.where(~F.col("q_base_failed")).join(gone, _is(gone), "left_anti").select("doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

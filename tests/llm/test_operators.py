@@ -324,6 +324,18 @@ def test_quality_filter_keeps_columns(docs):
     assert collections.Counter(r.doc_id for r in kept.collect()) == good
 
 
+def test_quality_filter_counts_lines_of_failing_documents(spark):
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    note = "accept all cookies to read on"
+    rows = [(i, note + "\n" + say(16), "h") for i in range(8)]  # 22 words, 16 without the note
+    rows += [(100 + i, note + "\n" + say(5), "h") for i in range(30)]  # these fail on their own
+    rows += [(200 + i, say(40), "h") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in quality.keep_good(d).collect()}
+    assert kept == {r.doc_id for r in quality.report(d).where("kept").collect()} == set(range(200, 205))
+
+
 def test_quality_of_nothing(empty):
     assert quality.report(empty).collect() == []
 
