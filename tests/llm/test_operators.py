@@ -366,6 +366,20 @@ def test_passages(spark, docs, empty):
     assert substring_dedup.find_passages(empty).collect() == []
 
 
+def test_passages_whose_parts_are_common(spark):
+    """Each seed's first and last documents hold a part only; the whole is in 5 and 6, twice in 6."""
+    rnd = random.Random(15)
+    say = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    one, two = say(30), say(30)
+    rows = [(5, say(40) + " " + one + " " + two + " " + say(20)), (6, " ".join([say(10), one, two, say(70), one, two, say(10)]))]
+    rows += [(i, " ".join([say(30), s, say(30)])) for i, s in ((1, one), (100, one), (2, two), (200, two))]
+    # Parts end where others begin, so no seed at the border is left to 5 and 6 alone.
+    rows += [(i, " ".join([say(30), *(one + " " + two).split()[20:42], say(30)])) for i in (3, 300)]
+    got = {r.doc_id: r for r in substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: [(p.start, p.end) for p in r.passages] for k, r in got.items()} == {5: [(40, 100)], 6: [(10, 70), (140, 200)]}
+    assert (got[5].twin_id, got[6].twin_id) == (6, 5)
+
+
 def test_chains_take_the_best_collinear_matches():
     i = np.array([0, 10, 20, 30, 12, 25])
     j = np.array([100, 110, 120, 130, 5, 90])
