@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datastrata.operators.transfer import parent_directory
 from datastrata.runtime import cut
 
 
@@ -24,10 +25,13 @@ def edges_of(deps: DataFrame, kinds: tuple[str, ...] = ("dep",)) -> DataFrame:
 
 
 def attach_producers(edges: DataFrame, outs: DataFrame) -> DataFrame:
-    """Edges on files rewritten to the stages that make them: by output path, then by parent folder."""
+    """Edges on files rewritten to the stages that make them: by output path, then by nearest tracked folder."""
     direct = outs.select(F.col("path").alias("src"), F.col("stage").alias("_by"))
-    joined = edges.join(direct, "src", "left")
-    return joined.withColumn("src", F.coalesce("_by", "src")).drop("_by")
+    folders = outs.select(F.col("path").alias("dir_path"), F.col("stage").alias("_of"))
+    lone = edges.select("src").distinct().join(direct.select("src"), "src", "left_anti").withColumnRenamed("src", "path")
+    inside = parent_directory(lone, folders).join(folders, "dir_path").select(F.col("path").alias("src"), "_of")
+    joined = edges.join(direct, "src", "left").join(inside, "src", "left")
+    return joined.withColumn("src", F.coalesce("_by", F.when(F.col("_of") != F.col("dst"), F.col("_of")), "src")).drop("_by", "_of")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:

@@ -304,3 +304,19 @@ def test_arrivals(spark, tmp_path):
     for _ in range(2):
         watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert [r.md5 for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["39a870a194a787550b6b5d1f49629236"]
+
+
+def test_graph_finds_the_folder_of_a_dependency(spark, tmp_path):
+    root = tmp_path / "folders"
+    c = Catalog.create(spark, str(root))
+    for f in ("data/a.txt", "data/sub/b.txt", "out.txt", "free.txt"):
+        os.makedirs(os.path.dirname(root / f), exist_ok=True)
+        (root / f).write_text(f)
+    c.track("data")
+    c.track("data/sub")
+    c.track("out.txt", cmd="make", deps=["data/a.txt", "data/sub/b.txt", "free.txt"])
+    _, edges = c.graph()
+    assert {tuple(r) for r in edges.collect()} == {("data", "out.txt"), ("data/sub", "out.txt"), ("free.txt", "out.txt")}
+    (root / "data/new.txt").write_text("more")  # no file that out.txt names
+    got = {r.path: r.status for r in c.status().collect()}
+    assert got["data"] == "stale" and got["out.txt"] == "transitive"
