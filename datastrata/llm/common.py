@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -67,18 +66,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark removes a query's shuffle files as the query ends; used where its rows are written, so none is read again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
+    """Cut lineage: write ``df`` to the shared folder and read it back. ``free`` takes it away again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles nothing refers to any more, so their files go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``written`` made and nothing lazy reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df.scratch)
 
 
 def words(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datastrata.llm.common import written
+from datastrata.llm.common import free, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,17 +31,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``(a, b)`` links -> ``(id, root)`` for every id that has a link to another; the
     root is the smallest id of the component, and not listed under itself."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = written(edges, name)
     mark = None
-    for _ in range(max_rounds):
+    while True:  # every round but the last lowers the ends of some edge
         step = _small_star(_large_star(edges)).where("u <> v").distinct()
-        edges = written(step, name)
+        before, edges = edges, written(step, name)
+        free(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
+        if now == mark or not now[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         mark = now
-    raise RuntimeError("components did not settle")
+
+
+def extended(roots: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """Components of what ``roots`` are the components of, with some more links: only the roots are joined anew."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    top = components(between, name)
+    moved = roots.join(top.select(F.col("id").alias("_id"), F.col("root").alias("_root")), F.col("root") == F.col("_id"), "left")
+    return written(moved.select("id", F.coalesce("_root", "root").alias("root")).unionAll(top), name)

@@ -5,27 +5,29 @@ listing the pairs within a group. Steps, each over all documents:
 
 1. Digest. A text's set is the sorted 64-bit hashes of its word 5-grams. Documents of equal
    set are one class; only one text of a class goes on.
-2. Order. Each task keeps counts of the shingles that repeat in its documents, at most
-   ``HOT_TOKENS``. The most frequent of them come last in the order of shingles, so the
-   prefix that any similar pair must share avoids common passages. Any order is right; a
-   shingle missing from the list only makes a list longer, and lists longer than
-   ``LONG_LIST`` put their shingle on it and repeat the step.
-3. Index. Prefix shingles are partitioned and sorted by (shingle, size, position); lists of
-   one set are dropped on the way. While a list streams by, each set is paired with the
-   list's leading set of fitting size: as many pairs as entries.
-4. Those pairs are checked exactly. A set joins the group of its smallest similar
-   leader, and components of these links are found.
-5. Across components. What is known of a leader bounds its group: for x with leader L,
-   ``|x & z| <= |L & z| + |x - L|``. Lists are reduced to their groups, those of one
-   component skipped, and pairs of groups found by block-skipping: the entries of
-   one size are ordered by position, and the rest of a block is skipped at the first that
-   cannot reach the overlap. The leaders of a pair are intersected exactly. If they are similar the
-   components are linked; if the bound with the groups' largest differences cannot reach
-   the threshold no member can; only for the others are members paired, each pair first bounded by
-   its own differences, then intersected.
-
-Nothing is lost: a similar pair shares a prefix shingle, so it is in step 3's pairs, or in
-one component, or in a pair of groups of step 5.
+2. Sieve. Of sets that are similar, the first ``p`` shingles in any one order share one, and the first
+   ``p + l - 1`` share ``l``. In order of hash, each set sends that sample; shingles that two sets have are credited to
+   them, and only sets with ``l`` credits or more go on, ``l`` being that of the smallest set they could be similar to. Most
+   texts end here. What repeats within a task is credited there and sent once, so a passage in a third of
+   all texts is one row a task.
+3. Order. All shingles of the sets that are left are counted, and ordered by count, then hash: those of one set
+   first, common passages last. Any order is right, this one leaves the fewest pairs. Shingles that
+   tasks have seen ``HOT_COUNT`` times or more, at most ``HOT_TOKENS`` of them, are broadcast with that count and not
+   counted anew, so no task counts a passage in a third of all texts.
+4. Lists. Prefix shingles are partitioned and sorted by (shingle, size, position), lists longer than
+   ``LONG_LIST`` in parts; lists of one set are dropped. While a list streams by, each set is paired with the
+   leading set of fitting size: as many pairs as entries. These are intersected exactly. Components of the links
+   are found; then, in rounds, each entry is paired with the nearest one before it of another component, until
+   no link is found or ``LINK_ROUNDS`` are over.
+5. Across components. Each set is in the group of a similar leader. Lists of two components or more are reduced to groups, and pairs of groups
+   are found by block-skipping: the entries of one size are ordered by position, and the rest of a block
+   is skipped at the first that cannot reach the overlap. The leaders of a pair are intersected. What is known of them
+   bounds their groups: for x with leader L, ``|x & z| <= |L & z| + |x - L|``. Where that excludes nothing, the answers
+   of the members are derived from those of the leaders by the shingles in which they differ,
+   ``|x & z| = |L & z| - |(L - x) & z| + |(x - L) & z|``, in pieces of ``PIECE`` members, and a row comes out only for a link.
+
+Nothing is lost: sets that are similar share ``l`` shingles of their samples, then one of their prefixes, so a similar pair is in
+one component after step 4, or in a pair of groups of step 5.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer
 words than five make one shingle; equal rows share a class; rows of equal doc_id and
@@ -46,20 +48,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from datastrata.llm.common import release, small_batches, table, written
-from datastrata.llm.components import components
+from datastrata.llm.common import free, small_batches, table, written
+from datastrata.llm.components import components, extended
 
 SHINGLE = 5
 #: Similarity: at least ``PERCENT`` hundredths.
 PERCENT = 75
+#: A set's sample has ``1 / SAMPLE`` more shingles than its prefix.
+SAMPLE = 3
 #: Bound of a task's counts and of the broadcast order: 4 MB.
 HOT_TOKENS = 250_000
-HOT_COUNT = 8
-LONG_LIST = 20_000
-#: Rounds of linear linking across components before the exact pass.
-LINK_ROUNDS = 3
-#: Ids to broadcast at most (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+HOT_COUNT = 1000
+LONG_LIST = 5_000
+LINK_ROUNDS = 8
+#: Members of a group that one row carries.
+PIECE = 32
+#: Ids to broadcast at most (24 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
+_FLUSH = 4_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -96,6 +102,11 @@ def prefix_length(n: int) -> int:
     return n - -(-n * PERCENT // 100) + 1
 
 
+def extra_length(n):
+    """By how much a set's sample is longer than its prefix: samples of similar sets share one more than the less of theirs."""
+    return (prefix_length(n) - 1) // SAMPLE
+
+
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int):
     """Intersection that sets of these sizes need."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -121,65 +132,144 @@ class Frequent:
             self.tokens, self.counts = self.tokens[keep], self.counts[keep] - cut
 
 
-_DIGEST = pa.schema(
-    [("doc_id", pa.int64()), ("text_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64()), ("count", pa.int64())]
-)
+def _pack(names: str, *parts: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows from columns; a scalar stands for all rows of its part, None for null."""
+    for part in parts:
+        m = next(len(x) for x in part if isinstance(x, (np.ndarray, list, pa.Array)))
+        if m:
+            yield pa.RecordBatch.from_arrays(
+                [x if isinstance(x, pa.Array) else pa.nulls(m, pa.int64()) if x is None else pa.array(np.full(m, x) if np.isscalar(x) else x, pa.int64()) for x in part],
+                names=names.split(),
+            )
+
+
+#: Kinds of rows of the sieve: a document, credits of a set, a shingle credited in its task, one that is not, a count.
+DOCUMENT, CREDITS, CREDITED, ENTRY, COUNT = range(5)
+_SIEVE = "key sid kind doc_id n"
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, text_id) -> rows of the sieve, the shingles' by key and the others' anywhere."""
+    frequent = Frequent(HOT_TOKENS)
+    held: dict[int, np.ndarray] = {}
+    size = 0
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        ids = np.fromiter(held, np.int64, len(held))
+        sample = [s[: prefix_length(len(s)) + extra_length(len(s))] for s in held.values()]
+        owner = np.repeat(np.arange(len(ids)), [len(s) for s in sample])
+        tokens, at, count = np.unique(np.concatenate(sample), return_inverse=True, return_counts=True)
+        again = count[at] > 1
+        credits = np.bincount(owner[again], minlength=len(ids))
+        some = credits > 0
+        yield from _pack(
+            _SIEVE,
+            (ids[some], ids[some], CREDITS, None, credits[some]),
+            (tokens[count > 1], 0, CREDITED, None, 0),
+            (tokens[at[~again]], ids[owner[~again]], ENTRY, None, 0),
+        )
+        frequent.add(list(held.values()))
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    frequent, held, n_held = Frequent(HOT_TOKENS), {}, 0  # equal sets count once
     for batch in batches:
         sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), none, none],
-            schema=_DIGEST,
-        )
-        held.update((s.tobytes(), s) for s in sets if len(s))
-        n_held += sum(map(len, sets))
-        if n_held > 4_000_000:
-            frequent.add(list(held.values()))
-            held, n_held = {}, 0
-    frequent.add(list(held.values()))
-    keep = frequent.counts >= 2
-    tokens = frequent.tokens[keep]
-    none = pa.nulls(len(tokens), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens), pa.array(frequent.counts[keep])], schema=_DIGEST)
+        ids = [set_id(s) for s in sets]
+        if sets:
+            yield from _pack(_SIEVE, (batch.column(2), ids, DOCUMENT, batch.column(0), [len(s) for s in sets]))
+        for i, s in zip(ids, sets):
+            if len(s) and i not in held:
+                held[i] = s
+                size += len(s)
+        if size > _FLUSH:
+            yield from flush()
+            held, size = {}, 0
+    yield from flush()
+    keep = frequent.counts >= 8
+    yield from _pack(_SIEVE, (frequent.tokens[keep], 0, COUNT, None, frequent.counts[keep]))
+
+
+def _credited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the sieve in order of (key, kind, sid) -> documents, counts, and credits by set. Of the last shingle only
+    one row waits for the next batch: an entry not yet credited, or that the shingle is."""
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    held: tuple[int, int, bool] | None = None
+    for batch in batches:
+        kind = batch.column(2).to_numpy()
+        through = np.flatnonzero(np.isin(kind, (DOCUMENT, CREDITS, COUNT)))
+        if len(through):
+            yield batch.take(pa.array(through))
+        own = (kind == CREDITED) | (kind == ENTRY)
+        key, sid, mark = batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own], kind[own] == CREDITED
+        if held is not None:
+            key, sid, mark = np.r_[held[0], key], np.r_[held[1], sid], np.r_[held[2], mark]
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+        several = np.logical_or.reduceat(mark, first)
+        several |= np.minimum.reduceat(np.where(mark, most, sid), first) < np.maximum.reduceat(np.where(mark, least, sid), first)
+        repeated = np.r_[False, (key[1:] == key[:-1]) & (sid[1:] == sid[:-1]) & ~mark[:-1]]
+        ids, n = np.unique(sid[several[run] & ~mark & ~repeated], return_counts=True)
+        yield from _pack(_SIEVE, (ids, ids, CREDITS, None, n))
+        held = (int(key[-1]), int(sid[-1]), bool(several[-1]))
 
 
-def _prefixes(order: Broadcast):
-    """Rows (token, sid, n, pos) of each text's prefix; the hot tokens come last, rarest first."""
+def _tokens(order: Broadcast):
+    """Rows (key, token, sid, n, df) of all shingles of texts: df and the set as key for frequent ones, else 0 and the shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = order.value
+        hot, count = order.value
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingles(text)
-                n = len(s)
-                if not n:
-                    continue
-                sid, p = set_id(s), prefix_length(n)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    late = hot[at] == s
-                    if late.any():
-                        s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]], kind="stable")]])
-                cols[0].append(s[:p])
-                cols[1].append(np.full(p, sid))
-                cols[2].append(np.full(p, n))
-                cols[3].append(np.arange(p))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])],
-                    names=["token", "sid", "n", "pos"],
-                )
+            sets = [s for t in batch.column(0).cast(pa.binary()).to_pylist() if len(s := shingles(t))]
+            if not sets:
+                continue
+            n = [len(s) for s in sets]
+            token, sid = np.concatenate(sets), np.repeat(np.array([set_id(s) for s in sets]), n)
+            df, key = np.zeros(len(token), np.int64), token
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                known = hot[at] == token
+                df[known] = count[at[known]]
+                key = np.where(known, sid, token)
+            yield from _pack("key token sid n df", (key, token, sid, np.repeat(n, n), df))
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, token, sid) -> those of shingles of two sets or more, with the number of sets."""
+    held: list[np.ndarray] | None = None
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, sid, n = cols
+        if not len(token):
+            return
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        df = np.diff(np.r_[first, len(token)])
+        df = np.repeat(df, df)
+        yield from _pack("sid token n df", (sid[df > 1], token[df > 1], n[df > 1], df[df > 1]))
+
+    for batch in batches:
+        key, token, sid, n, df = (batch.column(k).to_numpy() for k in range(5))
+        known = df > 0
+        yield from _pack("sid token n df", (sid[known], token[known], n[known], df[known]))
+        cols = [x[~known] for x in (token, sid, n)]
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(np.cumsum(cols[0][::-1] != cols[0][-1]), 1))  # rows of the last shingle: it may go on
+        cut = len(cols[0]) - cut
+        held = [x[cut:] for x in cols]
+        yield from out([x[:cut] for x in cols])
+    if held is not None:
+        yield from out(held)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in order of (token, n, pos, sid) -> those of lists of two sets or more, each with its
+    """Entries (list, sid, n, pos, token, part) in order of (list, n, pos, sid) -> those of lists of two sets or more and of
+    parts of lists, each with its
     leader if the two can reach the overlap from here on, else with itself. A list of two
     that cannot is dropped. The last entry waits for what follows it, with its leader and
     the number of entries of its list before it; nothing else is kept between batches."""
@@ -188,18 +278,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = 0
 
     def out(cols: list[np.ndarray], leader: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(c[keep], t) for c, t in zip([*cols, leader], types)], names=["token", "sid", "n", "pos", "lead"]
+            [pa.array(c[keep], t) for c, t in zip([cols[4], *cols[1:4], leader], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
+            names=["token", "sid", "n", "pos", "lead"],
         )
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
         if last is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
-        token, sid, n, pos = cols
+        token, sid, n, pos, _, part = cols
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.concatenate([first, [len(token)]]))
         run = np.repeat(np.arange(len(first)), length)
@@ -216,8 +306,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x, y in zip(leads, now):
                     x[i] = y
         can = np.minimum(n - pos, leads[1] - leads[2]) >= least_overlap(n, leads[1])
-        keep = length[run] > 1
-        two = first[:-1][length[:-1] == 2]
+        keep = (length[run] > 1) | (part > 0)
+        two = first[:-1][(length[:-1] == 2) & (part[first[:-1]] == 0)]
         if before:
             two = two[two > 0]
         lost = two[~can[two + 1]]
@@ -225,7 +315,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[-1] = False
         yield out(cols, np.where(can, leads[0], sid), keep)
         last, lead, before = [c[-1:] for c in cols], [int(x[-1]) for x in leads], int(length[-1]) - 1
-    if last is not None and before:
+    if last is not None and (before or last[5][0]):
         can = min(last[2][0] - last[3][0], lead[1] - lead[2]) >= least_overlap(int(last[2][0]), lead[1])
         yield out(last, np.array([lead[0]]) if can else last[1], np.array([True]))
 
@@ -271,25 +361,6 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame:
-    """Intersection sizes of distinct pairs ``(a, b)``: ``(a, b, common, n_a, n_b)``; if not exact, upper
-    bounds from a quarter of the bytes."""
-    column, how = ("tokens", _overlaps) if exact else ("short", _bounds)
-    pairs = written(pairs, "pairs")
-    ids = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "_id")
-    if pairs.count() <= BROADCAST_IDS // 2:
-        sets = sets.join(F.broadcast(ids), F.col("sid") == F.col("_id"), "left_semi")
-    a = sets.select(F.col("sid").alias("a"), F.col(column).alias("x"), F.col("n").alias("n_a"))
-    b = sets.select(F.col("sid").alias("b"), F.col(column).alias("y"), F.col("n").alias("n_b"))
-    # The leaders (b) have many partners: their sets come to the pairs last.
-    wide = pairs.join(a, "a").join(b, "b")
-    return wide.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(how, "a long, b long, common long, n_a int, n_b int")
-
-
-def _similar() -> Column:
-    return F.col("common") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
-
-
 def block_pairs(g: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one list's groups, in order of (low, -reach): indices of ``(later, earlier)``.
 
@@ -376,80 +447,200 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x[keep] for x in cols]
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids are broadcast only if few."""
-    side = ids.select(F.col("doc_id").alias("_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        side = F.broadcast(side)
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame:
+    """Intersection sizes of distinct pairs ``(a, b)``: ``(a, b, common, n_a, n_b)``; if not exact, upper
+    bounds from a quarter of the bytes."""
+    column, how = ("tokens", _overlaps) if exact else ("short", _bounds)
+    a = sets.select(F.col("sid").alias("a"), F.col(column).alias("x"), F.col("n").alias("n_a"))
+    b = sets.select(F.col("sid").alias("b"), F.col(column).alias("y"), F.col("n").alias("n_b"))
+    # The leaders (b) have many partners: their sets come to the pairs last.
+    wide = pairs.join(a, "a").join(b, "b")
+    return wide.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(how, "a long, b long, common long, n_a int, n_b int")
+
+
+def _similar() -> Column:
+    return F.col("common") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+
 
+def _tokens_in(of: np.ndarray, some: np.ndarray) -> int:
+    """How many of ``some`` are in ``of``; both are sorted and distinct."""
+    if not len(of) or not len(some):
+        return 0
+    return int((of[np.minimum(np.searchsorted(of, some), len(of) - 1)] == some).sum())
 
-def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, g, tokens, the leader's) -> what a member has more and less than its leader."""
+    for batch in batches:
+        plus, minus = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            plus.append(np.setdiff1d(x, y, assume_unique=True).tobytes())
+            minus.append(np.setdiff1d(y, x, assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=["sid", "g", "plus", "minus"])
+
+
+def member_link(a: np.ndarray, b: np.ndarray, xs: list[tuple[np.ndarray, np.ndarray]], ys: list[tuple[np.ndarray, np.ndarray]]) -> bool:
+    """Whether a member of leader ``a`` and one of ``b`` are similar; members are what they have (more, less) than their leader.
+
+    A member's answer is its leader's, less what it has lost of it, and more what it has of the rest."""
+    common = _tokens_in(a, b)
+    of_b = [common - _tokens_in(b, less) + _tokens_in(b, more) for more, less in xs]
+    of_a = [common - _tokens_in(a, less) + _tokens_in(a, more) for more, less in ys]
+    for (more_x, less_x), b_x in zip(xs, of_b):
+        n_x, x = len(a) + len(more_x) - len(less_x), None
+        for (more_y, less_y), a_y in zip(ys, of_a):
+            need = least_overlap(n_x, len(b) + len(more_y) - len(less_y))
+            if min(b_x + len(more_y), a_y + len(more_x)) < need:
+                continue
+            if x is None:
+                x = np.union1d(np.setdiff1d(a, less_x, assume_unique=True), more_x)
+            if b_x - _tokens_in(x, less_y) + _tokens_in(x, more_y) >= need:
+                return True
+    return False
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, tokens of a, of b, pieces of their members) -> the pairs that a member's link joins."""
+    for batch in batches:
+        found = []
+        for a, b, x, y, xs, ys in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            members = [[(np.frombuffer(m["plus"], np.int64), np.frombuffer(m["minus"], np.int64)) for m in ms] for ms in (xs, ys)]
+            if member_link(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), *members):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _member_links(pairs: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of leaders ``(a, b)``, no links themselves, whose groups a link between members joins."""
+    leaders = pairs.select(F.col("a").alias("g")).unionAll(pairs.select(F.col("b").alias("g"))).distinct()
+    inside = member.join(leaders, "g").select("sid", "g")
+    of = lambda i, t: sets.select(F.col("sid").alias(i), F.col("tokens").alias(t))
+    wide = inside.join(of("sid", "x"), "sid").join(of("g", "y"), "g").select("sid", "g", "x", "y")
+    apart = written(wide.mapInArrow(_differences, "sid long, g long, plus binary, minus binary"), "differences")
+    size = apart.groupBy("g").agg(F.count("*").alias("size"))
+    piece = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / PIECE))
+    pieces = apart.join(size, "g").withColumn("piece", piece).groupBy("g", "piece").agg(F.collect_list(F.struct("plus", "minus")).alias("ms"))
+    pieces = written(pieces, "pieces")
+    side = lambda g, ms: pieces.select(F.col("g").alias(g), F.col("ms").alias(ms))
+    rows = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").join(side("a", "xs"), "a").join(side("b", "ys"), "b")
+    found = written(rows.select("a", "b", "x", "y", "xs", "ys").mapInArrow(_linked, "a long, b long").distinct(), "member-links")
+    free(apart, pieces)
+    return found
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """A text ``(text)`` for each row ``(doc_id, text_id, copies)``."""
+    ids = written(ids.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), "copies"), "wanted")
+    many, n = ids.agg(F.coalesce(F.max("copies"), F.lit(0)) > 1, F.count("*")).first()
+    side = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    found = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")))
+    if many:  # equal rows
+        once = found.where("copies > 1").dropDuplicates(["doc_id", "text_id"])
+        found = found.where("copies = 1").unionAll(once)
+    return found.select("text")
+
+
+def _sieve(docs: DataFrame, hot_tokens: int, hot_count: int) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """``(digest, left, order)``: rows ``(doc_id, text_id, n, sid)`` of documents, a row ``(sid, n, doc_id, text_id, copies)``
+    for each set that may be similar to another, and the frequent shingles with their counts."""
+    spark = docs.sparkSession
+    ddl = "key long, sid long, kind long, doc_id long, n long"
+    rows = docs.select("doc_id", "text", "text_id").mapInArrow(_sampled, ddl)
+    rows = rows.repartition("key").sortWithinPartitions("key", "kind", "sid").mapInArrow(_credited, ddl)
+    both = written(rows, "sieve")
+    digest = both.where(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("text_id"), "n", "sid")
+    counts = both.where(F.col("kind") == COUNT).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_count)
+    counts = counts.orderBy(F.col("n").desc(), "key").limit(hot_tokens).toPandas().sort_values("key")
+    order = spark.sparkContext.broadcast((counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)))
+    credits = both.where(F.col("kind") == CREDITS).groupBy("sid").agg(F.sum("n").alias("credits"))
+    texts = digest.where("n > 0").groupBy("sid", "n", "doc_id", "text_id").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")
+    classes = texts.groupBy("sid", "n").agg(F.min_by(F.struct("doc_id", "text_id", "copies"), rank).alias("t"))
+    least = F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")
+    smallest = classes.withColumn("n0", F.col("n")).withColumn("n", F.expr(f"(n * {PERCENT} + 99) div 100"))
+    shared = smallest.withColumn("l", F.floor((least - 1) / SAMPLE) + 1)
+    left = shared.join(credits, "sid").where("credits >= l").select("sid", F.col("n0").alias("n"), "t.doc_id", "t.text_id", "t.copies")
+    return digest, written(left, "left"), order
+
+
+def _prefix_lists(texts: DataFrame, order: Broadcast, long_list: int) -> DataFrame:
+    """Entries ``(token, sid, n, pos, lead)`` of the lists of prefix shingles, each with its leader."""
+    rows = texts.mapInArrow(_tokens(order), "key long, token long, sid long, n long, df long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "token", "sid").mapInArrow(_counted, "sid long, token long, n long, df long")
+    w = W.partitionBy("sid")
+    at = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "token")) - 1
+    entries = rows.withColumn("pos", at).where(F.col("pos") <= F.col("n") - F.expr(f"(n * {PERCENT} + 99) div 100"))
+    parts = F.expr(f"1 + df div {long_list}")
+    placed = entries.withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("sid"), parts) + 1).otherwise(0))
+    named = placed.withColumn("list", F.when(F.col("part") > 0, F.xxhash64("token", "part")).otherwise(F.col("token")))
+    ordered = named.repartition("list").sortWithinPartitions("list", "n", "pos", "sid").select("list", "sid", "n", "pos", "token", "part")
+    return written(ordered.mapInArrow(_lists, "token long, sid long, n int, pos int, lead long"), "lists")
+
+
+def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: int = LONG_LIST, rounds: int = LINK_ROUNDS, hot_count: int = HOT_COUNT) -> tuple[DataFrame, DataFrame]:
     """``(digest, roots)``: rows ``(doc_id, text_id, n, sid)`` of documents, and ``(id, root)`` of the
     sets that are linked with another set and are not the root themselves."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = d.withColumn("text_id", F.xxhash64("text"))
-    both = written(hashed.mapInArrow(_digest, "doc_id long, text_id long, n long, sid long, token long, count long"), "digest")
-    digest = both.where("token IS NULL").select("doc_id", "text_id", "n", "sid")
-    # Classes of equal sets: all documents but one drop out.
-    classes = digest.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("k"))
-    extra = (
-        digest.join(classes.where("k > 1"), "sid")
-        .where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .select("doc_id")
-    )
-    repeated = written(digest.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
-    again = repeated.limit(1).count() > 0
-    if again:  # rows that share a doc_id are told apart by their texts instead
-        extra = _only(extra, repeated, "left_anti")
-    texts = _only(d, written(extra, "extra"), "left_anti")
-    if again:
-        texts = _only(texts, repeated, "left_anti").unionAll(_only(texts, repeated, "left_semi").dropDuplicates(["text"]))
-    # The order: the hottest tokens, at most ``hot_tokens`` of them, come last.
-    counts = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HOT_COUNT)
-    counts = written(counts, "hot")
-    cut, room = 0, hot_tokens
-    for row in counts.groupBy("count").agg(F.count("*").alias("k")).orderBy(F.col("count").desc()).toLocalIterator():
-        room -= row["k"]
-        if room < 0:
-            break
-        cut = row["count"]
-    rows = counts.where(F.col("count") >= cut).toPandas() if cut else counts.limit(0).toPandas()
-    hot = dict(zip(rows["token"].tolist(), rows["count"].tolist()))
-    while True:
-        tokens = np.array(sorted(hot), dtype=np.int64)
-        order = spark.sparkContext.broadcast((tokens, np.array([hot[t] for t in tokens.tolist()], dtype=np.int64)))
-        entries = texts.select("text").mapInArrow(_prefixes(order), "token long, sid long, n int, pos int")
-        ranged = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
-        lists = written(ranged.mapInArrow(_lists, "token long, sid long, n int, pos int, lead long"), "lists")
-        long = lists.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > long_list)
-        more = [r for r in long.limit(hot_tokens).collect() if r["token"] not in hot]
-        if not more or len(hot) + len(more) > hot_tokens:
-            break
-        hot |= {r["token"]: r["k"] for r in more}
-    release(spark)
-    # Each set with the two leaders that it shares most prefix shingles with; step 5 sees to all others.
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
+    digest, left, order = _sieve(docs, hot_tokens, hot_count)
+    lists = _prefix_lists(_texts_of(docs, left), order, long_list)
+    listed = lists.select("sid").distinct()
+    found = _texts_of(docs, left.join(listed, "sid", "left_semi"))
+    sets = written(found.mapInArrow(_sets, "sid long, n int, tokens binary, short binary"), "sets")
+    free(left)
+    # Each set with the two leaders that it shares most prefix shingles with; what follows sees to all others.
     shared = lists.where("sid <> lead").groupBy("sid", "lead").agg(F.count("*").alias("k"))
-    best = shared.groupBy("sid").agg(
-        F.max_by("lead", F.struct("k", "lead")).alias("b1")
-    )
-    rest = shared.join(best.select("sid", "b1"), "sid").where("lead <> b1").groupBy("sid").agg(F.max_by("lead", F.struct("k", "lead")).alias("b2"))
-    stars = written(best.select("sid", F.col("b1").alias("lead")).unionAll(rest.select("sid", F.col("b2").alias("lead"))), "star-pairs")
-    stars = stars.select(F.col("sid").alias("a"), F.col("lead").alias("b"))
-
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        """Hashes of the sets of these ids, read from their texts."""
-        wanted = written(digest.join(ids, "sid", "left_semi").select("doc_id").distinct(), "wanted")
-        found = _only(texts, wanted, "left_semi").select("text").mapInArrow(_sets, "sid long, n int, tokens binary, short binary").where("n > 0")
-        return written(found.dropDuplicates(["sid"]) if again else found, name)
-
-    sets = sets_of(stars.select(F.col("a").alias("sid")).unionAll(stars.select(F.col("b").alias("sid"))).distinct(), "sets")
-    stars = written(overlaps(stars, sets).where(_similar()), "stars")
-    release(spark)
-    stars, sets = _more_links(lists, stars, sets_of, sets)
+    rank = F.struct("k", "lead")
+    top = shared.groupBy("sid").agg(F.max(rank).alias("b1"))
+    second = shared.join(top, "sid").where("lead <> b1.lead").groupBy("sid").agg(F.max(rank).alias("b2"))
+    pairs = top.select(F.col("sid").alias("a"), F.col("b1.lead").alias("b")).unionAll(second.select(F.col("sid").alias("a"), F.col("b2.lead").alias("b")))
+    tried = written(overlaps(written(pairs, "star-pairs"), sets), "stars")
+    stars = tried.where(_similar())
     roots = components(stars.select("a", "b"))
+    for _ in range(rounds):
+        pairs = written(_next_pairs(lists, roots, tried), "round-pairs")
+        if not pairs.limit(1).count():
+            break
+        seen = written(_checked(pairs, sets), "round-links")
+        tried = tried.unionAll(seen)
+        new = seen.where(_similar())
+        if not new.limit(1).count():
+            break
+        stars = stars.unionAll(new)
+        roots = extended(roots, new.select("a", "b"))
+    links = _group_links(lists, stars, roots, sets)
+    if links.limit(1).count():
+        roots = extended(roots, links)
+    free(lists, sets)
+    return digest, roots
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``overlaps`` of pairs: bounds first, and the exact sizes of what may be similar. The others' bounds are enough to refute them."""
+    bound = written(overlaps(pairs, sets, exact=False), "bounds")
+    return bound.where(~_similar()).unionAll(overlaps(bound.where(_similar()).select("a", "b"), sets))
+
+
+def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the lists that hold two components or more, with their component ``c``."""
+    placed = lists.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
+    mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
+    return placed.join(mixed, "token", "left_semi")
+
+
+def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of sets of two components that have not been tried: of each set at most the three that share most prefix shingles
+    with it. The others' turn comes in later rounds and in the pass over groups."""
+    ordered = _mixed(lists, roots).repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
+    pairs = ordered.mapInArrow(_cross_links, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
+    pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    w = W.partitionBy("a").orderBy(F.col("k").desc(), "b")
+    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b")
+
+
+def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between sets, or between leaders for their groups, that join what are still two components."""
     # Groups: each set under one similar leader, one with many partners.
     both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
     degree = both.groupBy(F.col("b").alias("_d")).agg(F.count("*").alias("degree"))
@@ -459,23 +650,17 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     # Leaders are the sets that no partner outranks; the others join their highest partner that leads.
     below = led.select(F.col("a").alias("_t")).distinct()
     group = led.join(below, F.col("b") == F.col("_t"), "left_anti").groupBy(F.col("a").alias("sid")).agg(F.max_by(F.struct("b", "common"), rank).alias("g"))
+    mixed = written(_mixed(lists, roots), "mixed")
+    if not mixed.limit(1).count():
+        return mixed.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
     member = (
-        lists.groupBy("sid").agg(F.first("n").alias("n"))
+        sets.select("sid", "n")
         .join(group, "sid", "left")
-        .join(roots.withColumnRenamed("id", "sid"), "sid", "left")
-        .select(
-            "sid",
-            "n",
-            F.coalesce("g.b", "sid").alias("g"),
-            (F.col("n") - F.coalesce("g.common", "n")).alias("apart"),
-            F.coalesce("root", "sid").alias("c"),
-        )
+        .select("sid", "n", F.coalesce("g.b", "sid").alias("g"), (F.col("n") - F.coalesce("g.common", "n")).alias("apart"))
     )
     member = written(member, "members")
-    placed = lists.drop("lead").join(member.drop("n"), "sid")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     by_group = (
-        placed.join(mixed, "token", "left_semi")
+        mixed.join(member.select("sid", "g"), "sid")
         .groupBy("token", "g", "c")
         .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
     )
@@ -485,14 +670,7 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
         .select("token", "g", *[F.col(c).cast("long").alias(c) for c in ("c", "low", "high", "reach")])
     )
     pairs = written(ordered.mapInArrow(_group_pairs, "a long, b long").distinct(), "group-pairs")
-    more = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    more = written(more.join(sets.select("sid"), "sid", "left_anti"), "more-sets")
-    if more.limit(1).count():
-        sets = sets.unionAll(sets_of(more, "sets-of-groups"))
-    # Bounds first; the exact sizes of what may be similar. The others' bounds are enough for what follows.
-    bound = written(overlaps(pairs, sets, exact=False), "bounds")
-    near = overlaps(bound.where(_similar()).select("a", "b"), sets)
-    known = written(bound.where(~_similar()).unionAll(near), "known")
+    known = written(_checked(pairs, sets), "known")
     links = known.where(_similar()).select("a", "b")
     # What is left: no link of the leaders, but their members may reach.
     groups = member.groupBy("g").agg(F.min("n").alias("low"), F.max("apart").alias("apart"))
@@ -504,66 +682,14 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
             (F.col("ap_a") + F.col("ap_b") > 0)
             & ((F.col("common") + F.col("ap_a") + F.col("ap_b")) * (100 + PERCENT) >= (F.col("low_a") + F.col("low_b")) * PERCENT)
         )
-        .select("a", "b", "common")
+        .select("a", "b")
     )
     open_pairs = written(open_pairs, "open-pairs")
     if open_pairs.limit(1).count():
-        links = links.unionAll(_member_links(open_pairs, stars, links, member, placed, sets))
-    linked = written(links.distinct(), "links")
-    if linked.limit(1).count():
-        roots = components(stars.select("a", "b").unionAll(linked))
-    return digest, roots
-
-
-def _more_links(lists: DataFrame, stars: DataFrame, sets_of, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links that join components, by rounds of one candidate per entry; step 5 finds what these leave."""
-    spark = lists.sparkSession
-    for k in range(LINK_ROUNDS):
-        roots = components(stars.select("a", "b")).withColumnRenamed("id", "sid")
-        placed = lists.join(roots, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-        ordered = placed.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
-        pairs = ordered.mapInArrow(_cross_links, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
-        # The three partners that share most prefix shingles with a set; the others are not given up, see above.
-        w = W.partitionBy("a").orderBy(F.col("k").desc(), "b")
-        pairs = written(pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b"), "round-pairs")
-        more = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-        sets = sets.unionAll(sets_of(more.join(sets.select("sid"), "sid", "left_anti"), "round-sets"))
-        likely = overlaps(pairs, sets, exact=False).where(_similar()).select("a", "b")
-        found = written(overlaps(likely, sets).where(_similar()), "round-links")
-        release(spark)
-        if not found.limit(1).count():
-            break
-        stars = written(stars.unionAll(found).dropDuplicates(["a", "b"]), "stars")
-    return stars, sets
-
-
-def _member_links(open_pairs: DataFrame, stars: DataFrame, links: DataFrame, member: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of groups whose leaders are not similar."""
-    roots = components(stars.select("a", "b").unionAll(links)).cache()
-    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-    todo = (
-        open_pairs.join(of("a"), "a", "left")
-        .join(of("b"), "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        .select("a", "b", "common")
-    )
-    todo = written(todo, "todo")
-    entry = placed.select("token", "sid", "n", "g", "apart", (F.col("n") - F.col("pos")).alias("reach"))
-    side = lambda s: todo.join(
-        entry.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "apart", "reach")], F.col("g").alias(s)), s
-    )
-    need = (F.col("n_a") + F.col("n_b")) * PERCENT
-    pairs = (
-        side("a")
-        .join(side("b").drop("common"), ["token", "a", "b"])
-        .where((F.col("common") + F.col("apart_a") + F.col("apart_b")) * (100 + PERCENT) >= need)
-        .where(F.least("reach_a", "reach_b") * (100 + PERCENT) >= need)
-        .where((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT))
-        .select(F.greatest("sid_a", "sid_b").alias("a"), F.least("sid_a", "sid_b").alias("b"))
-        .distinct()
-    )
-    return overlaps(pairs, sets).where(_similar()).select("a", "b")
+        links = links.unionAll(_member_links(open_pairs, member, sets))
+    links = written(links.distinct(), "links")
+    free(mixed, member, pairs, known, open_pairs)
+    return links
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -198,12 +198,13 @@ def brute_components(rows):
     return [(d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_tokens": 20, "long_list": 5}])
+@pytest.mark.parametrize("options", [{}, {"hot_tokens": 20, "long_list": 5, "hot_count": 8, "rounds": 1}, {"rounds": 0}])
 def test_components(docs, options):
     same(jaccard_join.report(docs, **options).collect(), brute_components([(r[0], r[1]) for r in ROWS]))
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("options", [{}, {"rounds": 0, "long_list": 10}])
+def test_components_of_chains(spark, options):
     """Near copies of near copies: linked only through others, across groups and sizes."""
     rnd = random.Random(9)
     vocab = vocabulary(rnd)
@@ -215,16 +216,31 @@ def test_components_of_chains(spark):
             w[at : at + rnd.randint(0, 2)] = [rnd.choice(vocab) for _ in range(rnd.randint(0, 2))]
             rows.append((k, " ".join(w)))
             k += 1
-    got = jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string"), **options)
     same(got.collect(), brute_components(rows))
 
 
+def test_members_answers_follow_from_their_leaders():
+    rnd = random.Random(10)
+    for _ in range(200):
+        a = set(rnd.sample(range(400), 60))
+        b = set(rnd.sample(sorted(a), 45)) | set(rnd.sample(range(400, 500), 20))
+
+        def member(of):
+            return (of - set(rnd.sample(sorted(of), rnd.randint(0, 12)))) | set(rnd.sample(range(200, 520), rnd.randint(0, 12)))
+
+        xs, ys = [member(a) for _ in range(3)], [member(b) for _ in range(3)]
+        array = lambda s: np.array(sorted(s), dtype=np.int64)
+        got = jaccard_join.member_link(array(a), array(b), [(array(x - a), array(a - x)) for x in xs], [(array(y - b), array(b - y)) for y in ys])
+        assert got == any(100 * len(x & y) >= 75 * len(x | y) for x in xs for y in ys)
+
+
 def test_one_of_each(docs):
     got = jaccard_join.one_of_each(docs)
     assert got.columns == docs.columns
     wanted = collections.Counter(d for d, n, c in brute_components([(r[0], r[1]) for r in ROWS]) if d == c and n == 0)
-    linked = {d for d, n, c in brute_components([(r[0], r[1]) for r in ROWS]) if d == c and n}
-    assert collections.Counter(r.doc_id for r in got.collect()) == wanted + collections.Counter(linked)
+    linked = {(d, r[1]) for (d, n, c), r in zip(brute_components([(r[0], r[1]) for r in ROWS]), ROWS) if d == c and n}  # texts of one doc_id stay apart
+    assert collections.Counter(r.doc_id for r in got.collect()) == wanted + collections.Counter(d for d, _ in linked)
 
 
 def test_one_of_each_tells_texts_of_one_id_apart(spark):
