@@ -4,12 +4,12 @@ DataFrame functions only. One pass over the texts computes the rules of
 single documents and hashes the normalised lines; it is written to the shared folder, without
 texts, and the rest works on it.
 
-Line frequency: lines of a word to ``MAX_LINE_WORDS`` words, lower-cased, white space collapsed.
+Line frequency: lines of a word or more, of any length, lower-cased, white space collapsed.
 Equal texts of a host (the source) count as one document, so copies do not make
 their own lines frequent. A line is boilerplate if it is in more than ``MIN_DOCS`` distinct
-documents of its host and in more than ``SHARE`` of them. A document is depleted, and
-rejected, if fewer than ``MIN_WORDS`` of its words are outside such lines. Longer lines are
-passages rather than boilerplate; they are left to the near-duplicate stages.
+documents of its host and in more than ``SHARE`` of them. Such lines are removed. A document is depleted, and
+rejected, if fewer than ``MIN_WORDS`` of its words are left. The report counts the words that are left; the
+filter returns the texts without the removed lines.
 
 Frequencies are counted by partial aggregation on (host, line), over rows that
 are distinct by document; a hot host or line is one partial row from each task.
@@ -19,7 +19,8 @@ positions of windows that occur twice are sorted, and the words that they cover
 
 Defined cases: a null or empty text has no words and fails; a null source is a host of its
 own; a null doc_id is kept; equal rows get equal results; an empty table gives no row; other
-columns are kept by the filter and ignored by the report.
+columns are kept by the filter and ignored by the report. A text that loses no line is returned as it is; of one
+that does, the other lines stay in order, and ``n_chars``, if there is such a column, is counted anew.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datastrata.llm.common import SPACE_CLASS, WORD_CLASS, table, words, written
+from datastrata.llm.common import SPACE_CLASS, WORD_CLASS, free, table, words, written
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-MAX_LINE_WORDS = 20
 MIN_DOCS = 10
 SHARE = 0.005
 
@@ -43,6 +43,10 @@ def _shift(hashes: str, by: int) -> Column:
     return F.zip_with(F.col(hashes), rest, lambda a, b: F.xxhash64(a, b))
 
 
+def _normal_words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), SPACE_CLASS), lambda w: w != "")
+
+
 def base_metrics(docs: DataFrame) -> DataFrame:
     """``docs`` with its single-document rules and its lines, in columns that begin with ``q_``."""
     d = docs.withColumn("q_text", F.coalesce("text", F.lit("")))
@@ -74,7 +78,6 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["to"], i)).alias("n"), (i + WINDOW).alias("to")),
         lambda a: a["n"],
     )
-    normal = lambda x: F.filter(F.split(F.lower(x), SPACE_CLASS), lambda w: w != "")
     line = lambda w: F.struct(
         F.xxhash64(F.array_join(w, " ")).alias("l1"),
         F.xxhash64(F.lit(1), F.array_join(w, " ")).alias("l2"),
@@ -89,22 +92,22 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         F.regexp_count("q_text", F.lit("[#*$%&|<>]")).cast("long").alias("q_n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("q_n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("q_n_repeat_words"),
-        F.filter(F.transform(F.transform("q_lines", normal), line), lambda x: x["n"] <= MAX_LINE_WORDS).alias("q_line_hashes"),
+        F.transform(F.transform("q_lines", _normal_words), line).alias("q_line_hashes"),
     ).withColumn(
         "q_base_failed",
         (F.col("q_n_words") < MIN_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * REPEAT_PERCENT),
     )
 
 
-def depleted(scored: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """Keys ``(d_source, d_t1, d_t2)`` of the texts that boilerplate removal depletes."""
+def boilerplate(scored: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """``(b_source, b_t1, b_t2, b_removed, b_lines)``: of each text that has boilerplate lines, their words and hashes."""
     keys = ["source", "q_t1", "q_t2"]
-    texts = scored.select(*keys, "q_n_words", "q_line_hashes").dropDuplicates(keys)
+    texts = scored.select(*keys, "q_line_hashes").dropDuplicates(keys)
     hosts = texts.groupBy(F.col("source").alias("h_source")).agg(F.count("*").alias("h_docs"))
     lines = (
-        texts.select(*keys, "q_n_words", F.explode("q_line_hashes").alias("x"))
-        .select(*keys, "q_n_words", "x.l1", "x.l2", F.col("x.n").alias("n"))
-        .groupBy(*keys, "q_n_words", "l1", "l2")
+        texts.select(*keys, F.explode("q_line_hashes").alias("x"))
+        .select(*keys, "x.l1", "x.l2", F.col("x.n").alias("n"))
+        .groupBy(*keys, "l1", "l2")
         .agg(F.sum("n").alias("n"))
     )
     frequent = (
@@ -119,24 +122,22 @@ def depleted(scored: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE)
         F.col("source").eqNullSafe(F.col("f_source")) & (F.col("l1") == F.col("f_l1")) & (F.col("l2") == F.col("f_l2")),
         "left_semi",
     )
-    removed = hit.groupBy(*keys, "q_n_words").agg(F.sum("n").alias("removed"))
-    return removed.where(F.col("q_n_words") - F.col("removed") < MIN_WORDS).select(
-        F.col("source").alias("d_source"), F.col("q_t1").alias("d_t1"), F.col("q_t2").alias("d_t2")
+    return hit.groupBy(*[F.col(k).alias(f"b_{k.removeprefix('q_')}") for k in keys]).agg(
+        F.sum("n").alias("b_removed"), F.collect_list(F.struct("l1", "l2")).alias("b_lines")
     )
 
 
-def _is(keys: DataFrame) -> Column:
-    return (
-        F.col("source").eqNullSafe(F.col("d_source"))
-        & (F.col("q_t1") == F.col("d_t1"))
-        & (F.col("q_t2") == F.col("d_t2"))
-    )
+def _is() -> Column:
+    return F.col("source").eqNullSafe(F.col("b_source")) & (F.col("q_t1") == F.col("b_t1")) & (F.col("q_t2") == F.col("b_t2"))
+
+
+def _depleted() -> Column:
+    return F.coalesce(F.col("q_n_words") - F.col("b_removed") < MIN_WORDS, F.lit(False))
 
 
 def report(docs: DataFrame) -> DataFrame:
     scored = written(base_metrics(docs.select("doc_id", "source", "text")).drop("text"), "quality")
-    gone = depleted(scored).withColumn("d", F.lit(True))
-    return scored.join(gone, _is(gone), "left").select(
+    return scored.join(boilerplate(scored).drop("b_lines"), _is(), "left").select(
         "doc_id",
         F.col("q_n_words").alias("n_words"),
         F.col("q_word_chars").alias("word_chars"),
@@ -144,18 +145,44 @@ def report(docs: DataFrame) -> DataFrame:
         F.col("q_n_dup_lines").alias("n_dup_lines"),
         F.col("q_n_repeat_words").alias("n_repeat_words"),
         F.col("q_base_failed").alias("base_failed"),
-        (~F.col("q_base_failed") & F.col("d").isNull()).alias("kept"),
+        (~F.col("q_base_failed") & ~_depleted()).alias("kept"),
+        (F.col("q_n_words") - F.coalesce("b_removed", F.lit(0))).cast("long").alias("n_left"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ones, all columns as they are."""
-    packed = docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    # Written before the filter: pushed below the projections it would repeat them many times over.
-    scored = written(base_metrics(packed).drop("text"), "quality-docs")
+    """``docs`` without the rejected ones and without the lines that are above the limits, all columns as they are."""
     # Frequencies are over all documents, failed ones too, as in the report.
-    gone = written(depleted(scored), "quality-depleted")
-    return scored.where(~F.col("q_base_failed")).join(gone, _is(gone), "left_anti").select("doc.*")
+    scored = written(base_metrics(docs.select("source", "text")).drop("text"), "quality-scores")
+    found = scored.select("source", "q_t1", "q_t2", "q_n_words", "q_base_failed").dropDuplicates(["source", "q_t1", "q_t2"])
+    found = found.join(boilerplate(scored), _is(), "left").where(F.col("q_base_failed") | F.col("b_removed").isNotNull())
+    found = written(
+        found.select(
+            F.col("source").alias("b_source"), F.col("q_t1").alias("b_t1"), F.col("q_t2").alias("b_t2"),
+            (F.col("q_base_failed") | _depleted()).alias("b_gone"),
+            F.when(~F.col("q_base_failed") & ~_depleted(), F.col("b_lines")).alias("b_lines"),
+        ),
+        "quality-found",
+    )
+    free(scored)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "source", F.coalesce("text", F.lit("")).alias("q_text"))
+    keyed = packed.withColumn("q_t1", F.xxhash64("q_text")).withColumn("q_t2", F.xxhash64(F.lit(1), F.col("q_text")))
+    kept = keyed.join(found, _is(), "left").where(~F.coalesce("b_gone", F.lit(False)))
+
+    def stays(line: Column) -> Column:
+        key = F.array_join(_normal_words(line), " ")
+        return ~F.array_contains("b_lines", F.struct(F.xxhash64(key).alias("l1"), F.xxhash64(F.lit(1), key).alias("l2")))
+
+    rest = F.array_join(F.filter(F.split("q_text", "\n"), stays), "\n")
+    kept = kept.select("doc", F.when(F.col("b_lines").isNotNull(), rest).alias("rest"))
+    new = {"text": F.col("rest"), "n_chars": F.length("rest")}
+    types = dict(docs.dtypes)
+    return kept.select(
+        *[
+            (F.when(F.col("rest").isNotNull(), new[c].cast(types[c])).otherwise(F.col(f"doc.`{c}`")) if c in new else F.col(f"doc.`{c}`")).alias(c)
+            for c in docs.columns
+        ]
+    )
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +209,7 @@ nl AS (
   SELECT DISTINCT source, t, norm, n, c FROM (
     SELECT m.r, source, t, norm, any_value(len(lw)) AS n, count(*) AS c FROM (
       SELECT r, regexp_extract_all(lower(l), '{WORD_CLASS}') AS lw, array_to_string(regexp_extract_all(lower(l), '{WORD_CLASS}'), ' ') AS norm FROM ln
-    ) x JOIN m ON x.r = m.r WHERE len(lw) <= {MAX_LINE_WORDS} GROUP BY m.r, source, t, norm)),
+    ) x JOIN m ON x.r = m.r GROUP BY m.r, source, t, norm)),
 hosts AS (SELECT source, count(DISTINCT t) AS docs FROM m GROUP BY source),
 freq AS (
   SELECT nl.source, norm FROM nl JOIN hosts ON nl.source IS NOT DISTINCT FROM hosts.source
@@ -192,6 +219,7 @@ gone AS (
   GROUP BY nl.source, nl.t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - coalesce(removed, 0) >= 20 AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - coalesce(removed, 0) >= 20 AS kept,
+       CAST(n_words - coalesce(removed, 0) AS BIGINT) AS n_left
 FROM m LEFT JOIN gone ON m.source IS NOT DISTINCT FROM gone.source AND m.t = gone.t
 """

@@ -352,7 +352,24 @@ def test_quality_filter_counts_lines_of_failing_documents(spark):
     assert kept == {r.doc_id for r in quality.report(d).where("kept").collect()} == set(range(200, 205))
 
 
+def test_quality_removes_lines_of_any_length(spark):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    notice = say(25)
+    rows = [(i, notice + "\n" + say(10), "h") for i in range(60)]  # ten words are left
+    rows += [(100 + i, say(12) + "\n" + notice.upper() + "\n\n" + say(15), "h") for i in range(5)]
+    d = spark.createDataFrame([(*r, len(r[1]), "x") for r in rows], "doc_id long, text string, source string, n_chars long, b_lines string")
+    got = {r.doc_id: r for r in quality.report(d).collect()}
+    assert [got[i].kept for i in (0, 59, 100, 104)] == [False, False, True, True]
+    assert got[0].n_left == 10 and got[100].n_left == 27
+    texts = dict((i, t) for i, t, _ in rows)
+    kept = {r.doc_id: (r.text, r.n_chars) for r in quality.keep_good(d).collect()}
+    wanted = {i: "\n".join(x for x in texts[i].split("\n") if x.lower() != notice) for i in range(100, 105)}
+    assert kept == {i: (t, len(t)) for i, t in wanted.items()}
+
+
 def test_quality_of_nothing(empty):
+    assert quality.keep_good(empty).collect() == []
     assert quality.report(empty).collect() == []
 
 
