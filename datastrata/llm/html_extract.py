@@ -6,8 +6,11 @@ grown on the small labelled table below (Gini impurity, grown once in each worke
 
 Blocks: text between block-level tags, character references decoded, white space made one
 space, trimmed; line breaks and inline tags do not end a block. Scripts, styles, templates, the head and
-comments are not text. Unclosed elements end with their parent; an
-unclosed menu or page header ends where an article or main element begins.
+comments are not text. Unclosed elements end with their parent, an
+unclosed menu or page header where an article or main element begins, an unclosed button or image where a paragraph does;
+only scripts and styles that are not closed run to the end of the page. Names count as whole words at the ends of a class name, never
+those of the body or of what holds the main element, the first article or over half of the page's words.
+A page is read once, in time linear in its length.
 
 Defined cases: a null or empty page has no text; plain text without tags is one block;
 equal rows get equal results; null page_id and url are kept; an empty table gives no row; other
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,19 +38,31 @@ BLOCK_TAGS = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template textarea head title svg iframe object button select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose content is not markup: it ends at their closing tag only.
+RAW_TAGS = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements without main text. The second kind holds no paragraphs: one that is not closed ends where one begins.
+SILENT_TAGS = frozenset("noscript template object head svg button select canvas audio video".split())
+SMALL_SILENT_TAGS = frozenset("svg button select head".split())
+PARAGRAPHS = frozenset("article main section p h1 h2 h3 h4 h5 h6 header footer nav aside body".split())
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|menu|modal|nav\w*|"
-    r"newsletter|notices?|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and ids that mark what is around an article, and words before or after them that
+#: only say how a page looks.
+OUTSIDE_WORDS = frozenset(
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "footer header menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related replies reply "
+    "respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+LOOK_WORDS = frozenset("has no with without is not show hide enable enabled disable disabled open closed on off visible hidden sticky fixed layout template theme".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Share of a page's words that make an element named like a sidebar the page's frame instead.
+FRAME = 0.5
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?\s*(=)?\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[a-z]+")
 
 
 @dataclass
@@ -59,95 +75,205 @@ class Block:
     heading: bool
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE_TAGS:
-        return True
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() == "role":
-            if value.lower() in OUTSIDE_ROLES:
-                return True
-        elif OUTSIDE_NAMES.search(value):
-            return True
-    return False
+@dataclass(eq=False)
+class Element:
+    tag: str
+    outside: bool = False  # by its tag or role
+    named: bool = False  # by a class name or id
+    comments: bool = False
+    silent: bool = False
+    words: int = 0  # of its named element: words in it that are not links
+
+
+class Tags:
+    """Tags of a page, one after another. Every character is looked at a bounded number of times: what is not found once is
+    not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        self.loose = False  # a tag with quotes had no end: from there on a tag ends at the first ">"
+
+    def end(self, at: int) -> tuple[int, dict[str, str]] | None:
+        """From after a tag's name: where it ends and its class, id and role; None if nowhere."""
+        page, n = self.page, len(self.page)
+        if at > self.last[">"]:
+            return None
+        if self.loose:
+            return page.index(">", at) + 1, {}
+        found: dict[str, str] = {}
+        start = at
+        while at < n:
+            if page[at] == ">":
+                return at + 1, found
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in ("'", '"') and at < self.last[quote]:
+                    close = page.index(quote, at + 1)
+                    value, at = page[at + 1 : close], close + 1
+                else:
+                    m2 = _UNQUOTED.match(page, at)
+                    value, at = m2[0], m2.end()
+                if m[1] and (name := m[1].lower()) in ("class", "id", "role"):
+                    found.setdefault(name, value)
+            elif m.end() == m.start():  # cannot be: a character is a space, a name or one of / > =
+                at += 1
+        self.loose = True
+        return page.index(">", start) + 1, {}
+
+
+def outside_name(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names what is around an article, and whether reader comments."""
+    named = comments = False
+    for token in value.split()[:50]:
+        parts = _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token[:200]).lower())
+        if not parts or len(parts) > 4 or LOOK_WORDS.intersection(parts):
+            continue
+        if parts[0] in OUTSIDE_WORDS or parts[-1] in OUTSIDE_WORDS:
+            named = True
+            comments |= parts[0] in COMMENT_WORDS or parts[-1] in COMMENT_WORDS
+    return named, comments
+
+
+def _element(tag: str, attributes: dict[str, str]) -> Element:
+    e = Element(tag, tag in OUTSIDE_TAGS or attributes.get("role", "").lower() in OUTSIDE_ROLES, silent=tag in SILENT_TAGS)
+    if tag not in ("html", "body", "main"):
+        for key in ("class", "id"):
+            if key in attributes:
+                named, comments = outside_name(attributes[key])
+                e.named |= named
+                e.comments |= comments
+    return e
 
 
 def blocks(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether it marks what is outside the main text
+    out: list[tuple[Block, Element | None]] = []  # with the outermost element that marks it by name
+    stack: list[Element] = []
+    named: list[Element] = []  # those of the stack
+    open_: Counter[str] = Counter()
+    n = Counter()  # open elements that are silent, outside, article or main, headings, links
     parts: list[str] = []
-    linked = links = 0
+    frames: list[Element] = []
+    linked = total = 0
+    tags, raw_end = Tags(page), {}
+
+    def count(e: Element, by: int) -> None:
+        open_[e.tag] += by
+        n["silent"] += by * e.silent
+        # A header in an article is the article's own.
+        n["outside"] += by * e.outside
+        n["article"] += by * (e.tag in ("article", "main"))
+        n["heading"] += by * (e.tag in HEADINGS)
+        n["links"] += by * (e.tag == "a")
+
+    def push(e: Element) -> None:
+        if e.tag == "header" and n["article"]:
+            e.outside = False
+        stack.append(e)
+        count(e, 1)
+        if e.named:
+            named.append(e)
+            frames.append(e)
+
+    def pop() -> Element:
+        e = stack.pop()
+        count(e, -1)
+        if named and named[-1] is e:
+            named.pop()
+        return e
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, total
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(
-                    Block(
-                        text,
-                        text.count(" ") + 1,
-                        linked,
-                        any(o for _, o in stack),
-                        any(t in ("article", "main") for t, _ in stack),
-                        any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack),
-                    )
-                )
+                words = text.count(" ") + 1
+                out.append((Block(text, words, min(linked, words), n["outside"] > 0, n["article"] > 0, n["heading"] > 0), named[0] if named else None))
+                total += words
+                for e in named[:8]:
+                    e.words += words - min(linked, words)
             parts.clear()
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not n["silent"]:
             parts.append(raw)
-            if links:
+            if n["links"]:
                 linked += len(raw.split())
 
-    at = 0
+    at, seen_article = 0, False
     while True:
-        m = _TOKEN.search(page, at)
-        say(page[at : m.start() if m else len(page)])
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0 or lt > tags.last[">"]:  # no tag is left
+            say(page[at:])
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:-3]))
+        follows = page[lt + 1 : lt + 2]
+        if follows in ("!", "?"):
+            say(page[at:lt])
+            if page.startswith("<!--", lt):
+                close, size = page.find("-->", lt + 4), 3
+            elif page.startswith("<![CDATA[", lt):
+                close, size = page.find("]]>", lt), 3
+                say(html.escape(page[lt + 9 : close if close >= 0 else len(page)]))
+            else:
+                close, size = page.find(">", lt), 1
+            at = close + size if close >= 0 else len(page)
             continue
+        closing = follows == "/"
+        m = _NAME.match(page, lt + 1 + closing)
+        stop = tags.end(m.end()) if m else None
+        if stop is None:  # not a tag
+            say(page[at : lt + 1])
+            at = lt + 1
+            continue
+        say(page[at:lt])
+        at, attributes = stop
+        tag = m[0].lower()
         if tag == "br":
             parts.append(" ")
             continue
-        if m[1]:
-            if tag in BLOCK_TAGS:
-                end()
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    if t == "a":
-                        links = max(0, links - 1)
-                    if t == tag:
-                        break
-            continue
-        if tag in SILENT_TAGS and tag != "head":
-            if tag in BLOCK_TAGS:
-                end()
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if not m[0].endswith("/>"):
-                at = close.end() if close else len(page)
-            continue
         if tag in BLOCK_TAGS:
             end()
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-            if tag in ("article", "main"):
-                while stack and stack[-1][0] in ("nav", "header", "ul", "li"):
-                    stack.pop()
-        if tag not in VOID_TAGS and not m[0].endswith("/>"):
-            stack.append((tag, _outside(tag, m[3])))
-            links += tag == "a"
+        if closing:
+            if open_[tag]:
+                while pop().tag != tag:
+                    pass
+            continue
+        whole = page[at - 2] == "/"
+        if tag in RAW_TAGS:
+            if not whole:
+                if raw_end.get(tag, 0) >= 0 and raw_end.get(tag, 0) < at:
+                    close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                    raw_end[tag] = close.start() if close else -1
+                if raw_end[tag] >= at:
+                    at = raw_end[tag]
+                elif tag in ("script", "style"):
+                    at = len(page)
+            continue
+        if tag in PARAGRAPHS:
+            while stack and stack[-1].tag in SMALL_SILENT_TAGS:
+                pop()
+        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1].tag == tag:
+            pop()
+        if tag in ("article", "main"):
+            while stack and stack[-1].tag in ("nav", "header", "ul", "li"):
+                pop()
+            if tag == "main" or not seen_article:  # what holds it is the page's frame, whatever its name
+                for e in named:
+                    e.named = False
+                named.clear()
+            seen_article = True
+        if tag not in VOID_TAGS and not whole:
+            push(_element(tag, attributes))
     end()
-    return out
+    for e in frames:
+        if not e.comments and e.words > FRAME * total:
+            e.named = False
+    for block, e in out:
+        block.outside |= e is not None and e.named
+    return [block for block, _ in out]
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "outside", "article", "other_article", "heading")

@@ -2,10 +2,13 @@
 
 import collections
 import hashlib
+import html
 import itertools
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -565,3 +568,51 @@ def test_html_without_article(spark):
     page = "<div><a>Home</a></div><div><a>About us</a></div><h1>A title of the page</h1><p>" + "many words here " * 20 + "</p><p>" + "more words follow " * 15 + "</p><div><a>Next</a></div>"
     text = html_extract.main_text(page, html_extract.Tree())
     assert "many words" in text and "more words" in text and "Home" not in text and "Next" not in text
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "page no-comments", "with-header", "comments-open", "sidebar-layout"])
+def test_html_names_of_frames_do_not_take_the_article(name):
+    para = "<p>" + " ".join(f"w{i}" for i in range(100)) + "</p>"
+    tree = html_extract.Tree()
+    for page in (f'<body class="{name}">{para}</body>', f'<body><div class="{name}"><div class="sidebar"><p>Side <a>x</a></p></div>{para}</div>', f'<div class="header"><main>{para}</main></div>'):
+        assert html_extract.main_text(page, tree) == para[3:-4]
+
+
+def test_html_unclosed_and_inner_elements():
+    words = "word " * 40
+    page = (
+        f"<article class='post'><header><h1>Headline of the article</h1></header><button>Share<p>{words}</p><svg><path/><p>{words}</p>"
+        f"<select><option>a</select><div class='commentList'><p>{words}</p></div><footer>about</footer></article><div id='relatedPosts'><p>{words}</p></div>"
+    )
+    assert html_extract.main_text(page, html_extract.Tree()) == "\n".join(["Headline of the article", words.strip(), words.strip()])
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a x='", "<p", "<svg>", "<div>", "</div>", "<title>", '<a x=">" ', "<![CDATA[", "<!--", "<p><b>"])
+def test_html_time_is_linear(part):
+    times = []
+    for k in (100_000, 400_000):
+        began = time.perf_counter()
+        html_extract.blocks(part * (k // len(part)) + ">")
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 0.2
+
+
+def test_html_on_held_out_pages():
+    """Main text of the driver's pages, none of which the tree has seen, with and without the elements and names that tell what is what."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    tree, share = html_extract.Tree(), {}
+    for plain in (False, True):
+        both = found = wanted = 0
+        for page in pq.read_table(path)["html"].to_pylist():
+            article = re.search("<article>(.*)</article>", page, re.S)[1]
+            text = collections.Counter(html.unescape(re.sub("<[^>]*>", " ", article)).split())
+            if plain:
+                page = re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page).replace(' class="ad"', "")
+            got = collections.Counter(html_extract.main_text(page, tree).split())
+            both, found, wanted = both + (got & text).total(), found + got.total(), wanted + text.total()
+        share[plain] = both / found, both / wanted
+    assert min(share[False]) > 0.999 and share[True][0] > 0.93 and share[True][1] > 0.99
