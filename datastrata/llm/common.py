@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The word rule of the contracts: maximal runs of anything but ASCII white space.
@@ -70,10 +70,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back. ``free`` takes it away again."""
+def written(df: DataFrame, name: str, **measures: Column) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back. ``free`` takes it away again.
+
+    ``measures`` are aggregates of its rows, in the result's ``measured``: seen as they are written, they cost no job."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    seen = Observation(name)
+    if measures:
+        df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -82,6 +87,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch = path
+    found.measured = seen.get if measures else {}
     return found
 
 

@@ -35,16 +35,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``(a, b)`` links -> ``(id, root)`` for every id that has a link to another; the
     root is the smallest id of the component, and not listed under itself."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges, name)
-    mark = None
-    while True:  # every round but the last lowers the ends of some edge
-        step = _small_star(_large_star(edges)).where("u <> v").distinct()
-        before, edges = edges, written(step, name)
+    sums = {"n": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64("u", "v"))}
+    edges = written(edges, name, **sums)
+    while edges.measured["n"]:  # every round but the last lowers the ends of some edge
+        before = edges
+        edges = written(_small_star(_large_star(edges)).where("u <> v").distinct(), name, **sums)
         free(before)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or not now[0]:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        mark = now
+        if edges.measured == before.measured:
+            break
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def extended(roots: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:

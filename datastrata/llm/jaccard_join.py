@@ -60,7 +60,7 @@ SAMPLE = 3
 HOT_TOKENS = 250_000
 HOT_COUNT = 1000
 LONG_LIST = 5_000
-LINK_ROUNDS = 8
+LINK_ROUNDS = 2
 #: Members of a group that one row carries.
 PIECE = 32
 #: Ids to broadcast at most (24 bytes each); beyond, the join shuffles.
@@ -462,6 +462,10 @@ def _similar() -> Column:
     return F.col("common") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
 
 
+def _count(condition: Column | None = None) -> Column:
+    return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+
+
 def _tokens_in(of: np.ndarray, some: np.ndarray) -> int:
     """How many of ``some`` are in ``of``; both are sorted and distinct."""
     if not len(of) or not len(some):
@@ -531,9 +535,10 @@ def _member_links(pairs: DataFrame, member: DataFrame, sets: DataFrame) -> DataF
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """A text ``(text)`` for each row ``(doc_id, text_id, copies)``."""
-    ids = written(ids.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), "copies"), "wanted")
-    many, n = ids.agg(F.coalesce(F.max("copies"), F.lit(0)) > 1, F.count("*")).first()
-    side = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    ids = ids.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), "copies")
+    ids = written(ids, "wanted", n=F.count(F.lit(1)), copies=F.max("copies"))
+    many = (ids.measured["copies"] or 0) > 1
+    side = F.broadcast(ids) if ids.measured["n"] <= BROADCAST_IDS else ids
     found = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")))
     if many:  # equal rows
         once = found.where("copies > 1").dropDuplicates(["doc_id", "text_id"])
@@ -551,8 +556,8 @@ def _sieve(docs: DataFrame, hot_tokens: int, hot_count: int) -> tuple[DataFrame,
     both = written(rows, "sieve")
     digest = both.where(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("text_id"), "n", "sid")
     counts = both.where(F.col("kind") == COUNT).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_count)
-    counts = counts.orderBy(F.col("n").desc(), "key").limit(hot_tokens).toPandas().sort_values("key")
-    order = spark.sparkContext.broadcast((counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)))
+    top = sorted(tuple(r) for r in counts.orderBy(F.col("n").desc(), "key").limit(hot_tokens).collect())
+    order = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.int64), np.array([n for _, n in top], np.int64)))
     credits = both.where(F.col("kind") == CREDITS).groupBy("sid").agg(F.sum("n").alias("credits"))
     texts = digest.where("n > 0").groupBy("sid", "n", "doc_id", "text_id").agg(F.count("*").alias("copies"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")
@@ -595,22 +600,19 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     top = shared.groupBy("sid").agg(F.max(rank).alias("b1"))
     second = shared.join(top, "sid").where("lead <> b1.lead").groupBy("sid").agg(F.max(rank).alias("b2"))
     pairs = top.select(F.col("sid").alias("a"), F.col("b1.lead").alias("b")).unionAll(second.select(F.col("sid").alias("a"), F.col("b2.lead").alias("b")))
-    tried = written(overlaps(written(pairs, "star-pairs"), sets), "stars")
+    tried = written(overlaps(pairs, sets), "stars")
     stars = tried.where(_similar())
     roots = components(stars.select("a", "b"))
     for _ in range(rounds):
-        pairs = written(_next_pairs(lists, roots, tried), "round-pairs")
-        if not pairs.limit(1).count():
-            break
-        seen = written(_checked(pairs, sets), "round-links")
+        seen = written(_checked(_next_pairs(lists, roots, tried), sets), "round-links", found=_count(_similar()))
         tried = tried.unionAll(seen)
         new = seen.where(_similar())
-        if not new.limit(1).count():
+        if not seen.measured["found"]:
             break
         stars = stars.unionAll(new)
         roots = extended(roots, new.select("a", "b"))
     links = _group_links(lists, stars, roots, sets)
-    if links.limit(1).count():
+    if links is not None and links.measured["n"]:
         roots = extended(roots, links)
     free(lists, sets)
     return digest, roots
@@ -639,7 +641,7 @@ def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFra
     return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b")
 
 
-def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links ``(a, b)`` between sets, or between leaders for their groups, that join what are still two components."""
     # Groups: each set under one similar leader, one with many partners.
     both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
@@ -650,9 +652,9 @@ def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: Dat
     # Leaders are the sets that no partner outranks; the others join their highest partner that leads.
     below = led.select(F.col("a").alias("_t")).distinct()
     group = led.join(below, F.col("b") == F.col("_t"), "left_anti").groupBy(F.col("a").alias("sid")).agg(F.max_by(F.struct("b", "common"), rank).alias("g"))
-    mixed = written(_mixed(lists, roots), "mixed")
-    if not mixed.limit(1).count():
-        return mixed.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    mixed = written(_mixed(lists, roots), "mixed", n=_count())
+    if not mixed.measured["n"]:
+        return None
     member = (
         sets.select("sid", "n")
         .join(group, "sid", "left")
@@ -684,10 +686,10 @@ def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: Dat
         )
         .select("a", "b")
     )
-    open_pairs = written(open_pairs, "open-pairs")
-    if open_pairs.limit(1).count():
+    open_pairs = written(open_pairs, "open-pairs", n=_count())
+    if open_pairs.measured["n"]:
         links = links.unionAll(_member_links(open_pairs, member, sets))
-    links = written(links.distinct(), "links")
+    links = written(links.distinct(), "links", n=_count())
     free(mixed, member, pairs, known, open_pairs)
     return links
 
@@ -719,8 +721,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")), how)
 
     def keys_of(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-        found = written(rows.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")), name)
-        n = found.count()
+        found = written(rows.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")), name, n=_count())
+        n = found.measured["n"]
         return (F.broadcast(found) if n <= BROADCAST_IDS else found), n
 
     counts = placed.groupBy("doc_id", "text_id").agg(F.count("*").alias("k"))
