@@ -416,6 +416,59 @@ def test_passages_whose_parts_are_common(spark):
     assert (got[5].twin_id, got[6].twin_id) == (6, 5)
 
 
+def test_passages_whose_halves_are_elsewhere(spark):
+    rnd = random.Random(16)
+    say = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    one, two = say(45), say(45)
+    rows = [(i, " ".join([say(20), one, two, say(20)])) for i in (5, 6)] + [(i, " ".join([say(25), h, say(25)])) for i, h in ((1, one), (8, one), (2, two), (9, two))]
+    got = {r.doc_id: [(p.start, p.end) for p in r.passages] for r in substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: [(20, 110)], 6: [(20, 110)]}
+
+
+def test_texts_of_one_doc_id_share_nothing_with_each_other(spark):
+    rnd = random.Random(17)
+    say = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    p, q = say(60), say(60)
+    rows = [(1, say(30) + " " + p), (1, p + " " + say(50)), (2, say(20) + " " + q), (3, q + " " + say(40)), (3, say(80) + " " + q)]
+    got = substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.twin_id, r.n_passage_words) for r in got} == {2: (3, 60), 3: (2, 120)}
+
+
+def test_passages_against_brute_force(spark):
+    """Every window of 50 equal words that two documents share is found, and of edited copies of passages, whose sentences are
+    common too, nine in ten or more."""
+    rnd = random.Random(18)
+    say = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    pool = [say(rnd.randint(12, 70)) for _ in range(40)]  # sentences that many documents take up
+    texts = [[w for _ in range(rnd.randint(1, 6)) for w in (rnd.choice(pool) if rnd.random() < 0.5 else say(rnd.randint(5, 60)))] for _ in range(150)]
+    planted = []
+    for _ in range(40):
+        passage = [w for _ in range(3) for w in rnd.choice(pool)][:100] + say(30)
+        edited = list(passage)
+        for _ in range(5):
+            edited[rnd.randrange(len(edited))] = f"e{rnd.randrange(99)}"
+        for text in (passage, edited):
+            head = say(rnd.randint(5, 40))
+            planted.append((len(texts), len(head), len(head) + len(text)))
+            texts.append(head + text + say(20))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in substring_dedup.find_passages(d).collect():
+        found[r.doc_id].update(j for p in r.passages for j in range(p.start, p.end))
+    holders = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            holders[tuple(t[k : k + 50])].append((i, k))
+    wanted = collections.defaultdict(set)
+    for at in holders.values():
+        if len({i for i, _ in at}) > 1:
+            for i, k in at:
+                wanted[i].update(range(k, k + 50))
+    assert wanted and all(w <= found[i] for i, w in wanted.items())
+    caught = [len(found[i].intersection(range(a, b))) >= 0.9 * (b - a) for i, a, b in planted]
+    assert sum(caught) >= 0.9 * len(caught)
+
+
 def test_chains_take_the_best_collinear_matches():
     i = np.array([0, 10, 20, 30, 12, 25])
     j = np.array([100, 110, 120, 130, 5, 90])
