@@ -17,14 +17,16 @@ documents until the remainder is used up, the last one in part. So a source
 gives its target to the word, and no document more than ``max_epochs`` times
 its size.
 
-Skew. The running sum over a source's documents is two-level: documents fall
+Skew. A source's seeded order is cut at one place: what comes before is taken in full, what comes after is not.
+So a row per source is all that the documents need, and their texts are only mapped, never shuffled. The place is found in two steps. Documents fall
 into 4,096 buckets by the first three hex digits of their md5, bucket sizes are
-aggregated with partial sums, and only the running sum inside a bucket sorts
-documents. A source with a third of all rows is spread over 4,096 groups.
+aggregated with partial sums, and a running sum over a source's buckets finds the one with the cut; then a running sum over the
+documents of that bucket alone finds the document. A source with a third of all rows is spread over 4,096 buckets. The table of
+sources, with a row each, is summed up in one task; it is broadcast up to ``BROADCAST_SOURCES`` rows, else joined by source.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source
 is a source of its own, last in order; a null doc_id is hashed as the empty string;
-equal rows are independent documents, and ties of md5 go by doc_id and size;
+equal rows are independent documents, ties of md5 go by size, and of equal rows at the cut some are taken in full, one in part;
 an empty table gives an empty result. Extra columns stay, under any name.
 """
 
@@ -34,11 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from datastrata.llm.common import SPACE_CLASS, WORD_CLASS, n_words, table
+from datastrata.llm.common import SPACE_CLASS, WORD_CLASS, n_words, table, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+BROADCAST_SOURCES = 200_000
 
 
 def source_targets(
@@ -101,39 +104,58 @@ def mix(
         (n_words(F.col("text")) if size is None else size).alias("size"),
         key.alias("_key"),
     ).withColumn("_bucket", F.substring("_key", 1, 3))
-    buckets = d.groupBy("_source", "_bucket").agg(F.sum("size").alias("_in_bucket"))
-    before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.select(
-        "_source", "_bucket", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_start")
+    cuts = _cuts(d, weights, max_epochs, share)
+    near = F.broadcast(cuts) if cuts.measured["n"] <= BROADCAST_SOURCES else cuts
+    d = d.join(near, F.col("_source").eqNullSafe(F.col("source")))
+    equal = (F.col("_key") == F.col("cut_key")) & (F.col("size") == F.col("cut_size"))
+    # The place of a row among the equal ones at the cut: of one there is nothing to ask.
+    placed = d.withColumn("_i", F.lit(1))
+    if (cuts.measured["most"] or 0) > 1:
+        twice = equal & (F.col("equals") > 1)
+        tie = F.row_number().over(W.partitionBy("_source", "_key", "size").orderBy(F.xxhash64("doc.text")))
+        placed = placed.where(~F.coalesce(twice, F.lit(False))).unionAll(d.where(twice).withColumn("_i", tie))
+    zero = F.lit(0)
+    extra = (
+        F.when(F.col("cut_key").isNull(), zero)
+        .when(equal, F.when(F.col("_i") <= F.col("full"), F.col("size")).when(F.col("_i") == F.col("full") + 1, F.col("partly")).otherwise(zero))
+        .when((F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.col("size") < F.col("cut_size"))), F.col("size"))
+        .otherwise(zero)
     )
-    sizes = buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_in_bucket").alias("source_size"))
-    plan = source_targets(sizes, weights, max_epochs, share).alias("p")
-    starts = (
-        starts.join(plan, F.col("_source").eqNullSafe(F.col("p.source")))
-        .select(
-            F.col("_source").alias("_s"),
-            F.col("_bucket").alias("_b"),
-            "_start",
-            *[F.col(f"p.{c}").alias(c) for c in ("source_size", "target", "whole", "rest")],
-        )
+    return placed.withColumn("extra", extra.cast("long")).select(
+        "doc", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     )
-    inside = (
-        W.partitionBy("_source", "_bucket")
-        .orderBy("_key", "_id", "size")
-        .rowsBetween(W.unboundedPreceding, -1)
+
+
+def _cuts(d: DataFrame, weights: tuple[int, ...], max_epochs: int, share: float) -> DataFrame:
+    """A row per source: its plan, and where the rest of its words ends: at the documents ``(cut_key, cut_size)``, of which there are
+    ``equals``; ``full`` of them are taken in full, and one ``partly``."""
+    d = d.select("_source", "_id", "_key", "_bucket", "size")
+    buckets = written(d.groupBy("_source", "_bucket").agg(F.sum("size").alias("_in")), "mix-buckets")
+    sizes = buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_in").alias("source_size"))
+    plan = source_targets(sizes, weights, max_epochs, share)
+    before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = buckets.withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    cut = (
+        plan.join(starts, F.col("source").eqNullSafe(F.col("_source")))
+        .where((F.col("_start") <= F.col("rest")) & (F.col("rest") < F.col("_start") + F.col("_in")))
+        .select("source", F.col("_bucket").alias("bucket"), (F.col("rest") - F.col("_start")).alias("left"))
     )
-    d = d.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    extra = F.least(F.greatest(F.col("rest") - F.col("_start") - F.col("_within"), F.lit(0)), F.col("size"))
-    return d.select(
-        "doc",
-        "size",
-        "source_size",
-        "target",
-        "whole",
-        extra.cast("long").alias("extra"),
-        (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"),
+    cut = written(cut, "mix-cuts", n=F.count(F.lit(1)))
+    near = F.broadcast(cut) if cut.measured["n"] <= BROADCAST_SOURCES else cut
+    inside = d.join(near, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_bucket") == F.col("bucket")))
+    groups = inside.groupBy("source", "left", "_key", "size").agg(F.count("*").alias("equals"))
+    order = W.partitionBy("source").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("_at", F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("equals")).over(order), F.lit(0)))
+    at = groups.where((F.col("_at") >= 0) & (F.col("_at") < F.col("size") * F.col("equals"))).select(
+        F.col("source").alias("_s"),
+        F.col("_key").alias("cut_key"),
+        F.col("size").alias("cut_size"),
+        "equals",
+        F.expr("_at div size").alias("full"),
+        F.expr("_at % size").alias("partly"),
     )
+    found = plan.join(at, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "weight", "budget", "rest")
+    return written(found, "mix-plan", n=F.count(F.lit(1)), most=F.max("equals"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

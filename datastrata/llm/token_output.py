@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by doc_id, encoded, ended by an end id, and
 packed (see ``bitpack``) into files of about ``FILE_IDS`` ids that hold whole
-documents. A file is one row of a Parquet table in the shared folder, so it is written by
+documents. A file is one row, of about a megabyte, of an uncompressed Parquet table in the shared folder, so it is written by
 Spark's commit protocol: a retried or lost task leaves no half-written file, and any
 store that Spark can write to will do. Each row says where its ids start within its
 partition; the start of a partition is a running sum over one row per partition, which is
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = E
     rows = ranged.select("doc_id", "text").mapInArrow(
         _pack(tokenizer, end_id, file_ids), "part int, part_offset long, n_ids long, data binary"
     )
-    rows.write.option("compression", "zstd").parquet(out)
+    rows.write.option("compression", "uncompressed").parquet(out)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

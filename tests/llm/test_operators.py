@@ -124,6 +124,19 @@ def test_mixed_rows_hold_the_words_taken(docs):
     assert sum(len(words(r.text)) for r in rows.collect()) == taken
 
 
+def test_mix_cuts_among_equal_rows(spark):
+    rows = [(1, "a b c", "s0")] * 50 + [(2, "d e", "s0"), (2, "d e", "s1"), (3, None, "s1"), (3, "f g", "s2"), (3, "f g", "s2"), (3, "h i", "s2")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).select("doc.doc_id", "doc.source", "size", "target", "taken").collect()
+    assert len(got) == len(rows)
+    for source in ("s0", "s1", "s2"):
+        some = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 0.5
+        assert sum(r.taken % r["size"] > 0 for r in some if r["size"]) <= 1  # one at most in part
+    texts = mixing.mixed_rows(d).collect()
+    assert sum(len(words(r.text)) for r in texts) == sum(r.taken for r in got)
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix(empty).collect() == []
 
