@@ -1,14 +1,14 @@
 """Operator 2: benchmark decontamination.
 
 One Aho-Corasick automaton holds the windows of all benchmark items: ``WINDOW``
-consecutive normalised words, or all words of a shorter item. A document is normalised
-once, as the words with one space around each, and scanned once; a hit's place in
-that string gives its words, and the words give the span in the original text.
+consecutive normalised words, or all words of a shorter item. Its letters are words: every word of the benchmark is one
+code point, every other word one that no window has, so a window of 13 words is 13 letters and a document is scanned a word a step.
+A document is normalised and scanned once; a hit's place gives its words, and the words give the span in the original text.
 
 The automaton is built in each worker from the broadcast items. Their words are
-counted first: a block holds ``BLOCK_WORDS`` words at most (an automaton of about
-150 MB), and a larger benchmark is scanned block by block, the hits of a document united
-by the hash of its text. Documents are only ever read and mapped, never shuffled, with one
+counted first: one automaton holds ``BLOCK_WORDS`` words at most (about 200 MB). The benchmark is a given, small table; one beyond that is
+scanned block by block, each block's hits written before the next is broadcast, and the hits of a document united
+by the hash of its text, with the same columns. Documents are only ever read and mapped, never shuffled, with one
 block.
 
 Defined cases: a null or empty text has no words and is clean; a null or empty item has no
@@ -22,18 +22,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datastrata.llm.common import small_batches, table
+from datastrata.llm.common import small_batches, table, written
 
 WINDOW = 13
-BLOCK_WORDS = 40_000
+BLOCK_WORDS = 400_000
 #: Contaminated: at least one word in ``SHARE`` is hit.
 SHARE = 20
 
@@ -63,11 +63,11 @@ class Scanner:
     def __init__(self, items: list[Item], size: int = WINDOW):
         import ahocorasick
 
+        self.letters: dict[bytes, str] = {}
         found: dict[str, tuple[int, set[str | None]]] = {}
         for name, text in items:
             for w in windows(text, size):
-                # bytes as Latin-1, so that every byte is one character
-                found.setdefault(f" {b' '.join(w).decode('latin-1')} ", (len(w), set()))[1].add(name)
+                found.setdefault("".join(map(self._letter, w)), (len(w), set()))[1].add(name)
         self.automaton = ahocorasick.Automaton()
         for key, value in found.items():
             self.automaton.add_word(key, value)
@@ -75,19 +75,19 @@ class Scanner:
         if found:
             self.automaton.make_automaton()
 
+    def _letter(self, word: bytes) -> str:
+        """The word's code point: from 1 on, without surrogates."""
+        k = len(self.letters) + 1
+        return self.letters.setdefault(word, chr(k if k < 0xD800 else k + 0x800))
+
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items that hit."""
         hit = np.zeros(len(words) + 1, dtype=np.int64)
         items: set[str] = set()
         if words and not self.empty:
-            line = b" " + b" ".join(words) + b" "
-            spaces = None
-            for end, (n, names) in self.automaton.iter(line.decode("latin-1")):
-                if spaces is None:
-                    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                last = int(np.searchsorted(spaces, end))
-                hit[last - n] += 1
-                hit[last] -= 1
+            for last, (n, names) in self.automaton.iter("".join(map(self.letters.get, words, repeat("\0")))):
+                hit[last + 1 - n] += 1
+                hit[last + 1] -= 1
                 items |= names
         return np.cumsum(hit[:-1]) > 0, items - {None}
 
@@ -118,6 +118,8 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RUNS = "array<struct<start: long, end: long>>"
+_PLACES = pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "b", "start", "end")]))
+_PLACE = "a: bigint, b: bigint, start: bigint, end: bigint"
 
 
 def _digest(items: set[str]) -> str:
@@ -149,7 +151,7 @@ def _report(block: Broadcast, size: int):
 
 
 def _hits(block: Broadcast, size: int):
-    """Documents with hits only: the hash of the text, runs of hit words and items."""
+    """Documents with hits only: the hash of the text, runs of hit words with their places in the text, and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(block.value, size)
@@ -158,42 +160,50 @@ def _hits(block: Broadcast, size: int):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hit, items = scanner.scan(normal_words(text))
                 if hit.any():
-                    rows.append((key, [{"start": a, "end": b} for a, b in runs(hit)], sorted(items)))
+                    found = runs(hit)
+                    places = zip(found, original_spans(text, found))
+                    rows.append((key, [{"a": a, "b": b, "start": c, "end": d} for (a, b), (c, d) in places], sorted(items)))
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, [pa.string(), _SPANS, pa.list_(pa.string())])], names=["key", "runs", "items"]
+                [pa.array(c, t) for c, t in zip(cols, [pa.string(), _PLACES, pa.list_(pa.string())])], names=["key", "runs", "items"]
             )
 
     return run
 
 
 def unite_hits(texts: DataFrame, blocks_: list[list[Item]], more: Iterator[list[Item]], size: int) -> DataFrame:
-    """``(key, text)`` scanned with each block -> ``(key, n_hit, items)`` of the texts with hits. A
+    """``(key, text)`` scanned with each block -> ``(key, n_hit, items, spans)`` of the texts with hits. A
     text's hits are at most as long as itself."""
     spark = texts.sparkSession
     found = None
     for block in chain(blocks_, more):
-        part = texts.mapInArrow(_hits(spark.sparkContext.broadcast(block), size), f"key string, runs {_RUNS}, items array<string>")
-        part = part.groupBy("key").agg(F.first("runs").alias("runs"), F.first("items").alias("items"))
+        shared = spark.sparkContext.broadcast(block)
+        part = texts.mapInArrow(_hits(shared, size), f"key string, runs array<struct<{_PLACE}>>, items array<string>")
+        part = written(part.groupBy("key").agg(F.first("runs").alias("runs"), F.first("items").alias("items")), "block-hits")
+        shared.destroy()
         found = part if found is None else found.unionAll(part)
     united = found.groupBy("key").agg(
         F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    zero = F.lit(0).cast("long")
-    covered = F.aggregate(
-        "runs",
-        F.struct(zero.alias("n"), zero.alias("to")),
-        lambda a, r: F.struct(
-            (a["n"] + F.greatest(zero, r["end"] - F.greatest(a["to"], r["start"]))).alias("n"), F.greatest(a["to"], r["end"]).alias("to")
-        ),
-        lambda a: a["n"],
+
+    def grown(acc: Column, r: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"), last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        joins = (F.size(acc) > 0) & (r["a"] <= last["b"])
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
+
+    merged = united.withColumn("runs", F.aggregate("runs", F.array().cast(f"array<struct<{_PLACE}>>"), grown))
+    return merged.select(
+        "key",
+        F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"]).alias("n_hit"),
+        "items",
+        F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"),
     )
-    return united.select("key", covered.alias("n_hit"), "items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document: counts, items and, with one block, the spans in the text."""
+    """A row per document: counts, items and the spans in the text."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = blocks(benchmark, block_words)
@@ -211,7 +221,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NORMAL_WORD)).cast("long")
     out = keyed.select("doc_id", "key", n_words.alias("n_words")).join(united, "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), items.alias("items"))
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), items.alias("items"), F.coalesce("spans", F.array().cast(_RUNS)).alias("spans"))
     return out.select(
         "doc_id",
         "n_words",
@@ -220,6 +230,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"),
         "items",
+        "spans",
     )
 
 

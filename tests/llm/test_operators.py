@@ -175,11 +175,14 @@ def test_contamination(spark, docs, block):
     same(kept.collect(), [(i, t) for i, t in [(r[0], r[1]) for r in ROWS] + extra if not brute_contamination(t)[-1]])
 
 
-def test_contamination_spans(spark):
+@pytest.mark.parametrize("block", [40_000, 3])
+def test_contamination_spans(spark, block):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    text = "¿é? Short -- item; (here)!"
-    row = decontaminate.find_contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).first()
-    assert [text[s.start : s.end] for s in row.spans] == ["Short -- item; (here"]
+    text = "¿é? Short -- item; (here)! and Nameless item: text, short item again short item, here"
+    d = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    rows = decontaminate.find_contamination(d, bench, block_words=block).orderBy("doc_id").collect()
+    assert [text[s.start : s.end] for s in rows[0].spans] == ["Short -- item; (here", "Nameless item: text, short item again short item, here"]
+    assert rows[1].spans == [] and rows[0].n_hit == 12 and rows[0]["items"] == ["2"]
 
 
 def test_contamination_of_empty_tables(spark, docs, empty):
