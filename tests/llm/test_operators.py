@@ -573,30 +573,96 @@ def test_prefix_counts_at_every_prefix(libraries):
 # 9 language model
 
 
-def test_lm_scores(docs, empty, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "WORD_SHARE", 2e-3)  # so that some words are rare here
-    monkeypatch.setattr(suffix_tree, "CONTEXT_SHARE", 1e-3)
-    d = docs.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1).alias("held_out"), "text")
-    model, counts = suffix_tree.train(d.where("not held_out"))
-    got = suffix_tree.score(d, model, counts).collect()
+LM = {"MIN_WORD": 4, "MIN_CONTEXT": 6, "MIN_NEXT": 2, "PRIOR": 2.0}
+
+
+def brute_lm(train, texts):
+    """Base-10 scores by dictionaries of contexts as tuples of symbols."""
+    tokens = lambda t: words(lower(t)) + [""]
+    c = collections.Counter(w for t in train for w in tokens(t))
+    n, known = sum(c.values()), {w for w in c if w == "" or c[w] >= LM["MIN_WORD"]}
+    symbol = lambda w: w if w in known or w == "" else "<rare>"
+    s = collections.Counter(symbol(w) for w in c.elements())
+    s.update({"": 0, "<rare>": 0})
+    root = {x: (s[x] + 0.5) / (n + 0.5 * len(s)) for x in s}
+    places = lambda t, k: [(tuple(x[max(0, i - k) : i]), x[i]) for x in [["<start>", *map(symbol, tokens(t))]] for i in range(1, len(x)) if i >= k]
+    states = {}
+
+    def prob(context, x):
+        p = root[x]
+        for k in range(1, len(context) + 1):
+            if state := states.get(context[len(context) - k :]):
+                p = state[0].get(x, state[1] * p)
+        return p
+
+    candidates = {(x,) for x in s if x and s[x] >= LM["MIN_CONTEXT"]} | {("<start>",)}
+    for k in range(1, suffix_tree.DEPTH + 1):
+        followers = collections.defaultdict(collections.Counter)
+        for t in train:
+            for context, x in places(t, k):
+                if context in candidates:
+                    followers[context][x] += 1
+        found = {}
+        for context, f in followers.items():
+            total, q = sum(f.values()), {x: prob(context[1:], x) for x in f}
+            p = {x: (f[x] + LM["PRIOR"] * q[x]) / (total + LM["PRIOR"]) for x in f}
+            if sum(p[x] * math.log2(p[x] / q[x]) for x in f) >= suffix_tree.LEAST_BITS:
+                kept = {x: p[x] for x in f if f[x] >= LM["MIN_NEXT"] and not q[x] / suffix_tree.RATIO < p[x] < q[x] * suffix_tree.RATIO}
+                if kept:
+                    found[context] = kept, (1 - sum(kept.values())) / (1 - sum(q[x] for x in kept))
+        states |= found
+        candidates = {(*h, x) for h, f in followers.items() for x in f if x and f[x] >= LM["MIN_CONTEXT"] and (*h[1:], x) in (candidates if k > 1 else {(y,) for y in s if y and s[y] >= LM["MIN_CONTEXT"]})}
+    rare = {w for w in c if w not in known}
+    within = lambda w: 0 if w in known or w == "" else math.log10((c[w] + 0.5) / (s["<rare>"] + 0.5 * (len(rare) + 1)))
+    scores = []
+    for t in texts:
+        x = ["<start>", *map(symbol, tokens(t))]
+        scores.append(sum(math.log10(prob(tuple(x[max(0, i - suffix_tree.DEPTH) : i]), x[i])) for i in range(1, len(x))) + sum(map(within, tokens(t))))
+    return scores, states
+
+
+def test_lm_scores(spark, docs, empty, monkeypatch):
+    for k, v in LM.items():
+        monkeypatch.setattr(suffix_tree, k, v)
+    rnd = random.Random(21)
+    phrases = [rnd.choices(["p", "q", "r"], k=9) for _ in range(3)]
+    more = [(1000 + i, " ".join(w for _ in range(6) for w in rnd.choice(phrases))) for i in range(40)]
+    d = docs.select("doc_id", "text", F.lit("x").alias("n"), F.lit("x").alias("key")).unionAll(
+        spark.createDataFrame([(*r, "x", "x") for r in more], "doc_id long, text string, n string, key string")
+    )
+    d = d.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1)
+    rows = [(r[0], r[1]) for r in ROWS] + more
+    fitted = suffix_tree.train(d.where("not held_out"))
+    got = suffix_tree.score(d, *fitted).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     tokens = lambda t: words(lower(t)) + [""]
-    c = collections.Counter(w for i, t, *_ in ROWS if not held(i) for w in tokens(t))
+    train = [t for i, t in rows if not held(i)]
+    c = collections.Counter(w for t in train for w in tokens(t))
     n, v = sum(c.values()), len(c)
+    scores, states = brute_lm(train, [t for _, t in rows])
     want = collections.Counter()
-    for i, t, *_ in ROWS:
+    for (i, t), score in zip(rows, scores):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
-        want[i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base, 6)] += 1
-    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        want[i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base, 5), round(score, 5)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+    model = fitted[0]
+    assert [len(m.contexts) for m in model.states] == [sum(len(h) == k for h in states) for k in range(1, suffix_tree.DEPTH + 1)] and len(model.states[3].contexts)
+    # every state's distribution sums to one
     x = np.arange(len(model.root))
-    assert len(model.first.contexts) and abs(model.root.sum() - 1) < 1e-9
-    for s in model.first.contexts:
-        assert abs(model.first.prob(np.full(len(x), s), x, model.root).sum() - 1) < 1e-9
-    for k in model.second.contexts:
-        pair = np.full(len(x), model.pairs[k])
-        assert abs(model.prob(x, pair & ((1 << suffix_tree.BITS) - 1), pair).sum() - 1) < 1e-9
-    model, counts = suffix_tree.train(empty)
-    assert suffix_tree.score(empty.select("doc_id", F.lit(True).alias("held_out"), "text"), model, counts).collect() == []
+    assert abs(model.root.sum() - 1) < 1e-9
+    for k, state in enumerate(model.states):
+        for number in state.contexts:
+            symbols = model.sequences[k][number] if k else np.array([number])
+            contexts = model.numbers([np.full(len(x), y) for y in symbols[::-1]])
+            assert contexts[-1][0] == number and abs(model.prob(x, contexts).sum() - 1) < 1e-9
+
+
+def test_lm_of_nothing(empty, docs):
+    fitted = suffix_tree.train(empty)
+    none = empty.select("doc_id", F.lit(True).alias("held_out"), "text")
+    assert suffix_tree.score(none, *fitted).collect() == []
+    all_held = docs.select("doc_id", F.lit(True).alias("held_out"), "text")
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in suffix_tree.score(all_held, *fitted).collect())
 
 
 def test_lm_learns_what_follows(spark):
@@ -604,8 +670,7 @@ def test_lm_learns_what_follows(spark):
     vocab = [f"v{i}" for i in range(40)]
     text = lambda: " ".join(f"{x} after_{x}" for x in rnd.choices(vocab, k=60))
     d = spark.createDataFrame([(i, i % 5 == 1, text()) for i in range(200)], "doc_id long, held_out boolean, text string")
-    model, counts = suffix_tree.train(d.where("not held_out"))
-    held = [r for r in suffix_tree.score(d, model, counts).collect() if r.held_out]
+    held = [r for r in suffix_tree.score(d, *suffix_tree.train(d.where("not held_out"))).collect() if r.held_out]
     assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
 
 
