@@ -5,22 +5,39 @@ from __future__ import annotations
 import datetime as dt
 import fnmatch
 import re
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 #: The named schedules, in seconds.
 INTERVALS = {"hourly": 3600, "daily": 86400, "weekly": 7 * 86400}
+EPOCH = dt.datetime(1970, 1, 1)
+#: A 29 February may be eight years away; 40 hold every date on every weekday.
+DAYS = 366 * 40
 STATUSES = ("stale", "missing", "transitive", "error", "fresh")
 
 
 def format_size(size: Column) -> Column:
-    """Bytes for people: whole below 1024, one decimal above, ``?`` for null."""
+    """Bytes for people: whole below 1024, one decimal above, ties to the even one, ``?`` for null."""
     n = F.abs(size)
     out = F.when(size.isNull(), F.lit("?")).when(n < 1024, F.format_string("%d B", size.cast("long")))
     for k, unit in enumerate(UNITS[1:], 1):
-        text = F.format_string(f"%.1f {unit}", size / F.lit(float(1024**k)))
+        unit_size = F.lit(1024**k).cast("decimal(38,0)")
+        exact = n.cast("decimal(38,0)") * 10
+        rest = exact % unit_size
+        tenths = ((exact - rest) / unit_size).cast("decimal(38,0)")
+        up = (rest * 2 > unit_size) | ((rest * 2 == unit_size) & (tenths % 2 == 1))
+        tenths = (tenths + up.cast("int")).cast("decimal(38,0)")
+        text = F.concat(
+            F.when(size < 0, "-").otherwise(""),
+            ((tenths - tenths % 10) / 10).cast("decimal(38,0)").cast("string"),
+            F.lit("."),
+            (tenths % 10).cast("int").cast("string"),
+            F.lit(f" {unit}"),
+        )
         out = out.when(n < 1024 ** (k + 1), text) if unit != UNITS[-1] else out.otherwise(text)
     return out
 
@@ -52,7 +69,7 @@ def from_http_date(text: Column) -> Column:
 
 
 def fetch_due(schedule: Column, last_run: Column, now: Column) -> Column:
-    """Whether a named schedule is due; null for cron expressions (see ``cron_due``)."""
+    """Whether a schedule, named or a cron expression, is due; null if it is neither."""
     seconds = F.lit(None).cast("long")
     for name, s in INTERVALS.items():
         seconds = F.when(schedule == name, F.lit(s)).otherwise(seconds)
@@ -61,11 +78,33 @@ def fetch_due(schedule: Column, last_run: Column, now: Column) -> Column:
         F.when(schedule.isNull(), F.lit(False))
         .when(schedule == "manual", F.lit(False))
         .when(last_run.isNull(), F.lit(True))
-        .otherwise(due)
+        .when(schedule.isin(*INTERVALS), due)
+        .otherwise(cron_due(schedule, last_run, now))
     )
 
 
-def _field(text: str, low: int, high: int) -> set[int]:
+def cron_due(schedule: Column, last_run: Column, now: Column) -> Column:
+    """Whether a five-field cron expression names a time after ``last_run``, but not after ``now``; null if it is none.
+    The fields are read in Python, once for each expression of a batch."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = lambda t: F.timestamp_diff("SECOND", start, t.cast("timestamp_ntz"))
+
+    @F.pandas_udf("boolean")
+    def due(expression: pd.Series, last: pd.Series, until: pd.Series) -> pd.Series:
+        out = []
+        for e, a, b in zip(expression, last, until):
+            try:
+                fires = None if pd.isna(a) or pd.isna(b) else cron_next(e, EPOCH + dt.timedelta(seconds=int(a)))
+                out.append(fires is not None and fires <= EPOCH + dt.timedelta(seconds=int(b)))
+            except (ValueError, AttributeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return due(schedule, seconds(last_run), seconds(now))
+
+
+@lru_cache(maxsize=10_000)
+def _field(text: str, low: int, high: int) -> frozenset[int]:
     out: set[int] = set()
     for part in text.split(","):
         span, _, step = part.partition("/")
@@ -79,7 +118,7 @@ def _field(text: str, low: int, high: int) -> set[int]:
         if not (low <= a <= b <= high):
             raise ValueError(f"cron field {text!r}")
         out |= set(range(a, b + 1, int(step or 1)))
-    return out
+    return frozenset(out)
 
 
 def cron_next(expression: str, after: dt.datetime) -> dt.datetime:
@@ -91,7 +130,7 @@ def cron_next(expression: str, after: dt.datetime) -> dt.datetime:
     weekdays = {d % 7 for d in _field(fields[4], 0, 7)}
     either = fields[2] != "*" and fields[4] != "*"
     t = after.replace(second=0, microsecond=0) + dt.timedelta(minutes=1)
-    for _ in range(366 * 5):
+    for _ in range(DAYS):
         in_month, on_day, on_week = t.month in months, t.day in days, (t.weekday() + 1) % 7 in weekdays
         if in_month and ((on_day or on_week) if either else (on_day and on_week)):
             for h in sorted(hours):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datastrata.functions.scalars import STATUSES, fetch_due
+from datastrata.operators.transfer import parent_directory
 
 
 def is_side_effect() -> Column:
@@ -77,8 +78,48 @@ def dep_checks(resolved: DataFrame, phase: int = 3, name: str = "dep") -> DataFr
 
 
 def schedule_checks(stages: DataFrame, now: Column) -> DataFrame:
-    due = stages.withColumn("ord", F.lit(0)).where(fetch_due(F.col("fetch_schedule"), F.col("fetch_last_run"), now))
-    return _check(due.withColumnRenamed("path", "stage"), 1, F.lit("stale"), F.lit("fetch schedule due"))
+    """Stages whose schedule is due, and, as errors, those whose schedule cannot be read."""
+    asked = stages.where("fetch_schedule IS NOT NULL").withColumn("ord", F.lit(0))
+    due = asked.withColumn("_due", fetch_due(F.col("fetch_schedule"), F.col("fetch_last_run"), now)).where("_due OR _due IS NULL")
+    reason = F.when(F.col("_due"), "fetch schedule due").otherwise(F.concat(F.lit("invalid schedule: "), F.col("fetch_schedule")))
+    return _check(due.withColumnRenamed("path", "stage"), 1, F.when(F.col("_due"), "stale").otherwise("error"), reason)
+
+
+def metadata_checks(stages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Phase 0: stages whose file cannot be read, and ``wanted(stage)`` that have none."""
+    none = F.lit("dvc file not found or invalid")
+    bad = None
+    if "error" in stages.columns:
+        bad = _check(stages.where("error IS NOT NULL").select(F.col("path").alias("stage"), "error", F.lit(0).alias("ord")), 0, F.lit("error"), F.col("error"))
+    if wanted is not None:
+        lost = _check(wanted.join(stages.select(F.col("path").alias("stage")), "stage", "left_anti").withColumn("ord", F.lit(0)), 0, F.lit("error"), none)
+        bad = lost if bad is None else bad.unionAll(lost)
+    return bad
+
+
+def inner_files(files: DataFrame, outs: DataFrame, entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Status of files inside tracked folders: ``files(path)`` against the manifest entries of the nearest one and the hashes
+    ``found(path, md5, error)``; files in no tracked folder are left out."""
+    dirs = outs.where("is_dir").select(F.col("path").alias("dir_path"), F.col("md5").alias("dir_md5"))
+    inside = parent_directory(files, dirs).join(dirs, "dir_path")
+    listed = inside.join(entries.select("dir_md5", "relpath", F.col("md5").alias("expected")), ["dir_md5", "relpath"], "left")
+    now = found.select("path", F.col("md5").alias("actual"), "error", F.lit(True).alias("there"))
+    where = F.concat(F.regexp_extract("dir_path", "[^/]*$", 0), F.lit("/"))
+    status = (
+        F.when(F.col("expected").isNull(), "error")
+        .when(F.col("there").isNull(), "missing")
+        .when(F.col("error").isNotNull(), "error")
+        .when(F.col("actual").eqNullSafe(F.col("expected")), "fresh")
+        .otherwise("stale")
+    )
+    reason = (
+        F.when(F.col("expected").isNull(), F.concat(F.lit("file not in manifest of tracked dir "), where))
+        .when(F.col("there").isNull(), F.concat(F.lit("file missing (inside tracked dir "), where, F.lit(")")))
+        .when(F.col("error").isNotNull(), F.concat(F.lit("hash error: "), F.col("error")))
+        .when(status == "fresh", "up-to-date")
+        .otherwise(F.concat(F.lit("hash mismatch (inside tracked dir "), where, F.lit(")")))
+    )
+    return listed.join(now, "path", "left").select("path", status.alias("status"), reason.alias("reason"))
 
 
 def first_reason(stages: DataFrame, checks: DataFrame) -> DataFrame:
@@ -93,8 +134,12 @@ def first_reason(stages: DataFrame, checks: DataFrame) -> DataFrame:
     )
 
 
-def freshness(stages: DataFrame, outs: DataFrame, deps: DataFrame, files: DataFrame, git: DataFrame | None = None, now: Column | None = None) -> DataFrame:
-    """``stages(path, cmd, md5, side_effect, fetch_schedule, fetch_last_run)`` and their parts -> a row per stage."""
+def freshness(
+    stages: DataFrame, outs: DataFrame, deps: DataFrame, files: DataFrame, git: DataFrame | None = None, now: Column | None = None, wanted: DataFrame | None = None
+) -> DataFrame:
+    """``stages(path, cmd, md5, side_effect, fetch_schedule, fetch_last_run)`` and their parts -> a row per stage, and one per
+    ``wanted(stage)`` without metadata."""
+    names = stages.select(F.col("path").alias("stage"))
     quiet = stages.where(is_side_effect()).select(F.col("path").alias("stage"))
     checks = output_checks(outs.join(quiet, "stage", "left_anti"), files)
     plain = deps.where("kind = 'dep'") if "kind" in deps.columns else deps
@@ -105,7 +150,11 @@ def freshness(stages: DataFrame, outs: DataFrame, deps: DataFrame, files: DataFr
         checks = checks.unionAll(dep_checks(resolved, 4, "git dep"))
     if now is not None:
         checks = checks.unionAll(schedule_checks(stages, now))
-    return first_reason(stages.select(F.col("path").alias("stage")), checks)
+    if (bad := metadata_checks(stages, wanted)) is not None:
+        checks = checks.unionAll(bad)
+    if wanted is not None:
+        names = names.unionAll(wanted.select("stage")).distinct()
+    return first_reason(names, checks)
 
 
 def changed_deps(resolved: DataFrame) -> DataFrame:
@@ -138,6 +187,25 @@ def grouped_order(status: DataFrame) -> DataFrame:
     return status.withColumn("rank", F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))).orderBy("rank", "stage")
 
 
+def remember(memo: DataFrame, hashed: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The memo with new entries in place of old ones of the same path, and without the paths ``gone(path)``: one entry a path."""
+    both = memo.unionByName(hashed)
+    if gone is not None:
+        both = both.join(gone.select("path"), "path", "left_anti")
+    rest = [c for c in memo.columns if c != "path"]
+    newest = both.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("updated_at", *[c for c in rest if c != "updated_at"])).alias("m"))
+    return newest.select(*[F.col("path") if c == "path" else F.col(f"m.{c}") for c in memo.columns])
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """``(success, skipped)`` of a run's stages -> one row: how many were executed, skipped, failed."""
+    return results.agg(
+        F.count_if(F.col("success") & ~F.col("skipped")).alias("executed"),
+        F.count_if(F.col("success") & F.col("skipped")).alias("skipped"),
+        F.count_if(~F.col("success")).alias("failed"),
+    )
+
+
 def reuse_hashes(files: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``files(path, mtime, size, nfiles)`` against the memo -> those with a known hash, and those to hash.
 

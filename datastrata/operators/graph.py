@@ -8,7 +8,10 @@ streamed side of a join keyed by the frontier.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from datastrata.operators.transfer import parent_directory
@@ -34,18 +37,28 @@ def attach_producers(edges: DataFrame, outs: DataFrame) -> DataFrame:
     return joined.withColumn("src", F.coalesce("_by", F.when(F.col("_of") != F.col("dst"), F.col("_of")), "src")).drop("_by", "_of")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``seeds(id, root)`` -> ``(root, id, distance)`` of all that follows them along ``src -> dst``."""
+def reach(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """``seeds(id, root)`` -> ``(root, id, distance)`` of all that follows them along ``src -> dst``; nothing is followed
+    from the nodes ``stop(id)``."""
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("_next")).distinct()
+    if stop is not None:
+        step = step.join(stop.select("id"), "id", "left_anti")
     seen = cut(seeds.select("root", "id", F.lit(0).alias("distance")).distinct())
     front = seen
-    for k in range(1, max_rounds + 1):
+    for k in count(1):  # a node is seen once for each root, so this ends
         new = front.join(step, "id").select("root", F.col("_next").alias("id")).distinct()
         front = cut(new.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("distance", F.lit(k)))
         if front.isEmpty():
             return seen.where("distance > 0")
         seen = seen.unionAll(front)
-    raise RuntimeError("reach did not end")
+
+
+def walk_upstream(edges: DataFrame, targets: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """``targets(id)`` and all that they depend on, ``(root, id, distance)``; what is behind ``fresh(id)`` nodes cannot
+    matter and is left out."""
+    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    seeds = targets.select("id", F.col("id").alias("root")).distinct()
+    return seeds.select("root", "id", F.lit(0).alias("distance")).unionAll(reach(flipped, seeds, fresh))
 
 
 def descendants(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,6 +70,15 @@ def ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reach(flipped, nodes.select(F.col("id"), F.col("id").alias("root")))
 
 
+def order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, level, place)``: a total order in which dependencies come first, by level, then by id. Places are counted within each level
+    and added up over the table of levels, which has a row each."""
+    placed = levels(nodes, edges)
+    sizes = placed.groupBy("level").agg(F.count("*").alias("_n"))
+    starts = sizes.select("level", F.coalesce(F.sum("_n").over(W.orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return placed.join(starts, "level").select("id", "level", (F.col("_start") + F.row_number().over(W.partitionBy("level").orderBy("id")) - 1).alias("place"))
+
+
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
@@ -65,7 +87,7 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, level)``: 0 without dependencies among the nodes, else one above the highest dependency.
 
     Peels ready nodes; if nodes remain and none is ready they hold a cycle, which is an error.
@@ -78,7 +100,7 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     )
     left = nodes.select("id").distinct()
     done = None
-    for k in range(max_rounds):
+    for k in count():  # every round takes a node away or ends
         ready = cut(left.join(inner.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(k)))
         if ready.isEmpty():
             if left.isEmpty():
@@ -88,7 +110,6 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
         done = ready if done is None else done.unionAll(ready)
         left = cut(left.join(ready, "id", "left_anti"))
         inner = cut(inner.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-    raise RuntimeError("levels did not end")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -42,3 +42,25 @@ def plan(blobs: DataFrame, kept: DataFrame, referenced: DataFrame, manifests: Da
 def unsafe(plan_: DataFrame, remote: DataFrame) -> DataFrame:
     """What a safe run refuses to delete: not in the remote."""
     return plan_.join(remote.select("md5").distinct(), "md5", "left_anti")
+
+
+def referenced(trees: DataFrame, refs: DataFrame, suffix: str = ".dvc") -> DataFrame:
+    """Hashes that metadata files name at some refs: ``trees(ref, path, text)`` and ``refs(ref)`` -> distinct ``md5``."""
+    files = trees.join(refs.select("ref").distinct(), "ref", "left_semi").where(F.col("path").endswith(suffix) & ~F.col("path").contains(".dvc/"))
+    return files.select(F.explode(F.regexp_extract_all("text", F.lit(r"md5:\s*([0-9a-f]{32})"), 1)).alias("md5")).distinct()
+
+
+def plan_at_refs(
+    blobs: DataFrame, trees: DataFrame, refs: DataFrame, versions: DataFrame | None = None, by: list[str] | None = None, keep: int | None = None,
+    newer_than: Column | None = None, manifests: DataFrame | None = None, candidates: DataFrame | None = None,
+) -> DataFrame:
+    """Blobs to delete given the metadata at some refs and a policy over the versions of artifacts."""
+    kept = blobs.select("md5").limit(0)
+    if versions is not None and (keep is not None or newer_than is not None):
+        kept = keep_set(versions, by or ["path"], keep, newer_than).select("md5")
+    return plan(blobs, kept, referenced(trees, refs), manifests, candidates)
+
+
+def by_size(plan_: DataFrame) -> DataFrame:
+    """The listing of a plan, largest first: a range-partitioned sort."""
+    return plan_.orderBy(F.col("size").desc_nulls_last(), "md5")

@@ -10,8 +10,11 @@ def missing(needed: DataFrame, store: DataFrame) -> DataFrame:
     return needed.join(store.select("md5").distinct(), "md5", "left_anti")
 
 
-def transfer_status(outs: DataFrame, store: DataFrame) -> DataFrame:
-    """``(path, md5, size)`` with ``state``: cached, missing, or error where there is no hash."""
+def transfer_status(outs: DataFrame, store: DataFrame, stages: DataFrame | None = None) -> DataFrame:
+    """``(path, md5, size)`` with ``state``: cached, missing, or error where there is no hash. Outputs of git-tracked ``stages`` are
+    not in any store and left out."""
+    if stages is not None:
+        outs = outs.join(stages.where("git_tracked").select(F.col("path").alias("stage")), "stage", "left_anti")
     has = store.select("md5").distinct().withColumn("_has", F.lit(True))
     state = F.when(F.col("md5").isNull(), "error").when(F.col("_has"), "cached").otherwise("missing")
     return outs.join(has, "md5", "left").select("path", "md5", "size", state.alias("state"))

@@ -50,3 +50,13 @@ def at_ref(tree: DataFrame, ref: str, targets: list[str] | None = None, suffix:
     for t in clean:
         keep = keep | F.col("path").startswith(t + "/")
     return found.where(keep)
+
+
+def transfer_at(history: DataFrame, by: list[str], when: Column, store: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Transfer status of what was tracked at a time: ``history(*by, md5, size, sha, at)`` -> ``(*by, md5, size, state)``."""
+    newest = history.where(F.col("at") <= when).groupBy(*by).agg(F.max_by(F.struct("md5", "size"), F.struct("at", "sha")).alias("v")).select(*by, "v.*")
+    if targets is not None:
+        newest = newest.join(targets, by, "left_semi")
+    has = store.select("md5").distinct().withColumn("_has", F.lit(True))
+    state = F.when(F.col("md5").isNull(), "error").when(F.col("_has"), "cached").otherwise("missing")
+    return newest.join(has, "md5", "left").select(*by, "md5", "size", state.alias("state"))

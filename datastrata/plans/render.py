@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from datastrata.runtime import cut
+
 
 def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node and edge lines of a flowchart, ``(kind, a, b, line)``; ids by the order of paths."""
-    numbered = nodes.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("k"))
+    """Node and edge lines of a flowchart, ``(kind, a, b, line)``; ids by the order of paths.
+
+    Paths are range-partitioned, numbered in their partition, and the partitions' sizes added up: no task holds all nodes."""
+    ranged = cut(nodes.select("id").repartitionByRange("id").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    at = F.row_number().over(W.partitionBy("_p").orderBy("id")) - 1
+    numbered = ranged.withColumn("_at", at).join(starts, "_p").select("id", (F.col("_start") + F.col("_at")).alias("k"))
     label = F.regexp_replace("id", '"', "'")
     node = numbered.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.concat(F.lit("  n"), F.col("k").cast("string"), F.lit('["'), label, F.lit('"]')).alias("line"))
     x, y = numbered.select(F.col("id").alias("src"), F.col("k").alias("x")), numbered.select(F.col("id").alias("dst"), F.col("k").alias("y"))
@@ -22,8 +30,8 @@ def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def json_edges(edges: DataFrame) -> DataFrame:
-    item = F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to")))
-    return edges.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", item.alias("j")))), lambda x: x["j"]), ",").alias("edges"))
+    """Edges as lines of JSON, ``(src, dst, line)``."""
+    return edges.select("src", "dst", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"))).alias("line"))
 
 
 def _rows(nodes: DataFrame, edges: DataFrame) -> tuple[list[dict], list[tuple[str, str]]]:

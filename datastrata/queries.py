@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datastrata.functions import hashing, paths, scalars
-from datastrata.operators import diff, freshness, graph, retention, transfer, versions
+from datastrata.operators import diff, freshness, graph, retention, targets, transfer, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -260,21 +260,21 @@ def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT doc_id AS root, doc_id // 2 AS id, 1 AS distance FROM documents WHERE doc_id > 0 AND doc_id % 5 = 0
+    """WITH RECURSIVE r AS (SELECT doc_id AS root, doc_id // 2 AS id, 1 AS distance FROM documents WHERE doc_id > 0
 UNION ALL SELECT root, id // 2, distance + 1 FROM r WHERE id > 0) SELECT root, id, distance FROM r"""
 )
 def dag_ancestors(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _tree(spark, sf)
-    return graph.ancestors(edges, nodes.where("id % 5 = 0 AND id > 0"))
+    return graph.ancestors(edges, nodes)
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT doc_id // 2 AS root, doc_id AS id, 1 AS distance FROM documents WHERE doc_id > 0 AND doc_id // 2 BETWEEN 1 AND 20
+    """WITH RECURSIVE r AS (SELECT doc_id // 2 AS root, doc_id AS id, 1 AS distance FROM documents WHERE doc_id > 0
 UNION ALL SELECT root, d.doc_id, distance + 1 FROM r JOIN documents d ON d.doc_id // 2 = r.id WHERE d.doc_id > 0) SELECT root, id, distance FROM r"""
 )
 def dag_descendants(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _tree(spark, sf)
-    return graph.descendants(edges, nodes.where("id BETWEEN 1 AND 20"))
+    return graph.descendants(edges, nodes)
 
 
 @query(
@@ -533,13 +533,13 @@ def head_n_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE doc_id % 10 <> 3),
-e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3),
+    """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents),
 b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM e)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, a.line AS old_line, b.line AS new_line FROM a FULL JOIN b USING (doc_id, line_no) WHERE a.line IS DISTINCT FROM b.line"""
 )
 def line_diff(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").where("doc_id % 10 <> 3")
+    d = _t(spark, sf, "documents")
     edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     return diff.positional_line_diff(d.select("doc_id", "text"), d.select("doc_id", edited.alias("text")), "doc_id")
 
@@ -606,7 +606,7 @@ def format_size(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT doc_id, 'd/' || doc_id AS path, row_number() OVER (ORDER BY 'd/' || doc_id) - 1 AS k FROM documents WHERE doc_id < 100)
+    """WITH n AS (SELECT doc_id, 'd/' || doc_id AS path, row_number() OVER (ORDER BY 'd/' || doc_id) - 1 AS k FROM documents)
 SELECT 'node' AS kind, path AS a, CAST(NULL AS VARCHAR) AS b, '  n' || k || '["' || path || '"]' AS line FROM n
 UNION ALL SELECT 'edge', x.path, y.path, '  n' || x.k || ' --> n' || y.k FROM n x JOIN n y ON y.doc_id > 0 AND y.doc_id // 2 = x.doc_id"""
 )
@@ -617,9 +617,7 @@ def dag_mermaid(spark: SparkSession, sf: str) -> DataFrame:
     return render.mermaid_lines(nodes, edges)
 
 
-@query(
-    """SELECT string_agg('{"from":"d/' || doc_id // 2 || '","to":"d/' || doc_id || '"}', ',' ORDER BY 'd/' || doc_id // 2, 'd/' || doc_id) AS edges FROM documents WHERE doc_id > 0 AND doc_id < 100"""
-)
+@query("""SELECT 'd/' || doc_id // 2 AS src, 'd/' || doc_id AS dst, '{"from":"d/' || doc_id // 2 || '","to":"d/' || doc_id || '"}' AS line FROM documents WHERE doc_id > 0""")
 def dag_json(spark: SparkSession, sf: str) -> DataFrame:
     from datastrata.plans import render
 
@@ -628,12 +626,232 @@ def dag_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _named_tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The part of the tree that a picture can hold: drawing is a bounded report."""
     nodes, edges = _tree(spark, sf)
     name = lambda c: F.concat(F.lit("d/"), F.col(c).cast("string"))
-    return nodes.where("id < 100").select(name("id").alias("id"), "cmd"), edges.where("dst < 100").select(name("src").alias("src"), name("dst").alias("dst"))
+    return nodes.select(name("id").alias("id"), "cmd"), edges.select(name("src").alias("src"), name("dst").alias("dst"))
 
 
 @query("SELECT doc_id, sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS sha FROM documents")
 def git_blob_sha(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", hashing.git_blob_sha(F.col("text")).alias("sha"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'purchase' THEN date_trunc('week', ts) + INTERVAL 390 MINUTE + CASE WHEN date_trunc('week', ts) + INTERVAL 390 MINUTE <= ts THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END <= TIMESTAMP '2024-01-15 12:00:00'
+WHEN event_type = 'error' THEN date_trunc('month', ts) + INTERVAL 1 MONTH <= TIMESTAMP '2024-01-15 12:00:00' WHEN event_type = 'view' THEN NULL
+ELSE (floor((epoch(ts) - 900) / 21600) + 1) * 21600 + 900 <= epoch(TIMESTAMP '2024-01-15 12:00:00') END AS due FROM events"""
+)
+def cron_due(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_type")
+    schedule = F.when(kind == "purchase", "30 6 * * 1").when(kind == "error", "0 0 1 * *").when(kind == "view", "never").otherwise("15 */6 * * *")
+    return _t(spark, sf, "events").select("event_id", scalars.fetch_due(schedule, F.col("ts"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).alias("due"))
+
+
+def _plain_stages(spark: SparkSession, sf: str, cmd: str | None = "make") -> DataFrame:
+    name = F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
+    return _blobs(spark, sf).select(
+        "doc_id", name.alias("path"), F.lit(cmd).alias("cmd"), "md5", F.lit(None).cast("boolean").alias("side_effect"),
+        F.lit(None).cast("string").alias("fetch_schedule"), F.lit(None).cast("timestamp_ntz").alias("fetch_last_run"),
+    )
+
+
+_NO_OUTS = "stage string, ord int, path string, md5 string"
+_FILES = "path string, md5 string, error string"
+
+
+@query(
+    """SELECT 'd/' || doc_id AS stage, doc_id % 10 <> 7 AND doc_id % 6 <> 2 AS fresh, CASE WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 6 = 2 THEN 'stale' ELSE 'fresh' END AS status,
+CASE WHEN doc_id % 10 = 7 THEN 'git dep missing: src/' || doc_id WHEN doc_id % 6 = 2 THEN 'git dep changed: src/' || doc_id ELSE 'up-to-date' END AS reason FROM documents"""
+)
+def freshness_git(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("stage"), F.concat(F.lit("src/"), F.col("doc_id").cast("string")).alias("dep_path"), "text")
+    sha = hashing.git_blob_sha(F.col("text"))
+    recorded = F.when(F.col("doc_id") % 6 == 2, F.lit("0" * 40)).otherwise(sha)
+    deps = d.select("stage", F.lit(0).alias("ord"), F.lit("git_dep").alias("kind"), "dep_path", recorded.alias("recorded"))
+    worktree = d.where("doc_id % 10 <> 7").select(F.col("dep_path").alias("path"), sha.alias("sha"))
+    stages = _plain_stages(spark, sf).withColumn("side_effect", F.lit(True))
+    return freshness.freshness(stages, spark.createDataFrame([], _NO_OUTS), deps, spark.createDataFrame([], _FILES), git=worktree)
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), c AS (SELECT source, doc_id AS ord, 'missing' AS code, 'output missing: d/' || doc_id AS reason FROM b WHERE doc_id % 9 = 4
+UNION ALL SELECT source, doc_id, 'stale', 'data changed: d/' || doc_id || ' (' || substr(md5('x' || md5), 1, 8) || '... vs ' || substr(md5, 1, 8) || '...)' FROM b WHERE doc_id % 9 <> 4 AND doc_id % 11 = 0),
+f AS (SELECT source, arg_min(code, {{a: ord, b: reason}}) AS code, arg_min(reason, {{a: ord, b: reason}}) AS reason FROM c GROUP BY source)
+SELECT 's/' || source AS stage, f.source IS NULL AS fresh, coalesce(code, 'fresh') AS status, coalesce(reason, 'up-to-date') AS reason FROM (SELECT DISTINCT source FROM b) LEFT JOIN f USING (source)"""
+)
+def freshness_multi_output(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf).withColumn("stage", F.concat(F.lit("s/"), "source")).withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    stages = _plain_stages(spark, sf).join(b.select("doc_id", "stage"), "doc_id").groupBy("stage").agg(*[F.min(c).alias(c) for c in ("cmd", "md5", "side_effect", "fetch_schedule", "fetch_last_run")])
+    declared = F.when(F.col("doc_id") % 11 == 0, F.md5(F.concat(F.lit("x"), "md5"))).otherwise(F.col("md5"))
+    outs = b.select("stage", F.col("doc_id").cast("int").alias("ord"), "path", declared.alias("md5"))
+    files = b.where("doc_id % 9 <> 4").select("path", "md5", F.lit(None).cast("string").alias("error"))
+    deps = spark.createDataFrame([], "stage string, ord int, kind string, dep_path string, recorded string")
+    return freshness.freshness(stages.withColumnRenamed("stage", "path"), outs, deps, files)
+
+
+@query(
+    """SELECT 'd/' || doc_id AS stage, doc_id % 6 <> 1 AND doc_id % 4 <> 3 AS fresh, CASE WHEN doc_id % 6 = 1 THEN 'stale' WHEN doc_id % 4 = 3 THEN 'error' ELSE 'fresh' END AS status,
+CASE WHEN doc_id % 6 = 1 THEN 'dep changed: raw/' || doc_id WHEN doc_id % 4 = 3 THEN 'dep hash error: raw/' || doc_id || ': unreadable' ELSE 'up-to-date' END AS reason
+FROM documents"""
+)
+def freshness_side_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages with a command and no output; a changed dependency comes before one that cannot be read."""
+    b = _blobs(spark, sf).withColumn("raw", F.concat(F.lit("raw/"), F.col("doc_id").cast("string")))
+    recorded = F.when(F.col("doc_id") % 6 == 1, F.lit("0" * 32)).otherwise(F.col("md5"))
+    deps = b.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("stage"), F.lit(0).alias("ord"), F.lit("dep").alias("kind"), F.col("raw").alias("dep_path"), recorded.alias("recorded"))
+    files = b.select(F.col("raw").alias("path"), "md5", F.when((F.col("doc_id") % 4 == 3) & (F.col("doc_id") % 6 != 1), "unreadable").alias("error"))
+    stages = _plain_stages(spark, sf).withColumn("md5", F.lit(None).cast("string"))
+    return freshness.freshness(stages, spark.createDataFrame([], _NO_OUTS), deps, files)
+
+
+@query(
+    """SELECT 'd/' || doc_id AS stage, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS fresh, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'error' ELSE 'fresh' END AS status,
+CASE WHEN doc_id % 5 = 0 THEN 'dvc file not found or invalid' WHEN doc_id % 7 = 0 THEN 'bad yaml' ELSE 'up-to-date' END AS reason FROM documents"""
+)
+def freshness_no_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    stages = _plain_stages(spark, sf).withColumn("error", F.when(F.col("doc_id") % 7 == 0, "bad yaml"))
+    b = _blobs(spark, sf).withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    known = stages.where("doc_id % 5 <> 0")
+    outs = b.join(known.where("error IS NULL").select("doc_id"), "doc_id").select(F.col("path").alias("stage"), F.lit(0).alias("ord"), "path", "md5")
+    files = b.select("path", "md5", F.lit(None).cast("string").alias("error"))
+    deps = spark.createDataFrame([], "stage string, ord int, kind string, dep_path string, recorded string")
+    return freshness.freshness(known, outs, deps, files, wanted=b.select(F.col("path").alias("stage")))
+
+
+@query(
+    f"""SELECT source || '/' || lang || '/' || doc_id AS path, CASE WHEN doc_id % 4 = 1 THEN 'error' WHEN doc_id % 9 = 4 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'stale' ELSE 'fresh' END AS status,
+CASE WHEN doc_id % 4 = 1 THEN 'file not in manifest of tracked dir ' || source || '/' WHEN doc_id % 9 = 4 THEN 'file missing (inside tracked dir ' || source || '/)'
+WHEN doc_id % 11 = 0 THEN 'hash mismatch (inside tracked dir ' || source || '/)' ELSE 'up-to-date' END AS reason FROM ({_BLOBS})"""
+)
+def inner_file_status(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf).withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    dirs = b.select("source").distinct().select(F.col("source").alias("path"), F.concat(F.lit("dir-"), "source").alias("md5"), F.lit(True).alias("is_dir"))
+    entries = b.where("doc_id % 4 <> 1").select(F.concat(F.lit("dir-"), "source").alias("dir_md5"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("relpath"), "md5")
+    found = b.where("doc_id % 9 <> 4").select("path", F.when(F.col("doc_id") % 11 == 0, F.lit("0" * 32)).otherwise(F.col("md5")).alias("md5"), F.lit(None).cast("string").alias("error"))
+    return freshness.inner_files(b.select("path"), dirs, entries, found)
+
+
+def _target_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("stage"))
+    k, lone = F.col("doc_id") % 4, lambda top: F.concat(F.lit(f"{top}/"), F.col("doc_id").cast("string"))
+    named = d.select(F.when(k == 0, F.concat("stage", F.lit(".dvc"))).when(k == 1, F.col("stage")).when(k == 2, lone("nope")).otherwise(lone("raw")).alias("target"))
+    folders = d.select(F.concat("source", F.lit("/")).alias("target")).unionAll(d.select(F.concat_ws("/", "source", "lang"))).distinct()
+    return named.unionAll(folders), d.select("stage"), d.select(lone("raw").alias("path"))
+
+
+_TARGETS = """d AS (SELECT doc_id, source, lang, source || '/' || lang || '/' || doc_id AS stage FROM documents),
+f AS (SELECT DISTINCT source || '/' AS target, source || '/' AS top FROM d UNION SELECT DISTINCT source || '/' || lang, source || '/' || lang || '/' FROM d),
+i AS (SELECT target, stage FROM f JOIN d ON starts_with(d.stage, f.top))"""
+
+
+@query(
+    f"""WITH {_TARGETS} SELECT stage || '.dvc' AS target, stage AS path, 'stage' AS kind FROM d WHERE doc_id % 4 = 0 UNION ALL SELECT stage, stage, 'stage' FROM d WHERE doc_id % 4 = 1
+UNION ALL SELECT 'nope/' || doc_id, 'nope/' || doc_id, 'unknown' FROM d WHERE doc_id % 4 = 2 UNION ALL SELECT 'raw/' || doc_id, 'raw/' || doc_id, 'file' FROM d WHERE doc_id % 4 = 3
+UNION ALL SELECT target, stage, 'stage' FROM i"""
+)
+def targets_expand(spark: SparkSession, sf: str) -> DataFrame:
+    return targets.expand(*_target_tables(spark, sf))
+
+
+@query(
+    f"""WITH {_TARGETS} SELECT stage || '.dvc' AS target, stage AS path FROM d WHERE doc_id % 4 = 0 UNION ALL SELECT stage, stage FROM d WHERE doc_id % 4 = 1
+UNION ALL SELECT 'nope/' || doc_id, NULL FROM d WHERE doc_id % 4 = 2 UNION ALL SELECT 'raw/' || doc_id, NULL FROM d WHERE doc_id % 4 = 3 UNION ALL SELECT target, stage FROM i"""
+)
+def pull_targets(spark: SparkSession, sf: str) -> DataFrame:
+    named, stages, _ = _target_tables(spark, sf)
+    return targets.for_transfer(named, stages)
+
+
+@query("SELECT doc_id, source || '/' || lang || '/' || doc_id AS path FROM documents WHERE regexp_matches(source || '/' || lang || '/' || doc_id, '^(src1.*/en/.*|.*/[^/]*7|src0/d[a-f]/.*)$')")
+def targets_by_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return targets.by_pattern(d, ["src1*/en/*", "*/*7", "src0/d[a-f]/*"])
+
+
+def _trees(spark: SparkSession, sf: str) -> DataFrame:
+    md5 = F.md5(F.col("o_orderkey").cast("string"))
+    text = F.concat(F.lit("outs:\n- md5: "), md5, F.lit("\n  path: x\n"))
+    name = F.concat(F.when(F.col("o_orderkey") % 5 == 0, ".dvc/tmp/").otherwise("c/"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 7 == 0, ".txt").otherwise(".dvc"))
+    return _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("ref"), name.alias("path"), text.alias("text"))
+
+
+def _refs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("1-URGENT",), ("5-LOW",)], "ref string")
+
+
+@query("SELECT md5(CAST(o_orderkey AS VARCHAR)) AS md5 FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0")
+def referenced_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    return retention.referenced(_trees(spark, sf), _refs(spark))
+
+
+@query(
+    """SELECT o_custkey AS path, md5(CAST(o_orderkey AS VARCHAR)) AS md5, o_orderkey * 10 AS size FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, md5(CAST(o_orderkey AS VARCHAR))) AS rn FROM orders)
+WHERE rn > 2 AND NOT (o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)"""
+)
+def gc_plan_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """The blobs to delete, largest first."""
+    h = _t(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.md5(F.col("o_orderkey").cast("string")).alias("md5"), (F.col("o_orderkey") * 10).alias("size"), F.col("o_orderdate").alias("at"))
+    plan = retention.plan_at_refs(h.select("path", "md5", "size"), _trees(spark, sf), _refs(spark), h, ["path"], keep=2)
+    return retention.by_size(plan)
+
+
+@query(
+    """WITH v AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30')
+SELECT o_custkey AS path, CASE WHEN o_orderkey % 10 <> 9 THEN o_orderkey END AS md5, o_orderkey * 10 AS size,
+CASE WHEN o_orderkey % 10 = 9 THEN 'error' WHEN o_orderkey % 3 = 0 THEN 'cached' ELSE 'missing' END AS state FROM v WHERE rn = 1"""
+)
+def transfer_at_ref(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf).withColumn("size", F.col("md5") * 10).withColumn("md5", F.when(F.col("sha") % 10 != 9, F.col("sha")))
+    store = h.where("sha % 3 = 0").select("md5")
+    return versions.transfer_at(h, ["path"], F.lit("1996-06-30").cast("timestamp_ntz"), store)
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), r AS (SELECT DISTINCT md5 FROM b JOIN labels USING (doc_id))
+SELECT doc_id AS path, b.md5, size, CASE WHEN r.md5 IS NOT NULL THEN 'cached' ELSE 'missing' END AS state FROM b LEFT JOIN r ON b.md5 = r.md5 WHERE lang <> 'de'"""
+)
+def transfer_git_tracked(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf)
+    remote = b.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    outs = b.select(F.col("doc_id").alias("path"), F.col("doc_id").alias("stage"), "md5", "size")
+    return transfer.transfer_status(outs, remote, b.select(F.col("doc_id").alias("path"), (F.col("lang") == "de").alias("git_tracked")))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id AS root, doc_id AS id, 0 AS distance FROM documents WHERE doc_id NOT IN (SELECT doc_id // 2 FROM documents WHERE doc_id > 0)
+UNION ALL SELECT root, id // 2, distance + 1 FROM r WHERE id > 0 AND id % 7 <> 0) SELECT root, id, distance FROM r"""
+)
+def walk_upstream_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _tree(spark, sf)
+    return graph.walk_upstream(edges, graph.leaves(nodes, edges), nodes.where("id % 7 = 0"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations),
+l AS (SELECT id, 0 AS level FROM c WHERE id - 1 NOT IN (SELECT id FROM c) UNION ALL SELECT c.id, l.level + 1 FROM l JOIN c ON c.id = l.id + 1)
+SELECT id, level, row_number() OVER (ORDER BY level, id) - 1 AS place FROM l"""
+)
+def dag_order(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.order(*_chain(spark, sf))
+
+
+@query(
+    """SELECT CAST(count(*) FILTER (event_type NOT IN ('error', 'view')) AS BIGINT) AS executed, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS skipped,
+CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failed FROM events"""
+)
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events")
+    return freshness.run_summary(e.select((F.col("event_type") != "error").alias("success"), F.col("event_type").isin("view", "error").alias("skipped")))
+
+
+@query(
+    """SELECT doc_id AS path, CAST(doc_id AS DOUBLE) AS mtime, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS size, 1 AS nfiles,
+CASE WHEN doc_id % 4 = 0 THEN md5(text || '!') ELSE md5(text) END AS md5, CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS updated_at
+FROM documents WHERE doc_id % 9 <> 0 AND (doc_id % 6 <> 0 OR doc_id % 4 = 0)"""
+)
+def memo_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    entry = lambda size, text, at: [F.col("doc_id").alias("path"), F.col("doc_id").cast("double").alias("mtime"), size.alias("size"), F.lit(1).alias("nfiles"), F.md5(text).alias("md5"), F.lit(at).alias("updated_at")]
+    memo = d.where("doc_id % 6 <> 0").select(*entry(F.col("n_chars"), F.col("text"), 1.0))
+    hashed = d.where("doc_id % 4 = 0").select(*entry(F.col("n_chars") + 1, F.concat("text", F.lit("!")), 2.0))
+    return freshness.remember(memo, hashed, d.where("doc_id % 9 = 0").select(F.col("doc_id").alias("path")))

@@ -76,7 +76,7 @@ def parse(path: str, text: str) -> Stage | None:
     folder, stem = posixpath.dirname(path), path.removesuffix(SUFFIX)
     meta = data.get("meta") or {}
     work = meta.get("computation") or data.get("computation") or {}
-    fetch = meta.get("fetch") or {}
+    fetch = work.get("fetch") or {}
     outs = []
     for o in data.get("outs") or []:
         md5 = o.get("md5")
@@ -117,9 +117,9 @@ def render(stage: Stage) -> str:
             work[name] = {relativize(folder, k): v for k, v in deps.items()}
     if stage.side_effect is not None:
         work["side_effect"] = stage.side_effect
-    meta: dict = {"computation": work} if work else {}
     if stage.fetch_schedule:
-        meta["fetch"] = {"schedule": stage.fetch_schedule} | ({"last_run": stage.fetch_last_run} if stage.fetch_last_run else {})
+        work["fetch"] = {"schedule": stage.fetch_schedule} | ({"last_run": stage.fetch_last_run} if stage.fetch_last_run else {})
+    meta: dict = {"computation": work} if work else {}
     if stage.git_tracked:
         meta["git_tracked"] = True
     if stage.stage:
