@@ -17,7 +17,7 @@ listing the pairs within a group. Steps, each over all documents:
 4. Lists. Prefix shingles are partitioned and sorted by (shingle, size, position), lists longer than
    ``LONG_LIST`` in parts; lists of one set are dropped. While a list streams by, each set is paired with the
    leading set of fitting size: as many pairs as entries. These are intersected exactly. Components of the links
-   are found; then, in rounds, each entry is paired with the nearest one before it of another component, until
+   are found; then, in rounds, each list is ordered anew and each entry paired with the nearest one before it of another component, until
    no link is found or ``LINK_ROUNDS`` are over.
 5. Across components. Each set is in the group of a similar leader. Lists of two components or more are reduced to groups, and pairs of groups
    are found by block-skipping: the entries of one size are ordered by position, and the rest of a block
@@ -60,7 +60,7 @@ SAMPLE = 3
 HOT_TOKENS = 250_000
 HOT_COUNT = 1000
 LONG_LIST = 5_000
-LINK_ROUNDS = 2
+LINK_ROUNDS = 4
 #: Members of a group that one row carries.
 PIECE = 32
 #: Ids to broadcast at most (24 bytes each); beyond, the join shuffles.
@@ -423,7 +423,7 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries (token, sid, n, pos, c) in order of (token, n, pos, sid) -> each with the entry before it that
+    """Entries (token, sid, n, pos, c) in order of token -> each with the entry before it that
     is of another component, if the two can reach the overlap: a pair per entry at most."""
     held: list[np.ndarray] = []  # the last entry, and the last one of another component than its own
     for batch in batches:
@@ -438,7 +438,7 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.concatenate([[False], c[1:] != c[:-1]])
         other = np.maximum.accumulate(np.where(turn, at - 1, -1))  # the last entry of the component run before
         ok = np.maximum(other, 0)
-        fit = (other >= 0) & (token[ok] == token) & (100 * n[ok] >= PERCENT * n)
+        fit = (other >= 0) & (token[ok] == token) & (100 * np.minimum(n, n[ok]) >= PERCENT * np.maximum(n, n[ok]))
         fit &= np.minimum(n - pos, n[ok] - pos[ok]) >= least_overlap(n, n[ok])
         fit[: len(held[0]) if held else 0] = False
         a, b = sid[fit], sid[ok[fit]]
@@ -603,8 +603,8 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     tried = written(overlaps(pairs, sets), "stars")
     stars = tried.where(_similar())
     roots = components(stars.select("a", "b"))
-    for _ in range(rounds):
-        seen = written(_checked(_next_pairs(lists, roots, tried), sets), "round-links", found=_count(_similar()))
+    for k in range(rounds):
+        seen = written(_checked(_next_pairs(lists, roots, tried, k), sets), "round-links", found=_count(_similar()))
         tried = tried.unionAll(seen)
         new = seen.where(_similar())
         if not seen.measured["found"]:
@@ -631,10 +631,12 @@ def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "token", "left_semi")
 
 
-def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
     """Pairs of sets of two components that have not been tried: of each set at most the three that share most prefix shingles
-    with it. The others' turn comes in later rounds and in the pass over groups."""
-    ordered = _mixed(lists, roots).repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
+    with it. The others' turn comes in later rounds and in the pass over groups. Every turn orders the sets anew, so each
+    entry of a component meets others; entries so late in their sets that few partners are left to them stand back."""
+    early = (F.col("n") - F.col("pos")) * (100 + PERCENT) >= F.col("n") * (2 * PERCENT)
+    ordered = _mixed(lists.where(early), roots).withColumn("at", F.xxhash64("sid", F.lit(turn))).repartition("token").sortWithinPartitions("token", "at", "sid").drop("at")
     pairs = ordered.mapInArrow(_cross_links, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     w = W.partitionBy("a").orderBy(F.col("k").desc(), "b")
