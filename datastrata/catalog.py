@@ -100,4 +100,4 @@ class Catalog:
         return [m for m, _ in gone], freed
 
     def run(self, targets: list[str] | None = None, **options) -> list[runner.Result]:
-        return runner.run(self.root, targets, runner.Options(**options), self.store)
+        return runner.run(self.root, targets, runner.Options(**options), self.store, remote=self.remote)

@@ -23,23 +23,18 @@ STATUSES = ("stale", "missing", "transitive", "error", "fresh")
 def format_size(size: Column) -> Column:
     """Bytes for people: whole below 1024, one decimal above, ties to the even one, ``?`` for null."""
     n = F.abs(size)
-    out = F.when(size.isNull(), F.lit("?")).when(n < 1024, F.format_string("%d B", size.cast("long")))
-    for k, unit in enumerate(UNITS[1:], 1):
-        unit_size = F.lit(1024**k).cast("decimal(38,0)")
-        exact = n.cast("decimal(38,0)") * 10
-        rest = exact % unit_size
-        tenths = ((exact - rest) / unit_size).cast("decimal(38,0)")
-        up = (rest * 2 > unit_size) | ((rest * 2 == unit_size) & (tenths % 2 == 1))
-        tenths = (tenths + up.cast("int")).cast("decimal(38,0)")
-        text = F.concat(
-            F.when(size < 0, "-").otherwise(""),
-            ((tenths - tenths % 10) / 10).cast("decimal(38,0)").cast("string"),
-            F.lit("."),
-            (tenths % 10).cast("int").cast("string"),
-            F.lit(f" {unit}"),
-        )
-        out = out.when(n < 1024 ** (k + 1), text) if unit != UNITS[-1] else out.otherwise(text)
-    return out
+    unit = F.lit(1)
+    for k in range(2, len(UNITS)):
+        unit = unit + (n >= 1024**k).cast("int")
+    # In integers, so ties are ties: twice the rest against the unit.
+    whole = F.element_at(F.array(*[F.lit(1024**k) for k in range(1, len(UNITS))]), unit)
+    rest = (n % whole) * 10
+    down = (n - n % whole) / whole * 10 + (rest - rest % whole) / whole
+    over = 2 * (rest % whole)
+    tenths = (down + ((over > whole) | ((over == whole) & (down % 2 == 1))).cast("int")).cast("long")
+    sign = F.when(size < 0, "-").otherwise("")
+    text = F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS[1:]]), unit))
+    return F.when(size.isNull(), F.lit("?")).when(n < 1024, F.format_string("%d B", size.cast("long"))).otherwise(text)
 
 
 def parse_duration(text: str) -> dt.timedelta:

@@ -1,4 +1,4 @@
-"""Objects and history of a git repository as relations; one git process per ref, not per path."""
+"""Objects and history of a git repository as relations; contents come from one git process, whatever their number."""
 
 from __future__ import annotations
 
@@ -24,6 +24,36 @@ def tree(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
     return spark.createDataFrame(rows, TREE)
 
 
+def texts_at(spark: SparkSession, root: str, refs: list[str], suffix: str = ".dvc") -> DataFrame:
+    """``(ref, path, sha, text)`` of the metadata files at some refs: a listing for each ref, and one process for all contents."""
+    found = []
+    for ref in refs:
+        for entry in git(root, "ls-tree", "-r", "-z", ref).split("\0"):
+            if entry:
+                head_, path = entry.split("\t", 1)
+                if path.endswith(suffix) and f"{suffix}/" not in path:
+                    found.append((ref, path, head_.split()[2]))
+    texts = _contents(root, {sha for *_, sha in found})
+    return spark.createDataFrame([(*f, texts[f[2]]) for f in found], "ref string, path string, sha string, text string")
+
+
+def _contents(root: str, objects: set[str]) -> dict[str, str]:
+    """Texts of blobs by their hash or ``ref:path``, all from one process."""
+    names = sorted(objects)
+    out = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input="".join(f"{n}\n" for n in names).encode(), capture_output=True, check=True).stdout
+    found, at = {}, 0
+    for name in names:
+        end = out.index(b"\n", at)
+        head_ = out[at:end].split()
+        if head_[-1] == b"missing":
+            at = end + 1
+            continue
+        size = int(head_[2])
+        found[name] = out[end + 1 : end + 1 + size].decode("utf-8", "replace")
+        at = end + size + 2
+    return found
+
+
 def head(root: str) -> str | None:
     try:
         return git(root, "rev-parse", "HEAD").strip()
@@ -45,8 +75,6 @@ def file_history(spark: SparkSession, root: str, paths: list[str], refs: list[st
     for p in paths:
         for line in git(root, "log", "--format=%H %ct", *(refs or ["HEAD"]), "--", p).splitlines():
             sha, at = line.split()
-            try:
-                rows.append((p, sha, int(at), content(root, sha, p).decode("utf-8", "replace")))
-            except subprocess.CalledProcessError:
-                rows.append((p, sha, int(at), None))  # removed in this commit
-    return spark.createDataFrame(rows, "path string, sha string, at long, text string")
+            rows.append((p, sha, int(at)))
+    texts = _contents(root, {f"{sha}:{p}" for p, sha, _ in rows})  # none where a commit removed the file
+    return spark.createDataFrame([(p, sha, at, texts.get(f"{sha}:{p}")) for p, sha, at in rows], "path string, sha string, at long, text string")

@@ -4,6 +4,9 @@ import datetime as dt
 import hashlib
 import json
 import os
+import random
+import re
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from datastrata.functions import hashing, paths, scalars
 from datastrata.operators import diff, freshness, graph, retention, transfer, versions
 from datastrata.plans import render, runner
 from datastrata.sources import config, metadata, urls
+from datastrata.sources import git as repo
 from datastrata.sources.store import Store, copy, hash_path
 
 
@@ -50,7 +54,7 @@ def test_path_parts(spark):
     assert one(spark, paths.blob_path("c", F.lit("abcdef")), paths.default_out(F.lit("http://h/a/b%20c.txt?x=1")), paths.default_out(F.lit("http://h/a/"))) == ("c/files/md5/ab/cdef", "b c.txt", None)
 
 
-@pytest.mark.parametrize("n, text", [(100, "100 B"), (1024, "1.0 KB"), (1048576, "1.0 MB"), (1073741824, "1.0 GB"), (None, "?"), (0, "0 B"), (3 * 1024**5, "3.0 PB")])
+@pytest.mark.parametrize("n, text", [(100, "100 B"), (1024, "1.0 KB"), (1048576, "1.0 MB"), (1073741824, "1.0 GB"), (None, "?"), (0, "0 B"), (3 * 1024**5, "3.0 PB"), (1280, "1.2 KB"), (1408, "1.4 KB"), (1331, "1.3 KB"), (1048575, "1024.0 KB"), (-1536, "-1.5 KB")])
 def test_format_size(spark, n, text):
     assert one(spark, scalars.format_size(F.lit(n).cast("long"))) == (text,)
 
@@ -75,6 +79,10 @@ def test_durations():
         ("weekly", "2026-04-01T12:00:00Z", "2026-04-07T12:00:00Z", False),
         ("weekly", "2026-04-01T12:00:00Z", "2026-04-09T12:00:00Z", True),
         ("daily", "2026-04-07T12:00:00", "2026-04-08T13:00:00Z", True),
+        ("0 6 * * *", "2026-04-07T12:00:00Z", "2026-04-08T05:59:00Z", False),
+        ("0 6 * * *", "2026-04-07T12:00:00Z", "2026-04-08T06:00:00Z", True),
+        ("0 6 * * *", None, "2026-04-08T06:00:00Z", True),
+        ("sometimes", "2026-04-07T12:00:00Z", "2026-04-08T06:00:00Z", None),
     ],
 )
 def test_schedule(spark, schedule, last, now, due):
@@ -88,6 +96,7 @@ def test_cron():
     assert scalars.cron_next("*/15 * * * *", at) == dt.datetime(2026, 4, 7, 12, 15)
     assert scalars.cron_next("0 0 * * 1", at) == dt.datetime(2026, 4, 13)
     assert scalars.cron_next("30 1 29 2 *", at) == dt.datetime(2028, 2, 29, 1, 30)
+    assert scalars.cron_next("0 0 29 2 *", dt.datetime(2096, 3, 1)) == dt.datetime(2104, 2, 29)
     with pytest.raises(ValueError):
         scalars.cron_next("61 * * * *", at)
 
@@ -142,6 +151,14 @@ def test_metadata_round_trip(spark):
     assert [tuple(r) for r in deps.collect()] == [("b", 0, "dep", "a", "abc")]
 
 
+def test_metadata_of_a_fetched_stage():
+    """As files in use have it: the schedule is the computation's."""
+    text = "outs:\n- md5: abc\n  path: a\nmeta:\n  computation:\n    cmd: get\n    fetch:\n      schedule: daily\n      last_run: '2026-01-01T00:00:00Z'\n"
+    stage = metadata.parse("a.dvc", text)
+    assert (stage.fetch_schedule, stage.fetch_last_run) == ("daily", "2026-01-01T00:00:00Z")
+    assert metadata.parse("a.dvc", metadata.render(stage)) == stage
+
+
 def history(spark, rows):
     return spark.createDataFrame([(p, m, s, dt.datetime(2026, 1, d)) for p, m, s, d in rows], "path string, md5 string, sha string, at timestamp")
 
@@ -262,13 +279,107 @@ def test_runner(tmp_path):
     assert (tmp_path / "log").read_text().count("run") == 2  # one run for two outputs
     assert all(r.skipped and r.reason == "up-to-date" for r in runner.run(root))
     (tmp_path / "raw.txt").write_text("2\n")
-    got = {r.path: r.reason for r in runner.run(root, ["b.txt"])}
+    got = {r.path: r.reason for r in runner.run(root, ["b.txt"], runner.Options(prune=False))}
     assert got["a.txt"] == "dep changed: raw.txt" and (tmp_path / "b.txt").read_text() == "2\n2\n"
     write(metadata.Stage("bad", [metadata.Out("bad")], "echo oops >&2; exit 3"))
     (bad,) = [r for r in runner.run(root) if r.path == "bad"]
     assert not bad.success and "oops" in bad.reason
 
 
+def test_runner_looks_in_the_remote_first(tmp_path):
+    store, remote = Store(str(tmp_path / "cache")), Store(str(tmp_path / "remote"))
+    root = tmp_path / "work"
+    root.mkdir()
+    stage = metadata.Stage("a.txt", [metadata.Out("a.txt")], "echo made > a.txt; echo run >> log")
+    metadata.write_atomic(str(root / "a.txt.dvc"), metadata.render(stage))
+    run = lambda **o: [(r.path, r.skipped, r.reason) for r in runner.run(str(root), options=runner.Options(**o), store=store, remote=remote)]
+    assert run() == [("a.txt", False, "output missing")]
+    copy([(hash_path(str(root / "a.txt"))[0], False)], store, remote)
+    (root / "a.txt").unlink()
+    assert run() == [("a.txt", True, "fetched (up-to-date)")] and (root / "a.txt").read_text() == "made\n" and (root / "log").read_text() == "run\n"
+    (root / "a.txt").unlink()
+    assert run(pull=False) == [("a.txt", False, "output missing")] and (root / "log").read_text() == "run\nrun\n"
+
+
+def test_runner_schedules_git_deps_and_pruning(tmp_path):
+    root = str(tmp_path)
+    write = lambda s: metadata.write_atomic(str(tmp_path / f"{s.path}.dvc"), metadata.render(s))
+    (tmp_path / "code.py").write_text("1")
+    write(metadata.Stage("a", [metadata.Out("a")], "date +%N > a", {}, {"code.py": "0" * 40}, fetch_schedule="daily"))
+    write(metadata.Stage("b", [metadata.Out("b")], "cat a > b", {"a": "0"}))
+    at = lambda day: runner.Options(now=dt.datetime(2026, 1, day))
+    reasons = lambda results: {r.path: (r.skipped, r.reason) for r in results}
+    first = runner.run(root, options=at(1))
+    assert runner.summary(first) == {"executed": 2, "skipped": 0, "failed": 0} and reasons(first)["a"] == (False, "fetch schedule due")
+    assert metadata.parse("a.dvc", (tmp_path / "a.dvc").read_text()).fetch_last_run == "2026-01-01T00:00:00Z"
+    assert set(reasons(runner.run(root, options=at(1))).values()) == {(True, "up-to-date")}
+    (tmp_path / "code.py").write_text("2")
+    assert reasons(runner.run(root, ["b"], options=at(1))) == {"b": (True, "up-to-date")}  # pruned: what is behind b cannot matter
+    got = reasons(runner.run(root, ["b"], options=runner.Options(now=dt.datetime(2026, 1, 1), prune=False)))
+    assert got["a"] == (False, "git dep changed: code.py") and got["b"][1] == "dep changed: a"
+    assert reasons(runner.run(root, options=at(3)))["a"] == (False, "fetch schedule due")
+
+
+def test_runner_commits_and_pushes_as_the_stage_says(tmp_path):
+    root, store, remote = tmp_path / "work", Store(str(tmp_path / "cache")), Store(str(tmp_path / "remote"))
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), *a], check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    git("config", "user.email", "a@example.org")
+    git("config", "user.name", "a")
+    write = lambda s: metadata.write_atomic(str(root / f"{s.path}.dvc"), metadata.render(s))
+    write(metadata.Stage("a", [metadata.Out("a")], f'echo 1 > a; echo "made a" > "${runner.MESSAGE}"; echo short > "${runner.SUMMARY}"; echo true > "${runner.PUSH}"'))
+    write(metadata.Stage("b", [metadata.Out("b")], "echo 2 > b"))
+    write(metadata.Stage("c", [metadata.Out("c")], "echo 3 > c"))
+    policy = config.RunConfig(stages={"b": {"commit": "always", "push": "end"}})
+    got = {r.path: r for r in runner.run(str(root), options=runner.Options(config=policy), store=store, remote=remote)}
+    assert sorted(git("log", "--format=%s").split("\n")[:-1]) == ["Run b", "made a"] and got["a"].summary == "short\n"
+    assert {p: r.pushed for p, r in got.items()} == {"a": 1, "b": 1, "c": 0}
+
+
+def test_git_relations(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q", "-b", "main")
+    run("config", "user.email", "a@example.org")
+    run("config", "user.name", "a")
+    for text in ("one", "two"):
+        (tmp_path / "a.txt.dvc").write_text(f"outs:\n- md5: {hashlib.md5(text.encode()).hexdigest()}\n  path: a.txt\n")
+        run("add", ".")
+        run("commit", "-q", "-m", text)
+    assert repo.branches(str(tmp_path)) == ["main"] and repo.head(str(tmp_path)) == run("rev-parse", "HEAD")
+    (row,) = repo.tree(spark, str(tmp_path)).collect()
+    assert (row.path, row.kind, row.sha) == ("a.txt.dvc", "blob", run("rev-parse", "HEAD:a.txt.dvc"))
+    seen = repo.file_history(spark, str(tmp_path), ["a.txt.dvc"])
+    assert [r.md5 for r in retention.referenced(seen.withColumn("ref", F.lit("HEAD")), spark.createDataFrame([("HEAD",)], "ref string")).orderBy("md5").collect()] == sorted(hashlib.md5(t.encode()).hexdigest() for t in ("one", "two"))
+    texts = repo.texts_at(spark, str(tmp_path), ["HEAD", "HEAD~1"]).collect()
+    assert {(r.ref, hashlib.md5(b"two").hexdigest() in r.text) for r in texts} == {("HEAD", True), ("HEAD~1", False)}
+    assert repo.head(str(tmp_path / "nowhere")) is None
+
+
+def test_unified_line_diffs_lead_from_the_old_to_the_new(spark):
+    rnd = random.Random(3)
+    lines = lambda n: [rnd.choice("abcdefg") * rnd.randint(0, 3) for _ in range(n)]
+    rows = []
+    for k in range(60):
+        old = lines(rnd.randint(0, 20))
+        new = [x for x in old if rnd.random() > 0.2] + lines(rnd.randint(0, 3))
+        rows.append((k, "\n".join(old), "\n".join(new)))
+    rows += [(100, None, "x"), (101, "same", "same"), (102, None, None)]
+    for r in diff.line_diff(spark.createDataFrame(rows, "k int, old string, new string"), "k").collect():
+        old, new = next(((o or "").splitlines(), (n or "").splitlines()) for k, o, n in rows if k == r.k)
+        out, at = [], 0
+        for line in r.diff.split("\n") if r.diff else []:
+            if m := re.match(r"@@ -(\d+)(?:,(\d+))? \+", line):
+                start = int(m[1]) - (m[2] != "0")
+                out, at = out + old[at:start], start
+            elif line[:1] == "+":
+                out.append(line[1:])
+            else:
+                assert old[at] == line[1:]
+                out, at = out + [old[at]] * (line[:1] == " "), at + 1
+        assert out + old[at:] == new and bool(r.diff) == (old != new)
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog.create(spark, str(tmp_path / "repo"), remote=Store(str(tmp_path / "remote")))
     root = tmp_path / "repo"
