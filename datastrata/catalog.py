@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datastrata.functions.hashing import hash_paths
-from datastrata.functions.scalars import from_iso
-from datastrata.operators import freshness, graph, transfer
+from datastrata.functions.scalars import from_iso, parse_duration
+from datastrata.operators import freshness, graph, retention, targets, transfer
+from datastrata.operators.diff import version_diff
 from datastrata.plans import runner
+from datastrata.sources import git as repo
 from datastrata.sources import metadata
 from datastrata.sources.store import Store, copy, hash_path, relation
 
@@ -49,55 +52,191 @@ class Catalog:
         hashed = hash_paths(single).select(relative.alias("path"), "md5", "error")
         return hashed.unionAll(spark.createDataFrame(folders, "path string, md5 string, error string"))
 
-    def status(self, now: str | None = None, transitive: bool = True) -> DataFrame:
+    def status(self, now: str | None = None, transitive: bool = True, only: list[str] | None = None) -> DataFrame:
+        """``(path, status, reason)`` of all stages, those with unreadable metadata too, or of what ``only`` names: stages, folders of
+        stages, files in tracked folders, and names that stand for nothing, as errors."""
         stages, outs, deps = self.relations()
-        good = stages.where("error IS NULL").withColumn("fetch_last_run", from_iso(F.col("fetch_last_run")))
-        when = F.lit(now).cast("timestamp") if now else None
-        found = freshness.freshness(good, outs, deps, self._files(outs, deps), now=when).withColumnRenamed("stage", "id")
+        dated = stages.withColumn("fetch_last_run", from_iso(F.col("fetch_last_run")))
+        when = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        files = self._files(outs, deps)
+        wanted = rest = None
+        if only is not None:
+            names = self.spark.createDataFrame([(self._inside(t),) for t in only], "target string")
+            there = self.spark.createDataFrame([(t,) for (t,) in names.collect() if os.path.exists(os.path.join(self.root, t))], "path string")
+            found = targets.expand(names, stages.select(F.col("path").alias("stage")), there)
+            wanted = found.where("kind <> 'file'").select(F.col("path").alias("stage")).distinct()
+            rest = self._inner_status(found.where("kind = 'file'").select("path").distinct(), outs)
+        shas = [(d, sha) for (d,) in deps.where("kind = 'git_dep'").select("dep_path").distinct().collect() if (sha := runner.git_sha(self.root, d))]
+        git = self.spark.createDataFrame(shas, "path string, sha string")
+        found = freshness.freshness(dated, outs, deps, files, git, when, wanted).withColumnRenamed("stage", "id")
         if transitive:
             edges = graph.attach_producers(graph.edges_of(deps, ("dep", "git_dep")), outs)
             found = graph.transitive_status(found.select("id", "status", "reason"), edges.select("src", "dst"))
-        return found.withColumnRenamed("id", "path").select("path", "status", "reason").orderBy("path")
+        found = found.withColumnRenamed("id", "path").select("path", "status", "reason")
+        if only is not None:
+            found = found.join(wanted.withColumnRenamed("stage", "path"), "path", "left_semi").unionAll(rest)
+        return found.orderBy("path")
+
+    def _inside(self, path: str) -> str:
+        return os.path.relpath(os.path.join(self.root, path), self.root).replace(os.sep, "/")
+
+    def _inner_status(self, files: DataFrame, outs: DataFrame) -> DataFrame:
+        entries = [(r.md5, name, md5) for r in outs.where("is_dir AND md5 IS NOT NULL").select("md5").distinct().collect() for name, md5 in self.store.manifest(r.md5).items()]
+        known = self.spark.createDataFrame(entries, "dir_md5 string, relpath string, md5 string")
+        full = files.select(F.concat(F.lit(self.root + "/"), F.col("path")).alias("path"))
+        found = hash_paths(full).select(F.substring("path", len(self.root) + 2, 1 << 30).alias("path"), "md5", "error")
+        status = freshness.inner_files(files, outs, known, found)
+        alone = files.join(status, "path", "left_anti").select("path", F.lit("error").alias("status"), F.lit("dvc file not found or invalid").alias("reason"))
+        return status.unionAll(alone)
 
     def graph(self, git: bool = False) -> tuple[DataFrame, DataFrame]:
         stages, outs, deps = self.relations()
         edges = graph.attach_producers(graph.edges_of(deps, ("dep", "git_dep") if git else ("dep",)), outs)
         return stages.select(F.col("path").alias("id"), "cmd", "md5"), edges.select("src", "dst")
 
-    def transfer_status(self, direction: str = "pull") -> DataFrame:
-        _, outs, _ = self.relations()
+    def transfer_status(self, direction: str = "pull", only: list[str] | None = None) -> DataFrame:
+        """What a transfer would move, ``(path, md5, size, state)``; git-tracked imports are in no store and left out."""
+        stages, outs, _ = self.relations()
+        if only is not None:
+            outs = outs.join(self._chosen(only), "stage", "left_semi")
         side = self.remote if direction == "push" else self.store
-        return transfer.transfer_status(outs, relation(self.spark, side))
-
-    def push(self) -> list[tuple[str, str]]:
-        return self._copy(self.store, self.remote)
-
-    def pull(self) -> list[tuple[str, str]]:
-        moved = self._copy(self.remote, self.store)
-        self.checkout()
+        return transfer.transfer_status(outs, relation(self.spark, side), stages)
+
+    def transfer_status_at(self, ref: str, only: list[str] | None = None) -> DataFrame:
+        """The same for the metadata at a git ref, against the local store."""
+        texts = repo.texts_at(self.spark, self.root, [ref])
+        stages, outs, _ = metadata.relations(texts.select("path", "text"))
+        if only is not None:
+            outs = outs.join(self._chosen(only, stages), "stage", "left_semi")
+        return transfer.transfer_status(outs, relation(self.spark, self.store), stages)
+
+    def _chosen(self, only: list[str], stages: DataFrame | None = None) -> DataFrame:
+        stages = self.relations()[0] if stages is None else stages
+        names = self.spark.createDataFrame([(self._inside(t),) for t in only], "target string")
+        found = targets.for_transfer(names, stages.select(F.col("path").alias("stage")))
+        lost = [r.target for r in found.where("path IS NULL").collect()]
+        if lost:
+            raise ValueError(f"not tracked: {lost[:10]}")
+        return found.select(F.col("path").alias("stage")).distinct()
+
+    def push(self, only: list[str] | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
+        return self._copy(self.store, self.remote, only, dry_run)
+
+    def fetch(self, only: list[str] | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
+        """From the remote to the local store; the files themselves stay as they are."""
+        return self._copy(self.remote, self.store, only, dry_run)
+
+    def pull(self, only: list[str] | None = None) -> list[tuple[str, str]]:
+        moved = self.fetch(only)
+        self.checkout(only)
         return moved
 
-    def _outs(self) -> list[tuple[str, str, bool]]:
-        return [(r.path, r.md5, r.is_dir) for r in self.relations()[1].where("md5 IS NOT NULL").collect()]
-
-    def _copy(self, source: Store, target: Store) -> list[tuple[str, str]]:
-        return copy([(md5, is_dir) for _, md5, is_dir in self._outs()], source, target)
-
-    def checkout(self) -> None:
-        for path, md5, is_dir in self._outs():
+    def _outs(self, only: list[str] | None = None) -> list[tuple[str, str, bool]]:
+        stages, outs, _ = self.relations()
+        outs = outs.where("md5 IS NOT NULL").join(stages.where("git_tracked").select(F.col("path").alias("stage")), "stage", "left_anti")
+        if only is not None:
+            outs = outs.join(self._chosen(only, stages), "stage", "left_semi")
+        return [(r.path, r.md5, r.is_dir) for r in outs.collect()]
+
+    def _copy(self, source: Store, target: Store, only: list[str] | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
+        hashes = [(md5, is_dir) for _, md5, is_dir in self._outs(only)]
+        if dry_run:
+            return [(m, "there" if target.has(m, d) else "copied" if source.has(m, d) else "missing") for m, d in dict.fromkeys(hashes)]
+        return copy(hashes, source, target)
+
+    def checkout(self, only: list[str] | None = None) -> None:
+        for path, md5, is_dir in self._outs(only):
             full = os.path.join(self.root, path)
             if self.store.has(md5, is_dir) and (not os.path.exists(full) or hash_path(full)[0] != md5):
                 self.store.restore(md5, full, is_dir)
 
-    def collect_garbage(self, keep: list[tuple[str, bool]] | None = None, safe: bool = False, confirm: bool = False) -> tuple[list[str], int]:
-        """Blobs that no stage names, nor any kept directory holds; deleted only on confirmation."""
-        kept = {(md5, is_dir) for _, md5, is_dir in self._outs()} | set(keep or [])
-        inner = {(m, False) for md5, is_dir in kept if is_dir for m in self.store.manifest(md5).values()}
-        gone = [(md5, is_dir) for md5, is_dir, *_ in self.store.blobs() if (md5, is_dir) not in kept | inner]
+    def locate(self, path: str, ref: str | None = None) -> str | None:
+        """Where the store keeps a tracked file, or a file in a tracked folder, as it is now or was at a ref; None if nowhere."""
+        inside = self._inside(path)
+        texts = metadata.scan(self.spark, self.root) if ref is None else repo.texts_at(self.spark, self.root, [ref]).select("path", "text")
+        _, outs, _ = metadata.relations(texts)
+        by = {r.path: r for r in outs.where("md5 IS NOT NULL").collect()}
+        if inside in by:
+            place = self.store.location(by[inside].md5, by[inside].is_dir)
+            return place if os.path.exists(place) else None
+        top = os.path.dirname(inside)
+        while top and top not in by:
+            top = os.path.dirname(top)
+        md5 = self.store.manifest(by[top].md5).get(inside[len(top) + 1 :]) if top else None
+        place = self.store.location(md5) if md5 else None
+        return place if place and os.path.exists(place) else None
+
+    def read(self, path: str, ref: str | None = None) -> bytes:
+        place = self.locate(path, ref)
+        if place is None:
+            raise FileNotFoundError(path)
+        with open(place, "rb") as f:
+            return f.read()
+
+    def diff(self, before: str, after: str | None = None) -> DataFrame:
+        """Added, deleted, modified and renamed outputs between two refs, or a ref and the metadata as it is."""
+        old = repo.texts_at(self.spark, self.root, [before]).select("path", "text")
+        new = metadata.scan(self.spark, self.root) if after is None else repo.texts_at(self.spark, self.root, [after]).select("path", "text")
+        side = lambda texts: metadata.relations(texts)[1].select("path", "md5", "size")
+        return version_diff(side(old), side(new))
+
+    def remove(self, path: str, outputs: bool = False) -> None:
+        """Track a path no more; its data go only if asked."""
+        inside = self._inside(path).removesuffix(metadata.SUFFIX)
+        full = os.path.join(self.root, inside)
+        os.unlink(full + metadata.SUFFIX)
+        if outputs and os.path.isdir(full):
+            shutil.rmtree(full)
+        elif outputs and os.path.exists(full):
+            os.unlink(full)
+
+    def move(self, path: str, to: str) -> metadata.Stage:
+        """Rename a tracked path: its metadata, outputs and data."""
+        old, new = self._inside(path), self._inside(to)
+        with open(os.path.join(self.root, old + metadata.SUFFIX), encoding="utf-8") as f:
+            stage = metadata.parse(old + metadata.SUFFIX, f.read())
+        for o in stage.outs:
+            o.path = new if o.path == old else o.path
+        stage.path = new
+        os.makedirs(os.path.dirname(os.path.join(self.root, new)), exist_ok=True)
+        metadata.write_atomic(os.path.join(self.root, new + metadata.SUFFIX), metadata.render(stage))
+        if os.path.exists(os.path.join(self.root, old)):
+            os.replace(os.path.join(self.root, old), os.path.join(self.root, new))
+        os.unlink(os.path.join(self.root, old + metadata.SUFFIX))
+        return stage
+
+    def garbage(self, refs: list[str] | None = None, keep: int | None = None, newer_than: str | None = None, only: list[str] | None = None) -> DataFrame:
+        """Blobs to delete, largest first, ``(md5, is_dir, size, location)``. Kept are what the metadata, as it is and at the refs, names, what
+        is inside kept folders, and what the policy keeps of the versions at these refs; ``only`` limits the rest to what some stages ever named."""
+        now = metadata.scan(self.spark, self.root).select(F.lit("").alias("ref"), F.lit("").alias("sha"), "path", "text")
+        trees = now.unionAll(repo.texts_at(self.spark, self.root, refs)) if refs else now
+        kept = metadata.relations(trees.select("path", "text"))[1].select("md5")
+        blobs = relation(self.spark, self.store)
+        versions = candidates = None
+        if refs and (keep is not None or newer_than is not None or only is not None):
+            paths = [r.path for r in trees.select("path").distinct().collect()]
+            history = repo.file_history(self.spark, self.root, paths, refs).where("text IS NOT NULL")
+            outs = metadata.relations(history.select("path", "text"))[1]
+            seen = history.withColumn("stage", F.regexp_replace("path", r"\.dvc$", "")).drop("path")
+            named = F.explode(F.regexp_extract_all("text", F.lit(r"md5:\s*([0-9a-f]{32})"), 1))
+            versions = seen.select("stage", "sha", F.timestamp_seconds("at").alias("at"), named.alias("md5")).groupBy("stage", "md5").agg(F.min("at").alias("at"))
+            if only is not None:
+                candidates = versions.join(self._chosen(only), "stage", "left_semi").unionByName(outs.join(self._chosen(only), "stage", "left_semi").select("stage", "md5", F.lit(None).cast("timestamp").alias("at")))
+        if versions is not None and (keep is not None or newer_than is not None):
+            since = F.current_timestamp() - F.make_dt_interval(secs=F.lit(parse_duration(newer_than).total_seconds())) if newer_than else None
+            kept = kept.unionAll(retention.keep_set(versions, ["stage"], keep, since).select("md5"))
+        entries = [(md5, m) for md5, is_dir, *_ in self.store.blobs() if is_dir for m in self.store.manifest(md5).values()]
+        manifests = self.spark.createDataFrame(entries, "dir_md5 string, md5 string")
+        return retention.by_size(retention.plan(blobs, kept.where("md5 IS NOT NULL"), kept.limit(0), manifests, candidates))
+
+    def collect_garbage(self, keep: list[tuple[str, bool]] | None = None, safe: bool = False, confirm: bool = False, **policy) -> tuple[list[str], int]:
+        """Blobs that ``garbage`` lists, but not those to ``keep``; deleted only on confirmation, and safely only if the remote has them."""
+        held = {m for m, _ in keep or []} | {i for m, is_dir in keep or [] if is_dir for i in self.store.manifest(m).values()}
+        gone = [(r.md5, r.is_dir) for r in self.garbage(**policy).collect() if r.md5 not in held]
         if safe and (missing := [m for m, d in gone if not self.remote.has(m, d)]):
             raise RuntimeError(f"not in the remote: {missing[:10]}")
         freed = sum(self.store.delete(m, d) for m, d in gone) if confirm else 0
         return [m for m, _ in gone], freed
 
-    def run(self, targets: list[str] | None = None, **options) -> list[runner.Result]:
-        return runner.run(self.root, targets, runner.Options(**options), self.store, remote=self.remote)
+    def run(self, only: list[str] | None = None, **options) -> list[runner.Result]:
+        return runner.run(self.root, only, runner.Options(**options), self.store, remote=self.remote)

@@ -407,6 +407,46 @@ def test_catalog(spark, tmp_path):
     assert [tuple(r) for r in edges.collect()] == [("a.txt", "b.txt")] and nodes.count() == 3
 
 
+def test_catalog_targets_versions_and_names(spark, tmp_path):
+    root = tmp_path / "repo"
+    c = Catalog.create(spark, str(root), remote=Store(str(tmp_path / "remote")))
+    git = lambda *a: subprocess.run(["git", "-C", str(root), *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    git("config", "user.email", "a@example.org")
+    git("config", "user.name", "a")
+    (root / "sub/dir").mkdir(parents=True)
+    for name, text in (("sub/a", "1"), ("sub/dir/x", "x"), ("sub/dir/y", "y"), ("top", "t")):
+        (root / name).write_text(text)
+    for name in ("sub/a", "sub/dir", "top"):
+        c.track(name)
+    (root / "bad.dvc").write_text("a: [")
+    git("add", "*.dvc")
+    git("commit", "-q", "-m", "one")
+    (root / "sub/a").write_text("22")
+    c.track("sub/a")
+    (root / "sub/dir/y").write_text("changed")
+    got = {r.path: (r.status, r.reason) for r in c.status(only=["sub", "sub/dir/x", "sub/dir/y", "nope", "bad.dvc"]).collect()}
+    assert {p: s for p, (s, _) in got.items()} == {"sub/a": "fresh", "sub/dir": "stale", "sub/dir/x": "fresh", "sub/dir/y": "stale", "nope": "error", "bad": "error"}
+    assert got["sub/dir/y"][1] == "hash mismatch (inside tracked dir dir/)" and "top" not in got
+    assert c.read("sub/a") == b"22" and c.read("sub/a", "HEAD") == b"1" and c.read("sub/dir/x") == b"x" and c.locate("sub/dir/z") is None
+    assert [(r.path, r.status) for r in c.diff("HEAD").collect()] == [("sub/a", "modified")]
+    assert {s for _, s in c.push(["sub/a"], dry_run=True)} == {"copied"} and not c.remote.blobs()
+    c.push(["sub"])
+    assert {r.path: r.state for r in c.transfer_status("push").collect()} == {"sub/a": "cached", "sub/dir": "cached", "top": "missing"}
+    assert {r.path: r.state for r in c.transfer_status_at("HEAD", ["sub"]).collect()} == {"sub/a": "cached", "sub/dir": "cached"}
+    with pytest.raises(ValueError):
+        c.push(["nope"])
+    one = hashlib.md5(b"1").hexdigest()
+    assert [r.md5 for r in c.garbage().collect()] == [one] and c.garbage(refs=["HEAD"]).collect() == []
+    git("commit", "-q", "-a", "-m", "two")
+    assert [r.md5 for r in c.garbage(refs=["HEAD"]).collect()] == [one] and c.garbage(refs=["HEAD"], keep=2).collect() == []
+    assert [r.md5 for r in c.garbage(refs=["HEAD"], only=["sub/a"]).collect()] == [one] and c.garbage(refs=["HEAD"], only=["top"]).collect() == []
+    c.move("top", "new/top")
+    assert (root / "new/top").read_text() == "t" and c.read("new/top") == b"t" and not (root / "top.dvc").exists()
+    c.remove("new/top", outputs=True)
+    assert not (root / "new/top").exists() and not (root / "new/top.dvc").exists()
+
+
 def test_arrivals(spark, tmp_path):
     from datastrata.streaming.arrivals import watch
 
