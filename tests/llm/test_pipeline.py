@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ROWS, SCHEMA, brute_components, brute_contamination, words
 
 from datastrata.llm.common import written
@@ -35,3 +36,23 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_run_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a question")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    names = ["q_text", "b_lines", "rest", "sid", "source_size", "taken", "_n", "_i", "key", "doc", "extra"]
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    for c in names:
+        rows = rows.withColumn(c, F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a question of thirteen words " * 3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == rows.columns
+        assert all(r[c] == (None if r.doc_id is None else f"x{r.doc_id}") for r in docs.collect() for c in names)
