@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 from datastrata.llm.common import free, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+#: Edges of eight tasks: a small table is not dealt over as many partitions as a session has for large ones.
+EDGES = 2_000_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, tasks: int) -> DataFrame:
+    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).coalesce(tasks)
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hung = both.join(_least(both), "u").where(F.col("v") > F.col("u"))
+    hung = both.join(_least(both, tasks), "u").where(F.col("v") > F.col("u"))
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
     hung = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionAll(least.select("u", F.col("m").alias("v")))
 
@@ -38,8 +42,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     sums = {"n": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64("u", "v"))}
     edges = written(edges, name, **sums)
     while edges.measured["n"]:  # every round but the last lowers the ends of some edge
-        before = edges
-        edges = written(_small_star(_large_star(edges)).where("u <> v").distinct(), name, **sums)
+        before, tasks = edges, 8 * -(-edges.measured["n"] // EDGES)
+        step = _small_star(_large_star(edges, tasks), tasks).where("u <> v").distinct()
+        edges = written(step.coalesce(tasks), name, **sums)
         free(before)
         if edges.measured == before.measured:
             break

@@ -60,7 +60,7 @@ SAMPLE = 3
 HOT_TOKENS = 250_000
 HOT_COUNT = 1000
 LONG_LIST = 5_000
-LINK_ROUNDS = 4
+LINK_ROUNDS = 3
 #: Members of a group that one row carries.
 PIECE = 32
 #: Ids to broadcast at most (24 bytes each); beyond, the join shuffles.
