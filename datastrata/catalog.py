@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import shutil
 
@@ -14,7 +15,7 @@ from datastrata.operators import freshness, graph, retention, targets, transfer
 from datastrata.operators.diff import version_diff
 from datastrata.plans import runner
 from datastrata.sources import git as repo
-from datastrata.sources import metadata
+from datastrata.sources import ignore, metadata, urls
 from datastrata.sources.store import Store, copy, hash_path, relation
 
 
@@ -32,12 +33,53 @@ class Catalog:
     def track(self, path: str, cmd: str | None = None, deps: list[str] | None = None) -> metadata.Stage:
         """Store a file or folder and write its metadata."""
         full = os.path.join(self.root, path)
+        if lost := [d for d in deps or [] if not os.path.exists(os.path.join(self.root, d))]:
+            raise FileNotFoundError(f"dependencies: {lost[:10]}")
         md5, size, nfiles = self.store.add(full)
+        ignore.add(full)
         known = {d: hash_path(os.path.join(self.root, d))[0] for d in deps or []}
         stage = metadata.Stage(path, [metadata.Out(path, md5, size, nfiles is not None, nfiles)], cmd, known)
         metadata.write_atomic(full + metadata.SUFFIX, metadata.render(stage))
         return stage
 
+    def import_url(self, url: str, out: str | None = None, download: bool = True, user_agent: str | None = None, client: urls.Client = urls.http) -> metadata.Stage:
+        """Track a URL's file in git, with where it comes from; without a download only what its headers say."""
+        path = self._inside(out or urls.file_name(url))
+        full = os.path.join(self.root, path)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        if download:
+            origin, md5 = urls.fetch(url, full, client, user_agent)
+        else:
+            origin, md5 = urls.provenance(url, client("HEAD", url, user_agent)[0], user_agent), None
+        stage = metadata.Stage(path, [metadata.Out(path, md5, origin.size)], git_tracked=True, origin=origin, fetched=dt.date.today().isoformat())
+        metadata.write_atomic(full + metadata.SUFFIX, metadata.render(stage))
+        ignore.remove(full)
+        return stage
+
+    def update(self, path: str, download: bool = True, client: urls.Client = urls.http) -> bool:
+        """Look again at where an import comes from; whether it changed."""
+        name = self._inside(path).removesuffix(metadata.SUFFIX) + metadata.SUFFIX
+        full = os.path.join(self.root, name)
+        with open(full, encoding="utf-8") as f:
+            stage = metadata.parse(name, f.read())
+        if stage is None or stage.origin is None or not stage.git_tracked:
+            raise ValueError(f"not an import: {path}")
+        old = stage.origin
+        if download:
+            origin, md5 = urls.fetch(old.url, full.removesuffix(metadata.SUFFIX), client, old.user_agent, old if stage.outs[0].md5 else None)
+            if md5 is None:
+                return False
+        else:
+            origin, md5 = urls.provenance(old.url, client("HEAD", old.url, old.user_agent)[0], old.user_agent), stage.outs[0].md5
+            if not urls.changed(old, origin):
+                return False
+        stage.origin, stage.outs[0].md5, stage.outs[0].size, stage.fetched = origin, md5, origin.size, dt.date.today().isoformat()
+        metadata.write_atomic(full, metadata.render(stage))
+        return True
+
+    def imports(self) -> DataFrame:
+        return metadata.imports(metadata.scan(self.spark, self.root))
+
     def relations(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return metadata.relations(metadata.scan(self.spark, self.root))
 

@@ -15,9 +15,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datastrata.schema import STAGE, STAGE_DEP, STAGE_OUT
+from datastrata.schema import IMPORT_DEP, STAGE, STAGE_DEP, STAGE_OUT
+from datastrata.sources.urls import Provenance
 
 SUFFIX = ".dvc"
+#: The keys of an import's source.
+ORIGIN = ("path", "checksum", "size", "mtime", "user_agent")
 
 
 @dataclass
@@ -41,6 +44,8 @@ class Stage:
     fetch_last_run: str | None = None
     git_tracked: bool = False
     stage: str | None = None
+    origin: Provenance | None = None
+    fetched: str | None = None
 
     @property
     def is_side_effect(self) -> bool:
@@ -86,10 +91,14 @@ def parse(path: str, text: str) -> Stage | None:
     cmd = work.get("cmd")
     if not outs and cmd is None:
         return None
+    first = (data.get("deps") or [{}])[0]
+    origin = Provenance(*(first.get(k) for k in ORIGIN)) if first.get("path") else None
+    fetched = (meta.get("import") or {}).get("fetched")
     strip = lambda d: {resolve(folder, k): v.removesuffix(".dir") if isinstance(v, str) else v for k, v in (d or {}).items()}
     return Stage(
         stem, outs, cmd, strip(work.get("deps")), strip(work.get("git_deps")), work.get("side_effect"), fetch.get("schedule"),
         str(fetch["last_run"]) if fetch.get("last_run") else None, bool(meta.get("git_tracked")), meta.get("stage"),
+        origin, str(fetched) if fetched else None,
     )
 
 
@@ -98,6 +107,9 @@ def render(stage: Stage) -> str:
     yaml, _ = _yaml()
     folder = posixpath.dirname(stage.path)
     data: dict = {}
+    if stage.origin is not None:
+        values = (stage.origin.url, stage.origin.checksum, stage.origin.size, stage.origin.mtime, stage.origin.user_agent)
+        data["deps"] = [{k: v for k, v in zip(ORIGIN, values) if v}]
     if stage.outs:
         data["outs"] = []
         for o in stage.outs:
@@ -122,6 +134,8 @@ def render(stage: Stage) -> str:
     meta: dict = {"computation": work} if work else {}
     if stage.git_tracked:
         meta["git_tracked"] = True
+    if stage.fetched:
+        meta["import"] = {"fetched": stage.fetched}
     if stage.stage:
         meta["stage"] = stage.stage
     if meta:
@@ -183,6 +197,26 @@ def relations(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return stages, outs.to(_schema(STAGE_OUT)), deps.to(_schema(STAGE_DEP))
 
 
+def imports(texts: DataFrame) -> DataFrame:
+    """``(path, text)`` of metadata files -> ``import_dep``: where imported stages come from."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"]):
+                try:
+                    s = parse(path, text or "")
+                except Exception:  # reported by ``relations``
+                    continue
+                if s is not None and s.origin is not None:
+                    rows.append((s.path, s.origin.url, s.origin.checksum, s.origin.size, s.origin.mtime, s.origin.user_agent))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORT_DEP.split(", ")]).astype({"size": "Int64"})
+
+    return texts.select("path", "text").mapInPandas(run, IMPORT_DEP)
+
+
 def _schema(ddl: str):
     from pyspark.sql.types import StructType
 

@@ -447,6 +447,38 @@ def test_catalog_targets_versions_and_names(spark, tmp_path):
     assert not (root / "new/top").exists() and not (root / "new/top.dvc").exists()
 
 
+def test_catalog_imports(spark, tmp_path):
+    root = tmp_path / "repo"
+    c = Catalog.create(spark, str(root))
+    bodies, asked = [b"one"], []
+
+    def client(method, url, user_agent=None):
+        asked.append((method, user_agent))
+        return {"etag": f"v{len(bodies)}", "last-modified": "Tue, 07 Apr 2026 12:00:00 GMT", "content-length": str(len(bodies[-1]))}, bodies[-1] if method == "GET" else b""
+
+    (root / "in").mkdir()
+    (root / "in/.gitignore").write_text("/f.txt\n")
+    stage = c.import_url("http://host/f.txt", "in/f.txt", user_agent="me", client=client)
+    assert (root / "in/f.txt").read_text() == "one" and not (root / "in/.gitignore").exists()
+    text = (root / "in/f.txt.dvc").read_text()
+    assert metadata.parse("in/f.txt.dvc", text) == stage and "git_tracked: true" in text
+    assert [tuple(r) for r in c.imports().collect()] == [("in/f.txt", "http://host/f.txt", "v1", 3, "2026-04-07T12:00:00+00:00", "me")]
+    assert not c.update("in/f.txt", client=client) and asked[-1] == ("HEAD", "me")
+    bodies.append(b"three")
+    assert c.update("in/f.txt.dvc", client=client) and (root / "in/f.txt").read_text() == "three" and not c.update("in/f.txt", download=False, client=client)
+    c.import_url("http://host/g.txt", download=False, client=client)
+    assert not (root / "g.txt").exists() and {(r.path, r.status) for r in c.status().collect()} == {("in/f.txt", "fresh"), ("g.txt", "missing")}
+    assert c.transfer_status().collect() == []  # git has them, no store does
+    (root / "own").write_text("x")
+    c.track("own")
+    c.track("own")
+    assert (root / ".gitignore").read_text() == "/own\n"
+    with pytest.raises(FileNotFoundError):
+        c.track("own", "make", ["nowhere"])
+    with pytest.raises(ValueError):
+        c.update("own", client=client)
+
+
 def test_arrivals(spark, tmp_path):
     from datastrata.streaming.arrivals import watch
 
