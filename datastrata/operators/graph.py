@@ -112,6 +112,32 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         inner = cut(inner.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
 
 
+def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, class)``: a root depends on nothing; any other is a leaf if nothing depends on it, else in the middle."""
+    has = edges.groupBy(F.col("dst").alias("id")).agg(F.lit(1).alias("_in"))
+    feeds = edges.groupBy(F.col("src").alias("id")).agg(F.lit(1).alias("_out"))
+    kind = F.when(F.col("_in").isNull(), "root").when(F.col("_out").isNull(), "leaf").otherwise("middle")
+    return nodes.select("id").join(has, "id", "left").join(feeds, "id", "left").select("id", kind.alias("class"))
+
+
+def view(nodes: DataFrame, edges: DataFrame, text: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The part of a graph to look at: nodes whose id contains a text, in any case, the edges at them, and their neighbours."""
+    if not text:
+        return nodes, edges
+    chosen = nodes.where(F.lower("id").contains(text.lower())).select("id")
+    mark = lambda c: chosen.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}"))
+    seen = edges.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left").where("_src OR _dst").select("src", "dst")
+    ends = seen.select(F.col("src").alias("id")).unionAll(seen.select(F.col("dst").alias("id"))).unionAll(chosen).distinct()
+    return nodes.join(ends, "id", "left_semi"), seen
+
+
+def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, other, side)``: what each of ``ids(id)`` depends on, and what depends on it."""
+    needs = edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("needs").alias("side"))
+    feeds = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("feeds").alias("side"))
+    return needs.unionAll(feeds)
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, roots, leaves and nodes with a command."""
     has = edges.groupBy(F.col("dst").alias("id")).agg(F.lit(1).alias("_in"))

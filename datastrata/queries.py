@@ -855,3 +855,27 @@ def memo_upsert(spark: SparkSession, sf: str) -> DataFrame:
     memo = d.where("doc_id % 6 <> 0").select(*entry(F.col("n_chars"), F.col("text"), 1.0))
     hashed = d.where("doc_id % 4 = 0").select(*entry(F.col("n_chars") + 1, F.concat("text", F.lit("!")), 2.0))
     return freshness.remember(memo, hashed, d.where("doc_id % 9 = 0").select(F.col("doc_id").alias("path")))
+
+
+@query(
+    """SELECT doc_id AS id, CASE WHEN doc_id = 0 THEN 'root' WHEN doc_id NOT IN (SELECT doc_id // 2 FROM documents WHERE doc_id > 0) THEN 'leaf' ELSE 'middle' END AS class FROM documents"""
+)
+def dag_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.classes(*_tree(spark, sf))
+
+
+@query(
+    """WITH e AS (SELECT 'd/' || doc_id // 2 AS src, 'd/' || doc_id AS dst FROM documents WHERE doc_id > 0), v AS (SELECT * FROM e WHERE contains(src, '7') OR contains(dst, '7'))
+SELECT 'edge' AS kind, src, dst FROM v UNION ALL SELECT 'node', id, NULL FROM (SELECT src AS id FROM v UNION SELECT dst FROM v UNION SELECT 'd/' || doc_id FROM documents WHERE contains('' || doc_id, '7'))"""
+)
+def dag_view(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = graph.view(*_named_tree(spark, sf), "7")
+    return edges.select(F.lit("edge").alias("kind"), "src", "dst").unionAll(nodes.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")))
+
+
+@query(
+    """SELECT doc_id AS id, doc_id // 2 AS other, 'needs' AS side FROM documents WHERE doc_id > 0 UNION ALL SELECT doc_id // 2, doc_id, 'feeds' FROM documents WHERE doc_id > 0"""
+)
+def dag_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _tree(spark, sf)
+    return graph.neighbours(edges, nodes)

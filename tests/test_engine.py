@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from datastrata.catalog import Catalog
 from datastrata.functions import hashing, paths, scalars
 from datastrata.operators import diff, freshness, graph, retention, transfer, versions
-from datastrata.plans import render, runner
+from datastrata.plans import artifacts, render, runner
 from datastrata.sources import config, metadata, urls
 from datastrata.sources import git as repo
 from datastrata.sources.store import Store, copy, hash_path
@@ -447,6 +447,42 @@ def test_catalog_targets_versions_and_names(spark, tmp_path):
     assert not (root / "new/top").exists() and not (root / "new/top.dvc").exists()
 
 
+def test_artifacts(tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "raw.txt").write_text("1\n")
+
+    @artifacts.delayed
+    def doubled(name):
+        return artifacts.Artifact(f"{name}2", f"cat {name} {name} > {name}2", [artifacts.Artifact.from_path(root, name)])
+
+    four = artifacts.Artifact("four", "cat raw.txt2 raw.txt2 > four", [doubled("raw.txt")])
+    other = artifacts.Artifact("other", "cp raw.txt2 other", [doubled("raw.txt"), "raw.txt"])
+    assert doubled("raw.txt") is doubled("raw.txt") and [a.path for a in four.walk()] == ["raw.txt", "raw.txt2", "four"]
+    assert [a.path for a in four.walk(stop=lambda a: a.path == "raw.txt2")] == ["raw.txt2", "four"]
+    assert artifacts.write_all(root, [four, other]) == ["raw.txt", "raw.txt2", "four", "other"]
+    planned = artifacts.Artifact.from_metadata(root, "four")
+    assert not planned.is_computed and not planned.exists(root) and planned.upstream()[0].path == "raw.txt2"
+    got = artifacts.materialize(root, [four, other], store=Store(str(tmp_path / "cache")))
+    assert all(r.success for r in got) and (tmp_path / "four").read_text() == "1\n" * 4 and (tmp_path / "other").read_text() == "1\n" * 2
+    assert artifacts.Artifact.from_metadata(root, "four").is_computed and artifacts.Artifact.from_metadata(root, "nowhere") is None
+    assert all(r.skipped for r in artifacts.materialize(root, [four, other]))
+    four.deps.append(four)
+    with pytest.raises(ValueError):
+        four.walk()
+    with pytest.raises(FileNotFoundError):
+        artifacts.Artifact.from_path(root, "nowhere")
+
+
+def test_artifact_in_a_tracked_folder(tmp_path):
+    store = Store(str(tmp_path / "cache"))
+    (tmp_path / "dir/sub").mkdir(parents=True)
+    (tmp_path / "dir/sub/x").write_text("x")
+    md5, size, nfiles = store.add(str(tmp_path / "dir"))
+    metadata.write_atomic(str(tmp_path / "dir.dvc"), metadata.render(metadata.Stage("dir", [metadata.Out("dir", md5, size, True, nfiles)])))
+    assert artifacts.Artifact.from_metadata(str(tmp_path), "dir/sub/x", store).md5 == hashlib.md5(b"x").hexdigest()
+    assert artifacts.Artifact.from_metadata(str(tmp_path), "dir/sub/y", store) is None
+
+
 def test_catalog_imports(spark, tmp_path):
     root = tmp_path / "repo"
     c = Catalog.create(spark, str(root))
