@@ -63,19 +63,22 @@ def from_http_date(text: Column) -> Column:
     return F.to_timestamp(F.substring(text, 6, 1 << 30), "dd MMM yyyy HH:mm:ss z")
 
 
-def fetch_due(schedule: Column, last_run: Column, now: Column) -> Column:
-    """Whether a schedule, named or a cron expression, is due; null if it is neither."""
+def named_due(schedule: Column, last_run: Column, now: Column) -> Column:
+    """Whether a named schedule is due; null for any other that has run."""
     seconds = F.lit(None).cast("long")
     for name, s in INTERVALS.items():
         seconds = F.when(schedule == name, F.lit(s)).otherwise(seconds)
     due = now >= last_run + F.make_dt_interval(secs=seconds)
-    return (
-        F.when(schedule.isNull(), F.lit(False))
-        .when(schedule == "manual", F.lit(False))
-        .when(last_run.isNull(), F.lit(True))
-        .when(schedule.isin(*INTERVALS), due)
-        .otherwise(cron_due(schedule, last_run, now))
-    )
+    return F.when(schedule.isNull() | (schedule == "manual"), F.lit(False)).when(last_run.isNull(), F.lit(True)).otherwise(due)
+
+
+def is_named(schedule: Column) -> Column:
+    return schedule.isin("manual", *INTERVALS)
+
+
+def fetch_due(schedule: Column, last_run: Column, now: Column) -> Column:
+    """Whether a schedule, named or a cron expression, is due; null if it is neither."""
+    return F.coalesce(named_due(schedule, last_run, now), cron_due(schedule, last_run, now))
 
 
 def cron_due(schedule: Column, last_run: Column, now: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datastrata.functions.scalars import STATUSES, fetch_due
+from datastrata.functions.scalars import STATUSES, fetch_due, is_named, named_due
 from datastrata.operators.transfer import parent_directory
 
 
@@ -80,7 +80,10 @@ def dep_checks(resolved: DataFrame, phase: int = 3, name: str = "dep") -> DataFr
 def schedule_checks(stages: DataFrame, now: Column) -> DataFrame:
     """Stages whose schedule is due, and, as errors, those whose schedule cannot be read."""
     asked = stages.where("fetch_schedule IS NOT NULL").withColumn("ord", F.lit(0))
-    due = asked.withColumn("_due", fetch_due(F.col("fetch_schedule"), F.col("fetch_last_run"), now)).where("_due OR _due IS NULL")
+    columns = F.col("fetch_schedule"), F.col("fetch_last_run"), now
+    plain = asked.where(is_named(columns[0])).withColumn("_due", named_due(*columns))
+    cron = asked.where(~is_named(columns[0])).withColumn("_due", fetch_due(*columns))  # only these go to Python
+    due = plain.unionAll(cron).where("_due OR _due IS NULL")
     reason = F.when(F.col("_due"), "fetch schedule due").otherwise(F.concat(F.lit("invalid schedule: "), F.col("fetch_schedule")))
     return _check(due.withColumnRenamed("path", "stage"), 1, F.when(F.col("_due"), "stale").otherwise("error"), reason)
 
