@@ -10,6 +10,7 @@ import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from datastrata.functions.hashing import hash_file
 from datastrata.schema import BLOB
@@ -115,7 +116,17 @@ class Store:
 
 
 def relation(spark: SparkSession, store: Store) -> DataFrame:
-    return spark.createDataFrame(store.blobs(), BLOB)
+    """The store's blobs, listed by Spark; no content is read."""
+    top = os.path.join(store.root, "files", "md5")
+    if not os.path.isdir(top):
+        return spark.createDataFrame([], BLOB)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
+    parts = F.regexp_extract("path", r"/([0-9a-f]{2})/([0-9a-f]{30})(\.dir)?$", 0)
+    found = files.select(F.split(parts, "/").alias("_p"), F.col("length").alias("size"), F.regexp_replace("path", "^file:/+", "/").alias("location")).where(parts != "")
+    name = F.get("_p", 2)
+    return found.select(
+        F.concat(F.get("_p", 1), F.regexp_replace(name, r"\.dir$", "")).alias("md5"), name.endswith(".dir").alias("is_dir"), "size", "location"
+    )
 
 
 def copy(hashes: list[tuple[str, bool]], source: Store, target: Store, jobs: int = 8) -> list[tuple[str, str]]:
