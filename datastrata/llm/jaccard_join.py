@@ -60,7 +60,9 @@ SAMPLE = 3
 HOT_TOKENS = 250_000
 HOT_COUNT = 1000
 LONG_LIST = 5_000
-LINK_ROUNDS = 3
+LINK_ROUNDS = 5
+#: Partners that a set proposes in a round.
+PARTNERS = 6
 #: Members of a group that one row carries.
 PIECE = 32
 #: Ids to broadcast at most (24 bytes each); beyond, the join shuffles.
@@ -632,7 +634,7 @@ def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
-    """Pairs of sets of two components that have not been tried: of each set at most the three that share most prefix shingles
+    """Pairs of sets of two components that have not been tried: of each set at most the ``PARTNERS`` that share most prefix shingles
     with it. The others' turn comes in later rounds and in the pass over groups. Every turn orders the sets anew, so each
     entry of a component meets others; entries so late in their sets that few partners are left to them stand back."""
     early = (F.col("n") - F.col("pos")) * (100 + PERCENT) >= F.col("n") * (2 * PERCENT)
@@ -640,7 +642,7 @@ def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, turn: int)
     pairs = ordered.mapInArrow(_cross_links, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     w = W.partitionBy("a").orderBy(F.col("k").desc(), "b")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b")
+    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= PARTNERS).select("a", "b")
 
 
 def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
