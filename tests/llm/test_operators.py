@@ -640,10 +640,13 @@ def brute_lm(train, texts):
                     followers[context][x] += 1
         found = {}
         for context, f in followers.items():
-            total, q = sum(f.values()), {x: prob(context[1:], x) for x in f}
-            p = {x: (f[x] + LM["PRIOR"] * q[x]) / (total + LM["PRIOR"]) for x in f}
-            if sum(p[x] * math.log2(p[x] / q[x]) for x in f) >= suffix_tree.LEAST_BITS:
-                kept = {x: p[x] for x in f if f[x] >= LM["MIN_NEXT"] and not q[x] / suffix_tree.RATIO < p[x] < q[x] * suffix_tree.RATIO}
+            often = [x for x in f if f[x] >= LM["MIN_NEXT"]]
+            total, q = sum(f.values()), {x: prob(context[1:], x) for x in often}
+            p = {x: (f[x] + LM["PRIOR"] * q[x]) / (total + LM["PRIOR"]) for x in often}
+            rest_p, rest_q = 1 - sum(p.values()), 1 - sum(q.values())
+            rest = rest_p * math.log2(rest_p / rest_q) if rest_p > 0 and rest_q > 0 else 0
+            if sum(p[x] * math.log2(p[x] / q[x]) for x in often) + rest >= suffix_tree.LEAST_BITS:
+                kept = {x: p[x] for x in often if not q[x] / suffix_tree.RATIO < p[x] < q[x] * suffix_tree.RATIO}
                 if kept:
                     found[context] = kept, (1 - sum(kept.values())) / (1 - sum(q[x] for x in kept))
         states |= found
