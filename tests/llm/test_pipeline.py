@@ -26,7 +26,8 @@ def test_stages(spark, tmp_path):
     rows = [[(r.doc_id, r.text) for r in d.collect()] for d in seen[:-1]]
     assert all(len(words(t)) >= 20 for _, t in rows[1])
     found = brute_components(rows[1])
-    assert sorted(map(repr, [d for d, _ in rows[2]])) == sorted(map(repr, {d for d, _, c in found if d == c}))
+    # Texts of one doc_id that are not alike both stay.
+    assert sorted(map(repr, [d for d, _ in rows[2]])) == sorted(repr(d) for d, _ in {r for r, (d, _, c) in zip(rows[1], found) if d == c})
     assert collections.Counter(rows[3]) == collections.Counter(r for r in rows[2] if not brute_contamination(r[1])[-1])
     assert abs(sum(len(words(t)) for _, t in rows[4]) - sum(len(words(t)) for _, t in rows[3])) <= 3
     assert seen[-1].count() == len(rows[4])
