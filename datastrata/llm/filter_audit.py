@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from datastrata.llm.common import WORD_CLASS, table
 
 HELD_BYTES = 32 << 20
+#: Bytes of text that a partition of the routed rows is meant for.
+ROUTED_BYTES = 64 << 20
 UPPER, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -127,7 +129,9 @@ def failures(docs: DataFrame, rules=RULES, held_bytes: int = HELD_BYTES) -> Data
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary"), F.coalesce("lang", F.lit("")), F.xxhash64(text)).rdd
     folded: RDD = rows.mapPartitions(_fold(rules, held_bytes))
-    routed = folded.repartitionAndSortWithinPartitions(max(rows.getNumPartitions(), 1), lambda key: key)  # ints; Python's % is never negative
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(rows.getNumPartitions(), -(-size // ROUTED_BYTES), 1)
+    routed = folded.repartitionAndSortWithinPartitions(parts, lambda key: key)  # ints; Python's % is never negative
     found = routed.mapPartitions(_chains(1 << len(rules)))
     return docs.sparkSession.createDataFrame(found, "doc_id long, part string, mask int, rows long", verifySchema=False)
 
