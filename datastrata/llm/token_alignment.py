@@ -34,14 +34,16 @@ from datastrata.llm.token_counts import byte_alphabet
 from datastrata.llm.token_output import PieceEncoder, tokenizer_path
 
 #: Pairs that a task adds up at once, salts of the first shuffle, and pairs that are broadcast with their counts (17 bytes each).
-HELD_PAIRS, SALTS, COMMON_PAIRS = 4_000_000, 16, 1 << 20
+HELD_PAIRS, SALTS, COMMON_PAIRS = 2_000_000, 16, 1 << 20
+#: Tokens of both sides that are aligned at once (one document at least), and pieces of text whose ids a worker keeps.
+AT_ONCE, PIECES = 1 << 18, 600_000
 
 
 class SpacedEncoder(PieceEncoder):
     """Ids of texts with a space before them; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, PIECES)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         value = {c: b for b, c in byte_alphabet().items()}
@@ -71,7 +73,8 @@ class SpacedEncoder(PieceEncoder):
 
 
 class Pieces:
-    """A sentencepiece model; it puts the space before the text itself."""
+    """A sentencepiece model; it puts the space before the text itself. No piece of its vocabulary goes on after a space, so a text
+    with single spaces has the ids of the words between them, and those of known words are kept."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -80,8 +83,31 @@ class Pieces:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
+        if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(len(pieces))):
+            raise ValueError("a piece goes on after a space")
+        self.known: dict[str, bytes | None] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(i, "<u4").tobytes() for i in self.model.encode(texts, num_threads=1)]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(i, "<u4") for i in self.model.encode(texts, num_threads=1)]
+        split = [t.split(" ") for t in texts]
+        used = set().union(*split)
+        if len(self.known) + len(used) > PIECES:
+            self.known.clear()
+        fresh = [w for w in used if w not in self.known]
+        self.known.update(zip(fresh, self._library(fresh)))
+        self.known.update((w, None) for w in fresh if not w or "▁" in w)
+        out, whole = [], []
+        for i, words in enumerate(split):
+            try:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except TypeError:  # spaces that are not single
+                whole.append(i)
+                out.append(b"")
+        for i, found in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = found
+        return [np.frombuffer(b, "<u4") for b in out]
 
 
 class Sides:
@@ -154,6 +180,18 @@ class Aligned:
         return doc[first], key[first], np.add.reduceat(links, first) if len(first) else links
 
 
+def _runs(sizes: np.ndarray) -> Iterator[slice]:
+    """Documents one after another, of AT_ONCE tokens or one document."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > AT_ONCE:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 ENCODED = "row long, doc_id long, a binary, b binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -162,28 +200,30 @@ def _encode(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, row = worker_sides(a_path, b_path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = sides.encode([t or "" for t in batch.column(1).to_pylist()])
-            n_a, n_b = (np.array([len(pair[k]) for pair in found], np.int64) for k in (0, 1))
-            whole = Aligned(*(np.concatenate([pair[k] for pair in found]) for k in (0, 1)), sides.a_len, sides.b_len)
-            codes, ends = whole.listing().tolist(), np.cumsum(n_a + n_b).tolist()
-            first = np.concatenate([[0], np.cumsum(n_a)])
-            label = np.append(whole.a_group, len(whole.n_a))[first]  # a document's first group
-            links = np.concatenate([[0], np.cumsum(whole.n_a * whole.n_b)])[label]
-            shas = []
-            for k, end in enumerate(ends):
-                text = b"".join(map(sides.shown.__getitem__, codes[end - n_a[k] - n_b[k] : end]))
-                shas.append(hashlib.sha256(text[:-1]).hexdigest() if text else "")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + len(found))),
-                    batch.column(0),
-                    *(pa.array([pair[k].astype(sides.type).tobytes() for pair in found], pa.binary()) for k in (0, 1)),
-                    *(pa.array(v, pa.int64()) for v in (n_a, n_b, np.diff(label), np.diff(links))),
-                    pa.array(shas, pa.string()),
-                ],
-                names=["row", "doc_id", "a", "b", *NUMBERS, "groups_sha256"],
-            )
-            row += len(found)
+            docs, everything = batch.column(0), sides.encode([t or "" for t in batch.column(1).to_pylist()])
+            for some in _runs(np.array([len(a) + len(b) for a, b in everything])):
+                found = everything[some]
+                n_a, n_b = (np.array([len(pair[k]) for pair in found], np.int64) for k in (0, 1))
+                whole = Aligned(*(np.concatenate([pair[k] for pair in found]) for k in (0, 1)), sides.a_len, sides.b_len)
+                codes, ends = whole.listing().tolist(), np.cumsum(n_a + n_b).tolist()
+                first = np.concatenate([[0], np.cumsum(n_a)])
+                label = np.append(whole.a_group, len(whole.n_a))[first]  # a document's first group
+                links = np.concatenate([[0], np.cumsum(whole.n_a * whole.n_b)])[label]
+                shas = []
+                for k, end in enumerate(ends):
+                    text = b"".join(map(sides.shown.__getitem__, codes[end - n_a[k] - n_b[k] : end]))
+                    shas.append(hashlib.sha256(text[:-1]).hexdigest() if text else "")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(row, row + len(found))),
+                        docs.slice(some.start, len(found)),
+                        *(pa.array([pair[k].astype(sides.type).tobytes() for pair in found], pa.binary()) for k in (0, 1)),
+                        *(pa.array(v, pa.int64()) for v in (n_a, n_b, np.diff(label), np.diff(links))),
+                        pa.array(shas, pa.string()),
+                    ],
+                    names=["row", "doc_id", "a", "b", *NUMBERS, "groups_sha256"],
+                )
+                row += len(found)
 
     return run
 
@@ -193,11 +233,13 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(a_path, b_path), ENCODED)
 
 
-def _pairs_of(sides: Sides, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``pairs`` of a batch of encoded rows; documents are places in the batch."""
-    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), sides.type) for c in ("a", "b"))
-    whole = Aligned(a, b, sides.a_len, sides.b_len)
-    return whole.pairs(np.repeat(np.arange(batch.num_rows), batch.column("n_groups").to_numpy()), len(sides.b_len))
+def _pairs_of(sides: Sides, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """``pairs`` of runs of a batch of encoded rows; documents are places in the run."""
+    a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+    groups = batch.column("n_groups").to_numpy()
+    for some in _runs(np.array([len(x) + len(y) for x, y in zip(a, b)]) // sides.type.itemsize):
+        whole = Aligned(*(np.frombuffer(b"".join(side[some]), sides.type) for side in (a, b)), sides.a_len, sides.b_len)
+        yield some, *whole.pairs(np.repeat(np.arange(some.stop - some.start), groups[some]), len(sides.b_len))
 
 
 def _count(a_path: str, b_path: str):
@@ -209,11 +251,12 @@ def _count(a_path: str, b_path: str):
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
         for batch in batches:
-            held.append(_pairs_of(sides, batch)[1])
-            size += len(held[-1])
-            if size >= HELD_PAIRS:
-                yield flush()
-                held, size = [], 0
+            for _, _, keys, _ in _pairs_of(sides, batch):
+                held.append(keys)
+                size += len(keys)
+                if size >= HELD_PAIRS:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
@@ -251,22 +294,18 @@ def _meet(a_path: str, b_path: str, common):
         sides = worker_sides(a_path, b_path)
         keys, counts, best = common.value
         for batch in batches:
-            row, n = batch.column("row").to_numpy(), batch.num_rows
-            doc, key, links = _pairs_of(sides, batch)
-            at = np.searchsorted(keys, key)
-            known = np.append(keys, -1)[at] == key
-            d, at, times = doc[known], at[known], links[known]
-            total, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            np.add.at(total, d, times * counts[at])
-            np.add.at(hits, d, times * best[at])
-            rest, zero = ~known, np.zeros(int((~known).sum()), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(c))
-                    for c in ([row, row[doc[rest]]], [-1 - row, key[rest]], [np.zeros(n, np.int64), links[rest]], [hits, zero], [total, zero])
-                ],
-                names=["row", "pair", "times", "hits", "total"],
-            )
+            for some, doc, key, links in _pairs_of(sides, batch):
+                row = batch.column("row").to_numpy()[some]
+                at = np.searchsorted(keys, key)
+                known = np.append(keys, -1)[at] == key
+                d, at, times = doc[known], at[known], links[known]
+                total, hits = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+                np.add.at(total, d, times * counts[at])
+                np.add.at(hits, d, times * best[at])
+                rest = ~known
+                none, zero = np.zeros(len(row), np.int64), np.zeros(int(rest.sum()), np.int64)
+                columns = ([row, row[doc[rest]]], [-1 - row, key[rest]], [none, links[rest]], [hits, zero], [total, zero])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["row", "pair", "times", "hits", "total"])
 
     return run
 
