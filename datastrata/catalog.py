@@ -15,8 +15,8 @@ from datastrata.operators import freshness, graph, retention, targets, transfer
 from datastrata.operators.diff import version_diff
 from datastrata.plans import runner
 from datastrata.sources import git as repo
-from datastrata.sources import ignore, metadata, urls
-from datastrata.sources.store import Store, copy, hash_path, relation
+from datastrata.sources import ignore, metadata, transport, urls
+from datastrata.sources.store import Store, hash_path, relation
 
 
 class Catalog:
@@ -161,30 +161,44 @@ class Catalog:
             raise ValueError(f"not tracked: {lost[:10]}")
         return found.select(F.col("path").alias("stage")).distinct()
 
-    def push(self, only: list[str] | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
-        return self._copy(self.store, self.remote, only, dry_run)
+    def push(self, only: list[str] | None = None, dry_run: bool = False, ref: str | None = None) -> list[tuple[str, str]]:
+        """From the local store to the remote, as the metadata are or were at a ref: what it lacks of the outputs, and of the files in
+        folders, also of those folders that it has."""
+        return self._copy(self.store, self.remote, only, dry_run, ref)
 
-    def fetch(self, only: list[str] | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
+    def fetch(self, only: list[str] | None = None, dry_run: bool = False, ref: str | None = None) -> list[tuple[str, str]]:
         """From the remote to the local store; the files themselves stay as they are."""
-        return self._copy(self.remote, self.store, only, dry_run)
+        return self._copy(self.remote, self.store, only, dry_run, ref)
 
     def pull(self, only: list[str] | None = None) -> list[tuple[str, str]]:
         moved = self.fetch(only)
         self.checkout(only)
         return moved
 
-    def _outs(self, only: list[str] | None = None) -> list[tuple[str, str, bool]]:
-        stages, outs, _ = self.relations()
+    def _stored(self, only: list[str] | None = None, ref: str | None = None) -> DataFrame:
+        """Outputs that a store keeps; ``only`` are stages, folders of stages, or patterns."""
+        texts = metadata.scan(self.spark, self.root) if ref is None else repo.texts_at(self.spark, self.root, [ref]).select("path", "text")
+        stages, outs, _ = metadata.relations(texts)
         outs = outs.where("md5 IS NOT NULL").join(stages.where("git_tracked").select(F.col("path").alias("stage")), "stage", "left_anti")
-        if only is not None:
-            outs = outs.join(self._chosen(only, stages), "stage", "left_semi")
-        return [(r.path, r.md5, r.is_dir) for r in outs.collect()]
+        if only is None:
+            return outs
+        patterns = [self._inside(t) for t in only if set(t) & set("*?[")]
+        plain = [t for t in only if not set(t) & set("*?[")]
+        chosen = targets.by_pattern(stages.select("path"), patterns).select(F.col("path").alias("stage")) if patterns else None
+        if plain or chosen is None:
+            named = self._chosen(plain, stages)
+            chosen = named if chosen is None else chosen.unionAll(named)
+        return outs.join(chosen.distinct(), "stage", "left_semi")
+
+    def _outs(self, only: list[str] | None = None) -> list[tuple[str, str, bool]]:
+        return [(r.path, r.md5, r.is_dir) for r in self._stored(only).collect()]
 
-    def _copy(self, source: Store, target: Store, only: list[str] | None = None, dry_run: bool = False) -> list[tuple[str, str]]:
-        hashes = [(md5, is_dir) for _, md5, is_dir in self._outs(only)]
+    def _copy(self, source: Store, target: Store, only: list[str] | None = None, dry_run: bool = False, ref: str | None = None) -> list[tuple[str, str]]:
+        wanted = self._stored(only, ref).select("md5", "is_dir").distinct()
         if dry_run:
-            return [(m, "there" if target.has(m, d) else "copied" if source.has(m, d) else "missing") for m, d in dict.fromkeys(hashes)]
-        return copy(hashes, source, target)
+            planned = transport.plan(self.spark, wanted, source, target).join(wanted.select("md5"), "md5", "left_semi")
+            return [(r.md5, "copied" if r.state == "copy" else r.state) for r in planned.collect()]
+        return [(r.md5, r.state) for r in transport.transfer(self.spark, wanted, source, target).select("md5", "state").collect()]
 
     def checkout(self, only: list[str] | None = None) -> None:
         for path, md5, is_dir in self._outs(only):
@@ -248,27 +262,31 @@ class Catalog:
         return stage
 
     def garbage(self, refs: list[str] | None = None, keep: int | None = None, newer_than: str | None = None, only: list[str] | None = None) -> DataFrame:
-        """Blobs to delete, largest first, ``(md5, is_dir, size, location)``. Kept are what the metadata, as it is and at the refs, names, what
-        is inside kept folders, and what the policy keeps of the versions at these refs; ``only`` limits the rest to what some stages ever named."""
+        """Blobs to delete, largest first, ``(md5, is_dir, size, location)``. Kept are what the metadata, as it is and at the refs (HEAD, if none are
+        given and there is one), names, what is inside kept folders, and what the policy keeps of the versions at these refs; ``only`` limits the rest to what some stages ever named."""
+        if refs is None:
+            refs = ["HEAD"] if repo.head(self.root) else []
+        if not refs and (keep is not None or newer_than is not None):
+            raise ValueError("a policy needs versions, and there is no ref that has any")
         now = metadata.scan(self.spark, self.root).select(F.lit("").alias("ref"), F.lit("").alias("sha"), "path", "text")
         trees = now.unionAll(repo.texts_at(self.spark, self.root, refs)) if refs else now
-        kept = metadata.relations(trees.select("path", "text"))[1].select("md5")
+        named = metadata.relations(trees.select("path", "text"))[1]
+        kept = named.select("md5")
         blobs = relation(self.spark, self.store)
         versions = candidates = None
+        if only is not None:
+            candidates = named.join(self._chosen(only), "stage", "left_semi").select("md5")
         if refs and (keep is not None or newer_than is not None or only is not None):
-            paths = [r.path for r in trees.select("path").distinct().collect()]
-            history = repo.file_history(self.spark, self.root, paths, refs).where("text IS NOT NULL")
-            outs = metadata.relations(history.select("path", "text"))[1]
+            history = repo.file_history(self.spark, self.root, None, refs).where("text IS NOT NULL")
             seen = history.withColumn("stage", F.regexp_replace("path", r"\.dvc$", "")).drop("path")
-            named = F.explode(F.regexp_extract_all("text", F.lit(r"md5:\s*([0-9a-f]{32})"), 1))
-            versions = seen.select("stage", "sha", F.timestamp_seconds("at").alias("at"), named.alias("md5")).groupBy("stage", "md5").agg(F.min("at").alias("at"))
+            hashes = F.explode(F.regexp_extract_all("text", F.lit(r"md5:\s*([0-9a-f]{32})"), 1))
+            versions = seen.select("stage", "sha", F.timestamp_seconds("at").alias("at"), hashes.alias("md5")).groupBy("stage", "md5").agg(F.min("at").alias("at"))
             if only is not None:
-                candidates = versions.join(self._chosen(only), "stage", "left_semi").unionByName(outs.join(self._chosen(only), "stage", "left_semi").select("stage", "md5", F.lit(None).cast("timestamp").alias("at")))
+                candidates = candidates.unionAll(versions.join(self._chosen(only), "stage", "left_semi").select("md5"))
         if versions is not None and (keep is not None or newer_than is not None):
             since = F.current_timestamp() - F.make_dt_interval(secs=F.lit(parse_duration(newer_than).total_seconds())) if newer_than else None
             kept = kept.unionAll(retention.keep_set(versions, ["stage"], keep, since).select("md5"))
-        entries = [(md5, m) for md5, is_dir, *_ in self.store.blobs() if is_dir for m in self.store.manifest(md5).values()]
-        manifests = self.spark.createDataFrame(entries, "dir_md5 string, md5 string")
+        manifests = transport.entries(blobs.where("is_dir").select("md5"), [self.store]).select("dir_md5", "md5")
         return retention.by_size(retention.plan(blobs, kept.where("md5 IS NOT NULL"), kept.limit(0), manifests, candidates))
 
     def collect_garbage(self, keep: list[tuple[str, bool]] | None = None, safe: bool = False, confirm: bool = False, **policy) -> tuple[list[str], int]:

@@ -50,16 +50,50 @@ def manifest_item(relpath: Column, md5: Column) -> Column:
 def directory_hashes(files: DataFrame, by: list[str]) -> DataFrame:
     """``(*by, relpath, md5, size)`` -> ``(*by, md5, nfiles, size)``.
 
-    A directory's hash is that of its listing in order, so one directory's listing is
-    put together in one task; many directories spread over all.
+    A directory's hash is that of its listing in order. Rows are sorted by directory and relpath within partitions, with Spark's
+    spilling sort, and a task carries the state of one digest over them, so a listing of any length takes the memory of a batch.
     """
     item = manifest_item(F.col("relpath"), F.col("md5"))
-    rows = files.select(*by, F.col("relpath").alias("_r"), item.alias("_i"), "size")
-    return rows.groupBy(*by).agg(
-        F.md5(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_i"))), lambda x: x["_i"]), ", "), F.lit("]"))).alias("md5"),
-        F.count("*").alias("nfiles"),
-        F.sum("size").cast("long").alias("size"),
-    )
+    rows = files.select(*by, F.col("relpath").alias("_r"), item.alias("_i"), F.col("size").cast("long").alias("_s"))
+    keys = rows.select(*by).schema
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "_r", "_i").drop("_r")
+    names, width = [*by, "md5", "nfiles", "size"], len(by)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types, at, digest, n, total = None, None, None, 0, None
+
+        def row() -> tuple:
+            digest.update(b"]")
+            return (*at, digest.hexdigest(), n, total)
+
+        def made(done: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done), types)], names=names)
+
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in range(width)), pa.string(), pa.int64(), pa.int64()]
+            key_rows = list(zip(*(batch.column(k).to_pylist() for k in range(width)))) if width else [()] * batch.num_rows
+            items, sizes = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            ends, done = [k for k in range(1, len(items)) if key_rows[k] != key_rows[k - 1]], []
+            for low, high in zip([0, *ends], [*ends, len(items)] if items else []):
+                if digest is None or at != key_rows[low]:
+                    if digest is not None:
+                        done.append(row())
+                    at, digest, n, total = key_rows[low], hashlib.md5(b"["), 0, None
+                digest.update(((", " if n else "") + ", ".join(items[low:high])).encode())
+                n += high - low
+                if known := [s for s in sizes[low:high] if s is not None]:
+                    total = (total or 0) + sum(known)
+            if done:
+                yield made(done)
+        if digest is not None:
+            yield made([row()])
+
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    schema = StructType(list(keys)).add("md5", StringType()).add("nfiles", LongType()).add("size", LongType())
+    return ordered.mapInArrow(run, schema)
 
 
 def hash_file(path: str) -> str:

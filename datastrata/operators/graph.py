@@ -1,7 +1,7 @@
 """Dependency graphs as edge tables ``(src, dst)``: ``dst`` depends on ``src``.
 
-Reachability and levels go round by round: a frontier join, distinct, and an
-anti-join with what has been seen. Each round's result is checkpointed, so plans
+Reachability goes round by round: a frontier join, distinct, and an
+anti-join with what has been seen. Levels contract chains by doubling pointers. Each round's result is checkpointed, so plans
 stay short and lost executors cost one round. Nodes of high degree are rows on the
 streamed side of a join keyed by the frontier.
 """
@@ -90,26 +90,65 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, level)``: 0 without dependencies among the nodes, else one above the highest dependency.
 
-    Peels ready nodes; if nodes remain and none is ready they hold a cycle, which is an error.
+    A node with one dependency has a level of the form max(base, level(to) + steps), and so has the chain of two such nodes; pointers
+    that double contract chains of any length in logarithmic rounds. What is left are nodes with several dependencies, whose edges now
+    start at the ends of the chains; edges from known levels go into their nodes' bases, which leaves fewer dependencies and so
+    new chains. Nodes on a contracted chain get their levels at the end, from the ends of their chains. A chain longer than
+    there are nodes is a cycle, which is an error, as is a round that nothing is known after.
     """
-    inner = cut(
-        edges.select("src", "dst")
-        .join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
-        .join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-        .distinct()
-    )
-    left = nodes.select("id").distinct()
-    done = None
-    for k in count():  # every round takes a node away or ends
-        ready = cut(left.join(inner.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(k)))
+    some = nodes.select("id").distinct()
+    inner = edges.select("src", "dst").join(some.select(F.col("id").alias("src")), "src", "left_semi").join(some.select(F.col("id").alias("dst")), "dst", "left_semi")
+    left = cut(some.withColumn("base", F.lit(0)))
+    inner = cut(inner.distinct().withColumn("steps", F.lit(1)))
+    n_nodes, known, chains = left.count(), None, []
+    while True:
+        degrees = inner.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("to"), F.max("steps").alias("steps"))
+        state = cut(left.join(degrees, "id", "left"))
+        ready = state.where("n IS NULL").select("id", F.col("base").alias("level"))
+        known = ready if known is None else known.unionAll(ready)
+        pointers = _contracted(state.where("n = 1").select("id", "to", "steps", "base"), n_nodes)
+        chains.append(pointers)
+        many = state.where("n > 1").select("id", "base")
+        ends = pointers.select(F.col("id").alias("src"), "to", F.col("steps").alias("_more"), F.col("base").alias("_base"))
+        into = inner.join(many.select(F.col("id").alias("dst")), "dst", "left_semi").join(ends, "src", "left").select(
+            F.coalesce("to", "src").alias("src"), "dst", (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), (F.col("_base") + F.col("steps")).alias("low")
+        )
+        met = cut(into.join(ready.withColumnRenamed("id", "src"), "src", "left"))
+        lows = met.groupBy(F.col("dst").alias("id")).agg(F.max(F.greatest("low", F.col("level") + F.col("steps"))).alias("low"))
+        before, left = state, cut(many.join(lows, "id", "left").select("id", F.greatest("base", "low").alias("base")))
+        if left.isEmpty():
+            break
         if ready.isEmpty():
-            if left.isEmpty():
-                return done if done is not None else ready
-            some = [r["id"] for r in left.orderBy("id").limit(10).collect()]
-            raise CycleError(f"circular dependency among {some}")
-        done = ready if done is None else done.unionAll(ready)
-        left = cut(left.join(ready, "id", "left_anti"))
-        inner = cut(inner.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+            _cycle(before)
+        inner = cut(met.where("level IS NULL").groupBy("src", "dst").agg(F.max("steps").alias("steps")))
+    for pointers in reversed(chains):
+        ended = pointers.join(known.select(F.col("id").alias("to"), "level"), "to")
+        known = cut(known.unionAll(ended.select("id", F.greatest("base", F.col("level") + F.col("steps")).alias("level"))))
+    if known.count() < n_nodes:
+        _cycle(some.join(known, "id", "left_anti"))
+    return known
+
+
+def _contracted(pointers: DataFrame, n_nodes: int) -> DataFrame:
+    """``(id, to, steps, base)``, a pointer a node, each followed to the first node that has none."""
+    pointers = cut(pointers)
+    for _ in range(max(n_nodes, 2).bit_length() + 1):
+        far = pointers.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("base").alias("_base"))
+        more = cut(pointers.join(far, "to", "left"))
+        moved = not more.where("_to IS NOT NULL").isEmpty()
+        if not moved:
+            return pointers
+        pointers = more.select(
+            "id",
+            F.coalesce("_to", "to").alias("to"),
+            F.least(F.col("steps") + F.coalesce("_steps", F.lit(0)), F.lit(n_nodes)).alias("steps"),
+            F.greatest("base", F.col("_base") + F.col("steps")).alias("base"),
+        )
+    _cycle(pointers.join(pointers.select(F.col("id").alias("to")), "to", "left_semi"))
+
+
+def _cycle(nodes: DataFrame) -> None:
+    raise CycleError(f"circular dependency among {[r['id'] for r in nodes.select('id').orderBy('id').limit(10).collect()]}")
 
 
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datastrata.runtime import cut
+
 
 def missing(needed: DataFrame, store: DataFrame) -> DataFrame:
     return needed.join(store.select("md5").distinct(), "md5", "left_anti")
@@ -37,6 +41,37 @@ def gap_fill(entries: DataFrame, remote: DataFrame, local: DataFrame) -> DataFra
     return gaps.join(has, "md5", "left").select("md5", F.when(F.col("_has"), "upload").otherwise("unfillable").alias("action"))
 
 
+def closure(wanted: DataFrame, entries_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``wanted(md5, is_dir)`` and all that their listings name, at any depth: a round for each depth, and each listing is read once."""
+    seen = front = cut(wanted.where("md5 IS NOT NULL").groupBy("md5").agg(F.max("is_dir").alias("is_dir")))
+    while True:
+        found = entries_of(front.where("is_dir").select("md5")).groupBy("md5").agg(F.max("is_dir").alias("is_dir"))
+        front = cut(found.join(seen.select("md5"), "md5", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionAll(front)
+
+
+def movement(needed: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """``needed(md5, is_dir)`` against both listings: ``there``, to ``copy``, or ``missing``."""
+    has = lambda side, name: side.select("md5").distinct().withColumn(name, F.lit(True))
+    joined = needed.join(has(target, "_there"), "md5", "left").join(has(source, "_here"), "md5", "left")
+    return joined.select("md5", "is_dir", F.when(F.col("_there"), "there").when(F.col("_here"), "copy").otherwise("missing").alias("state"))
+
+
+def folder_totals(files: DataFrame) -> DataFrame:
+    """``files(path, state, size)`` -> ``(folder, state, n, bytes)`` for every folder at any depth, '' the top.
+
+    Files are added up by their own folder first, so only folders are exploded into their ancestors."""
+    own = files.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("_in"), "state").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    parts = F.split("_in", "/")
+    above = F.when(F.col("_in") == "", F.array(F.lit(""))).otherwise(
+        F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    )
+    spread = own.select(F.explode(above).alias("folder"), "state", "n", "bytes")
+    return spread.groupBy("folder", "state").agg(F.sum("n").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
 def parent_directory(files: DataFrame, tracked: DataFrame) -> DataFrame:
     """Each file's nearest tracked ancestor: ``(path, dir_path, relpath)``. Ancestors are exploded and
     joined by equality, so there is no nested loop over prefixes."""

@@ -33,6 +33,21 @@ def state_at(history: DataFrame, by: list[str], when: Column) -> DataFrame:
     return history.where(F.col("at") <= when).groupBy(*by).agg(F.max_by(F.struct("md5", "sha", "at"), F.struct("at", "sha")).alias("v")).select(*by, "v.*")
 
 
+def state_at_refs(history: DataFrame, by: list[str], refs: DataFrame) -> DataFrame:
+    """``history(*by, md5, sha, at)`` and ``refs(ref, at)`` -> ``(*by, ref, md5, sha, at)``: the last version of each at or before every ref's time.
+
+    A version can only be the last one of the refs from the first that is not before it, so versions are added up by that ref's place:
+    what is left is a row for each artifact and ref at most, whose last one is carried on. A long history is never one task's."""
+    times = refs.agg(F.array_sort(F.collect_list(F.struct("at", "ref"))).alias("_refs"))  # one row, as long as there are refs
+    place = F.size(F.filter("_refs", lambda r: r["at"] < F.col("at")))
+    dated = history.crossJoin(times).withColumn("_k", place).where(F.col("_k") < F.size("_refs"))
+    last = dated.groupBy(*by, "_k").agg(F.max_by(F.struct("md5", "sha", "at"), F.struct("at", "sha")).alias("v"))
+    following = F.lead("_k").over(W.partitionBy(*by).orderBy("_k"))
+    spans = last.crossJoin(times).withColumn("_next", F.coalesce(following, F.size("_refs")))
+    carried = spans.withColumn("_at", F.explode(F.sequence("_k", F.col("_next") - 1)))
+    return carried.select(*by, F.col("_refs")[F.col("_at")]["ref"].alias("ref"), "v.md5", "v.sha", "v.at")
+
+
 def changed_since(old: DataFrame, new: DataFrame, targets: DataFrame) -> DataFrame:
     """Tri-state: null where either side lacks the path."""
     a, b = old.select("path", F.col("sha").alias("_a")), new.select("path", F.col("sha").alias("_b"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from datastrata.functions import hashing, paths, scalars
 from datastrata.operators import diff, freshness, graph, retention, targets, transfer, versions
+from datastrata.sources import git
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -879,3 +880,60 @@ def dag_view(spark: SparkSession, sf: str) -> DataFrame:
 def dag_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _tree(spark, sf)
     return graph.neighbours(edges, nodes)
+
+
+@query(
+    f"""WITH RECURSIVE b AS ({_BLOBS}), w AS (SELECT doc_id AS id FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents)),
+r AS (SELECT id FROM w UNION SELECT d.doc_id FROM r JOIN documents d ON d.doc_id // 2 = r.id AND d.doc_id > 0)
+SELECT 'd' || id AS md5, id IN (SELECT doc_id // 2 FROM documents WHERE doc_id > 0) AS is_dir,
+CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'there' WHEN lang = 'de' THEN 'missing' ELSE 'copy' END AS state FROM r JOIN b ON b.doc_id = r.id"""
+)
+def pull_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings nested as the tree is: all that the wanted ones need, and what has to be copied for it."""
+    nodes, edges = _tree(spark, sf)
+    blob = lambda c: F.concat(F.lit("d"), F.col(c).cast("string"))
+    inner = edges.select(F.col("src").alias("id")).distinct().withColumn("is_dir", F.lit(True))
+    known = nodes.select("id").join(inner, "id", "left").select("id", blob("id").alias("md5"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
+    listed = edges.join(known, F.col("dst") == F.col("id")).select(blob("src").alias("dir_md5"), "md5", "is_dir")
+    labels = _t(spark, sf, "labels")
+    wanted = known.join(labels.where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    entries = lambda dirs: listed.join(dirs.select(F.col("md5").alias("dir_md5")), "dir_md5", "left_semi")
+    source = _t(spark, sf, "documents").where("lang <> 'de'").select(blob("doc_id").alias("md5"))
+    return transfer.movement(transfer.closure(wanted.select("md5", "is_dir"), entries), source, labels.where("quality = 1").select(blob("doc_id").alias("md5")))
+
+
+@query(
+    f"""WITH b AS ({_BLOBS}), f AS (SELECT source || '/' || lang AS top, source, md5 IN (SELECT md5 FROM b JOIN labels USING (doc_id)) AS cached, size FROM b),
+e AS (SELECT '' AS folder, cached, size FROM f UNION ALL SELECT source, cached, size FROM f UNION ALL SELECT top, cached, size FROM f)
+SELECT folder, CASE WHEN cached THEN 'cached' ELSE 'missing' END AS state, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY ALL"""
+)
+def folder_totals(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blobs(spark, sf)
+    remote = b.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    outs = b.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "md5", "size")
+    return transfer.folder_totals(transfer.transfer_status(outs, remote))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), v AS (SELECT 'y' || y AS ref, make_date(y, 7, 1) AS t FROM r)
+SELECT o_custkey AS path, ref, o_orderstatus AS md5, o_orderkey AS sha, o_orderdate AS "at" FROM orders JOIN v ON o_orderdate <= t
+QUALIFY row_number() OVER (PARTITION BY o_custkey, ref ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+)
+def state_at_refs(spark: SparkSession, sf: str) -> DataFrame:
+    years = _t(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    refs = years.select(F.concat(F.lit("y"), F.col("y").cast("string")).alias("ref"), F.make_date("y", F.lit(7), F.lit(1)).cast("timestamp_ntz").alias("at"))
+    return versions.state_at_refs(_history(spark, sf).withColumn("md5", F.col("state")).select("path", "md5", "sha", "at"), ["path"], refs)
+
+
+@query(
+    """WITH t AS (SELECT o_orderpriority AS ref, 'c/' || o_orderkey AS path, md5('' || o_orderkey) AS sha FROM orders)
+SELECT r.ref, 'c/' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '' END AS path, CASE WHEN o_orderpriority = r.ref THEN 'blob' END AS kind,
+CASE WHEN o_orderpriority = r.ref THEN md5('' || o_orderkey) END AS sha FROM orders, (VALUES ('1-URGENT'), ('5-LOW')) r(ref)"""
+)
+def git_objects_at_refs(spark: SparkSession, sf: str) -> DataFrame:
+    o = _t(spark, sf, "orders")
+    name = F.concat(F.lit("c/"), F.col("o_orderkey").cast("string"))
+    trees = o.select(F.col("o_orderpriority").alias("ref"), name.alias("path"), F.lit("blob").alias("kind"), F.md5(F.col("o_orderkey").cast("string")).alias("sha"))
+    asked = F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("ref")
+    lookups = o.select(asked, F.concat(name, F.when(F.col("o_orderkey") % 2 == 0, "/").otherwise("")).alias("path"))
+    return git.object_shas(trees, lookups)

@@ -7,7 +7,6 @@ import json
 import os
 import shutil
 import tempfile
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +117,7 @@ class Store:
 def relation(spark: SparkSession, store: Store) -> DataFrame:
     """The store's blobs, listed by Spark; no content is read."""
     top = os.path.join(store.root, "files", "md5")
-    if not os.path.isdir(top):
+    if "://" not in top and not os.path.isdir(top):
         return spark.createDataFrame([], BLOB)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
     parts = F.regexp_extract("path", r"/([0-9a-f]{2})/([0-9a-f]{30})(\.dir)?$", 0)
@@ -129,17 +128,12 @@ def relation(spark: SparkSession, store: Store) -> DataFrame:
     )
 
 
-def copy(hashes: list[tuple[str, bool]], source: Store, target: Store, jobs: int = 8) -> list[tuple[str, str]]:
-    """Copy blobs, directories with their files; ``(md5, state)``: copied, there, or missing. Nothing is raised."""
+def copy(hashes: list[tuple[str, bool]], source: Store, target: Store, spark: SparkSession | None = None) -> list[tuple[str, str]]:
+    """Copy some blobs, directories with their files; ``(md5, state)``: copied, there, missing or error. Nothing is raised."""
+    from datastrata.sources import transport
 
-    def one(item: tuple[str, bool]) -> list[tuple[str, str]]:
-        md5, is_dir = item
-        inner = [(m, False) for m in source.manifest(md5).values()] if is_dir else []
-        out = [r for i in inner for r in one(i)]
-        if not source.has(md5, is_dir):
-            return [*out, (md5, "there" if target.has(md5, is_dir) else "missing")]
-        new = target._put(md5, is_dir, lambda t: shutil.copyfile(source.location(md5, is_dir), t))
-        return [*out, (md5, "copied" if new else "there")]
-
-    with ThreadPoolExecutor(jobs) as pool:
-        return [r for rs in pool.map(one, dict.fromkeys(hashes)) for r in rs]
+    if not hashes:
+        return []
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    wanted = spark.createDataFrame(hashes, "md5 string, is_dir boolean")
+    return [(r.md5, r.state) for r in transport.transfer(spark, wanted, source, target).select("md5", "state").collect()]
