@@ -2,7 +2,7 @@
 
 Every check that fails is a row ``(stage, phase, ord, code, reason)``; the first by phase and
 order is the stage's reason. Phases: 0 no metadata, 1 schedule, 2 outputs, 3 dependencies,
-4 git dependencies. The cheap sides (existence, recorded hashes) are joins; hashing is done
+4 git dependencies. What stages claim of paths meets what is known of them in one join; hashing is done
 before, by whoever makes ``files``, and only for what the memo does not know.
 """
 
@@ -23,30 +23,6 @@ def _short(md5: Column) -> Column:
     return F.concat(F.substring(F.coalesce(md5, F.lit("")), 1, 8), F.lit("..."))
 
 
-def _check(df: DataFrame, phase: int, code: Column, reason: Column) -> DataFrame:
-    return df.select("stage", F.lit(phase).alias("phase"), F.col("ord").cast("int").alias("ord"), code.alias("code"), reason.alias("reason"))
-
-
-def output_checks(outs: DataFrame, files: DataFrame) -> DataFrame:
-    """``outs(stage, ord, path, md5)`` against ``files(path, md5, error)``."""
-    counted = outs.join(outs.groupBy("stage").agg(F.count("*").alias("n_outs")), "stage")
-    f = files.select(F.col("path").alias("_p"), F.col("md5").alias("actual"), F.col("error").alias("error"))
-    j = counted.join(f, F.col("path") == F.col("_p"), "left")
-    many = F.col("n_outs") > 1
-    changed = F.concat(F.lit(" ("), _short(F.col("md5")), F.lit(" vs "), _short(F.col("actual")), F.lit(")"))
-    code = (
-        F.when(F.col("_p").isNull(), "missing")
-        .when(F.col("error").isNotNull(), "error")
-        .when(~F.col("actual").eqNullSafe(F.col("md5")), "stale")
-    )
-    reason = (
-        F.when(F.col("_p").isNull(), F.concat(F.lit("output missing"), F.when(many, F.concat(F.lit(": "), F.col("path"))).otherwise("")))
-        .when(F.col("error").isNotNull(), F.concat(F.lit("hash error: "), F.col("error")))
-        .otherwise(F.concat(F.lit("data changed"), F.when(many, F.concat(F.lit(": "), F.col("path"))).otherwise(""), changed))
-    )
-    return _check(j.where(code.isNotNull()), 2, code, reason)
-
-
 def resolve_deps(deps: DataFrame, outs: DataFrame, files: DataFrame) -> DataFrame:
     """``deps(stage, ord, dep_path, recorded)`` with ``actual``: the producer's declared hash, else the file's."""
     made = outs.select(F.col("path").alias("dep_path"), F.col("md5").alias("declared"), F.lit(True).alias("made"))
@@ -63,41 +39,15 @@ def resolve_deps(deps: DataFrame, outs: DataFrame, files: DataFrame) -> DataFram
     )
 
 
-def dep_checks(resolved: DataFrame, phase: int = 3, name: str = "dep") -> DataFrame:
-    code = (
-        F.when(~F.col("known"), "missing")
-        .when(F.col("error").isNotNull(), "error")
-        .when(~F.col("actual").eqNullSafe(F.col("recorded")), "stale")
-    )
-    reason = (
-        F.when(~F.col("known"), F.concat(F.lit(f"{name} missing: "), F.col("dep_path")))
-        .when(F.col("error").isNotNull(), F.concat(F.lit(f"{name} hash error: "), F.col("dep_path"), F.lit(": "), F.col("error")))
-        .otherwise(F.concat(F.lit(f"{name} changed: "), F.col("dep_path")))
-    )
-    return _check(resolved.where(code.isNotNull()), phase, code, reason)
-
-
 def schedule_checks(stages: DataFrame, now: Column) -> DataFrame:
-    """Stages whose schedule is due, and, as errors, those whose schedule cannot be read."""
-    asked = stages.where("fetch_schedule IS NOT NULL").withColumn("ord", F.lit(0))
+    """Stages whose schedule is due, and, as errors, those whose schedule cannot be read: ``(stage, phase, ord, reason, code)``."""
+    asked = stages.where("fetch_schedule IS NOT NULL")
     columns = F.col("fetch_schedule"), F.col("fetch_last_run"), now
     plain = asked.where(is_named(columns[0])).withColumn("_due", named_due(*columns))
     cron = asked.where(~is_named(columns[0])).withColumn("_due", fetch_due(*columns))  # only these go to Python
     due = plain.unionAll(cron).where("_due OR _due IS NULL")
     reason = F.when(F.col("_due"), "fetch schedule due").otherwise(F.concat(F.lit("invalid schedule: "), F.col("fetch_schedule")))
-    return _check(due.withColumnRenamed("path", "stage"), 1, F.when(F.col("_due"), "stale").otherwise("error"), reason)
-
-
-def metadata_checks(stages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Phase 0: stages whose file cannot be read, and ``wanted(stage)`` that have none."""
-    none = F.lit("dvc file not found or invalid")
-    bad = None
-    if "error" in stages.columns:
-        bad = _check(stages.where("error IS NOT NULL").select(F.col("path").alias("stage"), "error", F.lit(0).alias("ord")), 0, F.lit("error"), F.col("error"))
-    if wanted is not None:
-        lost = _check(wanted.join(stages.select(F.col("path").alias("stage")), "stage", "left_anti").withColumn("ord", F.lit(0)), 0, F.lit("error"), none)
-        bad = lost if bad is None else bad.unionAll(lost)
-    return bad
+    return due.select(F.col("path").alias("stage"), F.lit(1).alias("phase"), F.lit(0).alias("ord"), reason.alias("reason"), F.when(F.col("_due"), "stale").otherwise("error").alias("code"))
 
 
 def inner_files(files: DataFrame, outs: DataFrame, entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -125,39 +75,85 @@ def inner_files(files: DataFrame, outs: DataFrame, entries: DataFrame, found: Da
     return listed.join(now, "path", "left").select("path", status.alias("status"), reason.alias("reason"))
 
 
-def first_reason(stages: DataFrame, checks: DataFrame) -> DataFrame:
-    """``(stage, fresh, status, reason)`` for every stage of ``stages(stage)``."""
-    order = F.struct("phase", "ord", "reason")
-    first = checks.groupBy("stage").agg(F.min_by(F.struct("code", "reason"), order).alias("first"))
-    return stages.select("stage").join(first, "stage", "left").select(
-        "stage",
-        F.col("first").isNull().alias("fresh"),
-        F.coalesce("first.code", F.lit("fresh")).alias("status"),
-        F.coalesce("first.reason", F.lit("up-to-date")).alias("reason"),
+def _claims(outs: DataFrame, deps: DataFrame) -> DataFrame:
+    """What stages say of paths: ``(stage, git, path, expected, phase, ord)``."""
+    made = outs.select("stage", F.lit(False).alias("git"), "path", F.col("md5").alias("expected"), F.lit(2).alias("phase"), F.col("ord").cast("int").alias("ord"))
+    is_git = F.col("kind") == "git_dep" if "kind" in deps.columns else F.lit(False)
+    needed = deps.select("stage", is_git.alias("git"), F.col("dep_path").alias("path"), F.col("recorded").alias("expected"), F.when(is_git, 4).otherwise(3).alias("phase"), F.col("ord").cast("int").alias("ord"))
+    return made.unionAll(needed)
+
+
+def _facts(outs: DataFrame, files: DataFrame, git: DataFrame | None) -> DataFrame:
+    """What is known of each path: what its stage declares, and what is found there."""
+    row = lambda df, git, declared, made, found, error: df.select(
+        F.lit(git).alias("git"), "path", declared.cast("string").alias("declared"), F.lit(made).alias("made"), found.cast("string").alias("found"), F.lit(not made).alias("there"), error.cast("string").alias("error")
+    )
+    none = F.lit(None)
+    rows = row(outs, False, F.col("md5"), True, none, none).unionAll(row(files, False, none, False, F.col("md5"), F.col("error")))
+    if git is not None:
+        rows = rows.unionAll(row(git.where("sha IS NOT NULL"), True, none, False, F.col("sha"), none))
+    return rows.groupBy("git", "path").agg(*[f(c).alias(c) for f, c in ((F.min, "declared"), (F.max, "made"), (F.min, "found"), (F.max, "there"), (F.min, "error"))])
+
+
+def path_checks(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(stage, phase, ord, reason, code, alone)`` for each claim; code is null where it holds. ``alone`` is the reason of a stage's only output."""
+    j = claims.join(facts, ["git", "path"], "left")
+    of_out, made, there = F.col("phase") == 2, F.coalesce("made", F.lit(False)), F.coalesce("there", F.lit(False))
+    known = there | (~of_out & made)
+    actual = F.when(~of_out & made, F.col("declared")).otherwise(F.col("found"))
+    error = F.when(of_out | ~made, F.col("error"))
+    code = F.when(~known, "missing").when(error.isNotNull(), "error").when(~actual.eqNullSafe(F.col("expected")), "stale")
+    name = F.when(F.col("phase") == 4, "git dep").otherwise("dep")
+    both = F.concat(F.lit(" ("), _short(F.col("expected")), F.lit(" vs "), _short(actual), F.lit(")"))
+    out_reason = lambda path: (
+        F.when(~known, F.concat(F.lit("output missing"), path)).when(error.isNotNull(), F.concat(F.lit("hash error: "), error)).otherwise(F.concat(F.lit("data changed"), path, both))
+    )
+    dep_reason = (
+        F.when(~known, F.concat(name, F.lit(" missing: "), F.col("path")))
+        .when(error.isNotNull(), F.concat(name, F.lit(" hash error: "), F.col("path"), F.lit(": "), error))
+        .otherwise(F.concat(name, F.lit(" changed: "), F.col("path")))
     )
+    reason = F.when(of_out, out_reason(F.concat(F.lit(": "), F.col("path")))).otherwise(dep_reason)
+    return j.select("stage", "phase", "ord", reason.alias("reason"), code.alias("code"), F.when(of_out, out_reason(F.lit(""))).alias("alone"))
 
 
 def freshness(
     stages: DataFrame, outs: DataFrame, deps: DataFrame, files: DataFrame, git: DataFrame | None = None, now: Column | None = None, wanted: DataFrame | None = None
 ) -> DataFrame:
     """``stages(path, cmd, md5, side_effect, fetch_schedule, fetch_last_run)`` and their parts -> a row per stage, and one per
-    ``wanted(stage)`` without metadata."""
-    names = stages.select(F.col("path").alias("stage"))
-    quiet = stages.where(is_side_effect()).select(F.col("path").alias("stage"))
-    checks = output_checks(outs.join(quiet, "stage", "left_anti"), files)
-    plain = deps.where("kind = 'dep'") if "kind" in deps.columns else deps
-    checks = checks.unionAll(dep_checks(resolve_deps(plain, outs, files)))
-    if git is not None:
-        resolved = deps.where("kind = 'git_dep'").join(git.select(F.col("path").alias("dep_path"), F.col("sha").alias("actual")), "dep_path", "left")
-        resolved = resolved.withColumn("known", F.col("actual").isNotNull()).withColumn("error", F.lit(None).cast("string"))
-        checks = checks.unionAll(dep_checks(resolved, 4, "git dep"))
+    ``wanted(stage)`` without metadata.
+
+    Claims and facts meet in one join by path, and everything about a stage in one aggregation. Outputs of side effects are not looked at."""
+    checks = path_checks(_claims(outs, deps), _facts(outs, files, git)).where("phase = 2 OR code IS NOT NULL")
+    if git is None:
+        checks = checks.where("phase <> 4")
+    parts = ["stage", "phase", "ord", "reason", "code", "alone"]
     if now is not None:
-        checks = checks.unionAll(schedule_checks(stages, now))
-    if (bad := metadata_checks(stages, wanted)) is not None:
-        checks = checks.unionAll(bad)
+        checks = checks.unionAll(schedule_checks(stages, now).withColumn("alone", F.lit(None).cast("string")).select(*parts))
+    bad = F.col("error") if "error" in stages.columns else F.lit(None).cast("string")
+    quiet = F.coalesce(is_side_effect(), F.lit(False))
+    rows = checks.select(*parts, F.lit(None).cast("boolean").alias("quiet"), F.lit(False).alias("there")).unionAll(
+        stages.select(F.col("path"), F.lit(0), F.lit(0), bad, F.when(bad.isNotNull(), "error"), F.lit(None).cast("string"), quiet, F.lit(True))
+    )
+    lost = F.lit("dvc file not found or invalid")
     if wanted is not None:
-        names = names.unionAll(wanted.select("stage")).distinct()
-    return first_reason(names, checks)
+        none = F.lit(None)
+        rows = rows.unionAll(wanted.select("stage", F.lit(-1), F.lit(0), lost, F.lit("error"), none.cast("string"), none.cast("boolean"), F.lit(False)))
+    failing = F.col("code").isNotNull()
+    first = lambda some: F.min(F.when(failing & some, F.struct("phase", "ord", "reason", "code", "alone")))
+    found = rows.groupBy("stage").agg(
+        first(F.col("phase") == 2).alias("out"), first((F.col("phase") != 2) & (F.col("phase") >= 0)).alias("other"),
+        F.max("there").alias("there"), F.max(F.col("phase") == -1).alias("wanted"), F.max("quiet").alias("quiet"), F.count_if(F.col("phase") == 2).alias("n_outs"),
+    )
+    least = F.when(F.col("quiet"), F.col("other")).otherwise(F.least("out", "other"))
+    shown = found.where("there OR wanted").withColumn("_first", least)
+    reason = F.when((F.col("_first.phase") == 2) & (F.col("n_outs") <= 1), F.col("_first.alone")).otherwise(F.col("_first.reason"))
+    return shown.select(
+        "stage",
+        (F.col("there") & F.col("_first").isNull()).alias("fresh"),
+        F.when(~F.col("there"), "error").otherwise(F.coalesce("_first.code", F.lit("fresh"))).alias("status"),
+        F.when(~F.col("there"), lost).otherwise(F.coalesce(reason, F.lit("up-to-date"))).alias("reason"),
+    )
 
 
 def changed_deps(resolved: DataFrame) -> DataFrame:

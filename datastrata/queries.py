@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from datastrata.functions import hashing, paths, scalars
 from datastrata.operators import diff, freshness, graph, retention, targets, transfer, versions
+from datastrata.runtime import cut
 from datastrata.sources import git
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,8 +315,8 @@ def transitive_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stages(spark: SparkSession, sf: str):
-    """Stages from documents: an output each, some lost or changed, and a dependency on ``doc_id div 2``."""
-    b = _blobs(spark, sf)
+    """Stages from documents: an output each, some lost or changed, and a dependency on ``doc_id div 2``. Texts are hashed once."""
+    b = cut(_blobs(spark, sf))
     name = F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
     wrong = F.concat(F.lit("0000"), F.substring("md5", 5, 28))
     stages = b.select(
