@@ -2,7 +2,7 @@
 
 DataFrame functions only; nothing is shuffled. Patterns give the base spans. Places are
 found by splitting the text at the pattern: a match starts where the pieces and
-matches before it end, counted in code points.
+matches before it end, counted in code points by running sums in blocks, so texts of tens of thousands of matches take seconds.
 
 The method: candidates are runs of 20 characters or more of the base64 alphabet;
 those of hex digits alone are of class hex, the others of class base64. A window of
@@ -23,6 +23,7 @@ row; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ HEX = "[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
+#: Numbers of an array that are folded at once.
+BLOCK = 128
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABETS = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
@@ -50,29 +53,54 @@ ALLOWED = (
 )
 
 
-def _matches(text: Column, pattern: str, value: Column | None = None) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often, and in whatever lambda, it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """Running results of an associative operation on numbers of 0 or more, whose result for 0 and x is x. An array is folded in blocks, whose own results
+    come first and whose ends then go on to the next, so no append copies more than a block or the list of blocks."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def append(acc: Column, x: Column) -> Column:
+        return _let(op(acc["last"], x), lambda now: F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).cast(kind).alias("last"), none.alias("out")), append)
+
+    def joined(blocks: Column) -> Column:
+        before = folded(F.transform(blocks, lambda b: b["last"]))["out"]
+        return _let(before, lambda ends: F.flatten(F.transform(blocks, lambda b, i: _let(F.coalesce(F.get(ends, i - 1), F.lit(0).cast(kind)), lambda low: F.transform(b["out"], lambda x: op(low, x))))))
+
+    starts = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+    cut = lambda v: F.transform(starts(v), lambda k: folded(F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(cut(v), joined)).otherwise(none))
+
+
+def _matches(text: Column, pattern: str) -> Column:
     """Matches of a pattern as ``array<struct<s, e, m>>``, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-
-    def place(acc: Column, k: Column) -> Column:
-        m = F.get(found, k)
-        s = acc["at"] + F.length(F.get(pieces, k))
-        return F.struct(
-            (s + F.length(m)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))).alias("out"),
-        )
+    pieces = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct((F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("n"), m.alias("m")))
+    placed = lambda z: F.zip_with(
+        z, _running(F.transform(z, lambda x: x["n"]), lambda a, b: a + b), lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m"))
+    )
+    return F.filter(_let(pieces, placed), lambda x: x["m"].isNotNull())
+
+
+def _apart(runs: Column, base: Column) -> Column:
+    """Those of ``runs`` that overlap no span of ``base``, which is in order of starts: of the spans that start before a run's end, found by
+    halving, none may end after its start."""
+
+    def free(sides: Column) -> Column:
+        def before(x: Column) -> Column:
+            step = lambda k, p: F.when(F.get(sides["s"], k + p - 1) < x["e"], k + p).otherwise(k)
+            return F.aggregate(F.array(*[F.lit(1 << p) for p in reversed(range(25))]), F.lit(0), step)
+
+        return F.filter(runs, lambda x: _let(before(x), lambda k: (k == 0) | (F.coalesce(F.get(sides["e"], k - 1), F.lit(0)) <= x["s"])))
 
-    return F.when(
-        F.size(found) > 0,
-        F.aggregate(
-            F.sequence(F.lit(0), F.size(found) - 1),
-            F.struct(F.lit(0).alias("at"), none.alias("out")),
-            place,
-            lambda acc: acc["out"],
-        ),
-    ).otherwise(none)
+    sides = lambda b: F.struct(F.transform(b, lambda x: x["s"]).alias("s"), _running(F.transform(b, lambda x: x["e"]), F.greatest).alias("e"))
+    return _let(_let(base, sides), free)
 
 
 def _term(count: Column) -> Column:
@@ -120,16 +148,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` with ``base`` and ``found``: spans ``struct<s, k, e, kind>`` in order."""
     d = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("q_text"))
     # The value is group 2; a match without a long enough one is used up, but no span.
-    value = F.regexp_extract_all("q_text", F.lit(ASSIGN), F.lit(2))
-    d = d.withColumn("q_values", value).withColumn("q_assign", _matches(F.col("q_text"), ASSIGN))
-    d = d.withColumn("q_assign", F.filter("q_assign", lambda x, k: F.length(F.get("q_values", k)) >= ASSIGN_VALUE))
+    sizes = F.transform(F.regexp_extract_all("q_text", F.lit(ASSIGN), F.lit(2)), F.length)
+    valued = F.zip_with(_matches(F.col("q_text"), ASSIGN), sizes, lambda x, n: F.struct(x["s"].alias("s"), x["e"].alias("e"), n.alias("n")))
+    d = d.withColumn("q_assign", F.filter(valued, lambda x: x["n"] >= ASSIGN_VALUE))
     d = d.withColumn("q_access", _matches(F.col("q_text"), ACCESS)).withColumn("q_hex", _matches(F.col("q_text"), HEX))
     d = d.withColumn(
         "base", F.array_sort(F.concat(*[_spans(k, F.col(f"q_{k}")) for k in ("assign", "access", "hex")]))
     )
     d = d.withColumn("q_runs", _matches(F.col("q_text"), CANDIDATE))
-    apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    d = d.withColumn("q_runs", F.filter("q_runs", lambda x: apart(x) & ~x["m"].rlike(ALLOWED)))
+    d = d.withColumn("q_runs", F.filter(_apart(F.col("q_runs"), F.col("base")), lambda x: ~x["m"].rlike(ALLOWED)))
     is_hex = lambda x: x["m"].rlike("^[0-9a-fA-F]+$")
     mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[a-z]") & x["m"].rlike("[A-Z]")
     high = lambda x, kind, text: window_entropy(text, ALPHABETS[kind]) >= THRESHOLDS[kind]

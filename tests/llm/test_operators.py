@@ -334,6 +334,21 @@ def test_secret_spans_against_brute_force(spark, docs, empty):
     assert secrets.find_secrets(empty).collect() == [] and secrets.find_secrets(docs).count() == len(ROWS)
 
 
+def test_secrets_of_texts_with_many_matches(spark):
+    """20,000 assignments, access keys, hex runs and candidates in one text, within seconds."""
+    rnd = random.Random(5)
+    key = lambda: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    kinds = [lambda k: f"token=abcdefgh{k}", lambda k: f"AKIA{k:012d}", lambda k: f"{rnd.getrandbits(128):032x}", lambda k: key()]
+    text = "é ".join(kinds[k % 4](k) for k in range(20_000))
+    d = spark.createDataFrame([(1, text), (2, "secret: " + "z" * 50_000), (3, "a " * 50_000)], "doc_id long, text string")
+    secrets.find_secrets(d.where("doc_id > 1")).collect()
+    began = time.time()
+    got = {r.doc_id: [(x.s, x.k, x.e, x.kind) for x in r.found] for r in secrets.find_secrets(d).collect()}
+    assert time.time() - began < 60
+    base = [s for s in got[1] if s[1] < 3]
+    assert base == brute_base(text) and len(got[1]) > len(base) + 1000 and got[3] == [] and len(got[2]) == 1
+
+
 def test_secret_entropy(spark):
     key, run = "hK3x9ZqL0pW7vB2nT5yR", "abcdefghijklmnopqrstuvwxyzabc"
     texts = [f"x {key} y", f"x {run} y", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "0f3A9bC47de21586Fb0c", "antidisestablishmentarianismus", f"token={key}"]
