@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -115,18 +114,20 @@ def positional_line_diff(before: DataFrame, after: DataFrame, key: str, text: st
 
 
 def line_diff(pairs: DataFrame, key: str, ignore_space: bool = False, context: int = 3) -> DataFrame:
-    """``(key, old, new)`` -> unified diff text per document; empty where equal, null sides are empty."""
+    """``(key, old, new)`` -> ``(key, diff)``: the hunks of an alignment with the fewest changed lines; empty where equal, null sides are empty.
 
-    def lines(text: str | None) -> list[str]:
-        return [" ".join(x.split()) if ignore_space else x for x in (text or "").splitlines()]
+    Equal texts, most of two snapshots, never go to Python."""
+    from datastrata.functions.alignment import hunks
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            pdf["diff"] = ["\n".join(list(difflib.unified_diff(lines(a), lines(b), n=context, lineterm=""))[2:]) for a, b in zip(pdf["old"], pdf["new"])]
+            pdf["diff"] = [hunks(a, b, context, ignore_space) for a, b in zip(pdf["old"], pdf["new"])]
             yield pdf[[key, "diff"]]
 
     schema = T.StructType([pairs.schema[key], T.StructField("diff", T.StringType())])
-    return pairs.select(key, "old", "new").mapInPandas(run, schema)
+    differs = ~F.coalesce("old", F.lit("")).eqNullSafe(F.coalesce("new", F.lit("")))
+    equal = pairs.where(~differs).select(key, F.lit("").alias("diff"))
+    return pairs.where(differs).select(key, "old", "new").mapInPandas(run, schema).unionAll(equal)
 
 
 def parse_refspec(refspec: str | None, ref: str | None) -> tuple[str, str | None]:

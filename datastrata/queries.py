@@ -546,7 +546,16 @@ def line_diff(spark: SparkSession, sf: str) -> DataFrame:
     return diff.positional_line_diff(d.select("doc_id", "text"), d.select("doc_id", edited.alias("text")), "doc_id")
 
 
-@query(None)
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, t, ends_with(t, chr(10)) AS shut, CASE WHEN t = '' THEN [] ELSE string_split(CASE WHEN ends_with(t, chr(10)) THEN left(t, length(t) - 1) ELSE t END, chr(10)) END AS ls FROM d),
+h AS (SELECT doc_id, t, shut, ls, len(ls) AS n, CASE WHEN shut THEN greatest(len(ls) - 3, 0) ELSE greatest(len(ls) - 4, 0) END AS low FROM l),
+r AS (SELECT *, n - low AS old_n, CASE WHEN shut THEN n - low + 1 ELSE n - low END AS new_n, CASE WHEN shut THEN ls[low + 1 : n] ELSE ls[low + 1 : n - 1] END AS around FROM h)
+SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN '' WHEN t = '' THEN '@@ -0,0 +1 @@' || chr(10) || '+ edited' ELSE
+'@@ -' || CASE WHEN old_n = 1 THEN '' || (low + 1) ELSE (low + 1) || ',' || old_n END || ' +' || CASE WHEN new_n = 1 THEN '' || (low + 1) ELSE (low + 1) || ',' || new_n END || ' @@'
+|| CASE WHEN len(around) = 0 THEN '' ELSE chr(10) || ' ' || array_to_string(around, chr(10) || ' ') END
+|| CASE WHEN shut THEN chr(10) || '+ edited' ELSE chr(10) || '-' || ls[n] || chr(10) || '+' || ls[n] || ' edited' END END AS diff FROM r"""
+)
 def line_diff_unified(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents")
     edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
