@@ -15,7 +15,7 @@ from datastrata.operators import freshness, graph, retention, targets, transfer
 from datastrata.operators.diff import version_diff
 from datastrata.plans import runner
 from datastrata.sources import git as repo
-from datastrata.sources import ignore, metadata, transport, urls
+from datastrata.sources import ignore, metadata, transport, urls, worktree
 from datastrata.sources.store import Store, hash_path, relation
 
 
@@ -24,6 +24,8 @@ class Catalog:
         self.spark, self.root = spark, os.path.abspath(root)
         self.store = store or Store(os.path.join(self.root, ".dvc", "cache"))
         self.remote = remote
+        self.memo = worktree.Memo(spark, os.path.join(self.root, ".dvc", "memo"))
+        self.files_read = 0
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, **stores: Store) -> Catalog:
@@ -84,15 +86,10 @@ class Catalog:
         return metadata.relations(metadata.scan(self.spark, self.root))
 
     def _files(self, outs: DataFrame, deps: DataFrame) -> DataFrame:
-        """Hashes of what stages name: files on the executors, folders as ordered listings."""
-        root, spark = self.root, self.spark
-        names = [r[0] for r in outs.select("path").unionAll(deps.where("kind = 'dep'").select("dep_path")).distinct().collect()]
-        there = [p for p in names if os.path.exists(os.path.join(root, p))]
-        single = spark.createDataFrame([(os.path.join(root, p),) for p in there if not os.path.isdir(os.path.join(root, p))], "path string")
-        folders = [(p, hash_path(os.path.join(root, p))[0], None) for p in there if os.path.isdir(os.path.join(root, p))]
-        relative = F.substring("path", len(root) + 2, 1 << 30)
-        hashed = hash_paths(single).select(relative.alias("path"), "md5", "error")
-        return hashed.unionAll(spark.createDataFrame(folders, "path string, md5 string, error string"))
+        """Hashes of what stages name, by tasks; what the memo knows is not read again."""
+        names = outs.select("path").unionAll(deps.where("kind = 'dep'").select(F.col("dep_path").alias("path")))
+        found, self.files_read = worktree.hashes(self.root, names, self.memo)
+        return found
 
     def status(self, now: str | None = None, transitive: bool = True, only: list[str] | None = None) -> DataFrame:
         """``(path, status, reason)`` of all stages, those with unreadable metadata too, or of what ``only`` names: stages, folders of
@@ -123,8 +120,7 @@ class Catalog:
         return os.path.relpath(os.path.join(self.root, path), self.root).replace(os.sep, "/")
 
     def _inner_status(self, files: DataFrame, outs: DataFrame) -> DataFrame:
-        entries = [(r.md5, name, md5) for r in outs.where("is_dir AND md5 IS NOT NULL").select("md5").distinct().collect() for name, md5 in self.store.manifest(r.md5).items()]
-        known = self.spark.createDataFrame(entries, "dir_md5 string, relpath string, md5 string")
+        known = transport.entries(outs.where("is_dir AND md5 IS NOT NULL").select("md5").distinct(), [self.store]).select("dir_md5", "relpath", "md5")
         full = files.select(F.concat(F.lit(self.root + "/"), F.col("path")).alias("path"))
         found = hash_paths(full).select(F.substring("path", len(self.root) + 2, 1 << 30).alias("path"), "md5", "error")
         status = freshness.inner_files(files, outs, known, found)
@@ -171,8 +167,9 @@ class Catalog:
         return self._copy(self.remote, self.store, only, dry_run, ref)
 
     def pull(self, only: list[str] | None = None) -> list[tuple[str, str]]:
+        """Fetch, and outputs as their metadata say, also where they were changed; files that were never tracked stay."""
         moved = self.fetch(only)
-        self.checkout(only)
+        self.checkout(only, overwrite=True)
         return moved
 
     def _stored(self, only: list[str] | None = None, ref: str | None = None) -> DataFrame:
@@ -190,9 +187,6 @@ class Catalog:
             chosen = named if chosen is None else chosen.unionAll(named)
         return outs.join(chosen.distinct(), "stage", "left_semi")
 
-    def _outs(self, only: list[str] | None = None) -> list[tuple[str, str, bool]]:
-        return [(r.path, r.md5, r.is_dir) for r in self._stored(only).collect()]
-
     def _copy(self, source: Store, target: Store, only: list[str] | None = None, dry_run: bool = False, ref: str | None = None) -> list[tuple[str, str]]:
         wanted = self._stored(only, ref).select("md5", "is_dir").distinct()
         if dry_run:
@@ -200,11 +194,17 @@ class Catalog:
             return [(r.md5, "copied" if r.state == "copy" else r.state) for r in planned.collect()]
         return [(r.md5, r.state) for r in transport.transfer(self.spark, wanted, source, target).select("md5", "state").collect()]
 
-    def checkout(self, only: list[str] | None = None) -> None:
-        for path, md5, is_dir in self._outs(only):
-            full = os.path.join(self.root, path)
-            if self.store.has(md5, is_dir) and (not os.path.exists(full) or hash_path(full)[0] != md5):
-                self.store.restore(md5, full, is_dir)
+    def checkout(self, only: list[str] | None = None, overwrite: bool = False, clear: bool = False) -> list[tuple[str, str]]:
+        """Outputs as their metadata say; ``(path, state)`` of all that was not so: restored, removed (no longer in its folder), missing in the
+        store, or kept: changed, and not to be ``overwrite``-n, or a folder's file that is in no listing nor in the store, and the folder not
+        to be ``clear``-ed."""
+        outs = self._stored(only)
+        entries = transport.entries(outs.where("is_dir").select("md5").distinct(), [self.store])
+        empty = outs.where("is_dir AND nfiles = 0").select("path").collect()
+        for r in empty:
+            os.makedirs(os.path.join(self.root, r.path), exist_ok=True)
+        found = worktree.restored(self.root, outs.select("path", "md5", "is_dir"), entries.select("dir_md5", "relpath", "md5"), self.store, overwrite, clear)
+        return [(r.path, r.state) for r in found.where("state <> 'same'").orderBy("path").collect()]
 
     def locate(self, path: str, ref: str | None = None) -> str | None:
         """Where the store keeps a tracked file, or a file in a tracked folder, as it is now or was at a ref; None if nowhere."""

@@ -51,7 +51,8 @@ def directory_hashes(files: DataFrame, by: list[str]) -> DataFrame:
     """``(*by, relpath, md5, size)`` -> ``(*by, md5, nfiles, size)``.
 
     A directory's hash is that of its listing in order. Rows are sorted by directory and relpath within partitions, with Spark's
-    spilling sort, and a task carries the state of one digest over them, so a listing of any length takes the memory of a batch.
+    spilling sort, and a task carries the state of one digest over them, so a listing of any length takes the memory of a batch. A file
+    without name or hash is counted, but not in the listing.
     """
     item = manifest_item(F.col("relpath"), F.col("md5"))
     rows = files.select(*by, F.col("relpath").alias("_r"), item.alias("_i"), F.col("size").cast("long").alias("_s"))
@@ -62,7 +63,7 @@ def directory_hashes(files: DataFrame, by: list[str]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types, at, digest, n, total = None, None, None, 0, None
+        types, at, digest, some, n, total = None, None, None, False, 0, None
 
         def row() -> tuple:
             digest.update(b"]")
@@ -80,8 +81,10 @@ def directory_hashes(files: DataFrame, by: list[str]) -> DataFrame:
                 if digest is None or at != key_rows[low]:
                     if digest is not None:
                         done.append(row())
-                    at, digest, n, total = key_rows[low], hashlib.md5(b"["), 0, None
-                digest.update(((", " if n else "") + ", ".join(items[low:high])).encode())
+                    at, digest, some, n, total = key_rows[low], hashlib.md5(b"["), False, 0, None
+                if named := [i for i in items[low:high] if i is not None]:
+                    digest.update(((", " if some else "") + ", ".join(named)).encode())
+                    some = True
                 n += high - low
                 if known := [s for s in sizes[low:high] if s is not None]:
                     total = (total or 0) + sum(known)

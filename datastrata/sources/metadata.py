@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datastrata.runtime import cut
 from datastrata.schema import IMPORT_DEP, STAGE, STAGE_DEP, STAGE_OUT
 from datastrata.sources.urls import Provenance
 
@@ -190,7 +191,7 @@ def relations(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAGE.split(", ")] + ["outs", "deps"])
 
-    parsed = texts.select("path", "text").mapInPandas(run, f"{STAGE}, outs {out}, deps {dep}")
+    parsed = cut(texts.select("path", "text").mapInPandas(run, f"{STAGE}, outs {out}, deps {dep}"))  # three relations of it
     stages = parsed.drop("outs", "deps")
     outs = parsed.select(F.col("path").alias("stage"), F.explode("outs").alias("o")).select("stage", "o.*")
     deps = parsed.select(F.col("path").alias("stage"), F.explode("deps").alias("d")).select("stage", "d.*")
