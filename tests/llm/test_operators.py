@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -675,7 +676,7 @@ def brute_lm(train, texts):
     return scores, states
 
 
-def test_lm_scores(spark, docs, empty, monkeypatch):
+def test_lm_scores(spark, docs, empty, monkeypatch, tmp_path):
     for k, v in LM.items():
         monkeypatch.setattr(suffix_tree, k, v)
     rnd = random.Random(21)
@@ -699,6 +700,10 @@ def test_lm_scores(spark, docs, empty, monkeypatch):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
         want[i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base, 5), round(score, 5)] += 1
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+    # the query learns and scores from the same symbols
+    d.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rounded = lambda rows: collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in rows)
+    assert rounded(suffix_tree.op9_lm_score(spark, str(tmp_path)).collect()) == rounded(got)
     model = fitted[0]
     assert [len(m.contexts) for m in model.states] == [sum(len(h) == k for h in states) for k in range(1, suffix_tree.DEPTH + 1)] and len(model.states[3].contexts)
     # every state's distribution sums to one
@@ -711,6 +716,15 @@ def test_lm_scores(spark, docs, empty, monkeypatch):
             assert contexts[-1][0] == number and abs(model.prob(x, contexts).sum() - 1) < 1e-9
 
 
+def test_lm_symbols_of_any_width():
+    texts = [[5, 70_000, 0], [0], [65_535, 65_534, 4_000_000, 1, 0]]
+    low = pa.array([np.minimum(np.array(t), suffix_tree.WIDE).astype("<u2").tobytes() for t in texts], pa.binary())
+    high = pa.array([np.array([x for x in t if x >= suffix_tree.WIDE], "<u4").tobytes() for t in texts], pa.binary())
+    for part in (slice(0, 3), slice(1, 3), slice(1, 2)):
+        x, sizes = suffix_tree._symbols(low[part], high[part])
+        assert x.tolist() == sum(texts[part], []) and sizes.tolist() == [len(t) for t in texts[part]]
+
+
 def test_lm_of_nothing(empty, docs):
     fitted = suffix_tree.train(empty)
     none = empty.select("doc_id", F.lit(True).alias("held_out"), "text")
