@@ -8,8 +8,9 @@ Blocks: text between block-level tags, character references decoded, white space
 space, trimmed; line breaks and inline tags do not end a block. Scripts, styles, templates, the head and
 comments are not text. Unclosed elements end with their parent, an
 unclosed menu or page header where an article or main element begins, an unclosed button or image where a paragraph does;
-only scripts and styles that are not closed run to the end of the page. Names count as whole words at the ends of a class name, never
-those of the body or of what holds the main element, the first article or over half of the page's words.
+only scripts and styles that are not closed run to the end of the page. Names count as whole words at the ends of a class name, of any number and length, never
+those of the body or of what holds the main element; those of what holds the first article do not count where no paragraph and no article is outside of
+such names. An article in a sidebar is a teaser. A block is outside if any element around it is, at any depth.
 A page is read once, in time linear in its length.
 
 Defined cases: a null or empty page has no text; plain text without tags is one block;
@@ -49,20 +50,18 @@ OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 #: Words of class names and ids that mark what is around an article, and words before or after them that
 #: only say how a page looks.
 OUTSIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "ad ads adbox adsense adslot adunit advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus "
     "footer header menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related replies reply "
-    "respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+    "respond share sharing sidebar social sponsor sponsored subscribe teaser teasers thread toolbar widget widgets".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
-LOOK_WORDS = frozenset("has no with without is not show hide enable enabled disable disabled open closed on off visible hidden sticky fixed layout template theme".split())
+LOOK_WORDS = frozenset("has no with without is not show hide enable enabled disable disabled open closed on off visible hidden layout template theme".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-#: Share of a page's words that make an element named like a sidebar the page's frame instead.
-FRAME = 0.5
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?\s*(=)?\s*")
 _UNQUOTED = re.compile(r"[^\s>]*")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass
@@ -73,6 +72,7 @@ class Block:
     outside: bool
     article: bool
     heading: bool
+    paragraph: bool
 
 
 @dataclass(eq=False)
@@ -80,9 +80,9 @@ class Element:
     tag: str
     outside: bool = False  # by its tag or role
     named: bool = False  # by a class name or id
-    comments: bool = False
     silent: bool = False
-    words: int = 0  # of its named element: words in it that are not links
+    holder: Element | None = None  # of a named one: the next named one around it
+    marked: bool = False  # it or one around it is named
 
 
 class Tags:
@@ -123,39 +123,38 @@ class Tags:
         return page.index(">", start) + 1, {}
 
 
-def outside_name(value: str) -> tuple[bool, bool]:
-    """Whether a class or id names what is around an article, and whether reader comments."""
-    named = comments = False
-    for token in value.split()[:50]:
-        parts = _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token[:200]).lower())
-        if not parts or len(parts) > 4 or LOOK_WORDS.intersection(parts):
-            continue
-        if parts[0] in OUTSIDE_WORDS or parts[-1] in OUTSIDE_WORDS:
-            named = True
-            comments |= parts[0] in COMMENT_WORDS or parts[-1] in COMMENT_WORDS
-    return named, comments
+def outside_name(value: str) -> bool:
+    """Whether a class or id names what is around an article."""
+    for token in value.split():
+        parts = _PARTS.findall(_HUMP.sub("-", token).lower())
+        if parts and not LOOK_WORDS.intersection(parts) and (parts[0] in OUTSIDE_WORDS or parts[-1] in OUTSIDE_WORDS):
+            return True
+    return False
 
 
 def _element(tag: str, attributes: dict[str, str]) -> Element:
     e = Element(tag, tag in OUTSIDE_TAGS or attributes.get("role", "").lower() in OUTSIDE_ROLES, silent=tag in SILENT_TAGS)
     if tag not in ("html", "body", "main"):
-        for key in ("class", "id"):
-            if key in attributes:
-                named, comments = outside_name(attributes[key])
-                e.named |= named
-                e.comments |= comments
+        e.named = any(outside_name(attributes[key]) for key in ("class", "id") if key in attributes)
     return e
 
 
+def _mark(frames: list[Element]) -> None:
+    """From the outside in: what is named, or in something that is."""
+    for e in frames:
+        e.marked = e.named or (e.holder is not None and e.holder.marked)
+
+
 def blocks(page: str) -> list[Block]:
-    out: list[tuple[Block, Element | None]] = []  # with the outermost element that marks it by name
+    out: list[tuple[Block, Element | None]] = []  # with the nearest named element around it
     stack: list[Element] = []
     named: list[Element] = []  # those of the stack
     open_: Counter[str] = Counter()
     n = Counter()  # open elements that are silent, outside, article or main, headings, links
     parts: list[str] = []
-    frames: list[Element] = []
-    linked = total = 0
+    frames: list[Element] = []  # all named elements, outer ones first
+    around: list[Element] = []  # those around the first article
+    linked = 0
     tags, raw_end = Tags(page), {}
 
     def count(e: Element, by: int) -> None:
@@ -173,6 +172,7 @@ def blocks(page: str) -> list[Block]:
         stack.append(e)
         count(e, 1)
         if e.named:
+            e.holder = named[-1] if named else None
             named.append(e)
             frames.append(e)
 
@@ -184,15 +184,12 @@ def blocks(page: str) -> list[Block]:
         return e
 
     def end() -> None:
-        nonlocal linked, total
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 words = text.count(" ") + 1
-                out.append((Block(text, words, min(linked, words), n["outside"] > 0, n["article"] > 0, n["heading"] > 0), named[0] if named else None))
-                total += words
-                for e in named[:8]:
-                    e.words += words - min(linked, words)
+                out.append((Block(text, words, min(linked, words), n["outside"] > 0, n["article"] > 0, n["heading"] > 0, open_["p"] > 0), named[-1] if named else None))
             parts.clear()
         linked = 0
 
@@ -260,19 +257,25 @@ def blocks(page: str) -> list[Block]:
         if tag in ("article", "main"):
             while stack and stack[-1].tag in ("nav", "header", "ul", "li"):
                 pop()
-            if tag == "main" or not seen_article:  # what holds it is the page's frame, whatever its name
+            if tag == "main":  # what holds it is the page's frame, whatever its name
                 for e in named:
                     e.named = False
                 named.clear()
+            elif not seen_article:
+                around = list(named)
             seen_article = True
         if tag not in VOID_TAGS and not whole:
             push(_element(tag, attributes))
     end()
-    for e in frames:
-        if not e.comments and e.words > FRAME * total:
+    _mark(frames)
+    inner = lambda: any(not (b.outside or (e is not None and e.marked)) for b, e in out if b.paragraph or b.article)
+    if around and not inner():
+        for e in around:
             e.named = False
+        _mark(frames)
     for block, e in out:
-        block.outside |= e is not None and e.named
+        block.outside |= e is not None and e.marked
+        block.article &= not block.outside
     return [block for block, _ in out]
 
 

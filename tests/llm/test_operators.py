@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import html.parser
 import itertools
 import math
 import os
@@ -785,6 +786,70 @@ def test_html_names_of_frames_do_not_take_the_article(name):
         assert html_extract.main_text(page, tree) == para[3:-4]
 
 
+LONG_NAMES = " ".join(f"c{i}" for i in range(60)) + " sidebar"
+
+
+@pytest.mark.parametrize(
+    "mark",
+    [f'class="{LONG_NAMES}"', f'class="{"x" * 300}-sidebar"', 'class="page-left-col-main-sidebar"', 'class="sidebar-fixed"', 'id="sticky-footer"',
+     'class="sidebar"', 'id="cookie-notice"', 'class="adslot"', 'class="thread"'],
+)
+def test_html_names_of_any_length_number_and_share(mark):
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    first, second, tree = say("a", 61), say("b", 61), html_extract.Tree()
+    for n in (20, 61, 900):  # also over half of the page's words
+        out = f"<div {mark}><p>{say('s', n)}</p><article><h3>Teaser</h3><p>{say('t', n)}</p></article></div>"
+        both = f"<p>{first}</p><p>{second}</p>"
+        for page in (f"<body>{out}{both}</body>", f"<body>{both}{out}</body>", f"<body>{out}<article>{both}</article></body>", f"<body><article>{both}{out}</article></body>"):
+            assert html_extract.main_text(page, tree) == first + "\n" + second
+        deep = "<div class='ad'>" * 30 + f"<p>{say('s', n)}</p>" + "</div>" * 30
+        assert html_extract.main_text(f"<div class='page-header'>{deep}<main>{both}</main>{deep}</div>", tree) == first + "\n" + second
+    # the only article of a page counts whatever holds it
+    assert html_extract.main_text(f"<nav><a>x</a></nav><div {mark}><article>{both}</article></div>", tree) == first + "\n" + second
+
+
+class ArticleBlocks(html.parser.HTMLParser):
+    """By Python's own parser: the blocks of the article, without what is around it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.parts, self.found = 0, 0, [], []
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.found.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK_TAGS:
+            self.cut()
+        self.inside += tag == "article"
+        self.skipped += tag in ("script", "style", "aside", "form")
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK_TAGS:
+            self.cut()
+        self.inside -= tag == "article"
+        self.skipped -= tag in ("script", "style", "aside", "form")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.parts.append(data)
+
+
+def test_html_text_of_held_out_pages_is_exact():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    tree = html_extract.Tree()
+    for page in pq.read_table(path)["html"].to_pylist():
+        want = ArticleBlocks()
+        want.feed(page)
+        assert html_extract.main_text(page, tree) == "\n".join(want.found)
+
+
 def test_html_unclosed_and_inner_elements():
     words = "word " * 40
     page = (
