@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datastrata.functions.hashing import hash_paths
+from datastrata.functions.paths import ancestors
 from datastrata.functions.scalars import from_iso, parse_duration
 from datastrata.operators import freshness, graph, retention, targets, transfer
 from datastrata.operators.diff import version_diff
 from datastrata.plans import runner
+from datastrata.runtime import cut
 from datastrata.sources import git as repo
-from datastrata.sources import ignore, metadata, transport, urls, worktree
+from datastrata.sources import ignore, metadata, metadata_source, transport, urls, worktree
 from datastrata.sources.store import Store, hash_path, relation
 
 
@@ -85,6 +87,43 @@ class Catalog:
     def relations(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return metadata.relations(metadata.scan(self.spark, self.root))
 
+    def relations_for(self, only: list[str]) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]:
+        """The relations of what some targets may stand for and of all that is upstream of it, and the ids ``(stage)`` of these; no other folder
+        is listed. Files name outputs in or below their own folder, so a path's producer is in a folder above it."""
+        names = {self._inside(t) for t in only}
+        if "." in names:
+            found = self.relations()
+            return found, found[0].select(F.col("path").alias("stage"))
+        trees = sorted(n for n in names if os.path.isdir(os.path.join(self.root, n)))
+        trees = [t for t in trees if not any(t.startswith(o + "/") for o in trees)]
+        above = lambda p: {p[:i] for i, c in enumerate(p) if c == "/"} | {""}
+        whole = lambda f: any(f == t or f.startswith(t + "/") for t in trees)
+        new = {f for n in names for f in above(n) if not whole(f)}
+        texts = metadata_source.files(self.spark, self.root, metadata_source.in_folders(sorted(new)))
+        for t in trees:
+            texts = texts.unionAll(metadata_source.files(self.spark, self.root, metadata_source.below(t)))
+        loaded, found = set(new), metadata.relations(texts)
+        tree = F.lit(False)
+        for t in trees:
+            tree |= F.col("stage").startswith(t + "/")
+        stem = [n.removesuffix(metadata.SUFFIX) for n in names]
+        holders = [f for n in stem for f in above(n) if f]  # a file's tracked folder
+        front = cut(found[0].select(F.col("path").alias("stage")).where(tree | F.col("stage").isin(stem + holders)))
+        seen = front
+        while True:
+            deps = cut(found[2].join(front, "stage", "left_semi"))
+            paths = deps.select(F.explode(F.array_append(ancestors(F.col("dep_path")), F.lit(""))).alias("folder")).distinct()
+            new = {r.folder for r in paths.where(~F.col("folder").isin(sorted(loaded))).collect() if not whole(r.folder)}
+            if new:
+                loaded |= new
+                more = metadata.relations(metadata_source.files(self.spark, self.root, metadata_source.in_folders(sorted(new))))
+                found = tuple(a.unionAll(b) for a, b in zip(found, more))
+            makers = graph.attach_producers(graph.edges_of(deps, ("dep", "git_dep")), found[1]).select(F.col("src").alias("stage")).distinct()
+            front = cut(makers.join(found[0].select(F.col("path").alias("stage")), "stage", "left_semi").join(seen, "stage", "left_anti"))
+            if front.isEmpty():
+                return found, seen
+            seen = seen.unionAll(front)
+
     def _files(self, outs: DataFrame, deps: DataFrame) -> DataFrame:
         """Hashes of what stages name, by tasks; what the memo knows is not read again."""
         names = outs.select("path").unionAll(deps.where("kind = 'dep'").select(F.col("dep_path").alias("path")))
@@ -94,10 +133,15 @@ class Catalog:
     def status(self, now: str | None = None, transitive: bool = True, only: list[str] | None = None) -> DataFrame:
         """``(path, status, reason)`` of all stages, those with unreadable metadata too, or of what ``only`` names: stages, folders of
         stages, files in tracked folders, and names that stand for nothing, as errors."""
-        stages, outs, deps = self.relations()
+        if only is None:
+            stages, outs, deps = self.relations()
+            needed = outs, deps
+        else:
+            (stages, outs, deps), upstream = self.relations_for(only)
+            needed = outs.join(upstream, "stage", "left_semi"), deps.join(upstream, "stage", "left_semi")
         dated = stages.withColumn("fetch_last_run", from_iso(F.col("fetch_last_run")))
         when = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        files = self._files(outs, deps)
+        files = self._files(*needed)
         wanted = rest = None
         if only is not None:
             names = self.spark.createDataFrame([(self._inside(t),) for t in only], "target string")

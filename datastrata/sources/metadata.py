@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from datastrata.runtime import cut
 from datastrata.schema import IMPORT_DEP, STAGE, STAGE_DEP, STAGE_OUT
+from datastrata.sources.metadata_source import SUFFIX, files
 from datastrata.sources.urls import Provenance
 
-SUFFIX = ".dvc"
 #: The keys of an import's source.
 ORIGIN = ("path", "checksum", "size", "mtime", "user_agent")
 
@@ -164,7 +164,7 @@ def discover(root: str) -> list[str]:
 def relations(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(path, text)`` of metadata files -> ``(stage, stage_out, stage_dep)``.
 
-    Each text is parsed once, on the executors; a file that cannot be read has an error.
+    Each text is parsed once, on the executors; a file that cannot be read, by its ``error`` if there is such a column, has an error.
     """
     out = "array<struct<ord: int, path: string, md5: string, size: bigint, is_dir: boolean, nfiles: int>>"
     dep = "array<struct<ord: int, kind: string, dep_path: string, recorded: string>>"
@@ -174,10 +174,10 @@ def relations(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
         for pdf in batches:
             rows = []
-            for path, text in zip(pdf["path"], pdf["text"]):
-                stem, error, s = path.removesuffix(SUFFIX), None, None
+            for path, text, unread in zip(pdf["path"], pdf["text"], pdf["error"]):
+                stem, error, s = path.removesuffix(SUFFIX), unread, None
                 try:
-                    s = parse(path, text or "")
+                    s = None if unread else parse(path, text or "")
                 except Exception as e:  # any malformed text is data here
                     error = f"{type(e).__name__}: {e}"
                 if s is None:
@@ -191,7 +191,8 @@ def relations(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAGE.split(", ")] + ["outs", "deps"])
 
-    parsed = cut(texts.select("path", "text").mapInPandas(run, f"{STAGE}, outs {out}, deps {dep}"))  # three relations of it
+    unread = F.col("error") if "error" in texts.columns else F.lit(None).cast("string")
+    parsed = cut(texts.select("path", "text", unread.alias("error")).mapInPandas(run, f"{STAGE}, outs {out}, deps {dep}"))  # three relations of it
     stages = parsed.drop("outs", "deps")
     outs = parsed.select(F.col("path").alias("stage"), F.explode("outs").alias("o")).select("stage", "o.*")
     deps = parsed.select(F.col("path").alias("stage"), F.explode("deps").alias("d")).select("stage", "d.*")
@@ -224,13 +225,6 @@ def _schema(ddl: str):
     return StructType.fromDDL(ddl)
 
 
-def scan(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """``(path, text)`` of the metadata files below a root; listed here, read on the executors."""
-    names = spark.createDataFrame([(p,) for p in (discover(root) if paths is None else paths)], "path string")
-
-    def run(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            pdf["text"] = [open(os.path.join(root, p), encoding="utf-8").read() for p in pdf["path"]]
-            yield pdf
-
-    return names.mapInPandas(run, "path string, text string")
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, text, error)`` of all metadata files below a root, listed and read by tasks."""
+    return files(spark, root).select("path", "text", "error")
