@@ -95,9 +95,13 @@ def _facts(outs: DataFrame, files: DataFrame, git: DataFrame | None) -> DataFram
     return rows.groupBy("git", "path").agg(*[f(c).alias(c) for f, c in ((F.min, "declared"), (F.max, "made"), (F.min, "found"), (F.max, "there"), (F.min, "error"))])
 
 
-def path_checks(claims: DataFrame, facts: DataFrame) -> DataFrame:
+def path_checks(claims: DataFrame, facts: DataFrame, *keep: str) -> DataFrame:
     """``(stage, phase, ord, reason, code, alone)`` for each claim; code is null where it holds. ``alone`` is the reason of a stage's only output."""
-    j = claims.join(facts, ["git", "path"], "left")
+    return judged(claims.join(facts, ["git", "path"], "left"), *keep)
+
+
+def judged(j: DataFrame, *keep: str) -> DataFrame:
+    """The checks of claims that have met what is known of their paths."""
     of_out, made, there = F.col("phase") == 2, F.coalesce("made", F.lit(False)), F.coalesce("there", F.lit(False))
     known = there | (~of_out & made)
     actual = F.when(~of_out & made, F.col("declared")).otherwise(F.col("found"))
@@ -114,7 +118,7 @@ def path_checks(claims: DataFrame, facts: DataFrame) -> DataFrame:
         .otherwise(F.concat(name, F.lit(" changed: "), F.col("path")))
     )
     reason = F.when(of_out, out_reason(F.concat(F.lit(": "), F.col("path")))).otherwise(dep_reason)
-    return j.select("stage", "phase", "ord", reason.alias("reason"), code.alias("code"), F.when(of_out, out_reason(F.lit(""))).alias("alone"))
+    return j.select("stage", "phase", "ord", *keep, reason.alias("reason"), code.alias("code"), F.when(of_out, out_reason(F.lit(""))).alias("alone"))
 
 
 def freshness(

@@ -8,6 +8,7 @@ perturbed by modulus. Times are fixed, never the clock's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from datastrata.functions import hashing, paths, scalars
 from datastrata.operators import diff, freshness, graph, retention, targets, transfer, versions
-from datastrata.runtime import cut
+from datastrata.runtime import checkpoint_dir, cut, remove
 from datastrata.sources import git
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +358,24 @@ def freshness_status(spark: SparkSession, sf: str) -> DataFrame:
     return freshness.freshness(stages, outs, deps, files, now=F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
 
 
+@query(_FRESH + " SELECT stage, fresh, status, reason FROM st")
+def freshness_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of ``freshness_status``, reached from no files at all by a stream in which the files arrive."""
+    from datastrata.streaming import stages as stream  # its processor needs packages that batch queries do not
+
+    stages, outs, deps, files = _stages(spark, sf)
+    come = spark.readStream.schema(_t(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet").where("doc_id % 9 <> 4")
+    seen = F.timestamp_seconds(F.lit(1705190400) + F.pmod("doc_id", F.lit(86400)))  # on 14 January 2024
+    arrivals = come.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("md5"), F.lit(None).cast("string").alias("error"), seen.alias("seen"))
+    begin = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    top = f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    parts = stages, outs, deps, files.limit(0), begin
+    seen = stream.replay(arrivals, f"{top}/changes", f"{top}/state", *parts, late="2 days")
+    now = cut(stream.latest(freshness.freshness(*parts[:4], now=begin), seen))
+    remove(spark, top)
+    return now
+
+
 @query(
     f"""WITH b AS ({_BLOBS}), w AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '0000' || substr(md5, 5) ELSE md5 END AS h, md5 FROM b),
 r AS (SELECT d.doc_id, 0 AS ord, 'd/' || u.doc_id AS p, repeat('f', 32) AS e, u.h AS a FROM w d JOIN w u ON u.doc_id = d.doc_id // 2 WHERE d.doc_id > 0 AND d.doc_id % 6 = 1

@@ -23,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
