@@ -2,20 +2,61 @@
 
 Every round hangs neighbours on smaller ids with a partial-aggregated minimum per node
 and one join, so a hub with a third of all links is one row of the minimum table and its
-links are split by AQE's skew join. No group is gathered. Rounds are written
+links are split by AQE's skew join. No group is gathered. Before every round, a task makes stars of the
+edges that it reads, so many at a time, whatever their components; what fits one task is done by that. Rounds are written
 to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datastrata.llm.common import free, written
 
 
-#: Edges of eight tasks: a small table is not dealt over as many partitions as a session has for large ones.
-EDGES = 2_000_000
+#: Edges that a task joins at once. A table of no more is done by one task, in one step.
+EDGES = 1_000_000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges -> for each id but the least of its component, an edge to that."""
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # roots hang on lesser ids
+        while (root[root] != root).any():
+            root = root[root]
+    hung = root != np.arange(len(ids))
+    return ids[hung], ids[root[hung]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> fewer ones of the same components: those of each ``EDGES`` rows of a partition as stars."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        u, v = stars(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= EDGES:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 def _least(edges: DataFrame, tasks: int) -> DataFrame:
@@ -38,15 +79,17 @@ def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``(a, b)`` links -> ``(id, root)`` for every id that has a link to another; the
     root is the smallest id of the component, and not listed under itself."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     sums = {"n": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64("u", "v"))}
-    edges = written(edges, name, **sums)
+    edges = written(edges.distinct(), name, **sums)
     while edges.measured["n"]:  # every round but the last lowers the ends of some edge
-        before, tasks = edges, 8 * -(-edges.measured["n"] // EDGES)
-        step = _small_star(_large_star(edges, tasks), tasks).where("u <> v").distinct()
-        edges = written(step.coalesce(tasks), name, **sums)
+        before, tasks = edges, -(-edges.measured["n"] // EDGES)
+        step = edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long")
+        if tasks > 1:
+            step = _small_star(_large_star(step, tasks), tasks).where("u <> v").distinct().coalesce(tasks)
+        edges = written(step, name, **sums)
         free(before)
-        if edges.measured == before.measured:
+        if tasks == 1 or edges.measured == before.measured:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 

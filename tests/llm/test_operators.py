@@ -888,3 +888,27 @@ def test_html_on_held_out_pages():
             both, found, wanted = both + (got & text).total(), found + got.total(), wanted + text.total()
         share[plain] = both / found, both / wanted
     assert min(share[False]) > 0.999 and share[True][0] > 0.93 and share[True][1] > 0.99
+
+
+@pytest.mark.parametrize("edges_of_a_task", [50, 1_000_000])
+def test_components_by_tasks_and_rounds(spark, monkeypatch, edges_of_a_task):
+    """Chains, hubs, loops and repeats against union by hand, with many small tasks and with one."""
+    from datastrata.llm import components as module
+
+    monkeypatch.setattr(module, "EDGES", edges_of_a_task)
+    random.seed(3)
+    ids = random.sample(range(-(10**12), 10**12), 700)
+    links = [(ids[i], ids[i + 1]) for i in range(250)] + [(ids[300], x) for x in ids[301:420]] + [(ids[420], ids[420])]
+    links += [(random.choice(ids[430:]), random.choice(ids[430:])) for _ in range(150)]
+    links += links[:20]
+    random.shuffle(links)
+    root = {x: x for x in ids}
+    for _ in ids:
+        old = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if old == root:
+            break
+    found = module.components(spark.createDataFrame(links, "a long, b long").repartition(5))
+    assert {(r.id, r.root) for r in found.collect()} == {(x, r) for x, r in root.items() if x != r}
+    assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0
