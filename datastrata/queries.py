@@ -364,7 +364,7 @@ def freshness_stream(spark: SparkSession, sf: str) -> DataFrame:
     from datastrata.streaming import stages as stream  # its processor needs packages that batch queries do not
 
     stages, outs, deps, files = _stages(spark, sf)
-    come = spark.readStream.schema(_t(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet").where("doc_id % 9 <> 4")
+    come = spark.readStream.schema(_t(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]").where("doc_id % 9 <> 4")  # a stream of a file, too, if it is a pattern
     seen = F.timestamp_seconds(F.lit(1705190400) + F.pmod("doc_id", F.lit(86400)))  # on 14 January 2024
     arrivals = come.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("md5"), F.lit(None).cast("string").alias("error"), seen.alias("seen"))
     begin = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
