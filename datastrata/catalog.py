@@ -17,7 +17,7 @@ from datastrata.operators.diff import version_diff
 from datastrata.plans import runner
 from datastrata.runtime import cut
 from datastrata.sources import git as repo
-from datastrata.sources import ignore, metadata, metadata_source, transport, urls, worktree
+from datastrata.sources import config, ignore, metadata, metadata_source, transport, urls, worktree
 from datastrata.sources.store import Store, hash_path, relation
 
 
@@ -343,4 +343,7 @@ class Catalog:
         return [m for m, _ in gone], freed
 
     def run(self, only: list[str] | None = None, **options) -> list[runner.Result]:
+        """Runs stages by the folder's configuration, where it has one and no other is given."""
+        if "config" not in options and any(os.path.exists(os.path.join(self.root, name)) for name in config.NAMES):
+            options["config"] = config.load(self.root)
         return runner.run(self.root, only, runner.Options(**options), self.store, remote=self.remote)
