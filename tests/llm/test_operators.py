@@ -717,6 +717,29 @@ def test_lm_scores(spark, docs, empty, monkeypatch, tmp_path):
             assert contexts[-1][0] == number and abs(model.prob(x, contexts).sum() - 1) < 1e-9
 
 
+def test_lm_in_blocks_has_all_words_and_contexts(spark, docs, monkeypatch):
+    """However few words and contexts are broadcast at once, none is left out."""
+    for k, v in LM.items():
+        monkeypatch.setattr(suffix_tree, k, v)
+    rnd = random.Random(22)
+    phrases = [rnd.choices([f"p{i}" for i in range(6)], k=9) for _ in range(4)]
+    more = spark.createDataFrame([(2000 + i, " ".join(w for _ in range(6) for w in rnd.choice(phrases))) for i in range(40)], "doc_id long, text string")
+    d = docs.select("doc_id", "text").unionAll(more).withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False)))
+
+    def scored():
+        fitted = suffix_tree.train(d.where("not held_out"))
+        rows = suffix_tree.score(d, *fitted).collect()
+        return fitted[0], collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in rows)
+
+    whole, want = scored()
+    assert not whole.others and len(whole.words) > 150 and len(whole.states[3].contexts)
+    for k, v in {"MAX_WORDS": 200, "MAX_CONTEXTS": 200, "MAX_STORED": 400}.items():
+        monkeypatch.setattr(suffix_tree, k, v)
+    model, got = scored()
+    assert model.others and got == want
+    assert [sum(len(m.states[k].contexts) for m in [model, *model.others] if len(m.states) > k) for k in range(4)] == [len(s.contexts) for s in whole.states]
+
+
 def test_lm_symbols_of_any_width():
     texts = [[5, 70_000, 0], [0], [65_535, 65_534, 4_000_000, 1, 0]]
     low = pa.array([np.minimum(np.array(t), suffix_tree.WIDE).astype("<u2").tobytes() for t in texts], pa.binary())
