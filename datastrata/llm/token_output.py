@@ -10,7 +10,7 @@ the only thing broadcast.
 
 Encoding. The pre-tokenizer never joins a non-space character with a single
 space after it, so a text falls apart at such spaces into pieces that the library encodes
-independently. Each worker keeps the library's ids of pieces it has seen, within a
+independently; it also cuts a word of letters from the marks that follow it. Each worker keeps the library's ids of pieces it has seen, within a
 bounded table; new pieces go to the library as the lines of one text. Texts with runs of
 spaces, or space at an end, go to the library whole.
 
@@ -24,9 +24,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,6 +40,8 @@ from datastrata.llm.common import scratch_path, small_batches, table
 END_ID = 0
 FILE_IDS = 1 << 19
 PIECES = 900_000
+#: What the pre-tokenizer cuts off a word that it follows, as one piece.
+MARKS = ".,;:!?$#%&*()"
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,6 +50,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces between single spaces, the place of each text's pieces among them, and where each text's begin, with the end."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    values = lists.values.dictionary_encode()
+    return values.dictionary.to_pylist(), values.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+
+
+def join_pieces(cells: list[bytes], places: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """The ids of ``cells`` at ``places``, for each text."""
+    flat, size = np.frombuffer(b"".join(cells), "<u4"), np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+    start, n = (np.cumsum(size) - size)[places], size[places]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    cut = np.concatenate([[0], ends])[begins].tolist()
+    return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+
 class PieceEncoder:
     """The library's ids of whole texts, by way of a table of pieces."""
 
@@ -60,6 +81,7 @@ class PieceEncoder:
         #: ids of a piece after one space, and at a line's or text's start; None: not by pieces
         self.spaced: dict[str, bytes | None] = {}
         self.bare: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -94,31 +116,55 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, for each text."""
-        split = [t.split(" ") for t in texts]
-        firsts = [pieces.pop(0) for pieces in split]
-        used = set().union(*split)
-        missing = used.difference(self.spaced)
-        if len(self.spaced) + len(missing) > self.limit or len(self.bare) > self.limit:
-            self.spaced.clear()
-            self.bare.clear()
-            missing = used
-        self._learn(missing)
+        if not texts:
+            return []
+        found, places, begins = split_pieces(texts)
+        begin = begins[:-1]
+        later = np.ones(len(places), bool)
+        later[begin] = False
+        after = np.zeros(len(found), bool)
+        after[places[later]] = True
+        after = after.tolist()
+        cells = self.known([p for p, is_after in zip(found, after) if is_after])
+        firsts = [found[k] for k in places[begin].tolist()]
         heads = {p for p in firsts if p and "\n" not in p and not p[0].isspace() and not p[-1].isspace()}
         self._lines([p for p in heads if p not in self.bare], "", self.bare)
-        out: list[bytes] = []
-        whole = []
-        for i, (first, pieces) in enumerate(zip(firsts, split)):
-            try:
-                if first not in heads:
-                    raise TypeError
-                out.append(self.bare[first] + b"".join(map(self.spaced.__getitem__, pieces)))
-            except TypeError:  # a piece is None
-                whole.append(i)
-                out.append(b"")
+        alone = np.array([c is None for c in cells] + [p not in heads for p in firsts])
+        number = np.cumsum(after) - 1
+        places = number[places]
+        places[begin] = len(cells) + np.arange(len(texts))
+        whole = np.flatnonzero(np.logical_or.reduceat(alone[places], begin)).tolist()
+        joined = join_pieces([c or b"" for c in cells] + [self.bare[p] if p in heads else b"" for p in firsts], places, begins)
+        out = [ids.tobytes() for ids in joined]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         return out
 
+    def known(self, used: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces after one space; None: not by pieces."""
+        cells = list(map(self.spaced.get, used, repeat(False)))
+        new = [i for i, c in enumerate(cells) if c is False]
+        # A word and the marks after it are cut apart before anything else, so they are encoded, and kept, alone.
+        words = [used[i].rstrip(MARKS) for i in new]
+        words = [w if w.isalpha() else used[i] for i, w in zip(new, words)]
+        missing = {w for w in words if w not in self.spaced}
+        if len(self.spaced) + len(missing) > self.limit or len(self.bare) > self.limit:
+            self.spaced.clear()
+            self.bare.clear()
+            missing = set(words)
+        self._learn(missing)
+        for i, w in zip(new, words):
+            p, ids = used[i], self.spaced[w]
+            cells[i] = ids if len(p) == len(w) else ids + self._marks(p[len(w) :])
+        return cells
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > self.limit:
+                self.marks.clear()
+            self.marks[marks] = self._library([marks])[0]
+        return self.marks[marks]
+
 
 @lru_cache(maxsize=1)
 def worker_encoder(path: str) -> PieceEncoder:

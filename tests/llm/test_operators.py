@@ -591,6 +591,15 @@ def test_token_output(spark, docs, empty, libraries):
     assert token_output.token_output(empty).collect() == []
 
 
+def test_words_with_marks_are_kept_once(libraries):
+    """A word's ids are learned and held once, whatever marks follow it; the library's ids come out."""
+    encoder = token_output.PieceEncoder(token_output.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["", "one two, two. two!! two$$$ x1, don't, (two) über** 日本。 e\u0301.", "two.\nTwo, two", "two,  two", ".,; ,two two,", "two<|endoftext|>, two"]
+    got = encoder.encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "two" in encoder.spaced and not {"two,", "two.", "two!!", "two$$$"} & set(encoder.spaced)
+
+
 def test_token_counts(spark, docs, libraries):
     d = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(2000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
     got = token_counts.count_tokens(d, token_output.tokenizer_path("word_bpe_49k.json")).collect()
