@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from datastrata.llm.common import free, small_batches, table, written
 from datastrata.llm.token_counts import byte_alphabet
-from datastrata.llm.token_output import PieceEncoder, tokenizer_path
+from datastrata.llm.token_output import PieceEncoder, join_pieces, split_pieces, tokenizer_path
 
 #: Pairs that a task adds up at once, salts of the first shuffle, and pairs that are broadcast with their counts (17 bytes each).
 HELD_PAIRS, SALTS, COMMON_PAIRS = 2_000_000, 16, 1 << 20
@@ -51,25 +51,20 @@ class SpacedEncoder(PieceEncoder):
         for piece, i in vocabulary.items():
             self.bytes[i] = bytes(value[c] for c in piece) if all(c in value for c in piece) else piece.encode()
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        used = set().union(*split)
-        missing = used.difference(self.spaced)
-        if len(self.spaced) + len(missing) > self.limit or len(self.bare) > self.limit:
-            self.spaced.clear()
-            self.bare.clear()
-            missing = used
-        self._learn(missing)
-        out, whole = [], []
-        for i, pieces in enumerate(split):
-            try:
-                out.append(b"".join(map(self.spaced.__getitem__, pieces)))
-            except TypeError:  # a piece that is not encoded alone
-                whole.append(i)
-                out.append(b"")
-        for i, found in zip(whole, self._library([" " + texts[i] for i in whole])):
-            out[i] = found
-        return [np.frombuffer(b, "<u4") for b in out]
+    def ids(self, texts: list[str], found: list[str], places: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        cells = self.known(found)
+        return _joined(cells, texts, places, begins, lambda some: self._library([" " + t for t in some]))
+
+
+def _joined(cells: list[bytes | None], texts: list[str], places: np.ndarray, begins: np.ndarray, library) -> list[np.ndarray]:
+    """Ids of texts from those of their pieces; of texts with a piece that is not encoded alone, by the library."""
+    out = join_pieces([c or b"" for c in cells], places, begins)
+    alone = np.array([c is None for c in cells])
+    if alone.any():
+        whole = np.flatnonzero(np.logical_or.reduceat(alone[places], begins[:-1])).tolist()
+        for i, found in zip(whole, library([texts[i] for i in whole])):
+            out[i] = np.frombuffer(found, "<u4")
+    return out
 
 
 class Pieces:
@@ -90,24 +85,14 @@ class Pieces:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(i, "<u4").tobytes() for i in self.model.encode(texts, num_threads=1)]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        used = set().union(*split)
-        if len(self.known) + len(used) > PIECES:
+    def ids(self, texts: list[str], found: list[str], places: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        fresh = [w for w in found if w not in self.known]
+        if len(self.known) + len(fresh) > PIECES:
             self.known.clear()
-        fresh = [w for w in used if w not in self.known]
+            fresh = found
         self.known.update(zip(fresh, self._library(fresh)))
         self.known.update((w, None) for w in fresh if not w or "▁" in w)
-        out, whole = [], []
-        for i, words in enumerate(split):
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except TypeError:  # spaces that are not single
-                whole.append(i)
-                out.append(b"")
-        for i, found in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = found
-        return [np.frombuffer(b, "<u4") for b in out]
+        return _joined(list(map(self.known.__getitem__, found)), texts, places, begins, self._library)
 
 
 class Sides:
@@ -124,7 +109,10 @@ class Sides:
         """Ids of both sides; none where the text does not come back from them."""
         none = np.zeros(0, "<u4")
         out = []
-        for text, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts)):
+        if not texts:
+            return out
+        split = split_pieces(texts)
+        for text, a, b in zip(texts, self.a.ids(texts, *split), self.b.ids(texts, *split)):
             raw = b" " + text.encode()
             same = text and raw == b"".join(map(self.a.bytes.__getitem__, a.tolist())) == b"".join(map(self.b.bytes.__getitem__, b.tolist()))
             out.append((a, b) if same else (none, none))
@@ -166,15 +154,25 @@ class Aligned:
             keys, times = np.unique((group.astype(np.int64) << 32) | ids, return_counts=True)
             return keys & 0xFFFFFFFF, times, np.bincount(keys >> 32, minlength=n_groups)
 
+        # Most groups are one token of each side, and one pair as they are.
+        one = (self.n_a == 1) & (self.n_b == 1)
+        one_a, one_b = one[self.a_group], one[self.b_group]
+        single = self.a[one_a].astype(np.int64) * n_b + self.b[one_b]
         n = len(self.n_a)
-        a, a_times, in_a = sides(self.a_group, self.a, n)
-        b, b_times, in_b = sides(self.b_group, self.b, n)
+        a, a_times, in_a = sides(self.a_group[~one_a], self.a[~one_a], n)
+        b, b_times, in_b = sides(self.b_group[~one_b], self.b[~one_b], n)
         group = np.repeat(np.arange(n), in_a)
         wide = in_b[group]  # each of A's meets so many of B's
         left = np.repeat(np.arange(len(a)), wide)
         right = np.arange(len(left)) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat((np.cumsum(in_b) - in_b)[group], wide)
-        doc, key, links = doc_of_group[group[left]], a[left] * n_b + b[right], a_times[left] * b_times[right]
-        order = np.lexsort((key, doc))
+        key = np.concatenate([single, a[left] * n_b + b[right]])
+        doc = doc_of_group[np.concatenate([np.flatnonzero(one), group[left]])].astype(np.int64)
+        links = np.concatenate([np.ones(len(single), np.int64), a_times[left] * b_times[right]])
+        bits = int(key.max(initial=0)).bit_length()
+        if bits + int(doc.max(initial=0)).bit_length() < 64:
+            order = np.argsort((doc << bits) | key)
+        else:
+            order = np.lexsort((key, doc))
         doc, key, links = doc[order], key[order], links[order]
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
         return doc[first], key[first], np.add.reduceat(links, first) if len(first) else links
