@@ -529,6 +529,25 @@ def test_passages_against_brute_force(spark):
     assert sum(caught) >= 0.9 * len(caught)
 
 
+def test_passages_of_seeds_that_many_texts_have(spark):
+    """Every seed of the edited passages is in some forty texts, most of which are nobody's partner: all passages are found."""
+    rnd = random.Random(19)
+    say = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    pool = [say(24) for _ in range(24)]
+    texts = [say(20) + s + say(20) for s in pool for _ in range(40)]
+    planted = []
+    for k in range(20):
+        chosen = rnd.sample(pool, 3)
+        for turn in range(2):
+            passage = [w for s in chosen for w in [*s, f"between{k}-{turn}"]][:-1]
+            planted.append((len(texts), passage))
+            texts.append(say(30) + passage + say(30))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(p.start, p.end) for p in r.passages] for r in substring_dedup.find_passages(d).collect()}
+    assert {i for i, _ in planted} == set(got)
+    assert all(a <= 33 and b >= 27 + len(passage) for i, passage in planted for a, b in got[i])
+
+
 def test_chains_take_the_best_collinear_matches():
     i = np.array([0, 10, 20, 30, 12, 25])
     j = np.array([100, 110, 120, 130, 5, 90])
