@@ -604,13 +604,14 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     pairs = top.select(F.col("sid").alias("a"), F.col("b1.lead").alias("b")).unionAll(second.select(F.col("sid").alias("a"), F.col("b2.lead").alias("b")))
     tried = written(overlaps(pairs, sets), "stars")
     stars = tried.where(_similar())
+    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     roots = components(stars.select("a", "b"))
     for k in range(rounds):
-        seen = written(_checked(_next_pairs(lists, roots, tried, k), sets), "round-links", found=_count(_similar()))
-        tried = tried.unionAll(seen)
+        seen = written(_checked(_next_pairs(lists, roots, known, k), sets), "round-links", found=_count(_similar()))
         new = seen.where(_similar())
         if not seen.measured["found"]:
             break
+        known = written(known.unionAll(seen.select("a", "b")), "known-pairs")  # one table, so plans do not grow with the rounds
         stars = stars.unionAll(new)
         roots = extended(roots, new.select("a", "b"))
     links = _group_links(lists, stars, roots, sets)
@@ -640,7 +641,7 @@ def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, turn: int)
     early = (F.col("n") - F.col("pos")) * (100 + PERCENT) >= F.col("n") * (2 * PERCENT)
     ordered = _mixed(lists.where(early), roots).withColumn("at", F.xxhash64("sid", F.lit(turn))).repartition("token").sortWithinPartitions("token", "at", "sid").drop("at")
     pairs = ordered.mapInArrow(_cross_links, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
-    pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")  # a is the greater in both
     w = W.partitionBy("a").orderBy(F.col("k").desc(), "b")
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= PARTNERS).select("a", "b")
 
