@@ -602,22 +602,26 @@ def find_components(docs: DataFrame, hot_tokens: int = HOT_TOKENS, long_list: in
     top = shared.groupBy("sid").agg(F.max(rank).alias("b1"))
     second = shared.join(top, "sid").where("lead <> b1.lead").groupBy("sid").agg(F.max(rank).alias("b2"))
     pairs = top.select(F.col("sid").alias("a"), F.col("b1.lead").alias("b")).unionAll(second.select(F.col("sid").alias("a"), F.col("b2.lead").alias("b")))
-    tried = written(overlaps(pairs, sets), "stars")
-    stars = tried.where(_similar())
-    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = written(overlaps(pairs, sets), "tried")
+    # Pairs known and found are one table each, so plans do not grow with the rounds.
+    stars = written(tried.where(_similar()), "stars")
+    known = written(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "known-pairs")
+    free(tried)
     roots = components(stars.select("a", "b"))
     for k in range(rounds):
         seen = written(_checked(_next_pairs(lists, roots, known, k), sets), "round-links", found=_count(_similar()))
         new = seen.where(_similar())
         if not seen.measured["found"]:
             break
-        known = written(known.unionAll(seen.select("a", "b")), "known-pairs")  # one table, so plans do not grow with the rounds
-        stars = stars.unionAll(new)
+        before = known, stars
+        known = written(known.unionAll(seen.select("a", "b")), "known-pairs")
+        stars = written(stars.unionAll(new), "stars")
         roots = extended(roots, new.select("a", "b"))
+        free(*before, seen)
     links = _group_links(lists, stars, roots, sets)
     if links is not None and links.measured["n"]:
         roots = extended(roots, links)
-    free(lists, sets)
+    free(lists, sets, known, stars)
     return digest, roots
 
 
@@ -648,24 +652,26 @@ def _next_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, turn: int)
 
 def _group_links(lists: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links ``(a, b)`` between sets, or between leaders for their groups, that join what are still two components."""
-    # Groups: each set under one similar leader, one with many partners.
+    mixed = written(_mixed(lists, roots), "mixed", n=_count())
+    if not mixed.measured["n"]:
+        return None
+    # Groups: each set under one similar leader, one with many partners. Each step is a table, so no plan holds those before it twice.
     both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
-    degree = both.groupBy(F.col("b").alias("_d")).agg(F.count("*").alias("degree"))
+    degree = written(both.groupBy(F.col("b").alias("_d")).agg(F.count("*").alias("degree")), "degrees")
     rank = F.struct("degree", "b")
     mine = degree.select(F.col("_d").alias("a"), F.struct("degree", F.col("_d").alias("b")).alias("own"))
     led = both.join(degree, F.col("b") == F.col("_d")).join(mine, "a").where(F.struct("degree", "b") > F.col("own"))
+    led = written(led.select("a", "b", "common", "degree"), "led")
     # Leaders are the sets that no partner outranks; the others join their highest partner that leads.
     below = led.select(F.col("a").alias("_t")).distinct()
     group = led.join(below, F.col("b") == F.col("_t"), "left_anti").groupBy(F.col("a").alias("sid")).agg(F.max_by(F.struct("b", "common"), rank).alias("g"))
-    mixed = written(_mixed(lists, roots), "mixed", n=_count())
-    if not mixed.measured["n"]:
-        return None
     member = (
         sets.select("sid", "n")
         .join(group, "sid", "left")
         .select("sid", "n", F.coalesce("g.b", "sid").alias("g"), (F.col("n") - F.coalesce("g.common", "n")).alias("apart"))
     )
     member = written(member, "members")
+    free(degree, led)
     by_group = (
         mixed.join(member.select("sid", "g"), "sid")
         .groupBy("token", "g", "c")

@@ -241,6 +241,28 @@ def test_components_of_chains(spark, options):
     same(got.collect(), brute_components(rows))
 
 
+def test_plans_of_the_join_stay_small(spark, monkeypatch):
+    """The driver plans every table apart: none reads more tables than a few, however they came about."""
+    rnd = random.Random(9)
+    vocab = vocabulary(rnd)
+    rows = []
+    for _ in range(4):
+        w = [rnd.choice(vocab) for _ in range(60)]
+        for _ in range(25):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 2)] = [rnd.choice(vocab) for _ in range(rnd.randint(0, 2))]
+            rows.append((len(rows), " ".join(w)))
+    tables, write = collections.Counter(), jaccard_join.written
+
+    def counting(df, name, **measures):
+        tables[name] = max(tables[name], df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return write(df, name, **measures)
+
+    monkeypatch.setattr(jaccard_join, "written", counting)
+    jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0)
+    assert tables["members"] and max(tables.values()) <= 8
+
+
 def test_members_answers_follow_from_their_leaders():
     rnd = random.Random(10)
     for _ in range(200):
