@@ -10,7 +10,8 @@ the only thing broadcast.
 
 Encoding. The pre-tokenizer never joins a non-space character with a single
 space after it, so a text falls apart at such spaces into pieces that the library encodes
-independently; it also cuts a word of letters from the marks that follow it. Each worker keeps the library's ids of pieces it has seen, within a
+independently; it also cuts a word of letters from the marks that follow it, so commas and full stops before a space are made pieces of their own, unless what
+precedes them is no letter. Each worker keeps the library's ids of pieces it has seen, within a
 bounded table; new pieces go to the library as the lines of one text. Texts with runs of
 spaces, or space at an end, go to the library whole.
 
@@ -44,15 +45,27 @@ PIECES = 900_000
 MARKS = ".,;:!?$#%&*()"
 
 
+#: Marks that are cut off before texts are split, and what a piece of marks alone begins with after that.
+CUT_MARKS, CUT = (",", "."), "\0"
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def split_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def cut_marks(texts: list[str]) -> pa.Array:
+    """Texts in which a mark that a space follows is a piece of its own."""
+    cut = pa.array(texts, pa.large_string())
+    for mark in CUT_MARKS:
+        cut = pc.replace_substring(cut, f"{mark} ", f" {CUT}{mark} ")
+    return cut
+
+
+def split_pieces(texts: list[str] | pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct pieces between single spaces, the place of each text's pieces among them, and where each text's begin, with the end."""
-    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    lists = pc.split_pattern(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), " ")
     values = lists.values.dictionary_encode()
     return values.dictionary.to_pylist(), values.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
 
@@ -116,30 +129,50 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, for each text."""
-        if not texts:
-            return []
-        found, places, begins = split_pieces(texts)
+        return self._encode(texts, True) if texts else []
+
+    def _encode(self, texts: list[str], cut: bool) -> list[bytes]:
+        found, places, begins = split_pieces(cut_marks(texts) if cut else texts)
         begin = begins[:-1]
         later = np.ones(len(places), bool)
         later[begin] = False
         after = np.zeros(len(found), bool)
         after[places[later]] = True
-        after = after.tolist()
-        cells = self.known([p for p, is_after in zip(found, after) if is_after])
+        marks = {found.index(CUT + m): self._marks(m) for m in CUT_MARKS if CUT + m in found} if cut else {}
+        after[list(marks)] = False
+        is_after = after.tolist()
+        cells = self.known([p for p, a in zip(found, is_after) if a])
         firsts = [found[k] for k in places[begin].tolist()]
         heads = {p for p in firsts if p and "\n" not in p and not p[0].isspace() and not p[-1].isspace()}
         self._lines([p for p in heads if p not in self.bare], "", self.bare)
-        alone = np.array([c is None for c in cells] + [p not in heads for p in firsts])
+        uncut = self._uncut(texts, found, places, begin, list(marks)) if cut else []
+        alone = np.array([c is None for c in cells] + [p not in heads for p in firsts] + [False] * len(marks))
         number = np.cumsum(after) - 1
+        number[list(marks)] = len(cells) + len(texts) + np.arange(len(marks))
         places = number[places]
         places[begin] = len(cells) + np.arange(len(texts))
-        whole = np.flatnonzero(np.logical_or.reduceat(alone[places], begin)).tolist()
-        joined = join_pieces([c or b"" for c in cells] + [self.bare[p] if p in heads else b"" for p in firsts], places, begins)
+        whole = np.logical_or.reduceat(alone[places], begin)
+        whole[uncut] = False
+        whole = np.flatnonzero(whole).tolist()
+        joined = join_pieces([c or b"" for c in cells] + [self.bare[p] if p in heads else b"" for p in firsts] + list(marks.values()), places, begins)
         out = [ids.tobytes() for ids in joined]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
+        for i, ids in zip(uncut, self._encode([texts[i] for i in uncut], False) if uncut else []):
+            out[i] = ids
         return out
 
+    @staticmethod
+    def _uncut(texts: list[str], found: list[str], places: np.ndarray, begin: np.ndarray, marks: list[int]) -> list[int]:
+        """The texts to be split without a cut: the pre-tokenizer cuts marks off letters alone, and ``CUT`` may be a text's own."""
+        at = np.flatnonzero(np.isin(places, marks))
+        letters = np.zeros(len(found), bool)
+        before = places[at - 1]
+        for k in np.unique(before).tolist():
+            letters[k] = found[k][-1:].isalpha()
+        bad = np.searchsorted(begin, at[~letters[before]], side="right") - 1
+        return sorted({*bad.tolist(), *(i for i, t in enumerate(texts) if CUT in t)})
+
     def known(self, used: list[str]) -> list[bytes | None]:
         """Ids of distinct pieces after one space; None: not by pieces."""
         cells = list(map(self.spaced.get, used, repeat(False)))

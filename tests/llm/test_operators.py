@@ -641,6 +641,18 @@ def test_words_with_marks_are_kept_once(libraries):
     assert "two" in encoder.spaced and not {"two,", "two.", "two!!", "two$$$"} & set(encoder.spaced)
 
 
+def test_marks_before_spaces_are_cut_before_words_are_looked_up():
+    encoder = token_output.PieceEncoder(token_output.tokenizer_path("byte_bpe_50k.json"))
+    looked_up, known = set(), encoder.known
+    encoder.known = lambda used: looked_up.update(used) or known(used)
+    texts = ["one two, two. two, two."]
+    assert np.frombuffer(encoder.encode(texts)[0], "<u4").tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert looked_up == {"two", "two."}  # the last mark ends the text
+    odd = ["\0, two", "two\0, two", "\0", ", two", ". ", "two , two", "two., two", "two,. two", "two), two", "x1, 1. two", "don't, two", "<|endoftext|>, two", "日本, e\u0301. two", "two.\nTwo, two", ""]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(odd + texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in odd + texts]
+
+
 def test_token_counts(spark, docs, libraries):
     d = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(2000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
     got = token_counts.count_tokens(d, token_output.tokenizer_path("word_bpe_49k.json")).collect()
