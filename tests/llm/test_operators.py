@@ -241,7 +241,8 @@ def test_components_of_chains(spark, options):
     same(got.collect(), brute_components(rows))
 
 
-def test_plans_of_the_join_stay_small(spark, monkeypatch):
+@pytest.mark.parametrize("of", ["report", "one_of_each"])
+def test_plans_of_the_join_stay_small(spark, monkeypatch, of):
     """The driver plans every table apart: none reads more tables than a few, however they came about."""
     rnd = random.Random(9)
     vocab = vocabulary(rnd)
@@ -259,7 +260,7 @@ def test_plans_of_the_join_stay_small(spark, monkeypatch):
         return write(df, name, **measures)
 
     monkeypatch.setattr(jaccard_join, "written", counting)
-    jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0)
+    getattr(jaccard_join, of)(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0)
     assert tables["members"] and max(tables.values()) <= 8
 
 
