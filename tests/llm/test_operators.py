@@ -571,6 +571,59 @@ def test_passages_of_seeds_that_many_texts_have(spark):
     assert all(a <= 33 and b >= 27 + len(passage) for i, passage in planted for a, b in got[i])
 
 
+def test_pairs_of_texts_that_repeat_a_sentence():
+    """A million matches of two places: chained without a step for each, and what is next to the repeats is found by them."""
+    rnd = random.Random(20)
+    say = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    sentence, tail, rows = say(3), say(30), []
+    for k in range(4):
+        rows.append(say(10 + k) + sentence * (1000 + k) + tail + say(20 + k))
+    places = []
+    for t in rows:
+        h, at = substring_dedup.seeds(substring_dedup.word_hashes(" ".join(t).encode()))
+        places.append({s: (2 * at[h == s] + 1).tolist() for s in set(h.tolist())})
+    lists = pa.list_(pa.list_(pa.int32()))
+    pairs, batches = [(0, 1), (1, 2), (2, 3)], []
+    for a, b in pairs:
+        both = [s for s in places[a] if s in places[b]]
+        codes = [substring_dedup.word_hashes(" ".join(rows[k]).encode()).astype("<u4").tobytes() for k in (a, b)]
+        columns = [pa.array([a]), pa.array([b]), *(pa.array([[places[k][s] for s in both]], lists) for k in (a, b)), *(pa.array([c]) for c in codes)]
+        batches.append(pa.RecordBatch.from_arrays(columns, names=["doc", "partner", "i", "j", "u", "v"]))
+    assert max(len(x) for p in places for x in p.values()) >= 150
+    began = time.process_time()
+    found = [r for batch in substring_dedup._pairs_aligned(iter(batches)) for r in batch.to_pylist()]
+    assert time.process_time() - began < 20
+    for a, b in pairs:
+        for doc, partner in ((a, b), (b, a)):
+            spans = [(r["start"], r["end"]) for r in found if (r["doc"], r["partner"]) == (doc, partner)]
+            assert min(s for s, _ in spans) <= 10 + doc and max(e for _, e in spans) >= len(rows[doc]) - 20 - doc
+
+
+def test_chains_of_many_pairs_at_once_are_those_of_each():
+    rnd = random.Random(21)
+    lists, wanted, places = pa.list_(pa.list_(pa.int32())), {}, []
+    for k in range(60):
+        sides = [[(p, rnd.randrange(3)) for p in sorted(rnd.sample(range(300), rnd.randint(3, 25)))] for _ in range(2)]
+        both = [s for s in range(3) if all(any(t == s for _, t in side) for side in sides)]
+        places.append([[[2 * p + 1 for p, t in side if t == s] for s in both] for side in sides])
+        met = [(p, q) for p, s in sides[0] for q, t in sides[1] if s == t]
+        if met:
+            chain = substring_dedup.chains(*(np.array(v) for v in zip(*met)))[0]
+            wanted[k] = [met[a] for a in chain]
+    x, y = (substring_dedup._places(pa.array([p[side] for p in places], lists)) for side in (0, 1))
+    number, row, i, j = substring_dedup.grid_chains(x, y, np.array(sorted(wanted)))
+    score = lambda c: substring_dedup.K * len(c) - substring_dedup.GAP * (c[-1][0] - c[0][0] + c[-1][1] - c[0][1])
+    got = collections.defaultdict(list)
+    for n in np.unique(number):
+        at = number == n
+        chain = list(zip(i[at].tolist(), j[at].tolist()))
+        assert all(a < c and b < d for (a, b), (c, d) in zip(chain, chain[1:]))
+        got[int(row[at][0])].append(score(chain))
+    for k, chain in wanted.items():
+        if chain[-1][0] - chain[0][0] + substring_dedup.K >= substring_dedup.LEAST_CHAIN:
+            assert max(got[k]) == pytest.approx(score(chain))
+
+
 def test_chains_take_the_best_collinear_matches():
     i = np.array([0, 10, 20, 30, 12, 25])
     j = np.array([100, 110, 120, 130, 5, 90])
