@@ -571,6 +571,19 @@ def test_passages_of_seeds_that_many_texts_have(spark):
     assert all(a <= 33 and b >= 27 + len(passage) for i, passage in planted for a, b in got[i])
 
 
+def test_places_of_contexts_are_looked_up_by_cells():
+    rng = np.random.default_rng(22)
+    for n in (0, 1, 7, 5000):
+        keys = rng.permutation(np.unique(rng.integers(0, 1 << 62, n)))
+        places = suffix_tree.Places(keys)
+        asked = np.concatenate([keys, keys + 1, [0]])
+        known = {k: i for i, k in enumerate(keys.tolist())}
+        assert places.of(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+    states = suffix_tree.States(np.array([(2 << 31) | 5, (4 << 31) | 1]), np.array([0.5, 0.25]), np.array([2, 4]), np.array([0.1, 0.2]))
+    got = states.prob(np.array([2, 2, 3, 4, 9]), np.array([5, 6, 5, 1, 1]), np.full(5, 0.5))
+    assert got.tolist() == [0.5, 0.05, 0.5, 0.25, 0.5]
+
+
 def test_pairs_of_texts_that_repeat_a_sentence():
     """A million matches of two places: chained without a step for each, and what is next to the repeats is found by them."""
     rnd = random.Random(20)
