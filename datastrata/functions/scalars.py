@@ -20,21 +20,21 @@ DAYS = 366 * 40
 STATUSES = ("stale", "missing", "transitive", "error", "fresh")
 
 
-def format_size(size: Column) -> Column:
-    """Bytes for people: whole below 1024, one decimal above, ties to the even one, ``?`` for null."""
+def format_size(size: Column, largest: str = UNITS[-1]) -> Column:
+    """Bytes for people: whole below 1024, one decimal above, ties to the even one, ``?`` for null; no unit above ``largest``."""
+    size = size.cast("long")
     n = F.abs(size)
-    unit = F.lit(1)
-    for k in range(2, len(UNITS)):
-        unit = unit + (n >= 1024**k).cast("int")
-    # In integers, so ties are ties: twice the rest against the unit.
-    whole = F.element_at(F.array(*[F.lit(1024**k) for k in range(1, len(UNITS))]), unit)
-    rest = (n % whole) * 10
-    down = (n - n % whole) / whole * 10 + (rest - rest % whole) / whole
-    over = 2 * (rest % whole)
-    tenths = (down + ((over > whole) | ((over == whole) & (down % 2 == 1))).cast("int")).cast("long")
     sign = F.when(size < 0, "-").otherwise("")
-    text = F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS[1:]]), unit))
-    return F.when(size.isNull(), F.lit("?")).when(n < 1024, F.format_string("%d B", size.cast("long"))).otherwise(text)
+    text = F.when(size.isNull(), F.lit("?")).when(n < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    last = UNITS.index(largest)
+    # A branch a unit, by constants, so the expression stays small. In integers, so ties are ties: half a unit is added, less one where the tenth is even.
+    for k, unit in enumerate(UNITS[1 : last + 1], 1):
+        tenth = n.bitwiseAND(F.lit(1024**k - 1)) * 10
+        odd = F.shiftright(tenth, 10 * k).bitwiseAND(F.lit(1))
+        tenths = F.shiftright(n, 10 * k) * 10 + F.shiftright(tenth + odd + (1024**k // 2 - 1), 10 * k)
+        label = F.concat(sign, F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        text = text.otherwise(label) if k == last else text.when(n < 1024 ** (k + 1), label)
+    return text
 
 
 def parse_duration(text: str) -> dt.timedelta:

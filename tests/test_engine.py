@@ -59,6 +59,25 @@ def test_format_size(spark, n, text):
     assert one(spark, scalars.format_size(F.lit(n).cast("long"))) == (text,)
 
 
+@pytest.mark.parametrize("n, text", [(3599999 * 1000003, "3352.8 GB"), (1024**4, "1024.0 GB"), (1024**4 - 1, "1024.0 GB"), (1024**2, "1.0 MB"), (100, "100 B"), (None, "?")])
+def test_format_size_up_to_a_unit(spark, n, text):
+    assert one(spark, scalars.format_size(F.lit(n).cast("long"), "GB")) == (text,)
+
+
+def test_format_size_query_of_large_keys(spark, tmp_path):
+    """Part keys of sixty times the largest test tables: sizes beyond a terabyte."""
+    duckdb = pytest.importorskip("duckdb")
+    from datastrata.queries import ORACLE_SQL, QUERIES
+
+    keys = "SELECT range AS l_orderkey, range * 7919 % 1200000 AS l_partkey, CAST(1 + range % 7 AS INTEGER) AS l_linenumber FROM range(7000)"
+    duckdb.sql(f"COPY ({keys}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    wanted = sorted(con.execute(ORACLE_SQL["format_size"]).fetchall())
+    assert any(float(label[:-3]) >= 1024 for *_, label in wanted if label.endswith(" GB"))
+    assert sorted(map(tuple, QUERIES["format_size"](spark, str(tmp_path)).collect())) == wanted
+
+
 def test_durations():
     assert scalars.parse_duration("7d") == dt.timedelta(days=7) and scalars.parse_duration("24h") == dt.timedelta(hours=24)
     assert scalars.parse_duration("1w") == dt.timedelta(weeks=1)
