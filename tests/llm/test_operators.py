@@ -571,6 +571,53 @@ def test_passages_of_seeds_that_many_texts_have(spark):
     assert all(a <= 33 and b >= 27 + len(passage) for i, passage in planted for a, b in got[i])
 
 
+def test_pairs_that_common_phrases_make(spark, monkeypatch):
+    """Texts that have a phrase in common, twice but too far apart for a chain, are not matched with one another; those with a passage are, in rounds too."""
+    rnd = random.Random(23)
+    say = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    phrase, parts = say(10), [say(30) for _ in range(2)]
+    texts = [say(30) + phrase + say(300) + phrase + say(30) for _ in range(40)]
+    texts += [say(30) + p + say(30) for p in parts for _ in range(20)]
+    texts += [say(40) + parts[0] + [f"between{k}"] + parts[1] + say(40) for k in range(3)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    made, rounds = [], []
+    for name, kept, of in (("_open_pairs", made, lambda out: out[1].count()), ("_rounds", rounds, int)):
+        monkeypatch.setattr(substring_dedup, name, lambda *a, f=getattr(substring_dedup, name), kept=kept, of=of: (out := f(*a), kept.append(of(out)))[0])
+    wanted = sorted(map(tuple, substring_dedup.find_passages(d).collect()))
+    assert [r[0] for r in wanted] == [80, 81, 82] and made[0] < 600 and not rounds
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, substring_dedup.find_passages(d).collect())) == wanted and rounds[0] > 3
+
+
+def test_twos_miss_no_chain():
+    """Every chain that reaches far enough, with an open place and a seed that is not rare, is known by two of its seeds."""
+    rnd = random.Random(24)
+    at = pa.list_(pa.struct([("pos", pa.int32()), ("seed", pa.int64()), ("open", pa.bool_()), ("few", pa.bool_()), ("sought", pa.bool_())]))
+    chained = 0
+    for _ in range(300):
+        length, kinds = rnd.choice([60, 300, 1500]), rnd.choice([3, 12, 40])
+        few = [rnd.random() < 0.3 for _ in range(kinds)]
+        sides = [{p: (rnd.randrange(kinds), rnd.random() < 0.1) for p in rnd.sample(range(length), rnd.randint(2, 25))} for _ in range(2)]
+        sought = {s for side in sides for s, o in side.values() if o}
+        rows = [[{"pos": p, "seed": s - 5, "open": o, "few": few[s], "sought": s in sought} for p, (s, o) in side.items()] for side in sides]
+        known = collections.defaultdict(list)
+        for batch in substring_dedup._twos(iter([pa.RecordBatch.from_arrays([pa.array([1, 0]), pa.array(rows, at)], names=["doc", "at"])])):
+            for r in batch.to_pylist():
+                known[r["two"], r["doc"]].append(r)
+        met = [(p, q) for p, (s, _) in sides[0].items() for q, (t, _) in sides[1].items() if s == t]
+        if not met:
+            continue
+        pair = any(a["wide"] and (a["open"] or b["open"]) for (two, doc), found in known.items() if doc for a in found for b in known.get((two, 0), []))
+        for chain in substring_dedup.chains(*(np.array(v) for v in zip(*met))):
+            places = [met[k] for k in chain]
+            if places[-1][0] - places[0][0] + substring_dedup.K < substring_dedup.LEAST_CHAIN or all(few[sides[0][p][0]] for p, _ in places):
+                continue
+            if any(sides[0][p][1] or sides[1][q][1] for p, q in places):
+                assert pair
+                chained += 1
+    assert chained > 50
+
+
 def test_places_of_contexts_are_looked_up_by_cells():
     rng = np.random.default_rng(22)
     for n in (0, 1, 7, 5000):
