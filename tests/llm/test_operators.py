@@ -618,6 +618,36 @@ def test_twos_miss_no_chain():
     assert chained > 50
 
 
+def test_followers_are_counted_as_arrays_of_buckets(monkeypatch):
+    """Tasks send a row for each bucket, not for each key, and what a context has seldom is one sum of it."""
+    rng = np.random.default_rng(25)
+    monkeypatch.setattr(suffix_tree, "_FLUSH", 3000)
+    single = np.arange(2, 30)
+    model = suffix_tree.Model([], np.full(40, 60), 2400, 40, np.full(40, 1 / 40), keys=[np.zeros(0, np.int64)], sequences=[np.append(single, 40)[:, None]])
+    shared = type("Shared", (), {"value": model})
+    texts = [np.append(rng.integers(1, 40, rng.integers(0, 60)), 0) for _ in range(400)]
+    wanted, sent = collections.Counter(), []
+    for t in texts:
+        wanted.update((h, x) for h, x in zip([40, *t[:-1].tolist()], t.tolist()) if h in single or h == 40)
+    for part in (texts[:250], texts[250:]):
+        low = pa.array([t.astype("<u2").tobytes() for t in part], pa.binary())
+        high = pa.array([b""] * len(part), pa.binary())
+        batches = [pa.RecordBatch.from_arrays([low[k : k + 90], high[k : k + 90]], names=["low", "high"]) for k in range(0, len(part), 90)]
+        sent += suffix_tree._followers(shared, 7)(iter(batches))
+    rows = pa.Table.from_batches(sent).sort_by("bucket")
+    assert 2 * 7 < rows.num_rows < len(wanted) / 10
+    got = {}
+    for batch in suffix_tree._merged(9)(iter(rows.to_batches(max_chunksize=5))):
+        for r in batch.to_pylist():
+            key = r["key"] >> suffix_tree.BITS, r["key"] & suffix_tree.OTHERS
+            assert key[1] == suffix_tree.OTHERS or key not in got
+            got[key] = got.get(key, 0) + r["n"]
+    often = {k: n for k, n in wanted.items() if n >= 9}
+    assert {k: n for k, n in got.items() if k[1] != suffix_tree.OTHERS} == often and 0 < len(often) < len(wanted)
+    for h in {h for h, _ in wanted}:
+        assert sum(n for k, n in got.items() if k[0] == h) == sum(n for k, n in wanted.items() if k[0] == h)
+
+
 def test_places_of_contexts_are_looked_up_by_cells():
     rng = np.random.default_rng(22)
     for n in (0, 1, 7, 5000):
